@@ -5,3 +5,10 @@ DataFrame, so Catalyst plans the whole job.  Sub-packages: ``sources`` (ingest,
 fixtures, sinks), ``functions`` (column expressions), ``operators`` (frame to
 frame), ``plans`` (registered queries with their SQL oracles) and ``streaming``.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
