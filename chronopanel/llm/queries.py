@@ -5,27 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .line_dedup import dedup_lines
+from . import chat_format, line_dedup, packing, quality_classifier, quality_rules, url_filter, warc
+from .common import LOWER, UPPER, table
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0)
+    return warc.read_records(index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_chars=20, min_docs=3)
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_chars=20, min_docs=3)
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), size=2048, end_id=0)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
 
-_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_warc, op5_line_dedup, op7_packing, op9_quality_rules, op10_chat_format)}
 
 ORACLES = {
     "op5_line_dedup": f"""
         WITH l AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-        k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UP}', '{_LOW}') AS key FROM l),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
         r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
         SELECT k.doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY i) FILTER (WHERE r.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN r ON k.key = r.key AND k.doc_id <> r.keeper GROUP BY k.doc_id""",
+    "op10_chat_format": """
+        WITH t AS (
+          SELECT conv_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                 string_agg(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix,
+                 string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER (w ROWS UNBOUNDED PRECEDING) AS rendered
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        whole AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(rendered) AS rendered FROM t WHERE i = n GROUP BY prefix, n)
+        SELECT conv_id, n AS n_turns, n_copies, rendered FROM whole
+        WHERE prefix NOT IN (SELECT prefix FROM t WHERE i < n)""",
 }
