@@ -116,3 +116,40 @@ def test_op9(spark):
         g = got[d["doc_id"]]
         assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == want
         assert g["base_failed"] == (len(words) < 50 or 100 * len(hit) > 50 * len(words)) and not (g["base_failed"] and g["kept"])
+
+
+def shingles(text, width):
+    words = re.findall(WS, "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def linked_components(sets, num, den):
+    """Smallest id reachable by links, by comparing all pairs that share a shingle."""
+    root = {k: k for k in sets}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    holders: dict = {}
+    for k, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    pairs = {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :]}
+    for a, b in pairs:
+        if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k: top(k) for k in sets}
+
+
+@pytest.mark.parametrize("width,num,den,cell", [(3, 90, 100, 1024), (5, 8, 10, 3), (2, 1, 2, 5)])
+def test_op4(spark, width, num, den, cell):
+    from chronopanel.llm import jaccard_join
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r["doc_id"]: shingles(r["text"], width) for r in docs.collect()}
+    want = linked_components(sets, num, den)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(docs, width=width, num=num, den=den, cell=cell).collect()}
+    assert got == {k: (len(s), want[k]) for k, s in sets.items()}
