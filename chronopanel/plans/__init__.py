@@ -1,4 +1,6 @@
 """Registered queries: name to callable, name to DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import windows  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
