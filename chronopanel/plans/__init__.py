@@ -1,6 +1,6 @@
 """Registered queries: name to callable, name to DuckDB SQL."""
 
-from . import joins, windows  # noqa: F401
+from . import aggregates, joins, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
