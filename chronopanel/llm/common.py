@@ -1,8 +1,9 @@
-"""Shared helpers: staging tables in the cluster's shared folder, Arrow access.
+"""Shared helpers: staging tables, held frames, Arrow access.
 
-Staging tables cut lineage and let several consumers read one result.  They
-are written below ``spark.checkpoint.dir``, which executors share, so a lost
-executor loses nothing that later stages read.
+Staging tables cut lineage; they are written below ``spark.checkpoint.dir``,
+which executors share, so a lost executor loses nothing that later stages read.
+Held frames let several consumers read one result without cutting lineage: they
+stay on executors' disks, and what a lost executor held is computed again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chronopanel-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
+def materialise(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    ``few_files`` is for tables far smaller than their inputs: as many files as
+    a sixteenth of the shuffle partitions, which are computed as usual and then
+    dealt evenly.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if few_files:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it on executors' disks until ``release``."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()  # joins are then planned by its real size
+    _held.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop all held frames, once what was derived from them has been written."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -17,17 +17,20 @@ rank first.  Only the id and the text are read, so other columns can't clash.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, utf8
+from .common import batches, hold, utf8
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,39 +42,90 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: What the vocabulary's pre-tokenizer splits a lower-case word without apostrophes into.
+_PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words that it may be applied to: printable letters and signs up to Latin Extended-B.
+_PLAIN = regex.compile(r"[!-&(-~\u00A1-\u024F]+")
+
+#: Signs that make up one part after a word.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class WordTokens:
-    """Ids of a text, with a bounded memory of words.
+    """Ids of a text, with bounded memories of words and their parts.
 
     The vocabulary's pre-tokenizer never joins across ASCII white space, so a
-    text's ids are those of its words one after another.
+    text's ids are those of its words one after another.  Plain words are cut
+    and lower-cased here, so that ``Word`` and ``word,`` share the work of
+    ``word``; the tokenizer sees all others as they are.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        held = Tokenizer.from_file(path)
+        self.encode, self.merge, self.letters = held.encode_batch_fast, held.model.tokenize, byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
+        if self.known and len(self.known) + len(words) > self.most:
             self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: bytes | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words = (text or b"").split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self.known[w] for w in words])
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        cut: dict[bytes, list[str]] = {}
+        other: list[str] = []
+        parts, known, letters = self.parts, self.known, self.letters
+        for w in words:
+            if w in known:
+                continue
+            core = w.rstrip(_TAIL)
+            if core.isalpha():  # ASCII letters, then signs if any
+                low = core.lower().decode()
+                cut[w] = [low] if len(core) == len(w) else [low, w[len(core) :].decode()]
+                continue
+            s = w.decode()
+            if _PLAIN.fullmatch(s) and "<|" not in s:
+                cut[w] = _PARTS.findall(s.lower())
+            elif s not in parts:
+                other.append(s)
+                cut[w] = [s]
+            else:
+                cut[w] = [s]
+        for i in range(0, len(other), 2_000):
+            some = other[i : i + 2_000]
+            for p, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
+                parts[p] = array("I", e.ids).tobytes()
+        for w, ps in cut.items():
+            for p in ps:
+                if p not in parts:  # as the vocabulary's byte-level step writes it
+                    text = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
+                    parts[p] = array("I", [t.id for t in self.merge(text)]).tobytes()
+            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+
+    def many(self, texts: list[bytes | None], chunk: int = 8 << 20) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers; new words are learned for about ``chunk`` bytes of texts at once."""
+        at = 0
+        while at < len(texts):
+            split: list[list[bytes]] = []
+            held = 0
+            while at < len(texts) and held < chunk:
+                text = texts[at] or b""
+                split.append(text.split())
+                held, at = held + len(text), at + 1
+            self.learn(set().union(*split))
+            known = self.known.__getitem__
+            for words in split:
+                yield b"".join(map(known, words))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -83,8 +137,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         tokens = WordTokens(vocabulary)
         for b in batches(rows):
             out: list[tuple] = []
-            for ident, text in zip(b.column("id").to_pylist(), utf8(b.column("text")), strict=True):
-                ids = tokens(text) + end
+            for ident, ids in zip(b.column("id").to_pylist(), tokens.many(utf8(b.column("text"))), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     out.append((ident, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
@@ -158,7 +212,7 @@ def ranked(parts: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
     dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").count()
     before = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    before = materialise(before, "ranks")
+    before = hold(before)
     own = Window.partitionBy("length", "bucket").orderBy("id", "piece")
     placed = dealt.withColumn("place", F.row_number().over(own) - 1)
     return placed.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place")).drop("bucket", "before", "place")
@@ -166,7 +220,7 @@ def ranked(parts: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    parts = materialise(pieces(docs, id_col, text_col, size, end_id, path, with_ids), "pieces")
+    parts = hold(pieces(docs, id_col, text_col, size, end_id, path, with_ids))
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most size rows
     planned = plan(histogram, size)
     lengths, ranks, sequences, offsets = (np.array(x, np.int64) for x in (planned.length, planned.rank, planned.sequence, planned.offset))
