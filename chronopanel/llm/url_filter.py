@@ -84,9 +84,11 @@ class Segmenter:
 
 
 def _dictionary(words: DataFrame, max_words: int, seeds: tuple[str, ...], min_count: int) -> dict[str, int]:
-    """The most frequent parts of the table; of a part that others make up, the others."""
+    """The most frequent parts of the table and the seeds; a part that only ends in or begins with a seed is no word."""
     top = words.where((F.length("w") > 1) & ~F.col("w").rlike(r"^\p{N}+$")).groupBy("w").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "w").limit(max_words).collect()
-    return {r["w"]: r["count"] for r in top} | {s: min_count for s in seeds if s not in {r["w"] for r in top}}
+    known = {r["w"]: r["count"] for r in top}
+    joined = {w for w in known for s in seeds if w != s and len(w) > len(s) + 2 and len(s) > 3 and (w.startswith(s) or w.endswith(s))}
+    return {w: n for w, n in known.items() if w not in joined} | {s: known.get(s, min_count) for s in seeds}
 
 
 def filter_urls(
