@@ -66,7 +66,9 @@ def hold(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Drop all held frames, once what was derived from them has been written."""
     while _held:
-        _held.pop().unpersist()
+        df = _held.pop()
+        if df.sparkSession.sparkContext._jsc:  # its session still runs
+            df.unpersist()
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, utf8
+from .common import batches, hold, materialise, utf8
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 COUNT_BITS = 10
@@ -123,23 +123,23 @@ def _measure(width: int):
     return measure
 
 
-def measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+def measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b, d, linked) of pairs (a, b), from their whole texts."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    out = materialise(both.mapInArrow(_measure(width), "a long, b long, shared long, joint long"), name)
+    out = materialise(both.mapInArrow(_measure(width), "a long, b long, shared long, joint long"), "measured", few_files=True)
     return out.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("d"), (den * F.col("shared") >= num * F.col("joint")).alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest id that each end of an edge (a, b) reaches."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", few_files=True)
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", few_files=True)
     while True:
         low = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("low"))
-        near = materialise(labels.join(low, "v").select("v", F.col("root").alias("old"), F.least("root", "low").alias("root")), "labels")
+        near = materialise(labels.join(low, "v").select("v", F.col("root").alias("old"), F.least("root", "low").alias("root")), "labels", few_files=True)
         up = near.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        new = materialise(near.join(up, "root").select("v", "old", F.col("above").alias("root")), "labels")
+        new = materialise(near.join(up, "root").select("v", "old", F.col("above").alias("root")), "labels", few_files=True)
         changed = new.where("root <> old").limit(1).count()
         labels = new.select("v", "root")
         if not changed:
@@ -175,10 +175,10 @@ def residual(regions: DataFrame, placed: DataFrame, state: DataFrame, num: int,
     """Pairs (a, b) of different components that may link; regions: (key, id, ring), state: (id, n, comp, pivot, d)."""
     reach = 1 - num / den
     rows = regions.join(state, "id")
-    by_comp = materialise(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("pivot").alias("low"), F.max("pivot").alias("high"), F.min("d").alias("d"), F.count("d").alias("kd")), "comps")
+    by_comp = materialise(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("pivot").alias("low"), F.max("pivot").alias("high"), F.min("d").alias("d"), F.count("d").alias("kd")), "comps", few_files=True)
     main = by_comp.groupBy("key").agg(F.max(F.struct("k", (-F.col("comp")).alias("c"))).alias("m"), F.sum("k").alias("all")).where("m.k < all").select("key", (-F.col("m.c")).alias("main"), F.col("m.k").alias("n_main"), (F.col("all") - F.col("m.k")).alias("n_rest"))
     rest = by_comp.join(main, "key").where("comp <> main").groupBy("key", "main", "n_main", "n_rest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("d").alias("least"), (F.sum("kd") == F.sum("k")).alias("known"))
-    rest = materialise(rest, "rest")
+    rest = materialise(rest, "rest", few_files=True)
     open_rows = rows.join(rest, "key")
     is_main = F.col("comp") == F.col("main")
     out_of_reach = is_main & F.col("known") & (F.col("low") == F.col("high")) & (F.col("pivot") == F.col("low")) & (F.col("d") < F.col("least") - reach - 1e-9)
@@ -203,31 +203,31 @@ def residual(regions: DataFrame, placed: DataFrame, state: DataFrame, num: int,
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10, cell: int = 1024) -> DataFrame:
     """Per row: id, n_shingles, component_id; documents link when den * |x & y| >= num * |x | y|."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = materialise(texts.mapInArrow(_signatures(width, num, den), "id long, n long, h binary, placed array<struct<ring:int,sigs:array<long>>>"), "signatures")
+    placed = hold(texts.mapInArrow(_signatures(width, num, den), "id long, n long, h binary, placed array<struct<ring:int,sigs:array<long>>>"))
     sets = placed.select("id", "n", "h")
-    owners = materialise(sets.where("h is not null").groupBy("h").agg(F.min("id").alias("rep")), "sets")
-    copies = materialise(sets.join(owners, "h").where("id <> rep").select("id"), "copies")
+    owners = materialise(sets.where("h is not null").groupBy("h").agg(F.min("id").alias("rep")), "sets", few_files=True)
+    copies = materialise(sets.join(owners, "h").where("id <> rep").select("id"), "copies", few_files=True)
     single = placed.where("id is not null and size(placed) > 0").join(copies, "id", "left_anti")
     keys = single.select("id", F.inline("placed")).select("id", "ring", F.posexplode("sigs").alias("part", "sig")).select(F.xxhash64("ring", "part", "sig").alias("key"), "id", "ring")
-    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "shared")
-    regions = materialise(keys.join(shared, "key"), "regions")
+    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "shared", few_files=True)
+    regions = materialise(keys.join(shared, "key"), "regions", few_files=True)
 
-    central = materialise(regions.groupBy("id").agg(F.sum("g").alias("score")), "scores")
+    central = materialise(regions.groupBy("id").agg(F.sum("g").alias("score")), "scores", few_files=True)
     rank = F.struct("score", (-F.col("id")).alias("minus"))
-    pivots = materialise(regions.join(central, "id").groupBy("key").agg(F.max(rank).alias("top")), "pivots")
-    best = materialise(regions.join(pivots, "key").groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("pivot")), "best")
-    stars = measured(best.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts.where("id is not null"), width, num, den, "stars")
+    pivots = materialise(regions.join(central, "id").groupBy("key").agg(F.max(rank).alias("top")), "pivots", few_files=True)
+    best = materialise(regions.join(pivots, "key").groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("pivot")), "best", few_files=True)
+    stars = measured(best.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts.where("id is not null"), width, num, den)
     links = stars.where("linked").select("a", "b")
     first = components(links)
 
     state = best.join(sets.dropDuplicates(["id"]), "id").join(first.withColumnRenamed("v", "id"), "id", "left").join(stars.select(F.col("a").alias("id"), "d"), "id", "left")
     distance = F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d"))
-    state = materialise(state.select("id", "n", F.coalesce("root", "id").alias("comp"), "pivot", distance.alias("d")), "state")
-    more = materialise(residual(regions.select("key", "id", "ring"), single, state, num, den, cell), "candidates")
-    found = measured(more, texts.where("id is not null"), width, num, den, "found").where("linked").select("a", "b")
+    state = materialise(state.select("id", "n", F.coalesce("root", "id").alias("comp"), "pivot", distance.alias("d")), "state", few_files=True)
+    more = materialise(residual(regions.select("key", "id", "ring"), single, state, num, den, cell), "candidates", few_files=True)
+    found = measured(more, texts.where("id is not null"), width, num, den).where("linked").select("a", "b")
     final = components(links.unionByName(found))
 
     roots = owners.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("h", F.coalesce("root", "rep").alias("component_id"))
-    roots = materialise(roots, "roots")
+    roots = materialise(roots, "roots", few_files=True)
     out = sets.withColumnRenamed("h", "own").join(roots, F.col("own") == F.col("h"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
