@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, utf8
+from .common import batches, hold, materialise, utf8
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -144,10 +144,15 @@ def judge(
     min_class_chars: int = 200,
     min_common_words: int = 100,
     max_class_distance: float = 0.3,
-    max_common_distance: float = 0.36,
+    max_common_distance: float = 0.28,
+    common_allowance: float = 2.6,
 ) -> DataFrame:
     """Base counts, distances and the verdict per document.
 
+    A histogram of few words strays further from its reference by chance, so
+    the bound on common words is ``max_common_distance`` plus
+    ``common_allowance`` over the square root of the number of words.
+
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, common_distance, kept.
     """
@@ -155,14 +160,14 @@ def judge(
     kinds = {c: "array<long>" if c in ("classes", "common") else "long" for c in _MEASURES}
     schema = f"id {dict(read.dtypes)['id']}, " + ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", lang string"
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    counts = materialise(read.mapInArrow(_measured, schema), "counts").withColumn("base_failed", base_failed)
+    counts = hold(read.mapInArrow(_measured, schema)).withColumn("base_failed", base_failed)
     shares = counts.where(~F.col("base_failed")).select("lang", _shares("classes").alias("cp"), _shares("common").alias("wp"))
     refs = shares.groupBy("lang").agg(_mean("cp", len(CLASSES)).alias("cr"), _mean("wp", len(_COMMON) + 1).alias("wr"))
-    refs = materialise(refs, "references")
+    refs = materialise(refs, "references", few_files=True)
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     scored = counts.join(refs, "lang", "left").withColumns({
         "class_distance": F.when(size >= min_class_chars, js_distance(_shares("classes"), F.col("cr"))),
         "common_distance": F.when(F.col("n_words") >= min_common_words, js_distance(_shares("common"), F.col("wr"))),
     })
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
+    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance + common_allowance / F.sqrt(F.greatest("n_words", F.lit(1))))
     return scored.withColumn("kept", ~F.col("base_failed") & ~far).select(F.col("id").alias(id_col), *_MEASURES[:5], "base_failed", "class_distance", "common_distance", "kept")
