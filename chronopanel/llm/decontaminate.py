@@ -84,14 +84,14 @@ def windows(near: Column, at: Column, length: int) -> Column:
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
     known = items.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text_col)).alias("h")).where(F.size("h") > 0)
-    known = materialise(known, "items")
+    known = materialise(known, "known", few_files=True)
     whole, short = known.where(F.size("h") >= window), known.where(F.size("h") < window)
     lengths = sorted(r[0] for r in short.select(F.size("h")).distinct().collect())  # fewer than ``window`` numbers
     prints = whole.select(F.explode(minima(F.col("h"), window, gram)).alias("key")).unionByName(short.select(F.array_min("h").alias("key"))).distinct()
-    prints = materialise(prints, "fingerprints")
+    prints = materialise(prints, "prints", few_files=True)
     spans = whole.select("item", F.explode(windows(F.col("h"), F.lit(0), window)).alias("w")).select("item", F.col("w.key").alias("key"))
     spans = spans.unionByName(short.select("item", F.xxhash64(F.size("h"), "h").alias("key")))
-    spans = materialise(spans.groupBy("key").agg(F.collect_set("item").alias("found")), "windows")
+    spans = materialise(spans.groupBy("key").agg(F.collect_set("item").alias("found")), "spans", few_files=True)
 
     def emitted(h: Column) -> Column:
         count = F.array(_seed(F.lit(None).cast("long"), F.size(h), F.lit(None).cast("array<long>")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, materialise, utf8
+from .common import batches, hold, materialise, utf8
 
 SEGMENT = 1 << 20  # bytes of filter per row of a partial filter
 FAN_IN = 32
@@ -145,8 +145,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 full = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in at), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(full[:, 0].copy()), pa.array(full[:, 1].copy()), pa.array([ids[i] for i in at], pa.int64())], names=["h1", "h2", "id"])
 
-    seen = materialise(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(suspect, "h1 long, h2 long, id long"), "suspects")
-    known = materialise(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"), "repeats")
+    seen = hold(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(suspect, "h1 long, h2 long, id long"))
+    known = materialise(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"), "repeats", few_files=True)
     drops = seen.join(known, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h1").alias("__drop"))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

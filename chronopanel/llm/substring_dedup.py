@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, materialise, utf8
+from .common import batches, hold, materialise, utf8
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -123,19 +123,19 @@ def _window_rows(window: int):
 def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
     """(id, start, n): runs of n windows from word ``start`` that also start earlier; docs: (id, text)."""
     anchors = docs.select("text").mapInArrow(_emit(window, gram, True), "anchor long")
-    shared = materialise(anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "anchors")
+    shared = materialise(anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "shared", few_files=True)
     every = docs.mapInArrow(_emit(window, gram, False), "anchor long, content long, id long, start int, n int")
-    met = materialise(every.join(shared, "anchor"), "blocks")
+    met = hold(every.join(shared, "anchor"))
 
     place = F.struct("id", "start")
-    first = materialise(met.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n")), "first_blocks")
+    first = hold(met.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n")))
     later = met.join(first.where("k > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(~place.eqNullSafe(F.col("first"))).select("id", "start", "n")
 
-    varied = materialise(first.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "varied")
+    varied = materialise(first.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "varied", few_files=True)
     ends = first.join(varied, "anchor").select(F.col("first.id").alias("own"), F.struct(F.col("first.start").alias("start"), "n").alias("span"))
-    ends = materialise(ends.groupBy("own").agg(F.collect_list("span").alias("spans")), "ends")
-    single = materialise(docs.join(ends, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "spans").mapInArrow(_window_rows(window), "w1 long, w2 long, id long, start int"), "windows")
-    earliest = materialise(single.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first_windows")
+    ends = materialise(ends.groupBy("own").agg(F.collect_list("span").alias("spans")), "ends", few_files=True)
+    single = hold(docs.join(ends, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "spans").mapInArrow(_window_rows(window), "w1 long, w2 long, id long, start int"))
+    earliest = materialise(single.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "earliest", few_files=True)
     rest = single.join(earliest, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "start", F.lit(1).alias("n"))
     return later.unionByName(rest)
 

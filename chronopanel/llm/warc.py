@@ -51,7 +51,7 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n"))
-    groups = materialise(groups.where("n > 1").select(F.col("sha").alias("of"), "response"), "responses")
+    groups = materialise(groups.where("n > 1").select(F.col("sha").alias("of"), "response"), "responses", few_files=True)
     joined = rows.join(groups, (F.col("sha") == F.col("of")) & (F.octet_length("html") >= min_bytes), "left")
     return joined.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
@@ -153,4 +153,5 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20, reg
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     placed = index.select("file", "start", "length", F.floor(F.col("start") / region).alias("region"))
-    return placed.repartition("file", "region").sortWithinPartitions("file", "start").drop("region").mapInArrow(read, RECORDS)
+    regions = -(-(placed.agg(F.sum("length")).first()[0] or 0) // region) or 1  # tasks by bytes to read; the index rows themselves are few
+    return placed.repartition(regions, "file", "region").sortWithinPartitions("file", "start").drop("region").mapInArrow(read, RECORDS)
