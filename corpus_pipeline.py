@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.llm import decontaminate, jaccard_join, line_dedup, packing, quality_classifier
-from chronopanel.llm.common import materialise, table
+from chronopanel.llm.common import materialise, release, table
 
 #: What all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -64,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release()
     return docs
