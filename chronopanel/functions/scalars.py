@@ -46,10 +46,6 @@ def adjusted(price: Column, close: Column, adjusted_close: Column) -> Column:
     return F.when(close > 0, price * F.coalesce(adjusted_close, close) / close).otherwise(price)
 
 
-#: What a restricted expression may hold.
-_EXPRESSION = r"[A-Za-z_0-9.+\-*/() ]+"
-
-
 def restricted(expression: str, inputs: tuple[str, ...]) -> Column:
     """An expression of + - * / over the named inputs; null in gives null, and so does division by zero."""
     import ast
@@ -115,9 +111,20 @@ def clamp_quantiles(low: Column, mid: Column, high: Column) -> tuple[Column, Col
     return F.least(low, mid), F.greatest(mid, high)
 
 
-def trade_cost(shares: Column, price: Column, volume: Column, rate_bp: int = 5, least: int = 100, most: int = 100_000, spread_bp: int = 2) -> Column:
-    """Commission within its bounds, and half the spread, in whole units; impact grows with the share of volume."""
-    value = shares * price
-    commission = F.least(F.greatest(F.expr("1L") * F.floor(value * rate_bp / 10_000), F.lit(least)), F.lit(most))
-    impact = F.floor(value * shares / F.nullif(volume, F.lit(0)) / 100)
-    return commission + F.floor(value * spread_bp / 10_000) + F.coalesce(impact, F.lit(0))
+def trade_cost(shares: str, price: str, volume: str, rate_bp: int = 5, least: int = 100, most: int = 100_000, spread_bp: int = 2) -> Column:
+    """Commission within its bounds, half the spread, and an impact that grows with the share of volume; whole units."""
+    value = f"{shares} * {price}"
+    commission = F.least(F.greatest(F.expr(f"{value} * {rate_bp} div 10000"), F.lit(least)), F.lit(most))
+    impact = F.expr(f"{value} * {shares} div (100 * nullif({volume}, 0))")
+    return commission + F.expr(f"{value} * {spread_bp} div 10000") + F.coalesce(impact, F.lit(0))
+
+
+def fill_price(side: Column, price: str, slip_bp: int = 5) -> Column:
+    """Buys fill above and sells below the price by a fixed slippage in whole units."""
+    slip = F.expr(f"{price} * {slip_bp} div 10000")
+    return F.when(side == "buy", F.col(price) + slip).otherwise(F.col(price) - slip)
+
+
+def exit_reason(gain: Column, entry: Column, stop_percent: int = 10, take_percent: int = 20) -> Column:
+    """stop_loss or take_profit where a position's gain reaches either bound, else null."""
+    return F.when(100 * gain <= -stop_percent * entry, "stop_loss").when(100 * gain >= take_percent * entry, "take_profit")

@@ -16,11 +16,6 @@ def share(condition: Column) -> Column:
     return 100 * F.sum(F.when(condition, 1).otherwise(0)) / F.nullif(F.count(condition), F.lit(0))
 
 
-def gated(value: Column, least: int, count: Column | None = None) -> Column:
-    """A cross-section value only where at least ``least`` rows make it up."""
-    return F.when((F.count(F.lit(1)) if count is None else count) >= least, value)
-
-
 def group_strength(df: DataFrame, value: str, group: str, time: str, least: int) -> DataFrame:
     """Median of a group minus the median of the market per date; groups of fewer than ``least`` members give null."""
     market = df.groupBy(time).agg(median(value).alias("_market"))

@@ -163,18 +163,14 @@ def b21_ensemble(spark, sf_dir):
 @query("SELECT t.entity_id, t.d, least(greatest((shares * price * 5) // 10000, 100), 100000) + (shares * price * 2) // 10000 + coalesce((shares * price * shares) // (100 * nullif(vol, 0)), 0) AS cost FROM trades t JOIN bars b USING (entity_id, d)")
 def b22_trade_costs(spark, sf_dir):
     rows = fx.trades(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", "vol"), ["entity_id", "d"])
-    value = F.col("shares") * F.col("price")
-    commission = F.least(F.greatest(F.expr("shares * price * 5 div 10000"), F.lit(100)), F.lit(100_000))
-    cost = commission + F.expr("shares * price * 2 div 10000") + F.coalesce(F.expr("shares * price * shares div (100 * nullif(vol, 0))"), F.lit(0))
-    return rows.where(value.isNotNull()).select("entity_id", "d", cost.alias("cost"))
+    return rows.select("entity_id", "d", fn.trade_cost("shares", "price", "vol").alias("cost"))
 
 
 @query("SELECT entity_id, d, side, CASE WHEN side = 'buy' THEN price + price * 5 // 10000 ELSE price - price * 5 // 10000 END AS fill, CASE WHEN side = 'buy' AND price < 3000000 OR side = 'sell' AND price > 2000000 THEN price END AS limit_fill FROM trades")
 def b23_execution_price(spark, sf_dir):
-    slip = F.expr("price * 5 div 10000")
     buy = F.col("side") == "buy"
     fills = F.when(buy & (F.col("price") < 3_000_000) | ~buy & (F.col("price") > 2_000_000), F.col("price"))
-    return fx.trades(spark, sf_dir).select("entity_id", "d", "side", F.when(buy, F.col("price") + slip).otherwise(F.col("price") - slip).alias("fill"), fills.alias("limit_fill"))
+    return fx.trades(spark, sf_dir).select("entity_id", "d", "side", fn.fill_price(F.col("side"), "price").alias("fill"), fills.alias("limit_fill"))
 
 
 @query("SELECT entity_id, d, 100000000 // c AS fixed_dollar, 5000000000 // (100 * c) AS fixed_percent, CAST(trunc(100000000::DOUBLE / (c * (1 + vol / 50.0::DOUBLE))) AS BIGINT) AS vol_target FROM bars")
@@ -190,7 +186,7 @@ def exits(spark, sf_dir):
     """Positions opened at each bar and what closes them four bars later."""
     p = fx.bars(spark, sf_dir).select("entity_id", "d", F.col("c").alias("entry"), F.lead("c", 4).over(win.over()).alias("now"), F.when(F.col("vol") % 2 == 0, "long").otherwise("short").alias("side")).where("now is not null")
     gain = F.when(F.col("side") == "long", F.col("now") - F.col("entry")).otherwise(F.col("entry") - F.col("now"))
-    return p.withColumn("reason", F.when(100 * gain <= -10 * F.col("entry"), "stop_loss").when(100 * gain >= 20 * F.col("entry"), "take_profit"))
+    return p.withColumn("reason", fn.exit_reason(gain, F.col("entry")))
 
 
 @query(_POS + f" SELECT entity_id, d, side, {_EXIT} AS reason FROM p WHERE now IS NOT NULL")
