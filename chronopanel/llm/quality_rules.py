@@ -6,6 +6,12 @@ distance: character classes, and occurrences of common words.  References are
 means over all documents of a language, so long documents weigh as much as
 short ones.  A guard skips a comparison where the text is too short for it.
 
+By chance alone a text of n words strays about 1/sqrt(n) from its reference.
+How far is taken from the distances of all documents, per language and length:
+``noise_widths`` times the lower spread (median less 16th percentile, which far
+texts hardly move) above the median.  Within that a text is not far, unless it
+is as far as a text without any common word.
+
 One scan makes the counts (Python, Arrow batches); references and distances
 are DataFrame aggregates and expressions over the small counts table.
 
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, hold, materialise, utf8
@@ -134,6 +140,29 @@ def _mean(column: str, n: int) -> Column:
     return F.array(*[F.avg(F.col(column)[i]) for i in range(n)])
 
 
+def _octave() -> Column:
+    """Binary digits of the number of words: lengths within a factor of two."""
+    return F.length(F.bin("n_words"))
+
+
+def _noise(scored: DataFrame, widths: float, min_docs: int) -> DataFrame:
+    """Per language a map from octave (0: all lengths) to the noise of a common-word distance times sqrt(n_words).
+
+    Octaves of fewer than ``min_docs`` documents have no entry.  Quantiles come
+    from counts of hundredths, which are few and add up alike in any order.
+    """
+    step = F.floor(F.col("common_distance") * F.sqrt("n_words") * 100).cast("int")
+    steps = scored.where("common_distance is not null").groupBy("lang", _octave().alias("octave"), step.alias("step")).agg(F.count("*").alias("n"))
+    steps = materialise(steps, "distances", few_files=True)
+    steps = steps.union(steps.groupBy("lang", F.lit(0).alias("octave"), "step").agg(F.sum("n").alias("n")))
+    group = Window.partitionBy("lang", "octave")
+    ranked = steps.select("lang", "octave", "step", F.sum("n").over(group.orderBy("step")).alias("upto"), F.sum("n").over(group).alias("total"))
+    mid, low = (F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.col("step") + 1)) for k in (50, 16))
+    per = ranked.groupBy("lang", "octave").agg(F.max("total").alias("total"), ((mid + widths * (mid - low)) / 100).alias("noise"))
+    per = per.where((F.col("octave") == 0) | (F.col("total") >= min_docs))
+    return per.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("octave", "noise"))).alias("noise"))
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -145,13 +174,14 @@ def judge(
     min_common_words: int = 100,
     max_class_distance: float = 0.3,
     max_common_distance: float = 0.28,
-    common_allowance: float = 2.6,
+    noise_widths: float = 6.0,
+    min_noise_docs: int = 30,
 ) -> DataFrame:
     """Base counts, distances and the verdict per document.
 
-    A histogram of few words strays further from its reference by chance, so
-    the bound on common words is ``max_common_distance`` plus
-    ``common_allowance`` over the square root of the number of words.
+    The bound on common words is ``max_common_distance``, or what sampling noise
+    gives (``_noise``) where that is more; noise counts no further than to the
+    distance of a text without common words.
 
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, common_distance, kept.
@@ -163,11 +193,16 @@ def judge(
     counts = hold(read.mapInArrow(_measured, schema)).withColumn("base_failed", base_failed)
     shares = counts.where(~F.col("base_failed")).select("lang", _shares("classes").alias("cp"), _shares("common").alias("wp"))
     refs = shares.groupBy("lang").agg(_mean("cp", len(CLASSES)).alias("cr"), _mean("wp", len(_COMMON) + 1).alias("wr"))
-    refs = materialise(refs, "references", few_files=True)
+    none = F.array(*[F.lit(0.0)] * len(_COMMON), F.lit(1.0))
+    refs = materialise(refs.withColumn("no_common", js_distance(none, F.col("wr"))), "references", few_files=True)
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     scored = counts.join(refs, "lang", "left").withColumns({
         "class_distance": F.when(size >= min_class_chars, js_distance(_shares("classes"), F.col("cr"))),
         "common_distance": F.when(F.col("n_words") >= min_common_words, js_distance(_shares("common"), F.col("wr"))),
     })
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance + common_allowance / F.sqrt(F.greatest("n_words", F.lit(1))))
+    own = F.col("noise")
+    noise = F.coalesce(F.try_element_at(own, _octave()), F.try_element_at(own, F.lit(0))) / F.sqrt("n_words")
+    scored = scored.join(_noise(scored.where(~F.col("base_failed")), noise_widths, min_noise_docs), "lang", "left")
+    common_bound = F.greatest(F.lit(max_common_distance), F.least(noise, F.col("no_common") * (1 - 1e-9)))
+    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | F.coalesce(F.col("common_distance") > common_bound, F.lit(False))
     return scored.withColumn("kept", ~F.col("base_failed") & ~far).select(F.col("id").alias(id_col), *_MEASURES[:5], "base_failed", "class_distance", "common_distance", "kept")
