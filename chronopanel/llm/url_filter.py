@@ -6,8 +6,10 @@ part that is not a known word is segmented by a unigram Viterbi search, so
 counts come from all URLs of the table: words are the parts themselves,
 weighted by their frequency, and a URL trains the block class if one of its
 words is a seed term, the allow class otherwise.  Tokens that keep company with
-seed terms are thus learned as well.  The dictionary is the ``max_words`` most
-frequent parts, the bound of what is sent to the tasks.
+seed terms are thus learned as well.  The dictionary of the search is the
+``max_words`` most frequent parts, the bound of what is sent to the tasks; the
+naive Bayes counts and weights are of all tokens, in and out of the dictionary,
+and joined to them.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 which no rule fits and the method allows.  Rows are judged one by one, so
@@ -26,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batches
+from .common import ascii_lower, batches, materialise
 
 #: Terms that mark a host or path as unwanted, to train from.
 SEED_TERMS = ("spam", "casino", "adult", "porn", "xxx", "bets", "betting", "pills", "viagra", "ads", "adserver", "escort", "warez", "phish", "malware", "gambling", "loan", "loans")
 
 
+#: Log ratios are summed as whole multiples of 1/_UNIT, so that their order doesn't matter.
+_UNIT = 10**9
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host with A-Z lower-cased, and path; both empty without ``://``."""
     at = F.locate("://", url)
@@ -120,22 +126,19 @@ def filter_urls(
     kind = dict(split.dtypes)["id"]
     tokens = split.mapInArrow(segment, f"id {kind}, host string, path string, tokens array<string>")
     marked = tokens.select("tokens", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))).alias("bad"))
-    known = F.broadcast(spark.createDataFrame([(w,) for w in counts], "t string"))  # at most max_words and the seeds
-    by_token = marked.select("bad", F.explode("tokens").alias("t")).join(known, "t", "left_semi").groupBy("t").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
-    n = [sum(r[k] for r in by_token) + smoothing * len(counts) for k in ("bad", "good")]
-    ratio = {r["t"]: math.log((r["bad"] + smoothing) / n[0]) - math.log((r["good"] + smoothing) / n[1]) for r in by_token}
-    sizes = marked.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
+    sums = [F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")]
+    by_token = materialise(marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(*sums), "tokens", few_files=True)
+    total = by_token.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n")).first()
+    sizes = marked.agg(*sums).first()
     prior = math.log((sizes["bad"] + 1) / (sizes["good"] + 1))
-    weights = spark.sparkContext.broadcast(ratio)
-
-    def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = weights.value.get
-        for b in batches(rows):
-            odds = [max(-500.0, min(500.0, prior + sum(get(t, 0.0) for t in ts))) for ts in b.column("tokens").to_pylist()]
-            p = pa.array([1 / (1 + math.exp(-x)) for x in odds], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*b.schema.names, "block_probability"])
-
-    scored = tokens.mapInArrow(judge, f"id {kind}, host string, path string, tokens array<string>, block_probability double")
+    bad, good = (F.log((F.col(k) + smoothing) / F.lit((total[k] or 0) + smoothing * max(total["n"], 1))) for k in ("bad", "good"))
+    ratio = by_token.select("t", F.round((bad - good) * _UNIT).cast("long").alias("ratio"))
+    key = F.concat_ws(" ", "tokens")  # tokens hold no blank
+    lists = tokens.where(F.size("tokens") > 0).select(key.alias("key")).distinct()
+    sums = lists.select("key", F.explode(F.split("key", " ")).alias("t")).join(ratio, "t").groupBy("key").agg(F.sum("ratio").alias("ratios"))
+    odds = F.lit(prior) + F.coalesce("ratios", F.lit(0)) / F.lit(_UNIT)
+    odds = F.least(F.lit(500.0), F.greatest(F.lit(-500.0), odds))
+    scored = tokens.withColumn("key", key).join(sums, "key", "left").withColumn("block_probability", 1 / (1 + F.exp(-odds)))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("block_probability") > block_over) & (F.size("tokens") > 0), "block").otherwise("allow")
     return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "tokens", "block_probability")

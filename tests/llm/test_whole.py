@@ -1,8 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
+import math
 import random
+from collections import Counter
 
-from chronopanel.llm import quality_rules
+import pytest
+
+from chronopanel.llm import quality_rules, url_filter
 
 COMMON = "the of and to in is that it for was".split()
 
@@ -23,3 +27,20 @@ def test_rules_reject_texts_without_common_words(spark):
     got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
     assert sorted(i for i in got if not got[i]["kept"]) == list(range(len(clean), len(clean) + len(bare)))
+
+
+def test_urls_weigh_words_outside_the_dictionary(spark):
+    urls = [f"https://casino.zorbla.org/p{i}" for i in range(6)] + ["https://zorbla.org/", "https://zorbla.org/", None, ""]
+    urls += [f"https://news{i % 9}.example.com/{w}/once{chr(97 + i % 26)}" for i in range(90) for w in ("sport", "world", "local")]
+    df = spark.createDataFrame([(i % 150 or None, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    rows = url_filter.filter_urls(df, {}, max_words=3).collect()
+    assert len(rows) == len(urls)
+    counts = {bad: Counter(t for r in rows for t in r["tokens"] if (not set(r["tokens"]).isdisjoint(url_filter.SEED_TERMS)) == bad) for bad in (True, False)}
+    n_bad = sum(not set(r["tokens"]).isdisjoint(url_filter.SEED_TERMS) for r in rows)
+    size = len(counts[True].keys() | counts[False].keys())
+    total = {k: sum(c.values()) + 0.5 * size for k, c in counts.items()}
+    for r in rows:
+        odds = math.log((n_bad + 1) / (len(rows) - n_bad + 1))
+        odds += sum(math.log((counts[True][t] + 0.5) / total[True]) - math.log((counts[False][t] + 0.5) / total[False]) for t in r["tokens"])
+        assert r["block_probability"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
+    assert n_bad == 6 and counts[True]["zorbla"] == 6 and counts[False]["zorbla"] == 2
