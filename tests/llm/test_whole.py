@@ -2,12 +2,16 @@
 
 import math
 import random
+import sys
 from collections import Counter
 
 import pytest
 
 from chronopanel.llm import quality_rules, url_filter
 
+sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+
+SF = "/root/testdata/sf0.001"
 COMMON = "the of and to in is that it for was".split()
 
 
@@ -44,3 +48,46 @@ def test_urls_weigh_words_outside_the_dictionary(spark):
         odds += sum(math.log((counts[True][t] + 0.5) / total[True]) - math.log((counts[False][t] + 0.5) / total[False]) for t in r["tokens"])
         assert r["block_probability"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
     assert n_bad == 6 and counts[True]["zorbla"] == 6 and counts[False]["zorbla"] == 2
+
+
+def test_pipeline_judges_null_and_repeated_ids_by_row(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) >= 10)
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, d), (7, d), (7, e), (3, e), (None, item), (8, item), (8, c + " z"), (None, None), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def left(name):
+        return Counter((r["doc_id"], r["text"]) for r in stages[name](spark, docs, SF).collect())
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    want = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):  # here all links are to the first of a group
+        s = shingles(t)
+        if not any((i, t) == o or (s and 10 * len(s & shingles(o[1])) >= 8 * len(s | shingles(o[1]))) for o in want):
+            want.append((i, t))
+    assert left("near_duplicates") == Counter(want) and len(want) == 8
+    assert left("benchmark") == Counter(r for r in rows if r[1] != item)
+
+
+def test_pipeline_lines(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    key = lambda line: line.strip(" \t\n\v\f\r").translate(lower)
+    holders: dict = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    drop = {k: max(h) for k, h in holders.items() if len(k) >= 20 and len(h) >= 3}
+    want = {i: "\n".join(x for x in t.split("\n") if drop.get(key(x), i) == i) for i, t in texts.items()}
+    got = dict(corpus_pipeline.STAGES)["lines"](spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == len(want) and want != texts
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
