@@ -41,14 +41,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    ``few_files`` is for tables far smaller than their inputs: as many files as
-    a sixteenth of the shuffle partitions, which are computed as usual and then
-    dealt evenly.
+    ``few_files`` is for tables that may be far smaller than their inputs:
+    adaptive execution deals them into files by their size in bytes.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    if few_files:
-        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    df.write.parquet(path)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
