@@ -1,15 +1,24 @@
 """URL filter: location rules first, then naive Bayes over segmented names.
 
-Host labels and path parts are split at everything but letters and digits; a
-part that is not a known word is segmented by a unigram Viterbi search, so
-``cheappills`` reads as ``cheap pills``.  The dictionary and the naive Bayes
-counts come from all URLs of the table: words are the parts themselves,
-weighted by their frequency, and a URL trains the block class if one of its
-words is a seed term, the allow class otherwise.  Tokens that keep company with
-seed terms are thus learned as well.  The dictionary of the search is the
-``max_words`` most frequent parts, the bound of what is sent to the tasks; the
-naive Bayes counts and weights are of all tokens, in and out of the dictionary,
-and joined to them.
+Host and path are split into runs of letters and of digits; any run of digits
+is one token, ``#``.  A part of letters that joins words is segmented by a
+unigram Viterbi search, so ``cheappills`` reads as ``cheap pills``.
+
+- A word's weight is the number of hosts that use it, plus ``PRIOR`` for the
+  seed terms and their usual companions.  Words have 3 to ``MAX_WORD`` letters
+  and are on ``min_hosts`` hosts or more.
+- A part is split only if all pieces are words, so ``adulthood`` and
+  ``alphabets`` stay whole where ``hood`` and ``alpha`` are none.
+- A part that is a word itself is split only if each piece is on at least
+  ``compound`` times as many hosts: then it is a compound, not a word.
+- Parts of over ``MAX_PART`` letters are no names and stay whole.
+
+A URL trains the block class if one of its tokens is a seed term, the allow
+class otherwise, so tokens that keep company with seed terms are learned too.
+A token counts once a URL, so one very long URL doesn't make up a class.
+The dictionary, counts and weights are of all URLs.  They stay tables: parts
+meet the words that they contain in a join, tokens their weights in another.
+Nothing that grows with the input is sent to the driver or to all tasks.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 which no rule fits and the method allows.  Rows are judged one by one, so
@@ -22,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +41,12 @@ from .common import ascii_lower, batches, materialise
 #: Terms that mark a host or path as unwanted, to train from.
 SEED_TERMS = ("spam", "casino", "adult", "porn", "xxx", "bets", "betting", "pills", "viagra", "ads", "adserver", "escort", "warez", "phish", "malware", "gambling", "loan", "loans")
 
+#: Words that names often join with those terms.
+COMPANIONS = ("cheap", "free", "best", "buy", "online", "win", "live", "hot", "play", "top", "real", "fast", "easy", "farm", "track", "server", "club", "shop", "store", "deal", "deals", "bonus", "poker", "slots", "payday", "date", "dating")
+#: Hosts that a seed term or companion counts for beyond those of the table.
+PRIOR = 100
+#: Letters of a word, and of a part that may be a name.
+MIN_WORD, MAX_WORD, MAX_PART = 3, 20, 256
 
 #: Log ratios are summed as whole multiples of 1/_UNIT, so that their order doesn't matter.
 _UNIT = 10**9
@@ -58,43 +72,60 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
 
 
 def parts(host: Column, path: Column) -> Column:
-    """Lower-case runs of letters and digits of host and path."""
-    return F.array_remove(F.split(F.lower(F.concat_ws("/", host, path)), r"[^\p{L}\p{N}]+"), "")
-
-
-class Segmenter:
-    """Unigram Viterbi segmentation with a length penalty for unknown pieces."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.logs = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
-        self.split = lru_cache(100_000)(self._split)
-
-    def _cost(self, piece: str) -> float:
-        known = self.logs.get(piece)
-        return known if known is not None and len(piece) > 1 else -math.log(self.total) - 4.0 * len(piece)
-
-    def _split(self, text: str) -> tuple[str, ...]:
-        best, back = [0.0] + [-math.inf] * len(text), [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                value = best[start] + self._cost(text[start:end])
-                if value > best[end]:
-                    best[end], back[end] = value, start
-        out, end = [], len(text)
-        while end:
-            out.append(text[back[end] : end])
-            end = back[end]
-        return tuple(reversed(out))
-
+    """Lower-case runs of letters, and of digits, of host and path."""
+    return F.regexp_extract_all(F.lower(F.concat_ws("/", host, path)), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
+
+
+def tokens_of(column: Column) -> Column:
+    """The parts with runs of digits as ``#``."""
+    return F.transform(column, lambda p: F.when(p.rlike(r"^\p{N}+$"), "#").otherwise(p))
+
+
+def best_split(text: str, own: int, words: dict[str, int], compound: int) -> list[str] | None:
+    """Viterbi over known words: the likeliest split into two or more, if there is one; ``own`` is the weight of the whole."""
+    total = math.log(sum(words.values()) + 1)
+    best: list[float] = [0.0] + [-math.inf] * len(text)
+    back = [0] * (len(text) + 1)
+    for end in range(MIN_WORD, len(text) + 1):
+        for start in range(max(0, end - MAX_WORD), end - MIN_WORD + 1):
+            weight = words.get(text[start:end], 0) if end - start < len(text) else 0
+            if weight >= max(1, compound * own) and best[start] + math.log(weight) - total > best[end]:
+                best[end], back[end] = best[start] + math.log(weight) - total, start
+    if best[-1] == -math.inf:
+        return None
+    out, end = [], len(text)
+    while end:
+        out.append(text[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def split_parts(used: DataFrame, seeds: tuple[str, ...], min_hosts: int, compound: int) -> DataFrame:
+    """(part, tokens) of the parts that are split; ``used`` has (part, hosts)."""
+    spark = used.sparkSession
+    prior = spark.createDataFrame([(w, PRIOR) for w in {*seeds, *COMPANIONS}], "part string, hosts long")
+    size = F.length("part")
+    named = used.where(F.col("part").rlike(r"^\p{L}+$"))
+    known = named.where(size.between(MIN_WORD, MAX_WORD) & (F.col("hosts") >= min_hosts)).unionByName(prior)
+    known = materialise(known.groupBy(F.col("part").alias("piece")).agg(F.sum("hosts").alias("weight")), "words", few_files=True)
+    whole = named.where(size.between(2 * MIN_WORD, MAX_PART)).select("part")
+    starts = F.sequence(F.lit(1), size - MIN_WORD + 1)
+    ends = lambda i: F.sequence(F.lit(MIN_WORD), F.least(F.lit(MAX_WORD), size - i + 1))
+    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda k: F.substring(F.col("part"), i, k)))))
+    held = whole.select("part", F.explode(pieces).alias("piece")).join(known, "piece")
+    by_part = held.groupBy("part").agg(F.collect_list("piece").alias("pieces"), F.collect_list("weight").alias("weights"))  # of one part's pieces
+
+    def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            out = []
+            for part, pieces, weights in zip(*(b.column(c).to_pylist() for c in ("part", "pieces", "weights")), strict=True):
+                words = dict(zip(pieces, weights, strict=True))
+                if tokens := best_split(part, words.get(part, 0), words, compound):
+                    out.append((part, tokens))
+            cols = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.list_(pa.string())), strict=True)], names=["part", "tokens"])
 
-def _dictionary(words: DataFrame, max_words: int, seeds: tuple[str, ...], min_count: int) -> dict[str, int]:
-    """The most frequent parts of the table and the seeds; a part that only ends in or begins with a seed is no word."""
-    top = words.where((F.length("w") > 1) & ~F.col("w").rlike(r"^\p{N}+$")).groupBy("w").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "w").limit(max_words).collect()
-    known = {r["w"]: r["count"] for r in top}
-    joined = {w for w in known for s in seeds if w != s and len(w) > len(s) + 2 and len(s) > 3 and (w.startswith(s) or w.endswith(s))}
-    return {w: n for w, n in known.items() if w not in joined} | {s: known.get(s, min_count) for s in seeds}
+    return by_part.mapInArrow(split, "part string, tokens array<string>")
 
 
 def filter_urls(
@@ -103,42 +134,41 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     seeds: tuple[str, ...] = SEED_TERMS,
-    max_words: int = 50_000,
-    min_count: int = 2,
+    min_hosts: int = 2,
+    compound: int = 4,
     smoothing: float = 0.5,
     block_over: float = 0.9,
 ) -> DataFrame:
     """Per row: id, host, path, rule, verdict, and tokens and block_probability of the method."""
-    spark = urls.sparkSession
     read = urls.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     split = read.select("id", host.alias("host"), path.alias("path"))
-    split = split.withColumn("parts", parts(F.col("host"), F.col("path")))
-    counts = _dictionary(split.select(F.explode("parts").alias("w")), max_words, seeds, min_count)
-    words = spark.sparkContext.broadcast(counts)
-
-    def segment(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Segmenter(words.value).split
-        for b in batches(rows):
-            tokens = [[t for p in ps for t in cut(p)] for ps in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("path"), pa.array(tokens, pa.list_(pa.string()))], names=["id", "host", "path", "tokens"])
-
-    kind = dict(split.dtypes)["id"]
-    tokens = split.mapInArrow(segment, f"id {kind}, host string, path string, tokens array<string>")
-    marked = tokens.select("tokens", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))).alias("bad"))
-    sums = [F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")]
-    by_token = materialise(marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(*sums), "tokens", few_files=True)
+    named = tokens_of(parts(F.col("host"), F.col("path")))
+    line = F.concat_ws(" ", named)  # parts hold no blank
+    split = split.withColumns({"line": line, "key": F.unhex(F.md5(line))})
+    lists = materialise(split.groupBy("key", "line").agg(F.count("*").alias("n")), "lists", few_files=True)
+    used = split.select("host", F.explode(named).alias("part")).distinct().groupBy("part").agg(F.count("*").alias("hosts"))
+    cut = materialise(split_parts(used, seeds, min_hosts, compound), "splits", few_files=True)
+
+    exploded = lists.where("line <> ''").select("key", "n", F.posexplode(F.split("line", " ")).alias("at", "part"))
+    found = exploded.join(cut, "part", "left").select("key", "n", "at", F.coalesce("tokens", F.array("part")).alias("own"))
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "own"))), lambda p: p["own"]))
+    marked = found.groupBy("key").agg(F.first("n").alias("n"), ordered.alias("tokens")).withColumn("bad", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))))
+    marked = materialise(marked, "marked", few_files=True)
+
+    n_bad, n_good = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("bad"), ~F.col("bad")))
+    sums = [n_bad.alias("bad"), n_good.alias("good")]
+    by_token = materialise(marked.select("bad", "n", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(*sums), "tokens", few_files=True)
     total = by_token.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n")).first()
-    sizes = marked.agg(*sums).first()
-    prior = math.log((sizes["bad"] + 1) / (sizes["good"] + 1))
+    n_rows, n_bad = lists.agg(F.sum("n")).first()[0] or 0, marked.agg(n_bad).first()[0]
+    prior = math.log((n_bad + 1) / (n_rows - n_bad + 1))
     bad, good = (F.log((F.col(k) + smoothing) / F.lit((total[k] or 0) + smoothing * max(total["n"], 1))) for k in ("bad", "good"))
     ratio = by_token.select("t", F.round((bad - good) * _UNIT).cast("long").alias("ratio"))
-    key = F.concat_ws(" ", "tokens")  # tokens hold no blank
-    lists = tokens.where(F.size("tokens") > 0).select(key.alias("key")).distinct()
-    sums = lists.select("key", F.explode(F.split("key", " ")).alias("t")).join(ratio, "t").groupBy("key").agg(F.sum("ratio").alias("ratios"))
+    sums = marked.select("key", F.explode(F.array_distinct("tokens")).alias("t")).join(ratio, "t").groupBy("key").agg(F.sum("ratio").alias("ratios"))
     odds = F.lit(prior) + F.coalesce("ratios", F.lit(0)) / F.lit(_UNIT)
     odds = F.least(F.lit(500.0), F.greatest(F.lit(-500.0), odds))
-    scored = tokens.withColumn("key", key).join(sums, "key", "left").withColumn("block_probability", 1 / (1 + F.exp(-odds)))
+    scored = split.drop("line").join(marked.select("key", "tokens").join(sums, "key"), "key", "left").withColumn("block_probability", 1 / (1 + F.exp(-odds)))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("block_probability") > block_over) & (F.size("tokens") > 0), "block").otherwise("allow")
-    return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "tokens", "block_probability")
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    own = F.when((F.col("block_probability") > block_over) & (F.size(tokens) > 0), "block").otherwise("allow")
+    return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), tokens.alias("tokens"), "block_probability")

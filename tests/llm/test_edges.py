@@ -106,7 +106,7 @@ def test_urls(spark):
     urls = [None, "", "no scheme/x", "HTTP://A.Net/x?y", "http://a.example.net/en/x#z", "https://cheappills.example.org/", "x://://y/", "http://net", "http://net/", "http://b.org/fr/"]
     df = spark.createDataFrame(list(enumerate(urls)) + [(9, urls[9])], "page_id long, url string").selectExpr("*", "1 as host", "'x' as tokens")
     rules = {"net/": "block", "example.net/en/": "allow", "org/fr/": "allow"}
-    rows = url_filter.filter_urls(df, rules, min_count=1).collect()
+    rows = url_filter.filter_urls(df, rules, min_hosts=1).collect()
     got = {r["page_id"]: r for r in rows}
     assert len(rows) == 11
     assert [got[i]["host"] for i in (0, 1, 2, 3, 6)] == ["", "", "", "a.net", "://y"[:1]] or got[6]["host"] == ":"

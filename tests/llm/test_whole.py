@@ -37,7 +37,7 @@ def test_urls_weigh_words_outside_the_dictionary(spark):
     urls = [f"https://casino.zorbla.org/p{i}" for i in range(6)] + ["https://zorbla.org/", "https://zorbla.org/", None, ""]
     urls += [f"https://news{i % 9}.example.com/{w}/once{chr(97 + i % 26)}" for i in range(90) for w in ("sport", "world", "local")]
     df = spark.createDataFrame([(i % 150 or None, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
-    rows = url_filter.filter_urls(df, {}, max_words=3).collect()
+    rows = url_filter.filter_urls(df, {}).collect()
     assert len(rows) == len(urls)
     counts = {bad: Counter(t for r in rows for t in r["tokens"] if (not set(r["tokens"]).isdisjoint(url_filter.SEED_TERMS)) == bad) for bad in (True, False)}
     n_bad = sum(not set(r["tokens"]).isdisjoint(url_filter.SEED_TERMS) for r in rows)
@@ -50,6 +50,37 @@ def test_urls_weigh_words_outside_the_dictionary(spark):
     assert n_bad == 6 and counts[True]["zorbla"] == 6 and counts[False]["zorbla"] == 2
 
 
+def test_urls_leave_ordinary_names_alone(spark):
+    urls = [f"https://news{i % 9}.example.com/{w}/p{i}" for i in range(200) for w in ("alphabets", "adulthood", "sport")]
+    urls += [f"https://www{i}.antimalware.com/page/{i}" for i in range(20)]
+    urls += [f"https://cheappills{i % 4}.example.com/offer/{i}" for i in range(20)] + ["https://casino.example.com/offer/1"] * 5
+    urls += ["https://sport.example.com/" + "adulthood" * 11_000, "data://x/" + "QmFzZTY0" * 12_500]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rows = url_filter.filter_urls(df, {}).collect()
+    assert len(rows) == len(urls)
+    blocked = {r["page_id"] for r in rows if r["verdict"] == "block"}
+    assert blocked == {i for i, u in enumerate(urls) if "cheappills" in u or "casino" in u}
+    assert all({"cheap", "pills"} <= set(r["tokens"]) for r in rows if "cheappills" in r["host"])
+
+
+def test_url_splits_by_brute_force():
+    rng = random.Random(3)
+
+    def ways(text, words, low):
+        if not text:
+            return [[]]
+        return [[text[:k], *rest] for k in range(3, len(text) + 1) if words.get(text[:k], 0) >= low for rest in ways(text[k:], words, low)]
+
+    for _ in range(300):
+        words = {"".join(rng.choices("ab", k=rng.randint(3, 6))): rng.randint(1, 50) for _ in range(12)}
+        text = "".join(rng.choices(list(words), k=rng.randint(1, 3)))
+        own = words.get(text, 0)
+        score = lambda split: sum(math.log(words[w] / (sum(words.values()) + 1)) for w in split)
+        splits = [w for w in ways(text, words, max(1, 4 * own)) if len(w) > 1]
+        got = url_filter.best_split(text, own, words, 4)
+        assert (got is None) == (not splits) and (got is None or score(got) == pytest.approx(max(map(score, splits))))
+
+
 def test_pipeline_judges_null_and_repeated_ids_by_row(spark):
     import corpus_pipeline
 
