@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, shared_path, utf8
@@ -81,9 +83,20 @@ def _ident(urn: str | None) -> int | None:
     return int(text) if text else None
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark understands it, spelled for Arrow; fails on the driver where Arrow knows no such store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full.removeprefix("file:")
+    full = re.sub(r"^s3[an]://", "s3://", full)
+    fs.FileSystem.from_uri(full)
+    return full
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, level: int = 3, path: str | None = None) -> DataFrame:
     """Write the archives and return their index."""
-    top = path or shared_path(pages.sparkSession, "warc")
+    top = arrow_uri(pages.sparkSession, path or shared_path(pages.sparkSession, "warc"))
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batches(rows)
@@ -93,19 +106,19 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         store, folder = fs.FileSystem.from_uri(top)
         store.create_dir(folder, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
-        found: list[tuple] = []
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         at = 0
         with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
-            for b in (x for y in ((first,), rows) for x in y):
+            for b in chain([first], rows):
+                found: list[tuple] = []
                 for ident, url, html, to in zip(b.column("id").to_pylist(), b.column("url").to_pylist(), utf8(b.column("html")), b.column("refers_to").to_pylist(), strict=True):
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = packer.compress(record(ident, url, html, to)) + packer.flush()
                     out.write(member)
                     found.append((ident, f"{top}/{name}", at, len(member), url, digest_of(html), "response" if to is None else "revisit"))
                     at += len(member)
-        cols = list(zip(*found, strict=True))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "file", "start", "length", "url", "digest", "record_type"])
+                cols = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "file", "start", "length", "url", "digest", "record_type"])
 
     return materialise(with_revisits(pages, id_col, url_col, html_col, min_bytes).mapInArrow(write, INDEX), "index")
 
