@@ -58,13 +58,18 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+#: Text that vocabularies of other kinds split otherwise.
+PROBE = "Plain Words, 2024 numbers: don't stop (ever)!  Two  spaces,\ttabs\n\nand LINES; naïve Überfälle — 東京 <|x|> a_b"
+
+
 class WordTokens:
     """Ids of a text, with bounded memories of words and their parts.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space, so a
-    text's ids are those of its words one after another.  Plain words are cut
-    and lower-cased here, so that ``Word`` and ``word,`` share the work of
-    ``word``; the tokenizer sees all others as they are.
+    The default vocabulary's pre-tokenizer never joins across ASCII white
+    space, so a text's ids are those of its words one after another.  Plain
+    words are cut and lower-cased here, so that ``Word`` and ``word,`` share the
+    work of ``word``; the tokenizer sees all others as they are.  A vocabulary
+    that gives other ids for a probe text is asked for whole texts instead.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -73,9 +78,17 @@ class WordTokens:
 
         held = Tokenizer.from_file(path)
         self.encode, self.merge, self.letters = held.encode_batch_fast, held.model.tokenize, byte_letters()
+        self.by_word = True
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.most = most
+        probe = PROBE.encode()
+        try:
+            self.by_word = next(self.many([probe])) == array("I", held.encode(PROBE, add_special_tokens=False).ids).tobytes()
+        except Exception:  # the vocabulary can't be asked for parts of words
+            self.by_word = False
+        self.known.clear()
+        self.parts.clear()
 
     def learn(self, words: set[bytes]) -> None:
         if self.known and len(self.known) + len(words) > self.most:
@@ -115,6 +128,13 @@ class WordTokens:
     def many(self, texts: list[bytes | None], chunk: int = 8 << 20) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit numbers; new words are learned for about ``chunk`` bytes of texts at once."""
         at = 0
+        while at < len(texts) and not self.by_word:
+            some, held = [], 0
+            while at < len(texts) and held < chunk:
+                some.append((texts[at] or b"").decode())
+                held, at = held + len(some[-1]), at + 1
+            for e in self.encode(some, add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
         while at < len(texts):
             split: list[list[bytes]] = []
             held = 0

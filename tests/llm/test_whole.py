@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from chronopanel.llm import quality_rules, url_filter
+from chronopanel.llm import packing, quality_rules, url_filter, warc
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
@@ -50,6 +50,27 @@ def test_urls_weigh_words_outside_the_dictionary(spark):
     assert n_bad == 6 and counts[True]["zorbla"] == 6 and counts[False]["zorbla"] == 2
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_other_vocabularies(spark, name):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(name)
+    texts = ["Some Words, 12 numbers and don't", "", " two  spaces\n\nlines\t<|endoftext|> naïve 東京", "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: list(r["ids"]) for r in packing.pieces(docs, size=100_000, end_id=0, path=path, with_ids=True).collect()}
+    held = Tokenizer.from_file(path)
+    assert got == {i: [*held.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_archives_of_a_path_without_a_scheme(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, None, None)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, path=str(tmp_path / "archives"))
+    assert all(r["file"].startswith("file:///") for r in index.collect())
+    assert {r["id"] for r in warc.read_records(index).collect()} == {1, 2}
+    with pytest.raises(Exception):
+        warc.write_archives(pages, path="nosuchstore://x/y")
+
+
 def test_urls_leave_ordinary_names_alone(spark):
     urls = [f"https://news{i % 9}.example.com/{w}/p{i}" for i in range(200) for w in ("alphabets", "adulthood", "sport")]
     urls += [f"https://www{i}.antimalware.com/page/{i}" for i in range(20)]
