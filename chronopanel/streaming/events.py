@@ -41,25 +41,36 @@ def first_seen(events: DataFrame, keys: list[str], time: str, delay: str) -> Dat
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def versions_of(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions ``v<number>`` of a table below ``path``, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "v*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("v")) for f in done)
+
+
 def upsert_into(stream: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the last row per key: each batch is merged with the table of the batch before, under a new version."""
+    """Keep the last row per key: each batch is merged with the newest version before it, under a new one.
+
+    Versions are found in the folder, so a restart goes on from what it holds;
+    a batch that is run again is merged with the version before it once more.
+    """
     from chronopanel.operators.tables import first_per_key
 
     spark, schema = stream.sparkSession, stream.schema
     latest = [F.desc(c) for c in order]
-    versions: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
         new = first_per_key(batch, keys, latest)
-        if versions:
-            old = spark.read.schema(schema).parquet(versions[-1])
+        before = [v for v in versions_of(spark, path) if v < number]
+        if before:
+            old = spark.read.schema(schema).parquet(f"{path}/v{before[-1]}")
             new = first_per_key(old.unionByName(new), keys, latest)
-        to = f"{path}/v{number}"
-        new.write.mode("overwrite").parquet(to)
-        versions.append(to)
+        new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(versions[-1]) if versions else spark.createDataFrame([], schema)
+    versions = versions_of(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def running_mean(events: DataFrame, key: str, time: str, value: str, period: int) -> DataFrame:
