@@ -7,9 +7,11 @@ AND of the ``once`` parts.  There are no false negatives.  Only keys that the
 ``twice`` filter suspects are shuffled, as 128-bit hashes, for exact counts and
 the choice of the document that keeps the line.
 
-The filters are sized from the number of lines and never beyond
-``max_filter_bits`` (a broadcast of a fixed bound).  Past that bound more keys
-are suspected and the exact pass has more to do; results stay the same.
+The filters are sized from the number of lines, ``bits_per_line`` each, and no
+broadcast is over ``max_filter_bits``.  Where one filter would be larger, keys
+are dealt by hash over up to ``max_passes`` filters that are built and asked one
+after another, each in a scan of its own.  Past that more keys are suspected and
+the exact pass has more to do; results stay the same.
 
 Defined cases: a null or empty text is one empty line, which is under
 ``min_chars`` and stays.  Each row is a document; rows that repeat a doc_id
@@ -21,6 +23,7 @@ on, except input columns named ``n_lines`` or ``n_dropped``, which are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +67,11 @@ def _set(filt: np.ndarray, bits) -> None:
         np.bitwise_or.at(filt, i, m)
 
 
-def _build(text_col: str, min_chars: int, n_bits: int):
+def _of_shard(hashes: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    return hashes % np.uint64(shards) == np.uint64(shard)
+
+
+def _build(text_col: str, min_chars: int, n_bits: int, shard: int, shards: int):
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -75,6 +82,9 @@ def _build(text_col: str, min_chars: int, n_bits: int):
             for text in utf8(b.column(text_col)):
                 own += map(digest, line_keys(text, min_chars))
             hashes, counts = np.unique(np.array(own, np.uint64), return_counts=True)
+            if shards > 1:
+                mine = _of_shard(hashes, shard, shards)
+                hashes, counts = hashes[mine], counts[mine]
             bits = _bits(hashes, n_bits)
             again = (counts > 1) | _has(once, bits)
             _set(twice, [(i[again], m[again]) for i, m in bits])
@@ -105,51 +115,69 @@ def _merge(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_row(rows["part"][0].as_py() // FAN_IN, rows["seg"][0].as_py(), zip_(once.tobytes()), zip_(twice.tobytes()))])
 
 
-def twice_filter(docs: DataFrame, text_col: str = "text", min_chars: int = 20, bits_per_line: int = 8, max_filter_bits: int = 1 << 31) -> tuple[np.ndarray, int]:
-    """The ``twice`` filter over the line keys of all documents, and its number of bits."""
+def filter_sizes(docs: DataFrame, text_col: str, bits_per_line: int, max_filter_bits: int, max_passes: int) -> tuple[int, int]:
+    """Bits of a filter, a power of two, and how many filters the keys are dealt over."""
     lines = docs.select(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    n_bits = min(max_filter_bits, 1 << max(20, int(lines * bits_per_line - 1).bit_length()))
+    shards = max(1, min(max_passes, -(-lines * bits_per_line // max_filter_bits)))
+    return min(max_filter_bits, 1 << max(20, int(-(-lines * bits_per_line // shards) - 1).bit_length())), shards
+
+
+def twice_filter(docs: DataFrame, text_col: str, min_chars: int, n_bits: int, shard: int = 0, shards: int = 1) -> np.ndarray:
+    """The ``twice`` filter over the shard's line keys of all documents."""
     texts = docs.select(text_col)
-    parts, n = texts.mapInArrow(_build(text_col, min_chars, n_bits), _FILTER), texts.rdd.getNumPartitions()
-    while n > 1:
+    parts, n = texts.mapInArrow(_build(text_col, min_chars, n_bits, shard, shards), _FILTER), texts.rdd.getNumPartitions()
+    while n > 1:  # the job may be planned with more tasks than n; what is then left merges below
         parts, n = parts.groupBy("seg", (F.col("part") / FAN_IN).cast("int").alias("up")).applyInArrow(_merge, _FILTER), -(-n // FAN_IN)
-    out, unzip = np.zeros(n_bits // 8, np.uint8), zstandard.ZstdDecompressor().decompress
-    for r in parts.select("seg", "twice").toLocalIterator():
-        part = np.frombuffer(unzip(bytes(r["twice"])), np.uint8)
-        out[r["seg"] * SEGMENT : r["seg"] * SEGMENT + len(part)] |= part
-    return out, n_bits
-
+    once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
+    unzip = zstandard.ZstdDecompressor().decompress
+    for r in parts.select("seg", "once", "twice").toLocalIterator():
+        at = slice(r["seg"] * SEGMENT, (r["seg"] + 1) * SEGMENT)
+        a, b = (np.frombuffer(unzip(bytes(r[k])), np.uint8) for k in ("once", "twice"))
+        twice[at] |= b | (once[at] & a)
+        once[at] |= a
+    return twice
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, bits_per_line: int = 8, max_filter_bits: int = 1 << 31) -> DataFrame:
-    """Drop lines found in at least ``min_docs`` documents, but in the largest id that holds them.
 
-    Returns ``docs`` with its text replaced, and ``n_lines`` and ``n_dropped``.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    names = docs.columns
-    filt, n_bits = twice_filter(docs, text_col, min_chars, bits_per_line, max_filter_bits)
-    shared = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(filt.tobytes()))
+def _suspects(docs: DataFrame, min_chars: int, n_bits: int, shard: int, shards: int) -> DataFrame:
+    """(h1, h2, id) of the shard's keys that its ``twice`` filter suspects; docs: (id, text)."""
+    filt = twice_filter(docs, "text", min_chars, n_bits, shard, shards)
+    shared = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(filt.tobytes()))
 
     def suspect(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(zstandard.ZstdDecompressor().decompress(shared.value), np.uint8)
         for b in batches(rows):
             ids, keys = [], []
-            for doc, text in zip(b.column("id").to_pylist(), utf8(b.column(text_col)), strict=True):
+            for doc, text in zip(b.column("id").to_pylist(), utf8(b.column("text")), strict=True):
                 new = line_keys(text, min_chars)
                 keys += new
                 ids += [doc] * len(new)
             if keys:
-                keep = _has(twice, _bits(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), n_bits))
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+                keep = _has(twice, _bits(hashes, n_bits))
+                if shards > 1:
+                    keep &= _of_shard(hashes, shard, shards)
                 at = np.flatnonzero(keep)
                 full = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in at), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(full[:, 0].copy()), pa.array(full[:, 1].copy()), pa.array([ids[i] for i in at], pa.int64())], names=["h1", "h2", "id"])
 
-    seen = hold(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(suspect, "h1 long, h2 long, id long"))
+    return docs.mapInArrow(suspect, "h1 long, h2 long, id long")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, bits_per_line: int = 8, max_filter_bits: int = 1 << 31, max_passes: int = 8) -> DataFrame:
+    """Drop lines found in at least ``min_docs`` documents, but in the largest id that holds them.
+
+    Returns ``docs`` with its text replaced, and ``n_lines`` and ``n_dropped``.
+    """
+    docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    n_bits, shards = filter_sizes(docs, text_col, bits_per_line, max_filter_bits, max_passes)
+    kept = [hold(_suspects(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_chars, n_bits, k, shards)) for k in range(shards)]
+    seen = reduce(DataFrame.unionByName, kept)
     known = materialise(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"), "repeats", few_files=True)
     drops = seen.join(known, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id").agg(F.collect_set("h1").alias("__drop"))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
     def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             texts, n_lines, n_dropped = [], [], []

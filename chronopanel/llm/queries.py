@@ -62,14 +62,13 @@ _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'
 
 ORACLES = {
     "op5_line_dedup": f"""
-        WITH l AS (
-          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        WITH t AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT n, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
         k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
-        r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT n) >= 3)
         SELECT k.doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY i) FILTER (WHERE r.key IS NULL), '')) AS kept_sha256
-        FROM k LEFT JOIN r ON k.key = r.key AND k.doc_id <> r.keeper GROUP BY k.doc_id""",
+        FROM k LEFT JOIN r ON k.key = r.key AND k.doc_id IS DISTINCT FROM r.keeper GROUP BY k.n, k.doc_id""",
     "op4_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from chronopanel.llm import packing, quality_rules, url_filter, warc
+from chronopanel.llm import jaccard_join, line_dedup, packing, quality_rules, url_filter, warc
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
@@ -71,6 +71,71 @@ def test_archives_of_a_path_without_a_scheme(spark, tmp_path):
         warc.write_archives(pages, path="nosuchstore://x/y")
 
 
+def test_line_filters_in_passes_and_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [f"line number {k} is longer than twenty letters" for k in range(400)]
+    rows = [(i, "\n".join(rng.choices(lines, [1 / (k + 1) for k in range(400)], k=5))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+
+    def kept(**asked):
+        return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, **asked).collect()}
+
+    holders: dict = {}
+    for i, text in rows:
+        for line in set(text.split("\n")):
+            holders.setdefault(line, []).append(i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(holders[x]) < 3 or max(holders[x]) == i) for i, t in rows}
+    assert kept() == want
+    assert kept(max_filter_bits=1 << 12, max_passes=3) == want
+    monkeypatch.setattr(type(docs.rdd), "getNumPartitions", lambda self: 1)  # as if the job had more tasks than were planned
+    assert kept() == want
+
+
+def test_line_dedup_counts_rows(spark):
+    line = "a shared line of more than twenty letters"
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == {(1, 1): 2, (2, 0): 1, (None, 1): 1}
+
+
+def test_jaccard_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, f"{b} more"), (4, "other words here"), (None, b), (None, None), (5, None), (5, "own text of five")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 1): 1, (4, 4): 1, (None, 1): 1, (None, None): 1, (5, 5): 2}
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    """A region that is cut again: copies of one text with other words, and texts that share a passage."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randint(0, 5)):
+            own[k] = word()
+        texts.append(own)
+    texts += [passage + [word() for _ in range(rng.randint(5, 60))] for _ in range(80)]
+    sets = {i: {tuple(t[k : k + 3]) for k in range(len(t) - 2)} for i, t in enumerate(texts)}
+    root = {i: i for i in sets}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in sets:
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for cell in (500, 4000, 1 << 20):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs, width=3, cell=cell).collect()}
+        assert got == {i: top(i) for i in sets}
+
+
 def test_urls_leave_ordinary_names_alone(spark):
     urls = [f"https://news{i % 9}.example.com/{w}/p{i}" for i in range(200) for w in ("alphabets", "adulthood", "sport")]
     urls += [f"https://www{i}.antimalware.com/page/{i}" for i in range(20)]
