@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +40,71 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chronopanel-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def materialise(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+#: Bytes of rows that make up a staging file.
+FILE_BYTES = 32 << 20
+
+
+def materialise(df: DataFrame, name: str, few_files: bool = False, size: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    ``few_files`` is for tables that may be far smaller than their inputs:
-    adaptive execution deals them into files by their size in bytes.
+    ``size``, where the caller knows about how many bytes the rows have, sets the
+    number of files.  ``few_files`` is for tables that may be far smaller than
+    their inputs: adaptive execution deals them into files by their bytes.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    (df.hint("rebalance") if few_files else df).write.parquet(path)
+    if size is not None:
+        df = df.repartition(max(1, -(-size // FILE_BYTES)))
+    elif few_files:
+        df = df.hint("rebalance")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a segment of a key filter, and of the largest filter that is sent to tasks (32 MB).
+SEGMENT_BITS, MAX_FILTER_BITS = 1 << 23, 1 << 28
+
+
+def _segment(rows: pa.Table) -> pa.Table:
+    at = rows["at"].to_numpy() & (SEGMENT_BITS - 1)
+    bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+    return pa.table({"seg": pa.array([rows["seg"][0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+
+def apart(df: DataFrame, column: str, keys: DataFrame, bits_per_key: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose 64-bit hash ``column`` is surely none of ``keys``, and all others.
+
+    A Bloom filter spares the first ones the shuffle of an exact join, which the
+    others still need.  Where the keys would overfill the largest filter, all
+    rows are others.
+    """
+    spark, n = df.sparkSession, keys.count()
+    if n > MAX_FILTER_BITS // 4:
+        return df.where("false"), df
+    n_bits = min(MAX_FILTER_BITS, 1 << max(16, (n * bits_per_key).bit_length()))
+    h, mask = F.col(column), F.lit(n_bits - 1)
+    at = keys.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 30).bitwiseAND(mask))).alias("at")).distinct()
+    parts = at.withColumn("seg", F.shiftright("at", 23)).groupBy("seg").applyInArrow(_segment, "seg long, bits binary")
+    filt = np.zeros(max(n_bits, SEGMENT_BITS) // 8, np.uint8)
+    for r in parts.collect():  # at most MAX_FILTER_BITS
+        filt[r["seg"] * (SEGMENT_BITS // 8) :][: SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    shared = spark.sparkContext.broadcast(zlib.compress(filt[: n_bits // 8].tobytes(), 1))
+
+    def asked(want: bool):
+        def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+            for b in batches(rows):
+                h = b.column(column).to_numpy().view(np.uint64)
+                found = np.ones(len(h), bool)
+                for at in (h & np.uint64(n_bits - 1), (h >> np.uint64(30)) & np.uint64(n_bits - 1)):
+                    found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                yield b.filter(pa.array(found == want))
+
+        return df.mapInArrow(ask, df.schema)
+
+    return asked(False), asked(True)
+
+
 _held: list[DataFrame] = []
 
 

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, utf8
+from .common import apart, batches, materialise, utf8
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Keys that a task looks at together for repeats among its own rows.
@@ -56,6 +56,8 @@ CHUNK = 1 << 20
 SALT = 4096
 #: New pivots of a region that is cut again.
 PIVOTS = 8
+#: Bytes of a row of a few hashes and numbers.
+ROW = 64
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -173,18 +175,21 @@ def _full(width: int):
     return full
 
 
-def close_sets(texts: DataFrame, owners: DataFrame, width: int, num: int, den: int, part: int) -> DataFrame:
-    """(h, n, own) of sets that may have a partner: those with enough shared ones among their least hashes."""
+def close_sets(texts: DataFrame, owners: DataFrame, width: int, num: int, den: int, part: int, size: int) -> DataFrame:
+    """(h, n, own) of the sets that may have a partner: those with enough shared ones among their least hashes."""
     keys = texts.select("text").mapInArrow(_keys(width, num, den, part), "key long, v long, task int, shared int")
     one = Window.partitionBy("key")  # has at most one row for each chunk
     # a set in several tasks sends its keys from each; other sets show by their numbers
     common = (F.min("v").over(one) < F.max("v").over(one)) | (F.count("v").over(one) < F.count("*").over(one))
     keys = keys.select("v", "task", "shared", common.cast("int").alias("common")).where("v is not null")
     counted = keys.where("common > 0 or shared > 0").groupBy("v", "task").agg(F.sum(F.coalesce("shared", "common")).alias("c"))
-    near = materialise(counted.groupBy("v").agg(F.min("c").alias("c")), "near", few_files=True)
+    near = materialise(counted.groupBy("v").agg(F.min("c").alias("c")), "near", size=size)
     chosen = owners.join(near, "v").where(F.col("c") >= least_shared(F.col("n"), num, den, part)).select("h", "n", F.col("first.id").alias("one"), F.col("first.content").alias("c64"))
     match = F.col("id").eqNullSafe(F.col("one")) & (F.col("content") == F.col("c64"))
-    return texts.join(materialise(chosen, "chosen", few_files=True), match).select("h", "n", "text").mapInArrow(_full(width), "h binary, n long, own array<long>")
+    chosen = materialise(chosen, "chosen", size=size)
+    _, some = apart(texts, "content", chosen.withColumnRenamed("c64", "content"))
+    full = some.join(chosen, match).select("h", "n", "text").mapInArrow(_full(width), "h binary, n long, own array<long>")
+    return materialise(full.dropDuplicates(["h"]), "close")
 
 
 def rare_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,38 +238,38 @@ def _measure(num: int, den: int):
     return measure
 
 
-def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, size: int) -> DataFrame:
     """(p, h, d, linked) of distinct pairs (p, h); a pivot of many members is dealt over salts."""
-    salts = materialise(pairs.groupBy("p").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")), "salts", few_files=True)
+    salts = materialise(pairs.groupBy("p").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")), "salts", size=size)
     salt = F.pmod(F.xxhash64("h"), F.col("salts")).cast("int")
     members = pairs.join(salts, "p").select("p", "h", salt.alias("salt")).join(sets.select("h", "own"), "h").select("p", "salt", "h", "own")
     pivots = salts.join(sets.select(F.col("h").alias("p"), "own"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("h"), "own")
     dealt = members.unionByName(pivots).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("h").asc_nulls_first())
-    return materialise(dealt.select("p", "h", "own").mapInArrow(_measure(num, den), "p binary, h binary, d double, linked boolean"), "measured")
+    return materialise(dealt.select("p", "h", "own").mapInArrow(_measure(num, den), "p binary, h binary, d double, linked boolean"), "measured", size=size)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, size: int) -> DataFrame:
     """(v, root): the least end that each end of an edge (a, b) reaches."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", few_files=True)
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", few_files=True)
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", size=size)
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", size=size)
     while True:
         low = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("low"))
-        near = materialise(labels.join(low, "v").select("v", F.col("root").alias("old"), F.least("root", "low").alias("root")), "labels", few_files=True)
+        near = materialise(labels.join(low, "v").select("v", F.col("root").alias("old"), F.least("root", "low").alias("root")), "labels", size=size)
         up = near.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        new = materialise(near.join(up, "root").select("v", "old", F.col("above").alias("root")), "labels", few_files=True)
+        new = materialise(near.join(up, "root").select("v", "old", F.col("above").alias("root")), "labels", size=size)
         changed = new.where("root <> old").limit(1).count()
         labels = new.select("v", "root")
         if not changed:
             return labels
 
 
-def open_regions(members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_regions(members: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """Members (region, h, n) of regions with several components, and their component; of the largest one and of the rest, the sizes in shingles."""
     rows = members.join(labels.withColumnRenamed("v", "h"), "h", "left").select("region", "h", "n", F.coalesce("root", "h").alias("comp"))
     by_comp = rows.groupBy("region", "comp").agg(F.sum("n").alias("k"))
     main = by_comp.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
     main = main.select("region", F.col("m.comp").alias("main"), F.col("m.k").alias("n_main"), (F.col("all") - F.col("m.k")).alias("n_rest"))
-    return materialise(rows.join(main, "region"), "open", few_files=True)
+    return materialise(rows.join(main, "region"), "open", size=size)
 
 
 def _block(num: int, den: int):
@@ -337,55 +342,63 @@ def in_blocks(opened: DataFrame, sets: DataFrame, num: int, den: int, cell: int)
     return rows.repartition(*place).sortWithinPartitions(*place).select(*place, "h", "comp", "side", "own").mapInArrow(_block(num, den), "a binary, b binary")
 
 
-def cut(large: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cut(large: DataFrame, sets: DataFrame, num: int, den: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links through new pivots of large regions, members of the regions of these, and members of regions that don't shrink."""
     new = F.struct(F.xxhash64("h").alias("rank"), F.col("h").alias("p"))
     rest = large.where("comp <> main").groupBy("region", F.pmod(F.xxhash64("h"), F.lit(PIVOTS)).alias("bucket")).agg(F.min(new).alias("new"))
-    pairs = materialise(large.join(rest.select("region", "new.p"), "region").select("region", "p", "h", "n", (F.col("n_main") + F.col("n_rest")).alias("all")), "pairs")
-    found = measured(pairs.where("p <> h").select("p", "h").distinct(), sets, num, den)
+    pairs = materialise(large.join(rest.select("region", "new.p"), "region").select("region", "p", "h", "n", (F.col("n_main") + F.col("n_rest")).alias("all")), "pairs", size=PIVOTS * size)
+    found = measured(pairs.where("p <> h").select("p", "h").distinct(), sets, num, den, PIVOTS * size)
     apart = pairs.join(found, ["p", "h"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     window = 2 * (1 - num / den) + 1e-9
     own = apart.groupBy("region", "h", "n", "all").agg(F.min("d").alias("near"), F.collect_list(F.struct("p", "d")).alias("to"))  # at most PIVOTS of them
     parts = own.select("region", "h", "n", "all", F.explode(F.filter("to", lambda t: t["d"] <= F.col("near") + window)).alias("t")).select("region", "t.p", "h", "n", "all")
-    parts = materialise(parts, "parts", few_files=True)
+    parts = materialise(parts, "parts", size=PIVOTS * size)
     sizes = parts.groupBy("region", "p").agg(F.sum("n").alias("k"), F.first("all").alias("all"))
-    stuck = materialise(sizes.groupBy("region").agg((4 * F.max("k") > 3 * F.first("all")).alias("stuck")).where("stuck").select("region"), "stuck", few_files=True)
+    stuck = materialise(sizes.groupBy("region").agg((4 * F.max("k") > 3 * F.first("all")).alias("stuck")).where("stuck").select("region"), "stuck", size=size)
     smaller = parts.join(stuck, "region", "left_anti").select(F.unhex(F.md5(F.concat("region", "p"))).alias("region"), "h", "n")
     return found.where("linked").select(F.col("p").alias("a"), F.col("h").alias("b")), smaller, large.join(stuck, "region", "left_semi").select("region", "h", "n")
 
 
-def set_links(texts: DataFrame, owners: DataFrame, width: int, num: int, den: int, cell: int, part: int) -> DataFrame:
+def set_links(texts: DataFrame, owners: DataFrame, width: int, num: int, den: int, cell: int, part: int, size: int) -> DataFrame:
     """Links (a, b) between sets that make up the components."""
-    sets = materialise(close_sets(texts, owners, width, num, den, part).dropDuplicates(["h"]), "close")
-    regions = materialise(regions_of(materialise(rare_keys(sets, num, den), "rare", few_files=True)), "regions", few_files=True)
-    stars = measured(regions.where("p <> h"), sets, num, den).where("linked")
+    sets = close_sets(texts, owners, width, num, den, part, size)
+    size = ROW * sets.count()
+    rare = materialise(rare_keys(sets, num, den), "rare", size=16 * size)
+    regions = materialise(regions_of(rare), "regions", size=2 * size)
+    size = ROW * regions.count()
+    stars = measured(regions.where("p <> h"), sets, num, den, size).where("linked")
     edges = stars.select(F.col("p").alias("a"), F.col("h").alias("b"))
     todo = regions.select(F.col("p").alias("region"), "h").join(sets.select("h", "n"), "h")
     done = None
     while True:
-        opened = open_regions(todo, components(edges))
+        labels = components(edges, size)
+        opened = open_regions(todo, labels, size)
         large = F.col("n_main") + F.col("n_rest") > cell
-        rest = opened.where(~large).select("region", "h", "n")
+        rest = opened.where(~large)
+        if done is None and not opened.where(large).limit(1).count():  # as most often: no region to cut
+            break
+        rest = rest.select("region", "h", "n")
         done = rest if done is None else done.unionByName(rest)
         if not opened.where(large).limit(1).count():
+            opened = open_regions(done, labels, size)
             break
-        more, todo, stuck = cut(opened.where(large), sets, num, den)
+        more, todo, stuck = cut(opened.where(large), sets, num, den, size)
         edges, done = edges.unionByName(more), done.unionByName(stuck)
-    found = in_blocks(open_regions(done, components(edges)), sets, num, den, cell)
-    return edges.unionByName(found)
+    return edges.unionByName(in_blocks(opened, sets, num, den, cell))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10, cell: int = 1 << 20, part: int = 10) -> DataFrame:
     """Per row: id, n_shingles, component_id; documents link when den * |x & y| >= num * |x | y|."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
     rows = materialise(texts.mapInArrow(_sets(width), "id long, n long, h binary, v long, content long"), "rows", few_files=True)
+    size = ROW * rows.count()
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content")).alias("first")
-    owners = materialise(rows.groupBy("h").agg(F.first("n").alias("n"), F.first("v").alias("v"), first), "owners", few_files=True)
-    links = set_links(texts, owners.where("n > 0"), width, num, den, cell, part)
+    owners = materialise(rows.groupBy("h").agg(F.first("n").alias("n"), F.first("v").alias("v"), first), "owners", size=size)
+    links = set_links(texts, owners.where("n > 0"), width, num, den, cell, part, size)
     ids = rows.where("id is not null").groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("id", "a")
     same_id = rows.join(ids, "id").where("h <> a").select("a", F.col("h").alias("b")).distinct()
-    labels = components(links.unionByName(same_id))
+    labels = components(links.unionByName(same_id), size)
     joined = owners.join(labels.withColumnRenamed("v", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "first.id")
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    owner = materialise(joined.join(least, "root").select("h", "component_id"), "joined", few_files=True)
+    owner = materialise(joined.join(least, "root").select("h", "component_id"), "joined", size=size)
     return rows.join(owner, "h").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

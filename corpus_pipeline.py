@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.llm import decontaminate, jaccard_join, line_dedup, packing, quality_classifier
-from chronopanel.llm.common import materialise, release, table
+from chronopanel.llm.common import apart, materialise, release, table
 
 #: What all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,19 +49,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = by_row(docs)
     groups = jaccard_join.link(docs, id_col="row", width=5, num=8, den=10).groupBy(F.col("row"), "component_id").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
-    first = groups.join(docs.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(F.min(order).alias("first"))
-    kept = materialise(first.select("first.row", "first.n"), "kept", few_files=True)
-    single = docs.join(kept.where("n = 1"), "row", "left_semi").select(*COLUMNS)
-    copied = docs.join(kept.where("n > 1"), "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("d"))
-    return single.unionByName(copied.select("d.*"))
+    named = materialise(groups.join(docs.select("row", "doc_id").distinct(), "row"), "groups", few_files=True)
+    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select("first.row", F.col("first.n").alias("stay"))
+    # rows that go (stay is null) or of which one stays; all others stay as they are
+    fate = named.select("row", "n").join(first, "row", "left").where("stay is null or n > 1").select("row", "stay")
+    fate = materialise(fate, "fate", few_files=True)
+    alone, others = apart(docs, "row", fate)
+    others = others.join(fate.withColumn("known", F.lit(True)), "row", "left")
+    copied = others.where("stay is not null").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("d"))
+    return alone.select(*COLUMNS).unionByName(others.where("known is null").select(*COLUMNS)).unionByName(copied.select("d.*"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go; rows with null or repeated ids are judged one by one."""
     docs = by_row(docs)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="row", window=10)
-    leaks = found.where("contaminated").select("row")
-    return docs.join(leaks, "row", "left_anti").select(*COLUMNS)
+    leaks = materialise(found.where("contaminated").select("row"), "leaks", few_files=True)
+    clean, others = apart(docs, "row", leaks)
+    return clean.unionByName(others.join(leaks, "row", "left_anti")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
