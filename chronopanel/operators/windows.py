@@ -186,13 +186,60 @@ def spikes(df: DataFrame, value: str, factor: int, floor: float, entity: str = "
     return df.withColumn("_s", (v > factor * F.greatest(before, after, F.lit(floor))) & (after * factor < v)).where("_s").drop("_s")
 
 
-def crosses(df: DataFrame, value: str, short: int, long: int, entity: str = "entity_id", time: str = "d") -> DataFrame:
-    """'golden' or 'death' where the short average crosses the long one."""
+def crosses(df: DataFrame, value: str, short: int, long: int, ahead: int = 0, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """'golden' or 'death' where the short average crosses the long one, and the bars to a cross that is at most ``ahead`` away at the last pace."""
+    sums = [F.sum(value).over(trailing(n, entity, time)) for n in (short, long)]
+    gap = full(value, trailing(long, entity, time), long, long * sums[0] - short * sums[1])  # the sign of the averages' difference
+    df = df.withColumn("_gap", gap)
+    df = df.withColumn("_was", F.lag("_gap").over(over(entity, time)))
+    now, was = F.col("_gap"), F.col("_was")
+    event = F.when((now > 0) & (was <= 0), "golden").when((now <= 0) & (was > 0), "death")
+    left = F.when((F.signum(now.cast("double")) == F.signum(was.cast("double"))) & (F.abs(now) < F.abs(was)), F.ceil(F.abs(now) / (F.abs(was) - F.abs(now))))
+    return df.withColumns({"event": event, "bars_to_cross": left.cast("long")}).where(F.col("event").isNotNull() | (F.col("bars_to_cross") <= ahead)).drop("_gap", "_was")
+
+
+def divergence(df: DataFrame, value: str, oscillator: str, lookback: int, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """'bullish' where the last two troughs of the value fall while those of the oscillator rise, 'bearish' for peaks the other way round.
+
+    Turning points are those inside the last ``lookback`` bars, whose neighbours are known.
+    """
     order = over(entity, time)
-    df = df.withColumns({"_a": mean(value, trailing(short, entity, time), short), "_b": mean(value, trailing(long, entity, time), long)})
-    df = df.withColumn("_up", F.col("_a") > F.col("_b"))
-    before = F.lag("_up").over(order)
-    return df.withColumn("event", F.when(F.col("_up") & ~before, "golden").when(~F.col("_up") & before, "death")).where("event is not null").drop("_a", "_b", "_up")
+    frame = order.rowsBetween(2 - lookback, -1)
+    turn = lambda c, s: (s * F.col(c) > s * F.lag(c).over(order)) & (s * F.col(c) > s * F.lead(c).over(order))
+    for c in (value, oscillator):
+        df = df.withColumns({f"_{c}_low": F.when(turn(c, -1), F.col(c)), f"_{c}_high": F.when(turn(c, 1), F.col(c))})
+    last = lambda c, k: F.try_element_at(F.collect_list(c).over(frame), F.lit(-k))
+    low = (last(f"_{value}_low", 1) < last(f"_{value}_low", 2)) & (last(f"_{oscillator}_low", 1) > last(f"_{oscillator}_low", 2))
+    high = (last(f"_{value}_high", 1) > last(f"_{value}_high", 2)) & (last(f"_{oscillator}_high", 1) < last(f"_{oscillator}_high", 2))
+    whole = F.count(F.lit(1)).over(frame) == lookback - 2
+    return df.withColumn("signal", F.when(whole & low, "bullish").when(whole & high, "bearish")).where("signal is not null")
+
+
+def rolling_templates(df: DataFrame, close: str, volume: str, change_: str, short: int = 5, long: int = 20, lag: int = 5, pairs: int = 45, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """Variance ratio, z-score, acceleration, divergence of volume and price, tail quantile, lag autocorrelation, rescaled range."""
+    order, frame, wide = over(entity, time), trailing(long, entity, time), trailing(pairs, entity, time)
+    r = F.col(change_)
+    df = df.withColumn("_q", F.lag(change_, lag).over(order))
+    x = F.when(F.col("_q").isNotNull(), r)
+    sums = {k: F.sum(v).over(wide) for k, v in {"x": x, "y": F.col("_q"), "xx": x * x, "yy": F.col("_q") * F.col("_q"), "xy": x * F.col("_q")}.items()}
+    df = df.withColumns({
+        "_v": variance(change_, frame, long, True), "_rs": full(change_, frame, long, F.collect_list(change_).over(frame)),
+        "_an": F.count("_q").over(wide), "_xx": pairs * sums["xx"] - sums["x"] * sums["x"], "_yy": pairs * sums["yy"] - sums["y"] * sums["y"], "_xy": pairs * sums["xy"] - sums["x"] * sums["y"],
+    })
+    add = lambda a, v: a + v
+    total = F.aggregate("_rs", F.lit(0).cast("long"), add)
+    walk = F.transform(F.sequence(F.lit(1), F.lit(long)), lambda k: long * F.aggregate(F.slice("_rs", F.lit(1), k), F.lit(0).cast("long"), add) - k * total)
+    before = lambda c: F.lag(c, long).over(order)
+    spread = F.sqrt(variance(close, frame, long, True))
+    return df.withColumns({
+        "variance_ratio": variance(change_, trailing(short, entity, time), short, True) / F.nullif("_v", F.lit(0)),
+        "distance": (F.col(close) - mean(close, frame, long)) / F.nullif(spread, F.lit(0)),
+        "acceleration": r - F.lag(change_, lag).over(order),
+        "divergence": F.try_divide(F.col(volume), before(volume)) - F.try_divide(F.col(close), before(close)),
+        "tail": full(change_, frame, long, F.round(F.percentile(change_, F.lit(0.05)).over(frame), 6)),
+        "autocorrelation": F.when((F.col("_an") == pairs) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx").cast("double")) / F.sqrt(F.col("_yy").cast("double"))),
+        "rescaled_range": F.when(F.col("_v") > 0, (F.array_max(walk) - F.array_min(walk)) / long / F.sqrt("_v")),
+    }).drop("_q", "_v", "_rs", "_an", "_xx", "_yy", "_xy")
 
 
 def breakouts(df: DataFrame, high: str, low: str, close: str, volume: str, n: int, k: float, entity: str = "entity_id", time: str = "d") -> DataFrame:
@@ -213,6 +260,36 @@ def swing_points(df: DataFrame, high: str, low: str, half: int = 5, entity: str
     }).where("swing_high or swing_low")
 
 
+def notable_bars(df: DataFrame, high: str, low: str, close: str, volume: str, half: int = 5, busy: int = 2, move: int = 3, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """Bars with a swing point, a volume over ``busy`` times the entity's mean, or a move over ``move`` percent."""
+    frame, all_ = over(entity, time).rowsBetween(-half, half), W.partitionBy(entity)
+    whole = F.count(F.lit(1)).over(frame) == 2 * half + 1
+    before = F.lag(close).over(over(entity, time))
+    return df.withColumns({
+        "swing_high": whole & (F.col(high) == F.max(high).over(frame)),
+        "swing_low": whole & (F.col(low) == F.min(low).over(frame)),
+        "volume_spike": F.col(volume) * F.count(F.lit(1)).over(all_) > busy * F.sum(volume).over(all_),
+        "big_move": F.coalesce(100 * F.abs(F.col(close) - before) > move * before, F.lit(False)),
+    }).where("swing_high or swing_low or volume_spike or big_move")
+
+
+def price_patterns(df: DataFrame, high: str, low: str, close: str, bars: int, recent: int, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """Over the last ``bars``: double top, double bottom (extremes within 2 % of each other, five bars or more apart, 3 % between, left by 2 %) and a range under 8 %."""
+    part = W.partitionBy(entity)
+    last = df.withColumn("back", F.row_number().over(part.orderBy(F.desc(time)))).where(F.col("back") <= bars)
+    last = last.withColumns({"kh": F.row_number().over(part.orderBy(F.desc(high), "back")), "kl": F.row_number().over(part.orderBy(low, "back"))})
+    at = lambda k, n, c: F.max(F.when(F.col(k) == n, F.col(c)))
+    ends = {f"{k}{i}": f(F.when(F.col(f"k{k}") <= 2, F.col("back"))) for k in "hl" for i, f in (("a", F.min), ("b", F.max))}
+    tops = last.groupBy(entity).agg(
+        at("kh", 1, high).alias("h1"), at("kh", 2, high).alias("h2"), at("kl", 1, low).alias("l1"), at("kl", 2, low).alias("l2"), *[e.alias(k) for k, e in ends.items()], at("back", 1, close).alias("last_c"),
+        (100 * recent * (F.max(high) - F.min(low)) < 8 * F.sum(F.when(F.col("back") <= recent, F.col(close)))).alias("consolidation"), F.count(F.lit(1)).alias("n"),
+    ).where(F.col("n") == bars)
+    both = last.join(tops, entity).groupBy(*tops.columns).agg(F.min(F.when(F.expr("back between ha and hb"), F.col(low))).alias("valley"), F.max(F.when(F.expr("back between la and lb"), F.col(high))).alias("peak"))
+    top = F.expr("hb - ha >= 5 and 100 * (h1 - h2) < 2 * h1 and 100 * (h1 - valley) > 3 * h1 and 100 * (last_c - h1) < -2 * h1")
+    bottom = F.expr("lb - la >= 5 and 100 * (l2 - l1) < 2 * l1 and 100 * (peak - l1) > 3 * l1 and 100 * (last_c - l1) > 2 * l1")
+    return both.select(entity, top.alias("double_top"), bottom.alias("double_bottom"), "consolidation")
+
+
 def extremes_each_side(df: DataFrame, value: str, tie: str, time: str, share: float) -> DataFrame:
     """max(1, int(n * share)) rows at either end per date: 'long' for the highest, 'short' for the lowest."""
     part = W.partitionBy(time)

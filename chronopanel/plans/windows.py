@@ -90,21 +90,23 @@ def e14_concavity(spark, sf_dir):
 
 
 @query(f"""
-r AS (SELECT entity_id, d, c, vol, CAST(floor(10000 * (c / lag(c) OVER ({_E}) - 1)) AS BIGINT) AS r FROM bars),
-v AS (SELECT *, CASE WHEN count(r) OVER s = 5 THEN (5 * sum(r * r) OVER s - (sum(r) OVER s) * (sum(r) OVER s)) / 20 END AS v5,
+r AS (SELECT *, CAST(floor(10000 * (c / lag(c) OVER ({_E}) - 1)) AS BIGINT) AS r FROM bars),
+q AS (SELECT *, lag(r, 5) OVER ({_E}) AS q FROM r),
+v AS (SELECT entity_id, d, c, vol, r,
+  CASE WHEN count(r) OVER s = 5 THEN (5 * sum(r * r) OVER s - (sum(r) OVER s) * (sum(r) OVER s)) / 20 END AS v5,
   CASE WHEN count(r) OVER t = 20 THEN (20 * sum(r * r) OVER t - (sum(r) OVER t) * (sum(r) OVER t)) / 380 END AS v20,
-  CASE WHEN count(c) OVER t = 20 THEN sum(c) OVER t / 20 END AS m20 FROM r WINDOW s AS {_T(5)}, t AS {_T(20)})
-SELECT entity_id, d, v5 / nullif(v20, 0) AS variance_ratio, c - m20 AS distance, r - lag(r, 5) OVER w AS acceleration,
-  CASE WHEN c > lag(c, 5) OVER w AND vol < lag(vol, 5) OVER w THEN 'bearish' WHEN c < lag(c, 5) OVER w AND vol > lag(vol, 5) OVER w THEN 'bullish' ELSE 'none' END AS divergence FROM v WINDOW w AS ({_E})""")
+  CASE WHEN count(c) OVER t = 20 THEN sum(c) OVER t / 20 END AS m20, CASE WHEN count(c) OVER t = 20 THEN sqrt((20 * sum(c * c) OVER t - (sum(c) OVER t) * (sum(c) OVER t))::DOUBLE / 380) END AS s20,
+  CASE WHEN count(r) OVER t = 20 THEN round(quantile_cont(r, 0.05) OVER t, 6) END AS tail, CASE WHEN count(r) OVER t = 20 THEN list(r) OVER t END AS rs,
+  count(q) OVER u AS an, sum(r) FILTER (WHERE q IS NOT NULL) OVER u AS sx, sum(q) OVER u AS sy, sum(r * r) FILTER (WHERE q IS NOT NULL) OVER u AS sxx, sum(q * q) OVER u AS syy, sum(r * q) OVER u AS sxy
+  FROM q WINDOW s AS {_T(5)}, t AS {_T(20)}, u AS {_T(45)}),
+z AS (SELECT *, list_transform(range(1, 21), lambda k: 20 * list_sum(rs[1:k]) - k * list_sum(rs)) AS walk FROM v)
+SELECT entity_id, d, v5 / nullif(v20, 0) AS variance_ratio, (c - m20) / nullif(s20, 0) AS distance, r - lag(r, 5) OVER w AS acceleration,
+  vol / lag(vol, 20) OVER w - c / lag(c, 20) OVER w AS divergence, tail,
+  CASE WHEN an = 45 AND 45 * sxx > sx * sx AND 45 * syy > sy * sy THEN (45 * sxy - sx * sy)::DOUBLE / sqrt((45 * sxx - sx * sx)::DOUBLE) / sqrt((45 * syy - sy * sy)::DOUBLE) END AS autocorrelation,
+  CASE WHEN rs IS NOT NULL AND v20 > 0 THEN (list_max(walk) - list_min(walk)) / 20 / sqrt(v20) END::DOUBLE AS rescaled_range FROM z WINDOW w AS ({_E})""")
 def e15_rolling_templates(spark, sf_dir):
     rows = fx.bars(spark, sf_dir).withColumn("r", F.floor(10000 * op.change("c")).cast("long"))
-    rows = rows.withColumns({"v5": op.variance("r", op.trailing(5), 5, True), "v20": op.variance("r", op.trailing(20), 20, True), "m20": op.mean("c", op.trailing(20), 20)})
-    o = op.over()
-    up, busy = F.col("c") - F.lag("c", 5).over(o), F.col("vol") - F.lag("vol", 5).over(o)
-    return rows.select(
-        "entity_id", "d", (F.col("v5") / F.nullif("v20", F.lit(0))).alias("variance_ratio"), (F.col("c") - F.col("m20")).alias("distance"), (F.col("r") - F.lag("r", 5).over(o)).alias("acceleration"),
-        F.when((up > 0) & (busy < 0), "bearish").when((up < 0) & (busy > 0), "bullish").otherwise("none").alias("divergence"),
-    )
+    return op.rolling_templates(rows, "c", "vol", "r").select("entity_id", "d", "variance_ratio", "distance", "acceleration", "divergence", "tail", "autocorrelation", "rescaled_range")
 
 
 @query(f"SELECT entity_id, d, (c - max(c) OVER w) / max(c) OVER w AS drawdown FROM bars WINDOW w AS ({_E} ROWS UNBOUNDED PRECEDING)")
@@ -196,11 +198,13 @@ def e30_spikes(spark, sf_dir):
 
 
 @query(f"""
-a AS (SELECT entity_id, d, CASE WHEN count(c) OVER s = 5 THEN sum(c) OVER s / 5 END AS a, CASE WHEN count(c) OVER t = 20 THEN sum(c) OVER t / 20 END AS b FROM bars WINDOW s AS {_T(5)}, t AS {_T(20)}),
-u AS (SELECT entity_id, d, a > b AS up, lag(a > b) OVER ({_E}) AS was FROM a)
-SELECT entity_id, d, CASE WHEN up THEN 'golden' ELSE 'death' END AS event FROM u WHERE up <> was""")
+a AS (SELECT entity_id, d, CASE WHEN count(c) OVER t = 20 THEN 4 * sum(c) OVER s - sum(c) OVER t END::BIGINT AS gap FROM bars WINDOW s AS {_T(5)}, t AS {_T(20)}),
+u AS (SELECT entity_id, d, gap, lag(gap) OVER ({_E}) AS was FROM a),
+e AS (SELECT entity_id, d, CASE WHEN gap > 0 AND was <= 0 THEN 'golden' WHEN gap <= 0 AND was > 0 THEN 'death' END AS event,
+  CASE WHEN sign(gap) = sign(was) AND abs(gap) < abs(was) THEN ceil(abs(gap)::DOUBLE / (abs(was) - abs(gap)))::BIGINT END AS bars_to_cross FROM u)
+SELECT * FROM e WHERE event IS NOT NULL OR bars_to_cross <= 10""")
 def e32_crosses(spark, sf_dir):
-    return op.crosses(fx.bars(spark, sf_dir), "c", 5, 20).select("entity_id", "d", "event")
+    return op.crosses(fx.bars(spark, sf_dir), "c", 5, 20, ahead=10).select("entity_id", "d", "event", "bars_to_cross")
 
 
 @query(f"""
@@ -211,12 +215,14 @@ def e33_breakouts(spark, sf_dir):
 
 
 @query(f"""
-m AS (SELECT entity_id, d, c / lag(c, 11) OVER ({_E}) - 1 AS r FROM bars)
-SELECT entity_id, d, r, row_number() OVER (PARTITION BY d ORDER BY r DESC, entity_id) AS place FROM m WHERE r > 0 QUALIFY place <= 5""")
+m AS (SELECT entity_id, d, c / lag(c, 11) OVER ({_E}) - 1 AS r FROM bars),
+k AS (SELECT entity_id, d, r, CASE WHEN r > 0 THEN 'long' ELSE 'short' END AS side, row_number() OVER (PARTITION BY d, r > 0 ORDER BY abs(r) DESC, entity_id) AS place FROM m
+  WHERE r <> 0 AND CAST(floor(date_diff('day', DATE '1990-01-01', d) / 7) AS BIGINT) % 4 = 0)
+SELECT * FROM k WHERE place <= 5""")
 def e34_momentum_rank(spark, sf_dir):
-    rows = fx.bars(spark, sf_dir).select("entity_id", "d", op.change("c", 11).alias("r")).where("r > 0")
-    place = F.row_number().over(W.partitionBy("d").orderBy(F.desc("r"), "entity_id"))
-    return rows.withColumn("place", place.cast("long")).where("place <= 5")
+    rows = fx.bars(spark, sf_dir).select("entity_id", "d", op.change("c", 11).alias("r")).where(F.col("r").isNotNull() & (F.col("r") != 0) & (fx.week_number() % 4 == 0))
+    place = F.row_number().over(W.partitionBy("d", F.col("r") > 0).orderBy(F.desc(F.abs("r")), "entity_id"))
+    return rows.select("entity_id", "d", "r", F.when(F.col("r") > 0, "long").otherwise("short").alias("side"), place.cast("long").alias("place")).where("place <= 5")
 
 
 @query(f"""
@@ -250,54 +256,77 @@ def e39_decile_sides(spark, sf_dir):
     return op.extremes_each_side(rows, "r", "entity_id", "d", 0.1).select("entity_id", "d", "side")
 
 
-@query("SELECT entity_id, d, q50, row_number() OVER (PARTITION BY d ORDER BY q50 DESC, entity_id) AS place FROM predictions WHERE q50 > 50 AND q10 > -400 QUALIFY place <= 10")
+@query("""
+p AS (SELECT 'threshold' AS rule, entity_id, d, q50, q50 AS first, 0 AS second FROM predictions WHERE q50 > 50 AND q10 > -400
+  UNION ALL SELECT 'rank', entity_id, d, q50, q50, 0 FROM predictions WHERE q50 > 0 AND q10 > -400
+  UNION ALL SELECT 'pure_rank', entity_id, d, q50, q50, 0 FROM predictions
+  UNION ALL SELECT 'class', entity_id, d, q50, cls, q50 FROM predictions WHERE cls >= 3)
+SELECT rule, entity_id, d, q50, row_number() OVER (PARTITION BY rule, d ORDER BY first DESC, second DESC, entity_id) AS place FROM p QUALIFY place <= 10""")
 def e40_prediction_rank(spark, sf_dir):
-    rows = fx.predictions(spark, sf_dir).where("q50 > 50 and q10 > -400")
-    place = F.row_number().over(W.partitionBy("d").orderBy(F.desc("q50"), "entity_id")).cast("long")
-    return rows.select("entity_id", "d", "q50", place.alias("place")).where("place <= 10")
+    q50, floor, none = F.col("q50"), F.col("q10") > -400, F.lit(0).cast("long")
+    rule = lambda name, holds, first, second: F.when(holds, F.struct(F.lit(name).alias("rule"), first.cast("long").alias("first"), second.alias("second")))
+    rules = F.array_compact(F.array(rule("threshold", (q50 > 50) & floor, q50, none), rule("rank", (q50 > 0) & floor, q50, none), rule("pure_rank", q50.isNotNull(), q50, none), rule("class", F.col("cls") >= 3, F.col("cls"), q50)))
+    rows = fx.predictions(spark, sf_dir).select("entity_id", "d", "q50", F.inline(rules))
+    place = F.row_number().over(W.partitionBy("rule", "d").orderBy(F.desc("first"), F.desc("second"), "entity_id")).cast("long")
+    return rows.select("rule", "entity_id", "d", "q50", place.alias("place")).where("place <= 10")
 
 
 @query(f"""
-x AS (SELECT entity_id, d, h, l, count(*) OVER w AS n, max(h) OVER w AS mh, min(l) OVER w AS ml FROM bars WINDOW w AS ({_E} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-SELECT entity_id, d, n = 11 AND h = mh AS swing_high, n = 11 AND l = ml AS swing_low FROM x WHERE n = 11 AND (h = mh OR l = ml)""")
+x AS (SELECT entity_id, d, h, l, count(*) OVER w AS n, max(h) OVER w AS mh, min(l) OVER w AS ml, vol * count(*) OVER e > 2 * sum(vol) OVER e AS volume_spike,
+  coalesce(100 * abs(c - lag(c) OVER ({_E})) > 3 * lag(c) OVER ({_E}), false) AS big_move FROM bars
+  WINDOW w AS ({_E} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), e AS (PARTITION BY entity_id)),
+y AS (SELECT entity_id, d, n = 11 AND h = mh AS swing_high, n = 11 AND l = ml AS swing_low, volume_spike, big_move FROM x)
+SELECT * FROM y WHERE swing_high OR swing_low OR volume_spike OR big_move""")
 def e41_swing_points(spark, sf_dir):
-    return op.swing_points(fx.bars(spark, sf_dir), "h", "l").select("entity_id", "d", "swing_high", "swing_low")
+    return op.notable_bars(fx.bars(spark, sf_dir), "h", "l", "c", "vol").select("entity_id", "d", "swing_high", "swing_low", "volume_spike", "big_move")
 
 
 @query("""
-r AS (SELECT entity_id, min(l) AS lo, max(h) AS hi FROM bars GROUP BY 1),
-b AS (SELECT entity_id, least(19, floor(20 * (c - lo) / nullif(hi - lo, 0)))::BIGINT AS bucket, count(*) AS n FROM bars JOIN r USING (entity_id) GROUP BY 1, 2)
-SELECT entity_id, bucket, n FROM (SELECT *, sum(n) OVER (PARTITION BY entity_id) AS total FROM b) WHERE n * 20 > 1.5 * total""")
+r AS (SELECT entity_id, min(l) AS lo, max(h) AS hi, arg_max(c, d) AS last_c FROM bars GROUP BY 1),
+b AS (SELECT entity_id, least(19, floor(20 * (c - lo) / nullif(hi - lo, 0)))::BIGINT AS bucket, lo, hi, last_c, count(*) AS n FROM bars JOIN r USING (entity_id) GROUP BY ALL),
+k AS (SELECT *, 40 * lo + (2 * bucket + 1) * (hi - lo) > 40 * last_c AS above FROM (SELECT *, sum(n) OVER (PARTITION BY entity_id) AS total FROM b) WHERE n * 20 > 1.5 * total)
+SELECT entity_id, bucket, n, above, bucket = CASE WHEN above THEN min(bucket) OVER w ELSE max(bucket) OVER w END AS nearest FROM k WINDOW w AS (PARTITION BY entity_id, above)""")
 def e42_price_levels(spark, sf_dir):
     part = W.partitionBy("entity_id")
-    rows = fx.bars(spark, sf_dir).withColumns({"lo": F.min("l").over(part), "hi": F.max("h").over(part)})
+    ends = fx.bars(spark, sf_dir).groupBy("entity_id").agg(F.min("l").alias("lo"), F.max("h").alias("hi"), F.max_by("c", "d").alias("last_c"))
+    rows = fx.bars(spark, sf_dir).join(ends, "entity_id")
     bucket = F.least(F.lit(19), F.floor(20 * (F.col("c") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)))).cast("long")
-    counts = rows.groupBy("entity_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("total", F.sum("n").over(part)).where("n * 20 > 1.5D * total").drop("total")
+    counts = rows.groupBy("entity_id", bucket.alias("bucket"), "lo", "hi", "last_c").agg(F.count(F.lit(1)).alias("n"))
+    above = 40 * F.col("lo") + (2 * F.col("bucket") + 1) * (F.col("hi") - F.col("lo")) > 40 * F.col("last_c")
+    levels = counts.withColumn("total", F.sum("n").over(part)).where("n * 20 > 1.5D * total").withColumn("above", above)
+    side = W.partitionBy("entity_id", "above")
+    nearest = F.col("bucket") == F.when(F.col("above"), F.min("bucket").over(side)).otherwise(F.max("bucket").over(side))
+    return levels.select("entity_id", "bucket", "n", "above", nearest.alias("nearest"))
 
 
 @query("""
-x AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS back FROM bars),
-t AS (SELECT entity_id, h, back, row_number() OVER (PARTITION BY entity_id ORDER BY h DESC, back) AS k FROM x WHERE back <= 30)
-SELECT a.entity_id, a.h AS top1, b.h AS top2 FROM t a JOIN t b USING (entity_id) WHERE a.k = 1 AND b.k = 2 AND (a.h - b.h) * 100 <= 2 * a.h AND abs(a.back - b.back) >= 5""")
+x AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS back FROM bars QUALIFY back <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY h DESC, back) AS kh, row_number() OVER (PARTITION BY entity_id ORDER BY l, back) AS kl FROM x),
+p AS (SELECT entity_id, max(h) FILTER (WHERE kh = 1) AS h1, max(h) FILTER (WHERE kh = 2) AS h2, min(back) FILTER (WHERE kh <= 2) AS ha, max(back) FILTER (WHERE kh <= 2) AS hb,
+  min(l) FILTER (WHERE kl = 1) AS l1, min(l) FILTER (WHERE kl = 2) AS l2, min(back) FILTER (WHERE kl <= 2) AS la, max(back) FILTER (WHERE kl <= 2) AS lb,
+  max(c) FILTER (WHERE back = 1) AS last_c, 2000 * (max(h) - min(l)) < 8 * sum(c) FILTER (WHERE back <= 20) AS consolidation FROM r GROUP BY 1 HAVING count(*) = 30),
+b AS (SELECT p.entity_id, min(l) FILTER (WHERE back BETWEEN ha AND hb) AS valley, max(h) FILTER (WHERE back BETWEEN la AND lb) AS peak FROM p JOIN x USING (entity_id) GROUP BY 1)
+SELECT entity_id, hb - ha >= 5 AND 100 * (h1 - h2) < 2 * h1 AND 100 * (h1 - valley) > 3 * h1 AND 100 * (last_c - h1) < -2 * h1 AS double_top,
+  lb - la >= 5 AND 100 * (l2 - l1) < 2 * l1 AND 100 * (peak - l1) > 3 * l1 AND 100 * (last_c - l1) > 2 * l1 AS double_bottom, consolidation FROM p JOIN b USING (entity_id)""")
 def e43_double_top(spark, sf_dir):
-    back = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("d")))
-    last = fx.bars(spark, sf_dir).withColumn("back", back).where("back <= 30")
-    top = last.withColumn("k", F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("h"), "back"))).where("k <= 2")
-    both = top.groupBy("entity_id").agg(F.max(F.when(F.col("k") == 1, F.col("h"))).alias("top1"), F.max(F.when(F.col("k") == 2, F.col("h"))).alias("top2"), (F.max("back") - F.min("back")).alias("apart"), F.count(F.lit(1)).alias("n"))
-    return both.where("n = 2 and (top1 - top2) * 100 <= 2 * top1 and apart >= 5").select("entity_id", "top1", "top2")
+    return op.price_patterns(fx.bars(spark, sf_dir), "h", "l", "c", 30, 20)
 
 
 @query("""
-x AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS back FROM bars)
-SELECT entity_id, max(d) AS last_d, arg_max(c, d) AS last_c, max(CASE WHEN back = 6 THEN c END) AS c_5, max(h) FILTER (WHERE back <= 52) AS high_52, min(l) FILTER (WHERE back <= 52) AS low_52,
-  sum(vol) FILTER (WHERE back <= 10)::BIGINT AS vol_recent, sum(vol) FILTER (WHERE back BETWEEN 11 AND 20)::BIGINT AS vol_before, arg_max(c, d) > avg(c) FILTER (WHERE back <= 20) AS above_ma FROM x GROUP BY 1""")
+x AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS back, CAST(floor(10000 * (c / lag(c) OVER (PARTITION BY entity_id ORDER BY d) - 1)) AS BIGINT) AS r FROM bars),
+s AS (SELECT entity_id, max(d) AS last_d, arg_max(c, d) AS last_c, max(CASE WHEN back = 6 THEN c END) AS c_5, max(h) FILTER (WHERE back <= 52) AS high_52, min(l) FILTER (WHERE back <= 52) AS low_52,
+  sum(vol) FILTER (WHERE back <= 10)::BIGINT AS vol_recent, sum(vol) FILTER (WHERE back BETWEEN 11 AND 20)::BIGINT AS vol_before, arg_max(c, d) > avg(c) FILTER (WHERE back <= 20) AS above_ma,
+  count(r) FILTER (WHERE back <= 20) AS n, sum(r) FILTER (WHERE back <= 20) AS s, sum(r * r) FILTER (WHERE back <= 20) AS ss FROM x GROUP BY 1)
+SELECT * EXCLUDE (n, s, ss), sqrt((n * ss - s * s)::DOUBLE / nullif(n * (n - 1), 0)) AS volatility FROM s""")
 def e44_price_summary(spark, sf_dir):
-    rows = fx.bars(spark, sf_dir).withColumn("back", F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("d"))))
+    rows = fx.bars(spark, sf_dir).withColumns({"back": F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("d"))), "r": F.floor(10000 * op.change("c")).cast("long")})
     upto = lambda n, c: F.when(F.col("back") <= n, F.col(c))
+    r = upto(20, "r")
+    n, s, ss = F.count(r), F.sum(r), F.sum(r * r)
     return rows.groupBy("entity_id").agg(
         F.max("d").alias("last_d"), F.max_by("c", "d").alias("last_c"), F.max(F.when(F.col("back") == 6, F.col("c"))).alias("c_5"), F.max(upto(52, "h")).alias("high_52"), F.min(upto(52, "l")).alias("low_52"),
         F.sum(upto(10, "vol")).alias("vol_recent"), F.sum(F.when(F.col("back").between(11, 20), F.col("vol"))).alias("vol_before"), (F.max_by("c", "d") > F.avg(upto(20, "c"))).alias("above_ma"),
+        F.sqrt((n * ss - s * s).cast("double") / F.nullif(n * (n - 1), F.lit(0))).alias("volatility"),
     )
 
 
@@ -322,13 +351,14 @@ def e45_walk_forward(spark, sf_dir):
 t AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM bars)),
 f AS (SELECT k::BIGINT AS fold FROM range(0, 5) x(k)),
 a AS (SELECT d, fold, i, fold * n // 5 AS lo, (fold + 1) * n // 5 - 1 AS hi FROM t, f)
-SELECT d, fold, CASE WHEN i BETWEEN lo AND hi THEN 'test' WHEN i BETWEEN lo - 4 AND lo - 1 THEN 'purged' WHEN i BETWEEN hi + 1 AND hi + 2 THEN 'embargo' ELSE 'train' END AS role FROM a""")
+SELECT d, fold, CASE WHEN i BETWEEN lo AND hi THEN 'test' WHEN i BETWEEN lo - 4 AND lo - 1 THEN 'purged' WHEN i BETWEEN lo - 6 AND lo - 5 OR i BETWEEN hi + 1 AND hi + 2 THEN 'embargo' ELSE 'train' END AS role FROM a""")
 def e46_purged_folds(spark, sf_dir):
     days = fx.bars(spark, sf_dir).select("d").distinct().withColumn("one", F.lit(1))
     w = W.partitionBy("one")
     rows = days.withColumns({"i": F.row_number().over(w.orderBy("d")) - 1, "n": F.count(F.lit(1)).over(w)}).select("d", "i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("fold"))
-    lo, hi = F.expr("fold * n div 5"), F.expr("(fold + 1) * n div 5 - 1")
-    role = F.when(F.col("i").between(lo, hi), "test").when(F.col("i").between(lo - 4, lo - 1), "purged").when(F.col("i").between(hi + 1, hi + 2), "embargo").otherwise("train")
+    lo, hi, i = F.expr("fold * n div 5"), F.expr("(fold + 1) * n div 5 - 1"), F.col("i")
+    near = i.between(lo - 6, lo - 5) | i.between(hi + 1, hi + 2)
+    role = F.when(i.between(lo, hi), "test").when(i.between(lo - 4, lo - 1), "purged").when(near, "embargo").otherwise("train")
     return rows.select("d", "fold", role.alias("role"))
 
 
@@ -352,11 +382,29 @@ def e49_return_panel(spark, sf_dir):
 
 
 @query(f"""
-x AS (SELECT entity_id, d, c, vol, sum(c) OVER w AS s, sum(c * c) OVER w AS ss, count(c) OVER w AS n, lag(c) OVER (PARTITION BY entity_id ORDER BY d) AS p FROM bars WINDOW w AS {_T(10)})
-SELECT entity_id, d, CASE WHEN n = 10 THEN s / 10 END AS mean_10, CASE WHEN n = 10 THEN (10 * c - s) * (10 * c - s) / nullif((10 * ss - s * s), 0) END AS z2_10, c - p AS momentum FROM x""")
+x AS (SELECT entity_id, d, c, vol, sum(c) OVER w AS s, sum(c * c) OVER w AS ss, count(c) OVER w AS n, lag(c) OVER (PARTITION BY entity_id ORDER BY d) AS p FROM bars WINDOW w AS {_T(10)}),
+y AS (SELECT *, sqrt((10 * ss - s * s)::DOUBLE / 90) AS std FROM x)
+SELECT entity_id, d, CASE WHEN n = 10 THEN s / 10 END AS mean_10, CASE WHEN n = 10 THEN std END AS std_10, CASE WHEN n = 10 THEN (c - s / 10) / nullif(std, 0) END AS z_10, c - p AS momentum,
+  c / p - 1 AS simple_return, round(ln(c / p), 9) AS log_return FROM y""")
 def e52_column_features(spark, sf_dir):
     frame = op.trailing(10)
-    rows = fx.bars(spark, sf_dir).withColumns({"s": F.sum("c").over(frame), "ss": F.sum(F.col("c") * F.col("c")).over(frame)})
-    dev = 10 * F.col("c") - F.col("s")
-    z2 = op.full("c", frame, 10, dev * dev / F.nullif(10 * F.col("ss") - F.col("s") * F.col("s"), F.lit(0)))
-    return rows.select("entity_id", "d", op.mean("c", frame, 10).alias("mean_10"), z2.alias("z2_10"), (F.col("c") - F.lag("c").over(op.over())).alias("momentum"))
+    rows = fx.bars(spark, sf_dir).withColumns({"mean_10": op.mean("c", frame, 10), "std_10": F.sqrt(op.variance("c", frame, 10, True)), "p": F.lag("c").over(op.over())})
+    return rows.select(
+        "entity_id", "d", "mean_10", "std_10", ((F.col("c") - F.col("mean_10")) / F.nullif("std_10", F.lit(0))).alias("z_10"), (F.col("c") - F.col("p")).alias("momentum"),
+        op.change("c").alias("simple_return"), F.round(F.log(F.col("c") / F.col("p")), 9).alias("log_return"),
+    )
+
+
+@query(f"""
+t AS (SELECT entity_id, d, c, vol, CASE WHEN n = 14 THEN CASE WHEN gain = 0 AND loss = 0 THEN 50.0::DOUBLE WHEN loss = 0 THEN 100.0::DOUBLE ELSE 100 * gain / (gain + loss) END END AS rsi FROM (
+  SELECT entity_id, d, c, vol, count(m) OVER w AS n, sum(greatest(m, 0)) OVER w AS gain, sum(greatest(-m, 0)) OVER w AS loss
+  FROM (SELECT *, c - lag(c) OVER ({_E}) AS m FROM bars) WINDOW w AS {_T(14)})),
+x AS (SELECT *, c < lag(c) OVER w AND c < lead(c) OVER w AS ct, c > lag(c) OVER w AND c > lead(c) OVER w AS cp,
+  rsi < lag(rsi) OVER w AND rsi < lead(rsi) OVER w AS rt, rsi > lag(rsi) OVER w AND rsi > lead(rsi) OVER w AS rp FROM t WHERE rsi IS NOT NULL WINDOW w AS ({_E})),
+k AS (SELECT entity_id, d, count(*) OVER w AS n, list(c) FILTER (WHERE ct) OVER w AS lows, list(c) FILTER (WHERE cp) OVER w AS highs, list(rsi) FILTER (WHERE rt) OVER w AS rlows, list(rsi) FILTER (WHERE rp) OVER w AS rhighs
+  FROM x WINDOW w AS ({_E} ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT entity_id, d, CASE WHEN lows[-1] < lows[-2] AND rlows[-1] > rlows[-2] THEN 'bullish' WHEN highs[-1] > highs[-2] AND rhighs[-1] < rhighs[-2] THEN 'bearish' END AS signal FROM k WHERE n = 26)
+SELECT * FROM s WHERE signal IS NOT NULL""")
+def e37_divergence(spark, sf_dir):
+    rows = op.rsi_simple(fx.bars(spark, sf_dir), "c").where("rsi is not null")
+    return op.divergence(rows, "c", "rsi", 28).select("entity_id", "d", "signal")
