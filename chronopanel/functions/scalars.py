@@ -111,18 +111,49 @@ def clamp_quantiles(low: Column, mid: Column, high: Column) -> tuple[Column, Col
     return F.least(low, mid), F.greatest(mid, high)
 
 
-def trade_cost(shares: str, price: str, volume: str, rate_bp: int = 5, least: int = 100, most: int = 100_000, spread_bp: int = 2) -> Column:
-    """Commission within its bounds, half the spread, and an impact that grows with the share of volume; whole units."""
-    value = f"{shares} * {price}"
-    commission = F.least(F.greatest(F.expr(f"{value} * {rate_bp} div 10000"), F.lit(least)), F.lit(most))
-    impact = F.expr(f"{value} * {shares} div (100 * nullif({volume}, 0))")
-    return commission + F.expr(f"{value} * {spread_bp} div 10000") + F.coalesce(impact, F.lit(0))
-
-
-def fill_price(side: Column, price: str, slip_bp: int = 5) -> Column:
-    """Buys fill above and sells below the price by a fixed slippage in whole units."""
-    slip = F.expr(f"{price} * {slip_bp} div 10000")
-    return F.when(side == "buy", F.col(price) + slip).otherwise(F.col(price) - slip)
+def _root_share(shares: str, volume: str) -> Column:
+    """Square root of the part of the volume that an order takes; null without a volume."""
+    return F.sqrt(F.col(shares).cast("double") / F.nullif(volume, F.lit(0)))
+
+
+def trade_cost(shares: str, price: str, volume: str, per_trade: int, per_share: int, least: int, most: int, spread: float, impact: float) -> dict[str, Column]:
+    """Commission within its bounds, half-spread in basis points, and an impact with the root of the share of volume."""
+    value = F.col(shares) * F.col(price)
+    commission = F.least(F.greatest(per_trade + per_share * F.col(shares), F.lit(least)), F.lit(most)).cast("long")
+    return {"commission": commission, "spread": value * spread / 10000, "impact": F.coalesce(_root_share(shares, volume) * impact * value, F.lit(0.0))}
+
+
+def borrow_fee(shares: str, price: str, annual_rate: float, days: int = 252) -> Column:
+    """Fee of one day for shares held short."""
+    return F.col(shares) * F.col(price) * F.lit(annual_rate / days)
+
+
+def fill_price(buy: Column, price: str, shares: str, volume: str, spread: Column, fixed: float, participation: float, volatility: float) -> Column:
+    """Market orders fill against the trader by a fixed part, the root of the share of volume, and volatility."""
+    slip = fixed + F.coalesce(_root_share(shares, volume) * participation, F.lit(0.0)) + F.coalesce(spread * volatility, F.lit(0.0))
+    return F.when(buy, F.col(price) * (1 + slip)).otherwise(F.col(price) * (1 - slip))
+
+
+def limit_fill(buy: Column, price: str, limit: str) -> Column:
+    """Limit orders fill at their limit, or not at all (null) where the price is beyond it."""
+    return F.when(buy & (F.col(price) <= F.col(limit)) | ~buy & (F.col(price) >= F.col(limit)), F.col(limit))
+
+
+def position_sizes(capital: float, price: str, win_rate: str, win_loss: str, volatility: str, kelly: float, target: float, per_asset: float) -> dict[str, Column]:
+    """Whole shares by fractional Kelly, volatility target and capped risk parity; none where an input is missing or has no edge."""
+    rate, ratio, vola = F.col(win_rate), F.col(win_loss), F.col(volatility)
+    edge = (rate * ratio - (1 - rate)) / ratio
+    shares = lambda holds, part: F.coalesce(F.when(holds, (capital * part / F.col(price)).cast("long")), F.lit(0).cast("long"))
+    return {
+        "kelly_shares": shares(edge > 0, edge * kelly),
+        "vol_target": shares(vola > 0, target / vola),
+        "risk_parity": shares(vola > 0, F.least(F.lit(1.0), per_asset / vola)),
+    }
+
+
+def block_reason(held: Column, value: Column, total: Column, equity: Column, peak: Column, positions: int, weight: int, drawdown: int) -> Column:
+    """Why a new position is not allowed: too many held, too large a percentage of the total, or too deep a drawdown."""
+    return F.when(held >= positions, "max_positions").when(100 * value > weight * total, "max_weight").when(100 * (peak - equity) > drawdown * peak, "drawdown")
 
 
 def exit_reason(gain: Column, entry: Column, stop_percent: int = 10, take_percent: int = 20) -> Column:

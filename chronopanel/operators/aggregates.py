@@ -103,3 +103,34 @@ def profile(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.to_date(F.min(time)).alias("first_d"), F.to_date(F.max(time)).alias("last_d")).select(F.lit(name).alias("name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def metric_audit(df: DataFrame, validated: list[str]) -> DataFrame:
+    """Numeric columns and validated names: which are present, which validated, and how many values there are."""
+    stack = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"n_{c}").alias("n_values"), F.col(f"m_{c}").alias("least")) for c in df.columns]))
+    have = df.agg(*[F.count(c).alias(f"n_{c}") for c in df.columns], *[F.min(c).alias(f"m_{c}") for c in df.columns]).select(stack)
+    rules = df.sparkSession.createDataFrame([(c, True) for c in validated], "metric string, validated boolean")
+    both = have.withColumn("present", F.lit(True)).join(rules, "metric", "full")
+    return both.select("metric", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("validated", F.lit(False)).alias("validated"), F.coalesce("n_values", F.lit(0)).alias("n_values"), "least")
+
+
+def requirement_gaps(frames: dict[str, DataFrame], needed: list[str]) -> DataFrame:
+    """Required ``table.column`` tokens against what the tables hold: a column without values is a gap too."""
+    spark, have = next(iter(frames.values())).sparkSession, None
+    for name, df in frames.items():
+        stack = F.inline(F.array(*[F.struct(F.lit(f"{name}.{c}").alias("token"), F.col(c).alias("n_values")) for c in df.columns]))
+        one = df.agg(*[F.count(c).alias(c) for c in df.columns]).select(stack)
+        have = one if have is None else have.unionByName(one)
+    need = spark.createDataFrame([(t,) for t in needed], "token string")
+    n = F.coalesce("n_values", F.lit(0))
+    return need.join(have, "token", "left").select("token", n.alias("n_values"), (n > 0).alias("available"))
+
+
+def power_curve(df: DataFrame, value: str, kept: Column, fractions: list[int], draws: int) -> DataFrame:
+    """Mean and spread over draws for each fraction, and the slope from one fraction to the next; ``kept`` says which rows a (fraction, draw) holds."""
+    cells = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("draw")) for f in fractions for k in range(draws)])
+    drawn = df.withColumn("_s", F.explode(cells)).select("*", "_s.*").where(kept)
+    means = drawn.groupBy("fraction", "draw").agg((F.sum(value) / F.count(F.lit(1))).alias("m"))
+    out = means.groupBy("fraction").agg(F.count(F.lit(1)).alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("std")).withColumn("one", F.lit(1))
+    before = lambda c: F.lag(c).over(W.partitionBy("one").orderBy("fraction"))
+    return out.select("fraction", "draws", "mean", "std", ((F.col("mean") - before("mean")) / (F.col("fraction") - before("fraction"))).alias("slope"))

@@ -56,6 +56,40 @@ def lookback(kind: str, period: int) -> int | None:
     raise ValueError(f"unknown lookback {kind!r}")
 
 
+def lookback_column(kind: str, period: str) -> Column:
+    """``lookback`` for a column of kinds; an unknown one fails the job."""
+    p = F.col(period)
+    bars = F.when(F.col(kind) == "window", F.greatest(F.lit(20), p) + 10).when(F.col(kind) == "converging", F.greatest(F.lit(400), 25 * p) + 10).when(F.col(kind) == "full", F.lit(None))
+    return bars.otherwise(F.raise_error(F.concat(F.lit("unknown lookback "), F.col(kind))).cast("long"))
+
+
+def candidates(atoms: DataFrame, name: str = "a") -> DataFrame:
+    """Single atoms, and AND and OR of all pairs in canonical order, with the size of the family; atoms are few."""
+    other = atoms.select(F.col(name).alias("b"))
+    pairs = atoms.join(other, F.col(name) < F.col("b")).withColumn("op", F.explode(F.array(F.lit("AND"), F.lit("OR"))))
+    n = F.broadcast(atoms.agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("family")))  # one row: n + 2 * n (n - 1) / 2
+    return pairs.unionByName(atoms, allowMissingColumns=True).join(n, F.lit(True))
+
+
+def coherence(runs: DataFrame, keys: list[str], run: str, admitted: str, passed: str, k: int) -> DataFrame:
+    """Whether none of the latest k complete runs admitted anything without having passed its test."""
+    last = latest_rows(runs, keys, run, k)
+    coherent = F.bool_and(F.col(passed) | (F.col(admitted) == 0))
+    return last.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.sum(admitted).alias("admitted"), coherent.alias("coherent"))
+
+
+def global_rank(df: DataFrame, value: str, tie: str, out: str = "place", buckets: int = 64) -> DataFrame:
+    """Place by descending value over all rows, without one task for all: rank within value ranges, plus the rows of higher ranges."""
+    cuts = df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)  # any cuts give the same places
+    over = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>"), F.lit(0), lambda a, c: a + (F.col(value) > c).cast("int"))
+    rows = df.withColumn("_b", over)
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    above = W.partitionBy("_one").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    before = F.broadcast(sizes.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before")))  # a row for each range
+    own = F.row_number().over(W.partitionBy("_b").orderBy(F.desc(value), tie))
+    return rows.join(before, "_b").withColumn(out, F.col("_before") + own).drop("_b", "_before")
+
+
 def bounded_read(rows: DataFrame, cutoff: DataFrame, keys: list[str], time: str, bars: int | None) -> DataFrame:
     """New rows and the last ``bars`` rows at or before the cutoff; entities without new rows are left out."""
     joined = rows.join(cutoff, keys, "left")

@@ -174,12 +174,11 @@ def d22_findings(spark, sf_dir):
     return trash.withColumn("verdict", F.lit("trash")).unionByName(suspect.withColumn("verdict", F.lit("suspect")))
 
 
-@query("SELECT unnest(['d', 'h', 'l', 'o']) AS metric WHERE true")
+@query("""n AS (SELECT unnest(['o', 'h', 'l', 'c', 'vol']) AS metric, unnest([count(o), count(h), count(l), count(c), count(vol)]) AS n_values, unnest([min(o), min(h), min(l), min(c), min(vol)]) AS least FROM bars),
+r AS (SELECT unnest(['c', 'vol', 'eps']) AS metric)
+SELECT coalesce(n.metric, r.metric) AS metric, n.metric IS NOT NULL AS present, r.metric IS NOT NULL AS validated, coalesce(n_values, 0) AS n_values, least FROM n FULL JOIN r ON n.metric = r.metric""")
 def d23_metric_audit(spark, sf_dir):
-    df = fx.bars(spark, sf_dir)
-    columns = spark.createDataFrame([(c,) for c, kind in df.dtypes if c != "entity_id"], "metric string")
-    rules = spark.createDataFrame([("c",), ("vol",)], "metric string")
-    return columns.join(rules, "metric", "left_anti")
+    return op.metric_audit(fx.bars(spark, sf_dir).drop("entity_id", "d"), ["c", "vol", "eps"])
 
 
 @query("SELECT entity_id, count(*) AS n, " + ", ".join(f"sum(CASE WHEN y >= q{q} THEN {q} * (y - q{q}) ELSE ({q} - 100) * (y - q{q}) END)::DOUBLE / count(*) AS loss_{q}" for q in (10, 50, 90)) + " FROM predictions JOIN outcomes USING (entity_id, d) GROUP BY 1")
@@ -295,12 +294,13 @@ g AS (SELECT f.entity_id, days.d, p0 FROM f JOIN days ON days.d >= first_d),
 v AS (SELECT g.d, (10000 * last_value(c IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY g.d ROWS UNBOUNDED PRECEDING)) // p0 AS v FROM g LEFT JOIN bars b ON b.entity_id = g.entity_id AND b.d = g.d)
 SELECT d, sum(v)::BIGINT AS equity, count(*) AS held FROM v GROUP BY d""")
 def d36_buy_and_hold(spark, sf_dir):
-    rows = fx.bars(spark, sf_dir)
-    first = rows.groupBy("entity_id").agg(F.min("d").alias("first_d"), F.min_by("c", "d").alias("p0"))
-    grid = first.join(rows.select("d").distinct(), F.col("d") >= F.col("first_d"))
-    full = grid.join(rows.select("entity_id", "d", "c"), ["entity_id", "d"], "left")
-    last = F.last("c", ignorenulls=True).over(W.partitionBy("entity_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    return full.withColumn("last_c", last).withColumn("v", F.expr("(10000 * last_c) div p0")).groupBy("d").agg(F.sum("v").alias("equity"), F.count(F.lit(1)).alias("held"))
+    # an entity's value stays between its bars: its changes are summed by date, then over dates
+    o = W.partitionBy("entity_id").orderBy("d")
+    rows = fx.bars(spark, sf_dir).withColumn("p0", F.first("c").over(o)).withColumn("v", F.expr("(10000 * c) div p0"))
+    rows = rows.withColumn("was", F.lag("v").over(o))
+    daily = rows.groupBy("d").agg(F.sum(F.col("v") - F.coalesce("was", F.lit(0))).alias("step"), F.count_if(F.col("was").isNull()).alias("new")).withColumn("one", F.lit(1))
+    upto = W.partitionBy("one").orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    return daily.select("d", F.sum("step").over(upto).alias("equity"), F.sum("new").over(upto).alias("held"))
 
 
 @query("""
@@ -311,10 +311,12 @@ def d37_arm_comparison(spark, sf_dir):
     return rows.groupBy("arm").agg(F.countDistinct("entity_id").alias("breadth"), (F.sum("y") / F.count(F.lit(1))).alias("mean_y"), op.median("y").alias("median_y"))
 
 
-@query("SELECT entity_id, arg_max(c, d) / arg_min(c, d) - 1 AS total_return, row_number() OVER (ORDER BY arg_max(c, d) / arg_min(c, d) DESC, entity_id) AS place FROM bars GROUP BY 1")
+@query("SELECT entity_id, arg_max(c, d) / arg_min(c, d) - 1 AS total_return, row_number() OVER (ORDER BY arg_max(c, d) / arg_min(c, d) - 1 DESC, entity_id) AS place FROM bars GROUP BY 1")
 def d38_ranking(spark, sf_dir):
+    from chronopanel.operators.tables import global_rank
+
     runs = fx.bars(spark, sf_dir).groupBy("entity_id").agg((F.max_by("c", "d") / F.min_by("c", "d") - 1).alias("total_return"))
-    return runs.withColumn("place", F.row_number().over(W.orderBy(F.desc("total_return"), "entity_id")).cast("long"))
+    return global_rank(runs, "total_return", "entity_id")
 
 
 @query("SELECT entity_id, greatest(0.0, least(1.0, (i - o) / i)) AS overfit FROM (SELECT entity_id, sum(y) FILTER (WHERE d < DATE '1998-01-01')::DOUBLE AS i, sum(y) FILTER (WHERE d >= DATE '1998-01-01')::DOUBLE AS o FROM outcomes GROUP BY 1) WHERE i > 0")
@@ -348,12 +350,13 @@ def d43_panel_coverage(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("entities"), F.min("c").alias("least"), F.max("c").alias("most"), F.count_if(F.col("c") * 100 >= 80 * F.col("t")).alias("complete"))
 
 
-@query("""
-f AS (SELECT entity_id % 5 AS fraction, sum(y)::DOUBLE / count(*) AS mean_y FROM outcomes GROUP BY 1)
-SELECT fraction, mean_y, mean_y - lag(mean_y) OVER (ORDER BY fraction) AS step FROM f""")
+@query("""f AS (SELECT unnest([20, 50, 80]) AS fraction), k AS (SELECT unnest(range(0, 5)) AS draw),
+x AS (SELECT fraction, draw, sum(y)::DOUBLE / count(*) AS mean_y FROM outcomes, f, k WHERE (entity_id * 7919 + draw * 104729) % 100 < fraction GROUP BY 1, 2),
+g AS (SELECT fraction, count(*) AS draws, round(avg(mean_y), 6) AS mean, round(stddev_samp(mean_y), 6) AS std FROM x GROUP BY 1)
+SELECT fraction, draws, mean, std, (mean - lag(mean) OVER w) / (fraction - lag(fraction) OVER w) AS slope FROM g WINDOW w AS (ORDER BY fraction)""")
 def d44_power_curve(spark, sf_dir):
-    rows = fx.outcomes(spark, sf_dir).groupBy((F.col("entity_id") % 5).alias("fraction")).agg((F.sum("y") / F.count(F.lit(1))).alias("mean_y"))
-    return rows.withColumn("step", F.col("mean_y") - F.lag("mean_y").over(W.orderBy("fraction")))
+    kept = (F.col("entity_id") * 7919 + F.col("draw") * 104729) % 100 < F.col("fraction")
+    return op.power_curve(fx.outcomes(spark, sf_dir), "y", kept, [20, 50, 80], 5)
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, CAST(min({c}) AS DATE) AS first_d, CAST(max({c}) AS DATE) AS last_d FROM {t}" for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"))))
@@ -361,12 +364,11 @@ def d45_table_profile(spark, sf_dir):
     return op.profile({t: (fx.table(spark, sf_dir, t), c) for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"))})
 
 
-@query("SELECT * FROM (VALUES ('bars.c', true), ('bars.x', false), ('dims.sector', true)) t(token, available)")
+@query("""t AS (SELECT 'bars.c' AS token, count(c) AS n_values FROM bars UNION ALL SELECT 'bars.vol', count(vol) FROM bars UNION ALL SELECT 'dims.sector', count(sector) FROM dims),
+need AS (SELECT unnest(['bars.c', 'bars.x', 'dims.sector']) AS token)
+SELECT token, coalesce(n_values, 0) AS n_values, coalesce(n_values, 0) > 0 AS available FROM need LEFT JOIN t USING (token)""")
 def d46_requirement_gaps(spark, sf_dir):
-    frames = {"bars": fx.bars(spark, sf_dir), "dims": fx.dims(spark, sf_dir)}
-    have = spark.createDataFrame([(f"{t}.{c}", True) for t, df in frames.items() for c in df.columns], "token string, available boolean")
-    need = spark.createDataFrame([(["bars.c", "bars.x", "dims.sector"],)], "tokens array<string>").select(F.explode("tokens").alias("token"))
-    return need.join(have, "token", "left").select("token", F.coalesce("available", F.lit(False)).alias("available"))
+    return op.requirement_gaps({"bars": fx.bars(spark, sf_dir), "dims": fx.dims(spark, sf_dir)}, ["bars.c", "bars.x", "dims.sector"])
 
 
 @query(_LONG + " SELECT f.entity_id, f.d, max(value) FILTER (WHERE feature = 'q10') AS q10, max(value) FILTER (WHERE feature = 'q50') AS q50, any_value(o.y) AS label FROM feats f JOIN outcomes o USING (entity_id, d) WHERE feature <> 'y' GROUP BY 1, 2")

@@ -10,10 +10,12 @@ from chronopanel.operators import aggregates as agg
 from chronopanel.operators import tables as tab
 from chronopanel.operators import windows as win
 from chronopanel.sources import fixtures as fx
+from chronopanel.sources import ingest as ing
 
 from .aggregates import scored
 from .joins import _LONG, long_features
 from .registry import query
+from .sources import scratch
 
 _E = "PARTITION BY entity_id ORDER BY d"
 
@@ -160,22 +162,35 @@ def b21_ensemble(spark, sf_dir):
     return models.join(weights, "k").groupBy("entity_id", "d").agg((F.sum(F.col("w") * F.col("q50")) / F.sum("w")).alias("q50"))
 
 
-@query("SELECT t.entity_id, t.d, least(greatest((shares * price * 5) // 10000, 100), 100000) + (shares * price * 2) // 10000 + coalesce((shares * price * shares) // (100 * nullif(vol, 0)), 0) AS cost FROM trades t JOIN bars b USING (entity_id, d)")
+@query("""x AS (SELECT t.entity_id, t.d, side, shares * price AS value, sqrt(shares::DOUBLE / nullif(vol, 0)) AS part, shares FROM trades t JOIN bars b USING (entity_id, d))
+SELECT entity_id, d, least(greatest(100 + 2 * shares, 150), 10000)::BIGINT AS commission, value * 2 / 10000 AS spread, coalesce(part * 0.1::DOUBLE * value, 0) AS impact,
+  CASE WHEN side = 'sell' THEN value * (0.03::DOUBLE / 252) ELSE 0 END AS borrow_fee_a_day FROM x""")
 def b22_trade_costs(spark, sf_dir):
     rows = fx.trades(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", "vol"), ["entity_id", "d"])
-    return rows.select("entity_id", "d", fn.trade_cost("shares", "price", "vol").alias("cost"))
+    cost = fn.trade_cost("shares", "price", "vol", per_trade=100, per_share=2, least=150, most=10_000, spread=2, impact=0.1)
+    fee = F.when(F.col("side") == "sell", fn.borrow_fee("shares", "price", 0.03)).otherwise(0.0)
+    return rows.select("entity_id", "d", *[c.alias(k) for k, c in cost.items()], fee.alias("borrow_fee_a_day"))
 
 
-@query("SELECT entity_id, d, side, CASE WHEN side = 'buy' THEN price + price * 5 // 10000 ELSE price - price * 5 // 10000 END AS fill, CASE WHEN side = 'buy' AND price < 3000000 OR side = 'sell' AND price > 2000000 THEN price END AS limit_fill FROM trades")
+@query("""x AS (SELECT t.entity_id, t.d, side, price, o, 0.0005::DOUBLE + coalesce(sqrt(shares::DOUBLE / nullif(vol, 0)) * 0.01::DOUBLE, 0) + coalesce((h - l) / c * 0.02::DOUBLE, 0) AS slip FROM trades t JOIN bars b USING (entity_id, d))
+SELECT entity_id, d, side, CASE WHEN side = 'buy' THEN price * (1 + slip) ELSE price * (1 - slip) END AS fill, CASE WHEN side = 'buy' AND price <= o OR side = 'sell' AND price >= o THEN o END AS limit_fill FROM x""")
 def b23_execution_price(spark, sf_dir):
+    rows = fx.trades(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", "o", "h", "l", "c", "vol"), ["entity_id", "d"])
     buy = F.col("side") == "buy"
-    fills = F.when(buy & (F.col("price") < 3_000_000) | ~buy & (F.col("price") > 2_000_000), F.col("price"))
-    return fx.trades(spark, sf_dir).select("entity_id", "d", "side", fn.fill_price(F.col("side"), "price").alias("fill"), fills.alias("limit_fill"))
+    fill = fn.fill_price(buy, "price", "shares", "vol", (F.col("h") - F.col("l")) / F.col("c"), fixed=0.0005, participation=0.01, volatility=0.02)
+    return rows.select("entity_id", "d", "side", fill.alias("fill"), fn.limit_fill(buy, "price", "o").alias("limit_fill"))
 
 
-@query("SELECT entity_id, d, 100000000 // c AS fixed_dollar, 5000000000 // (100 * c) AS fixed_percent, CAST(trunc(100000000::DOUBLE / (c * (1 + vol / 50.0::DOUBLE))) AS BIGINT) AS vol_target FROM bars")
+@query("""w AS (SELECT entity_id, count(*) FILTER (WHERE y > 0)::DOUBLE / count(*) AS rate, (sum(y) FILTER (WHERE y > 0)::DOUBLE / count(*) FILTER (WHERE y > 0)) / nullif(sum(-y) FILTER (WHERE y < 0)::DOUBLE / nullif(count(*) FILTER (WHERE y < 0), 0), 0) AS ratio FROM outcomes GROUP BY 1),
+x AS (SELECT entity_id, d, c, (rate * ratio - (1 - rate)) / ratio AS kelly, (h - l) / nullif(c, 0) AS vola FROM bars LEFT JOIN w USING (entity_id))
+SELECT entity_id, d, 100000000 // c AS fixed_dollar, 5000000000 // (100 * c) AS fixed_percent, coalesce(CASE WHEN kelly > 0 THEN CAST(trunc(1e9::DOUBLE * (kelly * 0.25::DOUBLE) / c) AS BIGINT) END, 0) AS kelly_shares,
+  coalesce(CASE WHEN vola > 0 THEN CAST(trunc(1e9::DOUBLE * (0.15::DOUBLE / vola) / c) AS BIGINT) END, 0) AS vol_target, coalesce(CASE WHEN vola > 0 THEN CAST(trunc(1e9::DOUBLE * least(1.0::DOUBLE, 0.1::DOUBLE / vola) / c) AS BIGINT) END, 0) AS risk_parity FROM x""")
 def b24_position_size(spark, sf_dir):
-    return fx.bars(spark, sf_dir).select("entity_id", "d", F.expr("100000000L div c").alias("fixed_dollar"), F.expr("5000000000L div (100 * c)").alias("fixed_percent"), F.expr("cast(100000000D / (c * (1 + vol / 50.0D)) as bigint)").alias("vol_target"))
+    up, down = F.when(F.col("y") > 0, F.col("y")), F.when(F.col("y") < 0, -F.col("y"))
+    wins = fx.outcomes(spark, sf_dir).groupBy("entity_id").agg((F.count(up) / F.count("y")).alias("rate"), (F.sum(up) / F.count(up) / F.nullif(F.sum(down) / F.nullif(F.count(down), F.lit(0)), F.lit(0))).alias("ratio"))
+    rows = fx.bars(spark, sf_dir).join(wins, "entity_id", "left").withColumn("vola", (F.col("h") - F.col("l")) / F.nullif("c", F.lit(0)))
+    sized = fn.position_sizes(1e9, "c", "rate", "ratio", "vola", kelly=0.25, target=0.15, per_asset=0.1)
+    return rows.select("entity_id", "d", F.expr("100000000L div c").alias("fixed_dollar"), F.expr("5000000000L div (100 * c)").alias("fixed_percent"), *[c.alias(k) for k, c in sized.items()])
 
 
 _POS = f"p AS (SELECT entity_id, d, c AS entry, lead(c, 4) OVER ({_E}) AS now, CASE WHEN vol % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM bars)"
@@ -189,9 +204,18 @@ def exits(spark, sf_dir):
     return p.withColumn("reason", fn.exit_reason(gain, F.col("entry")))
 
 
-@query(_POS + f" SELECT entity_id, d, side, {_EXIT} AS reason FROM p WHERE now IS NOT NULL")
+@query(_POS + f""", e AS (SELECT *, row_number() OVER w AS k, sum(entry) OVER (PARTITION BY d) AS total FROM p WINDOW w AS (PARTITION BY d ORDER BY entity_id)),
+m AS (SELECT d, sum(c) AS v FROM bars GROUP BY d), q AS (SELECT d, v, max(v) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM m)
+SELECT entity_id, d, side, {_EXIT} AS reason, CASE WHEN k > 5 THEN 'max_positions' WHEN 100 * entry > 20 * total THEN 'max_weight' WHEN 100 * (peak - v) > 50 * peak THEN 'drawdown' END AS blocked FROM e JOIN q USING (d) WHERE now IS NOT NULL""")
 def b25_exit_flags(spark, sf_dir):
-    return exits(spark, sf_dir).select("entity_id", "d", "side", "reason")
+    by_date = W.partitionBy("d")
+    rows = fx.bars(spark, sf_dir)
+    ranked = rows.select("entity_id", "d", F.row_number().over(by_date.orderBy("entity_id")).alias("k"), F.sum("c").over(by_date).alias("total"))
+    market = rows.groupBy("d").agg(F.sum("c").alias("v")).withColumn("one", F.lit(1))  # one row a date
+    market = market.withColumn("peak", F.max("v").over(W.partitionBy("one").orderBy("d").rowsBetween(W.unboundedPreceding, 0)))
+    out = exits(spark, sf_dir).join(ranked, ["entity_id", "d"]).join(market, "d")
+    blocked = fn.block_reason(F.col("k") - 1, F.col("entry"), F.col("total"), F.col("v"), F.col("peak"), positions=5, weight=20, drawdown=50)
+    return out.select("entity_id", "d", "side", "reason", blocked.alias("blocked"))
 
 
 @query(_POS + f", x AS (SELECT entity_id, d, {_EXIT} AS reason FROM p WHERE now IS NOT NULL) SELECT * FROM x WHERE reason IS NOT NULL")
@@ -367,10 +391,17 @@ def i01_incremental_features(spark, sf_dir):
     return tab.incremental(rows, stored, ["entity_id"], "d", tab.lookback("window", 20), lambda df: win.sma(df, "c", 20), ["entity_id", "d", "sma"])
 
 
-@query("SELECT * FROM (VALUES ('window', 5, 30), ('window', 50, 60), ('converging', 14, 410), ('converging', 30, 760), ('full', 9, NULL)) t(kind, period, bars)")
+@query("""a AS (SELECT entity_id, CASE entity_id % 3 WHEN 0 THEN 'window' WHEN 1 THEN 'converging' ELSE 'full' END AS kind, 5 + entity_id % 46 AS period, count(*) AS n FROM bars GROUP BY 1),
+b AS (SELECT *, CASE kind WHEN 'window' THEN greatest(20, period) + 10 WHEN 'converging' THEN greatest(400, 25 * period) + 10 END AS bars FROM a)
+SELECT entity_id, kind, period, bars, least(n, coalesce(bars, n)) AS n_read FROM b""")
 def i02_lookback_policy(spark, sf_dir):
-    asked = [("window", 5), ("window", 50), ("converging", 14), ("converging", 30), ("full", 9)]
-    return spark.createDataFrame([(k, p, tab.lookback(k, p)) for k, p in asked], "kind string, period int, bars int")
+    kind = F.element_at(F.array(F.lit("window"), F.lit("converging"), F.lit("full")), (F.col("entity_id") % 3 + 1).cast("int"))
+    asked = fx.bars(spark, sf_dir).select("entity_id", "d", kind.alias("kind"), (5 + F.col("entity_id") % 46).alias("period"))
+    policy = asked.select("kind", "period").distinct()
+    bound = tab.lookback_column("kind", "period")
+    back = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("d")))
+    read = asked.withColumn("back", back).join(policy.withColumn("bars", bound), ["kind", "period"]).where("bars is null or back <= bars")
+    return read.groupBy("entity_id", "kind", "period", "bars").agg(F.count(F.lit(1)).alias("n_read"))
 
 
 @query("m AS (SELECT d, sum(c) AS v FROM bars GROUP BY d) SELECT d, v, v - lag(v) OVER (ORDER BY d) AS step FROM m QUALIFY d > DATE '1999-01-01'")
@@ -408,10 +439,14 @@ def i05_derive_in_order(spark, sf_dir):
     return out
 
 
-@query("t AS (SELECT entity_id, d FROM bars WHERE c > 9000000) SELECT entity_id, d, c FROM bars ANTI JOIN t USING (entity_id, d)")
+@query("""x AS (SELECT entity_id, d, c, (c > 9000000 OR c < 150000) AS bad, (c > 9000000 OR c < 150000) AND vol % 5 = 0 AS resolved FROM bars),
+old AS (SELECT entity_id, d, c + 1 AS c FROM bars WHERE vol % 7 = 0), ok AS (SELECT entity_id, d, c FROM x WHERE NOT bad OR resolved)
+SELECT entity_id, d, c FROM ok UNION ALL SELECT entity_id, d, c FROM old WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.entity_id = old.entity_id AND ok.d = old.d)""")
 def i06_materialise_filtered(spark, sf_dir):
-    rows = fx.bars(spark, sf_dir).select("entity_id", "d", "c")
-    return rows.join(rows.where("c > 9000000").select("entity_id", "d"), ["entity_id", "d"], "left_anti")
+    rows = fx.bars(spark, sf_dir)
+    trash = rows.where("c > 9000000 or c < 150000").where("vol % 5 <> 0").select("entity_id", "d")  # findings nobody resolved
+    stored = rows.where("vol % 7 = 0").select("entity_id", "d", (F.col("c") + 1).alias("c"))
+    return tab.upsert(stored, rows.select("entity_id", "d", "c").join(trash, ["entity_id", "d"], "left_anti"), ["entity_id", "d"], [F.lit(0)])
 
 
 @query()
@@ -427,10 +462,18 @@ def i07_refresh_all(spark, sf_dir):
     return spark.createDataFrame(status, "series string, status string, n_rows long")
 
 
-@query("x AS (SELECT entity_id, d, c, c > 9000000 OR c < 150000 AS bad FROM bars) SELECT entity_id, count(*) AS n, count(*) FILTER (WHERE bad) AS findings, sum(c) FILTER (WHERE NOT bad)::BIGINT AS total FROM x GROUP BY 1")
+@query("""new AS (SELECT entity_id AS series, d, c AS value FROM bars WHERE vol % 3 > 0), old AS (SELECT entity_id AS series, d, c + 1 AS value FROM bars WHERE vol % 2 = 0),
+v AS (SELECT series, d, value FROM new UNION ALL SELECT series, d, value FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.series = old.series AND new.d = old.d)),
+f AS (SELECT series, d, 'out_of_bounds' AS rule FROM v WHERE value > 9000000 OR value < 150000),
+g AS (SELECT * FROM v ANTI JOIN f USING (series, d))
+SELECT n.series, n.symbol, count(v.d) AS stored, count(f.d) AS findings, count(g.d) AS materialised, sum(g.value)::BIGINT AS total, max(g.d) AS last_d
+FROM (SELECT entity_id AS series, symbol FROM dims) n JOIN v USING (series) LEFT JOIN f USING (series, d) LEFT JOIN g USING (series, d) GROUP BY ALL""")
 def i08_ingest_pipeline(spark, sf_dir):
-    bad = (F.col("c") > 9_000_000) | (F.col("c") < 150_000)
-    return fx.bars(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("findings"), F.sum(F.when(~bad, F.col("c"))).alias("total"))
+    rows = fx.bars(spark, sf_dir).select(F.col("entity_id").alias("series"), "d", F.col("c").alias("value"), "vol")
+    catalog = fx.dims(spark, sf_dir).select(F.col("entity_id").alias("series"), "symbol")
+    old = rows.where("vol % 2 = 0").select("series", "d", (F.col("value") + 1).alias("value"))
+    path = scratch(spark, "ingest")
+    return ing.ingest(catalog, old, rows.where("vol % 3 > 0").select("series", "d", "value"), ["series", "d"], {"out_of_bounds": (F.col("value") > 9_000_000) | (F.col("value") < 150_000)}, path)
 
 
 _PV = "pv AS (SELECT entity_id, sector, CASE WHEN entity_id % 7 = 0 THEN NULL ELSE (entity_id * 37 % 101) / 400.0::DOUBLE END AS p FROM dims)"
@@ -454,11 +497,11 @@ def l03_conditional_moments(spark, sf_dir):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).where("n >= 2")
 
 
-@query("a AS (SELECT unnest(['low_vol', 'high_vol', 'up', 'down']) AS atom) SELECT x.atom AS a, y.atom AS b, op FROM a x JOIN a y ON x.atom < y.atom, (SELECT unnest(['AND', 'OR']) AS op) UNION ALL SELECT atom, NULL, NULL FROM a")
+@query("""x AS (SELECT sector AS a FROM bars JOIN dims USING (entity_id) GROUP BY 1 HAVING max(c) > 1000000)
+SELECT a.a, b.a AS b, op, (SELECT count(*) * count(*) FROM x) AS family FROM x a JOIN x b ON a.a < b.a, (SELECT unnest(['AND', 'OR']) AS op) UNION ALL SELECT a, NULL, NULL, (SELECT count(*) * count(*) FROM x) FROM x""")
 def l05_candidates(spark, sf_dir):
-    atoms = spark.createDataFrame([("low_vol",), ("high_vol",), ("up",), ("down",)], "a string")
-    pairs = atoms.join(atoms.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).withColumn("op", F.explode(F.array(F.lit("AND"), F.lit("OR"))))
-    return pairs.unionByName(atoms, allowMissingColumns=True)
+    rows = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id")
+    return tab.candidates(rows.groupBy(F.col("sector").alias("a")).agg(F.max("c").alias("most")).where("most > 1000000").select("a"))
 
 
 @query(_PV + " SELECT sector, count(*) AS tested, count(p) AS evaluable, CASE WHEN count(p) = 0 THEN 'no evidence' WHEN max(p) <= 0.2 THEN 'confirmed' WHEN min(p) <= 0.05 THEN 'mixed' ELSE 'failed' END AS verdict, count(*) FILTER (WHERE p <= 0.2)::DOUBLE / nullif(count(p), 0) AS grade FROM pv GROUP BY 1")
@@ -493,30 +536,47 @@ def l12_recompute_check(spark, sf_dir):
     return rows.join(again, "entity_id").select("entity_id", F.coalesce(near, F.col("p").isNull() & F.col("again").isNull()).alias("matches"))
 
 
-@query("k AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d DESC) AS k FROM predictions) SELECT entity_id, bool_and(q10 < q50) AS coherent, count(*) AS n FROM k WHERE k <= 5 GROUP BY 1")
+@query("""r AS (SELECT entity_id, date_diff('day', DATE '1990-01-01', d) // 28 AS run, count(*) FILTER (WHERE q50 > 400) AS admitted, bool_and(q10 < q50 - 160) AS passed FROM predictions GROUP BY 1, 2 HAVING count(*) >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY run DESC) AS k FROM r)
+SELECT entity_id, count(*) AS runs, sum(admitted)::BIGINT AS admitted, bool_and(passed OR admitted = 0) AS coherent FROM k WHERE k <= 5 GROUP BY 1""")
 def l13_coherence_gate(spark, sf_dir):
-    last = tab.latest_rows(fx.predictions(spark, sf_dir), ["entity_id"], "d", 5)
-    return last.groupBy("entity_id").agg(F.bool_and(F.col("q10") < F.col("q50")).alias("coherent"), F.count(F.lit(1)).alias("n"))
+    run = F.expr("datediff(d, date'1990-01-01') div 28")
+    runs = fx.predictions(spark, sf_dir).groupBy("entity_id", run.alias("run")).agg(F.count_if(F.col("q50") > 400).alias("admitted"), F.bool_and(F.col("q10") < F.col("q50") - 160).alias("passed"), F.count(F.lit(1)).alias("n"))
+    return tab.coherence(runs.where("n >= 2"), ["entity_id"], "run", "admitted", "passed", 5)
 
 
-@query("d AS (SELECT * FROM (VALUES ('sma', 1, true, 3), ('sma', 2, true, 5), ('rsi', 1, false, 2), ('ema', 1, true, 1)) t(name, version, active, updated)) SELECT name, version FROM d WHERE active QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated DESC) = 1")
+@query("""v AS (SELECT industry AS name, entity_id AS version, vol % 4 > 0 AS active, d AS updated FROM bars JOIN dims USING (entity_id)),
+a AS (SELECT name, version, updated FROM v WHERE active QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated DESC, version DESC) = 1),
+u AS (SELECT DISTINCT n_name AS name FROM nation)
+SELECT u.name, version, updated, version IS NULL AS orphan FROM u LEFT JOIN a USING (name)""")
 def k06_registry(spark, sf_dir):
-    rows = spark.createDataFrame([("sma", 1, True, 3), ("sma", 2, True, 5), ("rsi", 1, False, 2), ("ema", 1, True, 1)], "name string, version int, active boolean, updated int")
-    return tab.first_per_key(rows.where("active"), ["name"], [F.desc("updated")]).select("name", "version")
+    rows = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id").select(F.col("industry").alias("name"), F.col("entity_id").alias("version"), (F.col("vol") % 4 > 0).alias("active"), F.col("d").alias("updated"))
+    newest = tab.first_per_key(rows.where("active"), ["name"], [F.desc("updated"), F.desc("version")]).select("name", "version", "updated")
+    named = fx.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).distinct()
+    return named.join(newest, "name", "left").withColumn("orphan", F.col("version").isNull())
 
 
-@query("SELECT p::INTEGER AS period, w AS weight, kind FROM (SELECT unnest([5, 10, 15]) AS p), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS w), (SELECT unnest(['a', 'b']) AS kind)")
+@query("""g AS (SELECT p::INTEGER AS period, w AS weight, kind FROM (SELECT unnest([5, 10, 15]) AS p), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS w), (SELECT unnest(['a', 'b']) AS kind)),
+s AS (SELECT sector, vol % 16 AS k, count(*) AS n FROM bars JOIN dims USING (entity_id) GROUP BY ALL)
+SELECT sector, period, weight, kind, weight * sum(CASE WHEN (kind = 'a') = (k >= period) THEN n ELSE 0 END)::BIGINT AS score FROM g, s GROUP BY sector, period, weight, kind""")
 def k07_parameter_grid(spark, sf_dir):
     from chronopanel.functions.udf import parameter_grid
 
-    return parameter_grid(spark, {"period": [5, 10, 15], "weight": [0.5, 1.0], "kind": ["a", "b"]})
+    grid = parameter_grid(spark, {"period": [5, 10, 15], "weight": [0.5, 1.0], "kind": ["a", "b"]})
+    counts = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id").groupBy("sector", (F.col("vol") % 16).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    hit = (F.col("kind") == "a") == (F.col("k") >= F.col("period"))
+    tried = counts.join(F.broadcast(grid), F.lit(True))  # a dozen rows
+    return tried.groupBy("sector", "period", "weight", "kind").agg((F.first("weight") * F.sum(F.when(hit, F.col("n")).otherwise(0))).alias("score"))
 
 
 @query()
 def k08_random_parameters(spark, sf_dir):
     from chronopanel.functions.udf import random_parameters
 
-    return random_parameters(spark, 50, {"period": (5, 50), "weight": (0.0, 1.0)}, seed=7)
+    drawn = random_parameters(spark, 50, {"period": (5, 50), "weight": (0.0, 1.0)}, seed=7).withColumn("draw", F.monotonically_increasing_id())
+    counts = fx.bars(spark, sf_dir).groupBy("vol").agg(F.count(F.lit(1)).alias("n"))
+    tried = counts.join(F.broadcast(drawn), F.lit(True))  # fifty rows
+    return tried.groupBy("draw", "period", "weight").agg((F.first("weight") * F.sum(F.when(F.col("vol") >= F.col("period"), F.col("n")).otherwise(0))).alias("score"))
 
 
 @query(f"SELECT entity_id, d, CASE WHEN count(c) OVER w = 20 THEN sum(c) OVER w / 20 END AS sma_20 FROM bars WINDOW w AS ({_E} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")

@@ -70,10 +70,10 @@ def a05_macro_csv(spark, sf_dir):
     return op.macro_csv(lines, "line")
 
 
-@query("SELECT entity_id, d, c::DOUBLE AS macd, vol::DOUBLE AS signal FROM bars WHERE entity_id < 40")
+@query("SELECT entity_id, d, c::DOUBLE AS macd, vol::DOUBLE AS signal FROM bars")
 def a06_indicator_payload(spark, sf_dir):
     item = F.create_map(F.lit("MACD"), F.col("c").cast("string"), F.lit("MACD_Signal"), F.col("vol").cast("string"))
-    rows = fx.bars(spark, sf_dir).where("entity_id < 40").groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("string"), item))).alias("m"))
+    rows = fx.bars(spark, sf_dir).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("string"), item))).alias("m"))
     payloads = rows.select("entity_id", F.to_json(F.create_map(F.lit("Technical Analysis: MACD"), "m")).alias("payload"))
     return op.keyed_series(payloads, "entity_id", "payload", "Technical Analysis: MACD", {"macd": "MACD", "signal": "MACD_Signal"})
 
@@ -102,10 +102,10 @@ def a09_dataset_export(spark, sf_dir):
     return back.groupBy("entity_id", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("SELECT entity_id, d, c, vol FROM bars WHERE entity_id < 30")
+@query("SELECT entity_id, d, c, vol FROM bars")
 def a10_dataset_read(spark, sf_dir):
     path = scratch(spark, "csv")
-    fx.bars(spark, sf_dir).where("entity_id < 30").select("entity_id", "d", "c", "vol").write.option("header", True).csv(path)
+    fx.bars(spark, sf_dir).select("entity_id", "d", "c", "vol").write.option("header", True).csv(path)
     return spark.read.schema("entity_id long, d date, c long, vol long").option("header", True).csv(path)
 
 

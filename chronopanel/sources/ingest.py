@@ -65,3 +65,26 @@ def snapshot_manifest(frames: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("string").alias("checksum")).select(F.lit(name).alias("name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def ingest(catalog: DataFrame, stored: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Column], path: str) -> DataFrame:
+    """Upsert values, record findings, materialise what none touches; all three are written below ``path``.
+
+    Returns a row per catalogued series with values: stored, findings, materialised, total and last_d.
+    ``keys`` are the series and the date.
+    """
+    from chronopanel.operators.tables import upsert
+
+    series, time = keys
+    upsert(stored, new, keys, [F.lit(0)]).write.parquet(f"{path}/values")
+    values = stored.sparkSession.read.schema(stored.schema).parquet(f"{path}/values")
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
+    values.select(*keys, F.explode(broken).alias("rule")).write.parquet(f"{path}/findings")
+    findings = stored.sparkSession.read.parquet(f"{path}/findings")
+    values.join(findings.select(*keys), keys, "left_anti").write.parquet(f"{path}/series")
+    clean = stored.sparkSession.read.schema(stored.schema).parquet(f"{path}/series")
+    count = lambda df, *more: df.groupBy(series).agg(*more)
+    out = catalog.join(count(values, F.count(F.lit(1)).alias("stored")), series)
+    out = out.join(count(findings, F.count(F.lit(1)).alias("findings")), series, "left")
+    out = out.join(count(clean, F.count(F.lit(1)).alias("materialised"), F.sum("value").alias("total"), F.max(time).alias("last_d")), series, "left")
+    return out.fillna(0, ["findings", "materialised"])
