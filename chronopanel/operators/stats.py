@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -44,16 +46,56 @@ def t_upper(t: float, df: float) -> float:
     return half if t > 0 else 1 - half
 
 
-def one_sided_t(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Per group: n, mean, t and the p-value of a mean above zero; fewer than two rows give 1."""
+@F.pandas_udf(T.DoubleType())
+def upper_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """P(T > t) of Student's t with df degrees of freedom; 1 where t is null."""
+    return pd.Series([1.0 if a is None or a != a else t_upper(float(a), float(b)) for a, b in zip(t, df, strict=True)])
+
+
+def t_moments(df: DataFrame, value: str, keys: list[str], least: int = 2) -> DataFrame:
+    """Per group: n, s, ss and the t statistic of a mean above zero; no t below ``least`` rows or without spread."""
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
+    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    spread = F.sqrt((n * ss - s * s).cast("double") / (n * (n - 1))) / F.sqrt(n.cast("double"))
+    return out.withColumn("t", F.when((n >= max(2, least)) & (n * ss > s * s), F.round(s / n / spread, 9)))
+
+
+def conditional_t(df: DataFrame, value: str, label: str, episodes: DataFrame, floor: int) -> DataFrame:
+    """``t_moments`` and p per label; refused (null, p of 1) below ``floor`` episodes."""
+    out = episodes.join(t_moments(df, value, [label]), label)
+    out = out.withColumn("t", F.when(F.col("episodes") >= floor, F.col("t")))
+    return out.withColumn("p", upper_p("t", F.col("n") - 1))
+
+
+def screen_and_test(df: DataFrame, value: str, keys: list[str], inner: Column, least: int, screen: float, confirm: float) -> DataFrame:
+    """Candidates that pass the screen on inner rows are tested on outer ones: t_inner, t_outer, p_outer, verdict."""
+    parts = t_moments(df.withColumn("_inner", inner), value, [*keys, "_inner"], least)
+    side = lambda holds, c: F.max(F.when(holds, F.col(c)))
+    out = parts.groupBy(*keys).agg(side(F.col("_inner"), "t").alias("t_inner"), side(~F.col("_inner"), "t").alias("t_outer"), side(~F.col("_inner"), "n").alias("n_outer"))
+    verdict = F.when(F.col("t_inner").isNull(), "no evidence").when(F.col("t_inner") <= screen, "screened out").when(F.col("t_outer").isNull(), "no evidence").when(F.col("t_outer") > confirm, "confirmed").otherwise("failed")
+    return out.withColumns({"verdict": verdict, "p_outer": upper_p("t_outer", F.coalesce(F.col("n_outer"), F.lit(2)) - 1)})
+
 
-    @F.pandas_udf("double")
-    def upper(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if t_ is None else t_upper(float(t_), float(n_ - 1)) for t_, n_ in zip(t, n, strict=True)])
+def fold_grades(df: DataFrame, value: str, keys: list[str], fold: str, least: int, bound: float) -> DataFrame:
+    """Retests per fold: confirmed if every evaluable one is above the bound; folds of low power are no evidence."""
+    t = t_moments(df, value, [*keys, fold], least)
+    n, ok = F.count("t"), F.count_if(F.col("t") > bound)
+    verdict = F.when(n == 0, "no evidence").when(ok == n, "confirmed").otherwise("failed")
+    return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), n.alias("evaluable"), verdict.alias("verdict"), (ok / F.nullif(n, F.lit(0))).alias("grade"))
 
+
+def recomputed(stored: DataFrame, again: DataFrame, keys: list[str], p: str = "p", absolute: float = 1e-9, relative: float = 1e-6) -> DataFrame:
+    """Recomputed rows with ``matches``: whether the stored p is the same within the tolerances, or both are missing."""
+    old = stored.select(*keys, F.col(p).alias("_stored"))
+    near = F.abs(F.col(p) - F.col("_stored")) <= F.greatest(F.lit(absolute), relative * F.abs("_stored"))
+    return again.join(old, keys, "left").withColumn("matches", F.coalesce(near, F.col(p).isNull() & F.col("_stored").isNull())).drop("_stored")
+
+
+def one_sided_t(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Per group: n, mean, t and the p-value of a mean above zero; fewer than two rows give 1."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
     out = out.withColumn("t", F.when(F.col("_s") > 0, F.col("mean") / (F.col("_s") / F.sqrt("n"))))
-    return out.withColumn("p", F.when(F.col("t").isNull(), 1.0).otherwise(upper(F.coalesce("t", F.lit(0.0)), "n"))).drop("_s")
+    return out.withColumn("p", upper_p("t", F.col("n") - 1)).drop("_s")
 
 
 def hac_interaction(df: DataFrame, y: str, s: str, c: str, keys: list[str], time: str) -> DataFrame:
@@ -82,26 +124,44 @@ def hac_interaction(df: DataFrame, y: str, s: str, c: str, keys: list[str], time
     return df.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def bootstrap_spa(df: DataFrame, unit: str, place: str, value: str, n_places: int, iterations: int, block: int, seed: int) -> DataFrame:
-    """Stationary bootstrap of the best unit's mean: iterations as rows, paths by seeded hash, joined on the place.
+def hac_scale(df: DataFrame, unit: str, place: str, value: str, lags: int) -> DataFrame:
+    """Per unit: n, mean and the root of the long-run variance with Bartlett weights; places that a unit lacks count as its mean."""
+    centre = df.groupBy(unit).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.pow(F.stddev_pop(value), 2).alias("_v"))
+    x = df.join(centre.select(unit, "mean"), unit).select(unit, place, (F.col(value) - F.col("mean")).alias("_x"))
+    shifted = x.select(unit, F.col("_x").alias("_y"), F.explode(F.sequence(F.lit(1), F.lit(max(1, lags)))).alias("_k"), place).withColumn(place, F.col(place) + F.col("_k"))
+    weight = 1 - F.col("_k") / (lags + 1)
+    cross = x.join(shifted, [unit, place]).groupBy(unit).agg(F.sum(weight * F.col("_x") * F.col("_y")).alias("_c"))
+    long_run = F.col("_v") + 2 * F.coalesce("_c", F.lit(0.0)) / F.col("n")
+    return centre.join(cross, unit, "left").select(unit, "n", "mean", F.sqrt(F.greatest(long_run, F.lit(1e-12))).alias("scale"))
+
 
-    Per iteration the largest centred mean over units; ``place`` runs from 0.
+def bootstrap_spa(df: DataFrame, unit: str, place: str, value: str, iterations: int, block: int, seed: int) -> DataFrame:
+    """Test for superior ability by stationary bootstrap: t of the best unit, and its lower, consistent and upper p.
+
+    Iterations are rows; paths come from a seeded hash over all places, of which
+    ``place`` counts from 0, and join the units' values on the place.
     """
     spark = df.sparkSession
+    n_places = (df.agg(F.max(place)).first()[0] or 0) + 1
+    lags = int(4 * (n_places / 100) ** (2 / 9))
+    scale = hac_scale(df, unit, place, value, lags)
     draws = spark.range(iterations).withColumnRenamed("id", "it").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_places - 1))))
     fresh = F.pmod(F.xxhash64(F.lit(seed), "it", "i"), F.lit(block)) == 0
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "it", "i"), F.lit(n_places))
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("it").orderBy("i")
     draws = draws.withColumn("_at", F.when(fresh | (F.col("i") == 0), F.struct("i", start.alias("from_"))))
-    last = F.last("_at", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    last = F.last("_at", ignorenulls=True).over(W.partitionBy("it").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     path = draws.withColumn("_l", last).select("it", F.pmod(F.col("_l.from_") + F.col("i") - F.col("_l.i"), F.lit(n_places)).cast("int").alias(place))
     count = path.groupBy("it", place).agg(F.count(F.lit(1)).alias("k"))  # a path is a multiset of places
-    centre = df.groupBy(unit).agg(F.avg(value).alias("_mean"))
-    rows = df.join(centre, unit).select(unit, F.col(place).cast("int").alias(place), (F.col(value) - F.col("_mean")).alias("x"))
-    means = count.join(rows, place).groupBy("it", unit).agg((F.sum(F.col("k") * F.col("x")) / n_places).alias("m"))
-    return means.groupBy("it").agg(F.max("m").alias("best"))
+    rows = df.select(unit, F.col(place).cast("int").alias(place), F.col(value).cast("double").alias("_x"))
+    means = count.join(rows, place).groupBy("it", unit).agg((F.sum(F.col("k") * F.col("_x")) / F.sum("k")).alias("m")).join(scale, unit)
+    root = F.sqrt(F.col("n").cast("double"))
+    z = root * F.col("mean") / F.col("scale")
+    enough = z >= -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(3)).cast("double"))))
+    centre = {"lower": F.greatest("mean", F.lit(0.0)), "consistent": F.when(enough, F.col("mean")).otherwise(0.0), "upper": F.col("mean")}
+    best = means.groupBy("it").agg(*[F.max(root * (F.col("m") - c) / F.col("scale")).alias(k) for k, c in centre.items()])
+    t = F.broadcast(scale.agg(F.greatest(F.lit(0.0), F.max(z)).alias("t")))  # one row
+    p = [F.avg((F.col(k) > F.col("t")).cast("double")).alias(f"p_{k}") for k in centre]
+    return best.join(t, F.lit(True)).agg(F.count(F.lit(1)).alias("iterations"), F.first("t").alias("t"), *p)
 
 
 def block_length(df: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:

@@ -78,16 +78,30 @@ def coherence(runs: DataFrame, keys: list[str], run: str, admitted: str, passed:
     return last.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.sum(admitted).alias("admitted"), coherent.alias("coherent"))
 
 
-def global_rank(df: DataFrame, value: str, tie: str, out: str = "place", buckets: int = 64) -> DataFrame:
-    """Place by descending value over all rows, without one task for all: rank within value ranges, plus the rows of higher ranges."""
-    cuts = df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)  # any cuts give the same places
-    over = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>"), F.lit(0), lambda a, c: a + (F.col(value) > c).cast("int"))
-    rows = df.withColumn("_b", over)
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    above = W.partitionBy("_one").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    before = F.broadcast(sizes.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before")))  # a row for each range
-    own = F.row_number().over(W.partitionBy("_b").orderBy(F.desc(value), tie))
-    return rows.join(before, "_b").withColumn(out, F.col("_before") + own).drop("_b", "_before")
+def _value_range(df: DataFrame, value: str, buckets: int) -> Column:
+    """Number of a value's range, in order of the values; ranges hold about equally many rows."""
+    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
+    return F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda a, c: a + (F.col(value) > c).cast("int"))
+
+
+def running_total(df: DataFrame, value: str, amount: str, out: str, total: str, descending: bool = False, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of ``amount`` up to each row in order of ``value``, and of all rows, without one task for all.
+
+    Sums run within value ranges; those of the ranges before are added.  Any
+    ranges give the same result.
+    """
+    rows = df.withColumn("_b", _value_range(df, value, buckets))
+    order = F.desc if descending else F.asc
+    sizes = rows.groupBy("_b").agg(F.sum(amount).alias("_n")).withColumn("_one", F.lit(1))
+    part = W.partitionBy("_one")
+    ranges = sizes.select("_b", F.coalesce(F.sum("_n").over(part.orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(part).alias(total))
+    own = F.sum(amount).over(W.partitionBy("_b").orderBy(order(value), *ties).rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(F.broadcast(ranges), "_b").withColumn(out, F.col("_before") + own).drop("_b", "_before")  # a row for each range
+
+
+def global_rank(df: DataFrame, value: str, tie: str, out: str = "place") -> DataFrame:
+    """Place by descending value over all rows."""
+    return running_total(df.withColumn("_w", F.lit(1)), value, "_w", out, "_all", descending=True, ties=(tie,)).drop("_w", "_all")
 
 
 def bounded_read(rows: DataFrame, cutoff: DataFrame, keys: list[str], time: str, bars: int | None) -> DataFrame:

@@ -100,11 +100,13 @@ def sector_returns(spark, sf_dir):
     return rows.select("entity_id", "sector", "d", "r").where("r is not null")
 
 
-@query(_PAIRS + " SELECT a, b, n, (n * sab - sa * sb)::DOUBLE / nullif(n * sbb - sb * sb, 0) AS hedge, (n * sab - sa * sb) > 0 AS together FROM s WHERE n >= 20")
+@query(_R + """, k AS (SELECT a.entity_id AS a, b.entity_id AS b, a.d, a.r AS ra, b.r AS rb FROM r a JOIN r b ON a.sector = b.sector AND a.d = b.d AND a.entity_id < b.entity_id WHERE a.r IS NOT NULL AND b.r IS NOT NULL),
+s AS (SELECT a, b, count(*) AS n, sum(ra) AS sa, sum(rb) AS sb, sum(ra * ra) AS saa, sum(rb * rb) AS sbb, sum(ra * rb) AS sab, arg_max(ra, d) AS la, arg_max(rb, d) AS lb FROM k GROUP BY 1, 2),
+h AS (SELECT *, (n * sab - sa * sb)::DOUBLE / nullif(n * sbb - sb * sb, 0) AS hedge, (n * sab - sa * sb)::DOUBLE / sqrt((n * saa - sa * sa)::DOUBLE) / sqrt((n * sbb - sb * sb)::DOUBLE) AS corr FROM s WHERE n >= 20 AND n * saa > sa * sa AND n * sbb > sb * sb),
+z AS (SELECT *, (sa - hedge * sb) / n AS mean, (saa - 2 * hedge * sab + hedge * hedge * sbb) / n AS square FROM h)
+SELECT a, b, n, hedge, corr, abs(corr) >= 0.7 AS related, round((la - hedge * lb - mean) / nullif(sqrt(greatest(square - mean * mean, 0)), 0), 6) + 0.0::DOUBLE AS spread_z FROM z""")
 def c10_pairs_hedge(spark, sf_dir):
-    s = op.pairs(sector_returns(spark, sf_dir), "r", "sector").where("n >= 20")
-    cov, var = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb"), F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
-    return s.select("a", "b", "n", (cov / F.nullif(var, F.lit(0))).alias("hedge"), (cov > 0).alias("together"))
+    return op.hedges(op.pairs(sector_returns(spark, sf_dir), "r", "sector").where("n >= 20"), 0.7).select("a", "b", "n", "hedge", "corr", "related", "spread_z")
 
 
 @query(_PAIRS + " SELECT a, b, n, (n * sab - sa * sb)::DOUBLE / sqrt((n * saa - sa * sa)::DOUBLE) / sqrt((n * sbb - sb * sb)::DOUBLE) AS corr FROM s WHERE n >= 20 AND n * saa > sa * sa AND n * sbb > sb * sb")

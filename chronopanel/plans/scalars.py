@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import scalars as fn
 from chronopanel.operators import aggregates as agg
+from chronopanel.operators import stats as sta
 from chronopanel.operators import tables as tab
 from chronopanel.operators import windows as win
 from chronopanel.sources import fixtures as fx
@@ -116,8 +117,7 @@ def b14_return_class(spark, sf_dir):
 def b15_label_transforms(spark, sf_dir):
     rows = fx.outcomes(spark, sf_dir)
     ends = F.broadcast(rows.agg(*[F.expr(f"percentile_disc({q}) within group (order by y)").cast("long").alias(c) for c, q in (("lo", 0.05), ("hi", 0.95))]))  # one row
-    by_value = rows.groupBy("y").agg(F.count(F.lit(1)).alias("ties"))  # ranks over values, not rows
-    before = by_value.withColumn("upto", F.sum("ties").over(W.orderBy("y"))).withColumn("n", F.sum("ties").over(W.partitionBy()))
+    before = tab.running_total(rows.groupBy("y").agg(F.count(F.lit(1)).alias("ties")), "y", "ties", "upto", "n")  # ranks over values, not rows
     place = (2 * (F.col("upto") - F.col("ties") + 1) + F.col("ties") - 1) / (2 * F.col("n")) - 0.5
     y = F.col("y")
     return rows.join(before, "y").join(ends, F.lit(True)).select("entity_id", "d", F.greatest("lo", F.least("hi", y)).alias("winsorised"), F.greatest(F.lit(-1000), F.least(F.lit(1000), y)).alias("clipped"), (F.signum(y.cast("double")) * F.sqrt(F.abs(y).cast("double"))).alias("signed_root"), place.alias("centred_rank"))
@@ -129,17 +129,20 @@ def b16_adaptive_thresholds(spark, sf_dir):
     return fx.bars(spark, sf_dir).select("entity_id", "d", weak.alias("weak"), strong.alias("strong"))
 
 
-@query()
+@query("SELECT entity_id, d, round(0.7::DOUBLE * exp(-(q90 - q10) / 350.0::DOUBLE) + 0.3::DOUBLE * least(1.0::DOUBLE, abs(q50) / 350.0::DOUBLE), 9) AS confidence FROM predictions")
 def b17_quantile_confidence(spark, sf_dir):
     p = fx.predictions(spark, sf_dir)
-    return p.select("entity_id", "d", fn.quantile_confidence((F.col("q90") - F.col("q10")).cast("double"), F.lit(350.0), F.col("q50").cast("double")).alias("confidence"))
+    confidence = fn.quantile_confidence((F.col("q90") - F.col("q10")).cast("double"), F.lit(350.0), F.col("q50").cast("double"))
+    return p.select("entity_id", "d", F.round(confidence, 9).alias("confidence"))
 
 
-@query()
+@query("""x AS (SELECT entity_id, d, unnest(range(0, 5)) AS k, vol FROM bars), r AS (SELECT entity_id, d, vol % (k + 3) + 1 AS r FROM x),
+p AS (SELECT entity_id, d, r::DOUBLE / sum(r) OVER (PARTITION BY entity_id, d) AS p, row_number() OVER (PARTITION BY entity_id, d ORDER BY r DESC) AS place FROM r)
+SELECT entity_id, d, round(0.5::DOUBLE * (1 - sum(-p * ln(p)) / ln(5.0::DOUBLE)) + 0.5::DOUBLE * (sum(p) FILTER (WHERE place = 1) - sum(p) FILTER (WHERE place = 2)), 9) + 0.0::DOUBLE AS confidence FROM p GROUP BY 1, 2""")
 def b18_class_confidence(spark, sf_dir):
     raw = [F.col("vol") % (k + 3) + 1 for k in range(5)]
     total = sum(raw[1:], raw[0])
-    return fx.bars(spark, sf_dir).select("entity_id", "d", fn.class_confidence(F.array(*[x / total for x in raw]), 5).alias("confidence"))
+    return fx.bars(spark, sf_dir).select("entity_id", "d", (F.round(fn.class_confidence(F.array(*[x / total for x in raw]), 5), 9) + F.lit(0.0)).alias("confidence"))
 
 
 @query("x AS (SELECT entity_id, d, unnest([q10, q50, q90]) AS v FROM predictions) SELECT entity_id, d, max(v) - min(v) AS spread, (count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*)) AS variance FROM x GROUP BY 1, 2")
@@ -491,10 +494,26 @@ def l02_t_moments(spark, sf_dir):
     return fx.outcomes(spark, sf_dir).groupBy("entity_id").agg(n.alias("n"), s.alias("s"), ((n * F.sum(F.col("y") * F.col("y")) - s * s) / (n * (n - 1))).alias("variance")).where("n > 1")
 
 
-@query("lab AS (SELECT entity_id, d, CASE WHEN vol > 30 THEN 'busy' ELSE 'calm' END AS label FROM bars) SELECT label, count(*) AS n, sum(y)::BIGINT AS s, sum(y * y)::BIGINT AS ss FROM lab JOIN outcomes USING (entity_id, d) GROUP BY 1 HAVING count(*) >= 2")
+def conditional(spark, sf_dir):
+    """Outcomes by label of their bar: episodes, moments, t and p; refused below five episodes."""
+    rows = fx.bars(spark, sf_dir).withColumn("label", F.when(F.col("vol") > 30, "busy").otherwise("calm"))
+    episodes = win.islands(rows, "label").groupBy("label").agg(F.count(F.lit(1)).alias("episodes"))
+    return sta.conditional_t(rows.join(fx.outcomes(spark, sf_dir), ["entity_id", "d"]), "y", "label", episodes, 5)
+
+
+def screened(spark, sf_dir):
+    """Candidates (busy or not) by sector: frozen on dates before 1998, tested on those after."""
+    rows = fx.outcomes(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", (F.col("vol") > 30).alias("busy")), ["entity_id", "d"]).join(fx.dims(spark, sf_dir), "entity_id")
+    return sta.screen_and_test(rows, "y", ["sector", "busy"], F.col("d") < F.lit("1998-01-01").cast("date"), 20, 0.5, 1.645)
+
+
+@query("""lab AS (SELECT entity_id, d, CASE WHEN vol > 30 THEN 'busy' ELSE 'calm' END AS label FROM bars),
+e AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d) - row_number() OVER (PARTITION BY entity_id, label ORDER BY d) AS g FROM lab),
+n AS (SELECT label, count(*) AS episodes FROM (SELECT DISTINCT entity_id, label, g FROM e) GROUP BY 1),
+m AS (SELECT label, count(*) AS n, sum(y)::BIGINT AS s, sum(y * y)::BIGINT AS ss FROM lab JOIN outcomes USING (entity_id, d) GROUP BY 1)
+SELECT label, episodes, n, s, ss, CASE WHEN episodes >= 5 AND n >= 2 AND n * ss > s * s THEN round((s::DOUBLE / n) / (sqrt((n * ss - s * s)::DOUBLE / (n * (n - 1))) / sqrt(n::DOUBLE)), 9) END AS t FROM n JOIN m USING (label)""")
 def l03_conditional_moments(spark, sf_dir):
-    rows = fx.bars(spark, sf_dir).withColumn("label", F.when(F.col("vol") > 30, "busy").otherwise("calm")).join(fx.outcomes(spark, sf_dir), ["entity_id", "d"])
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).where("n >= 2")
+    return conditional(spark, sf_dir).drop("p")
 
 
 @query("""x AS (SELECT sector AS a FROM bars JOIN dims USING (entity_id) GROUP BY 1 HAVING max(c) > 1000000)
@@ -504,19 +523,22 @@ def l05_candidates(spark, sf_dir):
     return tab.candidates(rows.groupBy(F.col("sector").alias("a")).agg(F.max("c").alias("most")).where("most > 1000000").select("a"))
 
 
-@query(_PV + " SELECT sector, count(*) AS tested, count(p) AS evaluable, CASE WHEN count(p) = 0 THEN 'no evidence' WHEN max(p) <= 0.2 THEN 'confirmed' WHEN min(p) <= 0.05 THEN 'mixed' ELSE 'failed' END AS verdict, count(*) FILTER (WHERE p <= 0.2)::DOUBLE / nullif(count(p), 0) AS grade FROM pv GROUP BY 1")
+@query("""z AS (SELECT sector, y, d < DATE '1998-01-01' AS inner_part, vol > 30 AS busy FROM outcomes JOIN bars USING (entity_id, d) JOIN dims USING (entity_id)),
+m AS (SELECT sector, busy, inner_part, count(*) AS n, sum(y)::BIGINT AS s, sum(y * y)::BIGINT AS ss FROM z GROUP BY 1, 2, 3),
+t AS (SELECT *, CASE WHEN n >= 20 AND n * ss > s * s THEN round((s::DOUBLE / n) / (sqrt((n * ss - s * s)::DOUBLE / (n * (n - 1))) / sqrt(n::DOUBLE)), 9) END AS t FROM m),
+p AS (SELECT sector, busy, max(t) FILTER (WHERE inner_part) AS t_inner, max(t) FILTER (WHERE NOT inner_part) AS t_outer FROM t GROUP BY 1, 2)
+SELECT sector, busy, t_inner, t_outer, CASE WHEN t_inner IS NULL THEN 'no evidence' WHEN t_inner <= 0.5 THEN 'screened out' WHEN t_outer IS NULL THEN 'no evidence' WHEN t_outer > 1.645 THEN 'confirmed' ELSE 'failed' END AS verdict FROM p""")
 def l06_verdicts(spark, sf_dir):
-    p = F.when(F.col("entity_id") % 7 != 0, F.col("entity_id") * 37 % 101 / 400.0)
-    out = fx.dims(spark, sf_dir).withColumn("p", p).groupBy("sector").agg(F.count(F.lit(1)).alias("tested"), F.count("p").alias("evaluable"), F.max("p").alias("most"), F.min("p").alias("least"), F.count_if(F.col("p") <= 0.2).alias("ok"))
-    verdict = F.when(F.col("evaluable") == 0, "no evidence").when(F.col("most") <= 0.2, "confirmed").when(F.col("least") <= 0.05, "mixed").otherwise("failed")
-    return out.select("sector", "tested", "evaluable", verdict.alias("verdict"), (F.col("ok") / F.nullif("evaluable", F.lit(0))).alias("grade"))
+    return screened(spark, sf_dir).select("sector", "busy", "t_inner", "t_outer", "verdict")
 
 
-@query("f AS (SELECT entity_id, date_diff('day', DATE '1995-01-01', d) // 180 AS fold, count(*) AS n, sum(y)::BIGINT AS s FROM outcomes GROUP BY 1, 2) SELECT entity_id, count(*) AS folds, bool_and(s > 0) AS all_up, count(*) FILTER (WHERE s > 0)::DOUBLE / count(*) AS grade FROM f WHERE n >= 5 GROUP BY 1")
+@query("""f AS (SELECT entity_id, date_diff('day', DATE '1995-01-01', d) // 180 AS fold, count(*) AS n, sum(y)::BIGINT AS s, sum(y * y)::BIGINT AS ss FROM outcomes WHERE d >= DATE '1995-01-01' GROUP BY 1, 2),
+t AS (SELECT *, CASE WHEN n >= 8 AND n * ss > s * s THEN round((s::DOUBLE / n) / (sqrt((n * ss - s * s)::DOUBLE / (n * (n - 1))) / sqrt(n::DOUBLE)), 9) END AS t FROM f)
+SELECT entity_id, count(*) AS folds, count(t) AS evaluable, CASE WHEN count(t) = 0 THEN 'no evidence' WHEN bool_and(t > 0.5) FILTER (WHERE t IS NOT NULL) THEN 'confirmed' ELSE 'failed' END AS verdict,
+  count(*) FILTER (WHERE t > 0.5)::DOUBLE / nullif(count(t), 0) AS grade FROM t GROUP BY 1""")
 def l09_fold_grades(spark, sf_dir):
     fold = F.expr("datediff(d, date'1995-01-01') div 180")
-    folds = fx.outcomes(spark, sf_dir).groupBy("entity_id", fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).where("n >= 5")
-    return folds.groupBy("entity_id").agg(F.count(F.lit(1)).alias("folds"), F.bool_and(F.col("s") > 0).alias("all_up"), (F.count_if(F.col("s") > 0) / F.count(F.lit(1))).alias("grade"))
+    return sta.fold_grades(fx.outcomes(spark, sf_dir).where("d >= date'1995-01-01'").withColumn("fold", fold), "y", ["entity_id"], "fold", 8, 0.5)
 
 
 @query("t AS (SELECT count(DISTINCT d) AS t FROM bars) SELECT entity_id, count(DISTINCT d) AS n, count(DISTINCT d)::DOUBLE / any_value(t) AS coverage, count(DISTINCT d) * 100 >= 80 * any_value(t) AS passed FROM bars, t GROUP BY 1")
@@ -527,13 +549,14 @@ def l10_coverage_gate(spark, sf_dir):
     return out.select("entity_id", "n", (F.col("n") / F.col("t")).alias("coverage"), (F.col("n") * 100 >= 80 * F.col("t")).alias("passed"))
 
 
-@query(_PV + ", r AS (SELECT entity_id, CASE WHEN entity_id % 5 = 0 THEN p + 0.001 ELSE p END AS again FROM pv) SELECT entity_id, coalesce(abs(p - again) <= greatest(1e-9::DOUBLE, 1e-6::DOUBLE * abs(p)), p IS NULL AND again IS NULL) AS matches FROM pv JOIN r USING (entity_id)")
+@query("""m AS (SELECT sector, vol > 30 AS busy, count(*) AS n, sum(y)::BIGINT AS s, sum(y * y)::BIGINT AS ss FROM outcomes JOIN bars USING (entity_id, d) JOIN dims USING (entity_id) GROUP BY 1, 2)
+SELECT sector, busy, n > 1 AND n * ss > s * s AS has_p, NOT (sector = 'ASIA' AND busy AND n > 1 AND n * ss > s * s) AS matches FROM m""")
 def l12_recompute_check(spark, sf_dir):
-    p = F.when(F.col("entity_id") % 7 != 0, F.col("entity_id") * 37 % 101 / 400.0)
-    rows = fx.dims(spark, sf_dir).select("entity_id", p.alias("p"))
-    again = rows.select("entity_id", F.when(F.col("entity_id") % 5 == 0, F.col("p") + 0.001).otherwise(F.col("p")).alias("again"))
-    near = F.abs(F.col("p") - F.col("again")) <= F.greatest(F.lit(1e-9), 1e-6 * F.abs("p"))
-    return rows.join(again, "entity_id").select("entity_id", F.coalesce(near, F.col("p").isNull() & F.col("again").isNull()).alias("matches"))
+    rows = fx.outcomes(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", (F.col("vol") > 30).alias("busy")), ["entity_id", "d"]).join(fx.dims(spark, sf_dir), "entity_id")
+    keys = ["sector", "busy"]
+    drift = F.when((F.col("sector") == "ASIA") & F.col("busy"), F.col("p") + 0.001).otherwise(F.col("p"))
+    stored = sta.one_sided_t(rows.repartition("d"), "y", keys).withColumn("p", drift)  # another order of sums
+    return sta.recomputed(stored, sta.one_sided_t(rows, "y", keys), keys).select(*keys, F.col("t").isNotNull().alias("has_p"), "matches")
 
 
 @query("""r AS (SELECT entity_id, date_diff('day', DATE '1990-01-01', d) // 28 AS run, count(*) FILTER (WHERE q50 > 400) AS admitted, bool_and(q10 < q50 - 160) AS passed FROM predictions GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -619,3 +642,15 @@ def e31_two_state(spark, sf_dir):
     rows = fx.bars(spark, sf_dir).select("entity_id", "d", "c")
     cut = rows.where("d < date'1998-01-01'").groupBy("entity_id").agg(F.expr("percentile_disc(0.5) within group (order by c)").alias("cut"))
     return rows.join(cut, "entity_id").select("entity_id", "d", F.when(F.col("c") > F.col("cut"), "high").otherwise("low").alias("state"))
+
+
+@query()
+def l03_conditional_p(spark, sf_dir):
+    return conditional(spark, sf_dir).select("label", "episodes", "n", "t", "p")
+
+
+@query()
+def l06_survivors(spark, sf_dir):
+    """Outer p-values of screened candidates, and which survive the false discovery rate."""
+    tested = screened(spark, sf_dir).where("verdict in ('confirmed', 'failed')")
+    return tab.benjamini_hochberg(tested.withColumn("family", F.lit("outer")), "p_outer", ["family"], 0.1).select("sector", "busy", "p_outer", "survivor")
