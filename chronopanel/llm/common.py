@@ -8,6 +8,9 @@ stay on executors' disks, and what a lost executor held is computed again.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -143,6 +146,15 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input batches that hold rows."""
-    return (b for b in rows if b.num_rows)
+    yield from (b for b in rows if b.num_rows)
+    trim()

@@ -51,7 +51,7 @@ from .common import apart, batches, materialise, utf8
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Keys that a task looks at together for repeats among its own rows.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Members of a region that are measured by one task against its pivot.
 SALT = 4096
 #: New pivots of a region that is cut again.

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, hold, utf8
+from .common import batches, hold, trim, utf8
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,7 +72,7 @@ class WordTokens:
     that gives other ids for a probe text is asked for whole texts instead.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -166,6 +166,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
+        del tokens
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 

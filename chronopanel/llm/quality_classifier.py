@@ -2,14 +2,14 @@
 
 Two Zstandard dictionaries are built from text labelled good and bad.  A text
 is cut into blocks, each compressed with either dictionary; the difference of
-the summed sizes over the raw size says which dictionary knows the text
-better.  A logistic fit turns that difference, the plain compressed share and
-the length into a calibrated probability of label 1.
+the summed sizes over their sum says which dictionary knows the text better.
+A logistic fit turns that difference, the plain compressed share, the length
+and their products into a calibrated probability of label 1.  The README tells
+how far each of them goes alone.
 
 Only the fit is bounded: ``sample`` labelled documents a class for the
 dictionaries and as many others for the calibration, both chosen by a hash of
-the id, and ``blocks`` evenly spaced blocks of each for the dictionaries.
-Scoring reads every whole text.  The model (two dictionaries of at most
+the id and read as a whole.  Scoring reads every whole text.  The model (two dictionaries of at most
 ``dict_bytes`` and a few weights) is all that is sent to the tasks.
 
 Defined cases: a null or empty text gets the score of a text of one block's
@@ -108,7 +108,7 @@ def _ids(labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFra
     return one[0].unionByName(one[1]).withColumn("part", F.pmod(F.shiftright(order, 8), F.lit(2)).cast("int"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 1500, blocks: int = 4, dict_bytes: int = 112_640, level: int = 3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 1500, dict_bytes: int = 112_640, level: int = 3) -> Model | None:
     """Dictionaries and calibration from at most 4 * ``sample`` labelled documents; None without both labels."""
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most 4 * sample ids
@@ -118,7 +118,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches(rows):
             for text, y in zip(utf8(b.column("text")), b.column("y").to_pylist(), strict=True):
                 parts = blocks_of(text or b"")
-                parts = parts[:: max(1, -(-len(parts) // blocks))]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array([y] * len(parts), pa.int32())], names=["block", "y"])
 
     texts: dict[int, list[bytes]] = {0: [], 1: []}
