@@ -134,3 +134,28 @@ def power_curve(df: DataFrame, value: str, kept: Column, fractions: list[int], d
     out = means.groupBy("fraction").agg(F.count(F.lit(1)).alias("draws"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("std")).withColumn("one", F.lit(1))
     before = lambda c: F.lag(c).over(W.partitionBy("one").orderBy("fraction"))
     return out.select("fraction", "draws", "mean", "std", ((F.col("mean") - before("mean")) / (F.col("fraction") - before("fraction"))).alias("slope"))
+
+
+def complete_panel(df: DataFrame, value: str, least_dates: int, entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """The largest complete panel of the best covered entities with enough common dates: size, mean correlation, effective N.
+
+    Entities are dropped from the least covered on.  A date is common to the
+    first k entities if none of them lacks it, so it is enough to know for each
+    date up to which place all are there.
+    """
+    from chronopanel.operators.tables import global_rank
+
+    cover = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_c"))
+    placed = df.join(global_rank(cover, "_c", entity), entity).select(entity, time, value, "place")
+    nth = F.row_number().over(W.partitionBy(time).orderBy("place"))
+    reach = placed.withColumn("_n", nth).groupBy(time).agg(F.coalesce(F.max(F.when(F.col("place") == F.col("_n"), F.col("place"))), F.lit(0)).alias("reach"))
+    upto = W.partitionBy("one").orderBy(F.desc("reach"))  # at most a row for each date
+    dates = reach.where("reach > 0").groupBy("reach").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)).withColumn("dates", F.sum("n").over(upto))
+    best = F.broadcast(dates.where(F.col("dates") >= least_dates).agg(F.max("reach").alias("kept")))  # one row
+    panel = placed.join(reach, time).join(best, (F.col("place") <= F.col("kept")) & (F.col("reach") >= F.col("kept")))
+    own = panel.groupBy(entity).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    z = panel.join(own, entity).groupBy(time, "kept").agg(F.sum((F.col(value) - F.col("_mean")) / F.col("_std")).alias("z"))
+    out = z.groupBy("kept").agg(F.count(F.lit(1)).alias("dates"), F.sum(F.col("z") * F.col("z")).alias("zz")).join(F.broadcast(cover.agg(F.count(F.lit(1)).alias("entities"))), F.lit(True))  # one row
+    k = F.col("kept")
+    rho = (F.col("zz") / F.col("dates") - k) / F.nullif(k * (k - 1), F.lit(0))
+    return out.withColumn("r", rho).select("entities", "kept", "dates", (F.round("r", 6) + F.lit(0.0)).alias("rho"), F.round(k / (1 + (k - 1) * F.col("r")), 6).alias("n_eff"))

@@ -26,8 +26,13 @@ def predict_classes(fitted, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("p"))
 
 
-def quantile_regression(df: DataFrame, features: list[str], y: str, q: float, rounds: int = 12, eps: float = 1.0) -> list[float]:
-    """Coefficients (intercept first) of a linear quantile model by reweighted least squares; each round sums one set of normal equations."""
+def quantile_regression(df: DataFrame, features: list[str], y: str, q: float, rounds: int = 12, eps: float | None = None) -> list[float]:
+    """Coefficients (intercept first) of a linear quantile model by reweighted least squares; each round sums one set of normal equations.
+
+    Residuals weigh no more than those of ``eps`` do, a thousandth of the target's deviation if not given.
+    """
+    if eps is None:
+        eps = 1e-3 * (df.agg(F.stddev_pop(y)).first()[0] or 1.0)
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
     k = len(x)
     beta = np.zeros(k)

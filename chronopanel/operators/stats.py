@@ -158,9 +158,9 @@ def bootstrap_spa(df: DataFrame, unit: str, place: str, value: str, iterations:
     z = root * F.col("mean") / F.col("scale")
     enough = z >= -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(3)).cast("double"))))
     centre = {"lower": F.greatest("mean", F.lit(0.0)), "consistent": F.when(enough, F.col("mean")).otherwise(0.0), "upper": F.col("mean")}
-    best = means.groupBy("it").agg(*[F.max(root * (F.col("m") - c) / F.col("scale")).alias(k) for k, c in centre.items()])
+    best = means.groupBy("it").agg(*[F.greatest(F.lit(0.0), F.max(root * (F.col("m") - c) / F.col("scale"))).alias(k) for k, c in centre.items()])
     t = F.broadcast(scale.agg(F.greatest(F.lit(0.0), F.max(z)).alias("t")))  # one row
-    p = [F.avg((F.col(k) > F.col("t")).cast("double")).alias(f"p_{k}") for k in centre]
+    p = [F.avg((F.col(k) >= F.col("t")).cast("double")).alias(f"p_{k}") for k in centre]
     return best.join(t, F.lit(True)).agg(F.count(F.lit(1)).alias("iterations"), F.first("t").alias("t"), *p)
 
 

@@ -297,3 +297,10 @@ def extremes_each_side(df: DataFrame, value: str, tie: str, time: str, share: fl
     df = df.withColumns({"_hi": F.row_number().over(part.orderBy(F.desc(value), tie)), "_lo": F.row_number().over(part.orderBy(value, tie)), "_n": F.count(F.lit(1)).over(part)})
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
     return df.withColumn("side", F.when(F.col("_hi") <= k, "long").when(F.col("_lo") <= k, "short")).where("side is not null").drop("_hi", "_lo", "_n")
+
+
+def holdout_parts(df: DataFrame, holdout: Column, reserve: Column, time: str = "d", until: str = "until") -> DataFrame:
+    """train before the holdout's start, then holdout, then reserve; ``leaks`` where the row's outcome, known at ``until``, reaches the next part."""
+    part = F.when(F.col(time) < holdout, "train").when(F.col(time) < reserve, "holdout").otherwise("reserve")
+    leaks = ((part == "train") & (F.col(until) >= holdout)) | ((part == "holdout") & (F.col(until) >= reserve))
+    return df.withColumns({"part": part, "leaks": F.coalesce(leaks, F.lit(False))})

@@ -340,14 +340,19 @@ def d41_sliced_metrics(spark, sf_dir):
     return out.select("entity_id", "label", "n", "episodes", (F.col("n") / F.col("episodes")).alias("dwell"), (F.col("n") < 2 * F.col("episodes")).alias("flicker"), (F.col("episodes") < 5).alias("low_power"), "win_rate", "sum_y")
 
 
-@query("""
-p AS (SELECT entity_id, d, y FROM outcomes), n AS (SELECT count(DISTINCT d) AS t FROM p), k AS (SELECT entity_id, count(*) AS c FROM p GROUP BY 1)
-SELECT count(*) AS entities, min(c) AS least, max(c) AS most, count(*) FILTER (WHERE c * 100 >= 80 * t) AS complete FROM k, n""")
+@query("""c AS (SELECT entity_id, count(*) AS c FROM outcomes GROUP BY 1), r AS (SELECT entity_id, c, row_number() OVER (ORDER BY c DESC, entity_id) AS place FROM c),
+p AS (SELECT o.entity_id, d, y, place, row_number() OVER (PARTITION BY d ORDER BY place) AS rn FROM outcomes o JOIN r USING (entity_id)),
+m AS (SELECT d, coalesce(max(place) FILTER (WHERE place = rn), 0) AS reach FROM p GROUP BY d),
+k AS (SELECT reach AS k, sum(count(*)) OVER (ORDER BY reach DESC) AS dates FROM m WHERE reach > 0 GROUP BY reach),
+b AS (SELECT max(k) AS k FROM k WHERE dates >= 20),
+x AS (SELECT entity_id, d, y FROM p JOIN m USING (d), b WHERE place <= k AND reach >= k),
+s AS (SELECT entity_id, avg(y) AS mean, stddev_pop(y) AS std FROM x GROUP BY 1),
+t AS (SELECT d, sum((y - mean) / std) AS z FROM x JOIN s USING (entity_id) GROUP BY 1),
+q AS (SELECT (SELECT count(*) FROM r) AS entities, (SELECT k FROM b) AS kept, count(*) AS dates, sum(z * z) AS zz FROM t),
+w AS (SELECT *, (zz / dates - kept) / nullif(kept * (kept - 1), 0) AS rho FROM q)
+SELECT entities, kept, dates, round(rho, 6) + 0.0::DOUBLE AS rho, round(kept / (1 + (kept - 1) * rho), 6) AS n_eff FROM w""")
 def d43_panel_coverage(spark, sf_dir):
-    rows = fx.outcomes(spark, sf_dir)
-    total = F.broadcast(rows.select("d").distinct().agg(F.count(F.lit(1)).alias("t")))  # one row
-    per = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("c")).join(total, F.lit(True))
-    return per.agg(F.count(F.lit(1)).alias("entities"), F.min("c").alias("least"), F.max("c").alias("most"), F.count_if(F.col("c") * 100 >= 80 * F.col("t")).alias("complete"))
+    return op.complete_panel(fx.outcomes(spark, sf_dir), "y", 20)
 
 
 @query("""f AS (SELECT unnest([20, 50, 80]) AS fraction), k AS (SELECT unnest(range(0, 5)) AS draw),

@@ -362,14 +362,15 @@ def e46_purged_folds(spark, sf_dir):
     return rows.select("d", "fold", role.alias("role"))
 
 
-@query("""
-m AS (SELECT max(d) AS hi FROM bars)
-SELECT entity_id, d, CASE WHEN d < hi - 364 THEN 'train' WHEN d < hi - 91 THEN 'holdout' ELSE 'reserve' END AS part FROM bars, m""")
+@query(f"""
+m AS (SELECT max(d) AS hi FROM bars),
+x AS (SELECT entity_id, d, lead(d, 4) OVER ({_E}) AS until, hi, CASE WHEN d < hi - 364 THEN 'train' WHEN d < hi - 91 THEN 'holdout' ELSE 'reserve' END AS part FROM bars, m)
+SELECT entity_id, d, part, coalesce(part = 'train' AND until >= hi - 364 OR part = 'holdout' AND until >= hi - 91, false) AS leaks FROM x""")
 def e47_holdout_masks(spark, sf_dir):
     rows = fx.bars(spark, sf_dir)
     hi = F.broadcast(rows.agg(F.max("d").alias("hi")))  # one row
-    part = F.when(F.col("d") < F.date_sub("hi", 364), "train").when(F.col("d") < F.date_sub("hi", 91), "holdout").otherwise("reserve")
-    return rows.join(hi, F.col("d") <= F.col("hi")).select("entity_id", "d", part.alias("part"))
+    rows = rows.withColumn("until", F.lead("d", 4).over(op.over())).join(hi, F.col("d") <= F.col("hi"))
+    return op.holdout_parts(rows, F.date_sub("hi", 364), F.date_sub("hi", 91)).select("entity_id", "d", "part", "leaks")
 
 
 @query(f"""
