@@ -79,17 +79,32 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.stack([d, share, size, d * size, d * share, share * size, d * d, share * share], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton's method on a ridge-penalised likelihood; a leading intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 200) -> np.ndarray:
+    """Newton's method on a ridge-penalised likelihood; a leading intercept.
+
+    A step is halved until the loss falls, so that classes that a line parts
+    (nearly) don't make it overshoot.
+    """
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-9
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + v @ penalty @ v / 2)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-6 and not (new := loss(w + size * step)) < now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, now, fell = w + size * step, new, now - new
+        if fell < 1e-10 * max(1.0, now):
             break
     return w
 

@@ -5,6 +5,8 @@ histograms of a document to references of its language by Jensen-Shannon
 distance: character classes, and occurrences of common words.  References are
 means over all documents of a language, so long documents weigh as much as
 short ones.  A guard skips a comparison where the text is too short for it.
+In a language of which no common word is listed, nearly all words are others
+and their comparison rejects nothing; that of character classes still does.
 
 By chance alone a text of n words strays about 1/sqrt(n) from its reference.
 How far is taken from the distances of all documents, per language and length:
@@ -186,7 +188,7 @@ def judge(
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, common_distance, kept.
     """
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("none")).alias("lang"))
     kinds = {c: "array<long>" if c in ("classes", "common") else "long" for c in _MEASURES}
     schema = f"id {dict(read.dtypes)['id']}, " + ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", lang string"
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

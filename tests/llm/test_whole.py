@@ -5,9 +5,10 @@ import random
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from chronopanel.llm import jaccard_join, line_dedup, packing, quality_rules, url_filter, warc
+from chronopanel.llm import jaccard_join, line_dedup, packing, quality_classifier, quality_rules, url_filter, warc
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
@@ -33,6 +34,55 @@ def test_rules_reject_texts_without_common_words(spark):
     assert sorted(i for i in got if not got[i]["kept"]) == list(range(len(clean), len(clean) + len(bare)))
 
 
+@pytest.mark.parametrize("gap", [0.0, 0.5, 3.0, 40.0])
+def test_logistic_of_classes_that_are_nearly_apart(gap):
+    rng = np.random.default_rng(4)
+    y = (np.arange(600) % 6 > 0).astype(float)
+    d = rng.normal(size=600) + gap * (2 * y - 1)
+    x = quality_classifier.expand(np.column_stack([d, rng.uniform(0.2, 0.9, 600), rng.uniform(4, 12, 600)]))
+    x = (x - x.mean(0)) / x.std(0)
+    w = quality_classifier.logistic(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.isfinite(w).all() and p.mean() == pytest.approx(y.mean(), abs=0.01)
+    assert gap < 3 or ((p > 0.5) == (y > 0.5)).mean() > 0.99
+
+
+def test_rules_distances(spark):
+    """Both distances of every document against a plain Jensen-Shannon distance to its language's mean shares."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    words = list(dict.fromkeys(quality_rules.COMMON_WORDS))
+
+    def shares(text):
+        kinds = Counter()
+        for c in text:
+            kinds["lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "newline" if c == "\n" else "space" if c in " \t\v\f\r" else "symbol" if c in "#*$%&|<>" else "beyond" if c > "\x7f" else "other"] += 1
+        tokens = [w.rstrip(".,") for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()]
+        common = Counter(w if w in words else None for w in tokens)
+        return [{k: v / sum(c.values()) for k, v in c.items()} if c else {} for c in (kinds, common)], sum(kinds.values()), len(tokens)
+
+    def distance(p, q):
+        out = 0.0
+        for k in p.keys() | q.keys():
+            a, b = p.get(k, 0.0), q.get(k, 0.0)
+            m = (a + b) / 2
+            out += sum(x * math.log2(x / m) for x in (a, b) if x)
+        return math.sqrt(max(0.0, out / 2))
+
+    seen = {i: shares(d["text"]) for i, d in docs.items()}
+    for lang in {d["lang"] for d in docs.values()}:
+        own = [i for i, d in docs.items() if d["lang"] == lang]
+        base = [i for i in own if not got[i]["base_failed"]]
+        means = [{k: sum(seen[i][0][n].get(k, 0.0) for i in base) / len(base) for k in set().union(*(seen[i][0][n] for i in base))} for n in (0, 1)] if base else [{}, {}]
+        for i in own:
+            (classes, common), chars, n = seen[i]
+            for name, p, q, told in (("class_distance", classes, means[0], chars >= 200), ("common_distance", common, means[1], n >= 100)):
+                assert (got[i][name] is not None) == (told and bool(base))
+                assert not told or not base or got[i][name] == pytest.approx(distance(p, q), abs=1e-6)
+            if got[i]["class_distance"] and got[i]["class_distance"] > 0.3:
+                assert not got[i]["kept"]
+
+
 def test_urls_weigh_words_outside_the_dictionary(spark):
     urls = [f"https://casino.zorbla.org/p{i}" for i in range(6)] + ["https://zorbla.org/", "https://zorbla.org/", None, ""]
     urls += [f"https://news{i % 9}.example.com/{w}/once{chr(97 + i % 26)}" for i in range(90) for w in ("sport", "world", "local")]
