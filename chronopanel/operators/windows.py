@@ -304,3 +304,14 @@ def holdout_parts(df: DataFrame, holdout: Column, reserve: Column, time: str = "
     part = F.when(F.col(time) < holdout, "train").when(F.col(time) < reserve, "holdout").otherwise("reserve")
     leaks = ((part == "train") & (F.col(until) >= holdout)) | ((part == "holdout") & (F.col(until) >= reserve))
     return df.withColumns({"part": part, "leaks": F.coalesce(leaks, F.lit(False))})
+
+
+def two_state(df: DataFrame, value: str, inner: Column, refit: Column, share: float, bounds: tuple[float, float], least_agreement: float, entity: str = "entity_id") -> DataFrame:
+    """'high' or 'low' by a cut fitted on inner rows; entities are refused whose share of highs is out of bounds or whose labels change too much with a cut refitted on fewer rows."""
+    cut = F.expr(f"percentile_disc({share}) within group (order by `{value}`)")
+    fits = [df.where(where).groupBy(entity).agg(cut.alias(name)) for name, where in (("_cut", inner), ("_refit", refit))]
+    rows = df.join(fits[0], entity).join(fits[1], entity).withColumns({"_high": F.col(value) > F.col("_cut"), "_same": (F.col(value) > F.col("_cut")) == (F.col(value) > F.col("_refit"))})
+    n = F.count(F.lit(1))
+    screens = rows.groupBy(entity).agg((F.count_if("_high") / n).alias("share"), (F.count_if("_same") / n).alias("agreement"))
+    kept = screens.where(F.col("share").between(*bounds) & (F.col("agreement") >= least_agreement))
+    return rows.join(kept, entity).withColumn("state", F.when(F.col("_high"), "high").otherwise("low")).drop("_cut", "_refit", "_high", "_same")

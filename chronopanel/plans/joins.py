@@ -204,10 +204,11 @@ def c21_due_folds(spark, sf_dir):
 
 
 @query(_LONG + """,
-atoms AS (SELECT unnest(['q10', 'q50', 'y', 'sma', 'rsi']) AS atom), have AS (SELECT DISTINCT feature FROM feats)
-SELECT atom, CASE WHEN feature IS NULL THEN 'absent' WHEN atom = 'y' THEN 'is the signal' WHEN atom = 'q10' THEN 'model input' END AS reason FROM atoms LEFT JOIN have ON atom = feature""")
+atoms AS (SELECT unnest(['q10', 'q50', 'y', 'sma', 'rsi']) AS atom),
+s AS (SELECT feature, coalesce(bool_and(value = o.y) FILTER (WHERE o.y IS NOT NULL), false) AS is_signal, coalesce(bool_and(value = p.q10) FILTER (WHERE p.q10 IS NOT NULL), false) AS is_input
+  FROM feats LEFT JOIN outcomes o USING (entity_id, d) LEFT JOIN predictions p USING (entity_id, d) GROUP BY 1)
+SELECT atom, CASE WHEN feature IS NULL THEN 'absent' WHEN is_signal THEN 'is the signal' WHEN is_input THEN 'model input' END AS reason FROM atoms LEFT JOIN s ON atom = feature""")
 def c22_entanglement(spark, sf_dir):
-    atoms = spark.createDataFrame([("q10",), ("q50",), ("y",), ("sma",), ("rsi",)], "atom string")
-    have = long_features(spark, sf_dir).select("feature").distinct()
-    reason = F.when(F.col("feature").isNull(), "absent").when(F.col("atom") == "y", "is the signal").when(F.col("atom") == "q10", "model input")
-    return atoms.join(have, F.col("atom") == F.col("feature"), "left").select("atom", reason.alias("reason"))
+    signal = fx.outcomes(spark, sf_dir).select("entity_id", "d", F.col("y").alias("v"))
+    used = fx.predictions(spark, sf_dir).select("entity_id", "d", F.col("q10").alias("v"))
+    return op.entangled(["q10", "q50", "y", "sma", "rsi"], long_features(spark, sf_dir), {"is the signal": signal, "model input": used}, ["entity_id", "d"])

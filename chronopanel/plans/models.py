@@ -89,7 +89,7 @@ def m2_quantile_regression(spark, sf_dir):
 @query()
 def m3_cross_validated_search(spark, sf_dir):
     choices = [{"regParam": 0.0, "maxIter": 10}, {"regParam": 0.5, "maxIter": 10}]
-    return mod.cross_validate(matrix(spark, sf_dir).cache(), "fold", 3, ["f1", "f2", "f3"], "label", choices)
+    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices)
 
 
 @query()
@@ -110,4 +110,4 @@ def m5_arm_comparison(spark, sf_dir):
 @query()
 def m6_model_comparison(spark, sf_dir):
     choices = [{"algorithm": "logistic", "maxIter": 10}, {"algorithm": "forest", "numTrees": 8, "maxDepth": 4, "seed": 3}]
-    return mod.cross_validate(matrix(spark, sf_dir).cache(), "fold", 3, ["f1", "f2", "f3"], "label", choices).groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))
+    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices).groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))

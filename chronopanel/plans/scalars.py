@@ -639,11 +639,14 @@ def k04_composite_function(spark, sf_dir):
     return composite_function(wide, lambda c, vol: c / vol, ["c", "vol"]).select("d", "value")
 
 
-@query("q AS (SELECT entity_id, quantile_disc(c, 0.5) AS cut FROM bars WHERE d < DATE '1998-01-01' GROUP BY 1) SELECT entity_id, d, CASE WHEN c > cut THEN 'high' ELSE 'low' END AS state FROM bars JOIN q USING (entity_id)")
+@query("""q AS (SELECT entity_id, quantile_disc(c, 0.5) FILTER (WHERE d < DATE '1998-01-01') AS cut, quantile_disc(c, 0.5) FILTER (WHERE d < DATE '1996-07-01') AS refit FROM bars GROUP BY 1),
+s AS (SELECT entity_id, d, c > cut AS high, (c > cut) = (c > refit) AS same FROM bars JOIN q USING (entity_id) WHERE cut IS NOT NULL AND refit IS NOT NULL),
+a AS (SELECT entity_id, count(*) FILTER (WHERE high)::DOUBLE / count(*) AS share, count(*) FILTER (WHERE same)::DOUBLE / count(*) AS agreement FROM s GROUP BY 1)
+SELECT entity_id, d, CASE WHEN high THEN 'high' ELSE 'low' END AS state, share, agreement FROM s JOIN a USING (entity_id) WHERE share BETWEEN 0.02 AND 0.9 AND agreement >= 0.8""")
 def e31_two_state(spark, sf_dir):
     rows = fx.bars(spark, sf_dir).select("entity_id", "d", "c")
-    cut = rows.where("d < date'1998-01-01'").groupBy("entity_id").agg(F.expr("percentile_disc(0.5) within group (order by c)").alias("cut"))
-    return rows.join(cut, "entity_id").select("entity_id", "d", F.when(F.col("c") > F.col("cut"), "high").otherwise("low").alias("state"))
+    before = lambda d: F.col("d") < F.lit(d).cast("date")
+    return win.two_state(rows, "c", before("1998-01-01"), before("1996-07-01"), 0.5, (0.02, 0.9), 0.8).select("entity_id", "d", "state", "share", "agreement")
 
 
 @query()
