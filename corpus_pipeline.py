@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; ``run`` writes each result as Parquet in the shared
 folder and reads it back as the next one's documents.
+
+Defined cases, in all stages: rows are judged one by one, whatever their ids;
+null and repeated ids are allowed; columns other than ``COLUMNS`` are dropped;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.3 or more stay.
 
-    Labels are learned from the original documents, which later runs of this stage share.
+    The classifier is fitted on labelled documents of the stage's input.  A null
+    or empty text is scored like one of a block's size; equal texts have equal
+    scores and stay or go together.
     """
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     model = quality_classifier.fit(docs, labels)
@@ -29,7 +35,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in three documents or more stay only in the last; what is left of a text stays a document."""
+    """Lines found in three documents or more stay only in the last; what is left of a text stays a document.
+
+    Rows count as documents; all that share the last id keep the line, a null id
+    is never the last.  A null text becomes an empty one.
+    """
     kept = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -61,7 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; rows with null or repeated ids are judged one by one."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay."""
     docs = by_row(docs)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="row", window=10)
     leaks = materialise(found.where("contaminated").select("row"), "leaks", few_files=True)
@@ -70,7 +80,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: the place of every piece."""
+    """Sequences of at most 2048 tokens: the place of every piece; a null or empty text is the end id alone, rows that repeat take places of their own."""
     return packing.pack(docs, size=2048, end_id=0)
 
 
