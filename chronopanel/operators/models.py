@@ -53,12 +53,18 @@ def linear(beta: list[float], features: list[str]):
     return sum((F.col(f) * b for f, b in zip(features, beta[1:], strict=True)), F.lit(beta[0]))
 
 
-def cross_validate(df: DataFrame, fold: str, n_folds: int, features: list[str], label: str, choices: list[dict]) -> DataFrame:
-    """Accuracy of each choice {algorithm, parameters} on each fold, and its mean."""
+def cross_validate(df: DataFrame, fold: str, n_folds: int, features: list[str], label: str, choices: list[dict], near: str | None = None) -> DataFrame:
+    """Accuracy of each choice {algorithm, parameters} on each fold.
+
+    ``near`` names an array of folds that a row's outcome may reach: such rows
+    are purged from the training of these folds.
+    """
     rows = []
     for c, choice in enumerate(choices):
         for k in range(n_folds):
-            fitted = classifier(features, label, **choice).fit(df.where(F.col(fold) != k))
+            train = df.where(F.col(fold) != k)
+            train = train.where(~F.array_contains(near, k)) if near else train
+            fitted = classifier(features, label, **choice).fit(train)
             hits = predict_classes(fitted, df.where(F.col(fold) == k), [label]).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a")).first()["a"]
             rows.append((c, str(sorted(choice.items())), k, hits))
     return df.sparkSession.createDataFrame(rows, "choice int, parameters string, fold int, accuracy double")
@@ -67,7 +73,7 @@ def cross_validate(df: DataFrame, fold: str, n_folds: int, features: list[str],
 def permutation_importance(df: DataFrame, features: list[str], score, seed: int) -> DataFrame:
     """Mean absolute change of the score when one column is permuted; ranks within buckets pair rows with permuted ones."""
     out = None
-    base = df.withColumn("_b", F.pmod(F.xxhash64(*features), F.lit(64)))
+    base = df.withColumn("_b", F.pmod(F.xxhash64(*features), F.lit(max(64, df.count() // 100_000))))
     for k, f in enumerate(features):
         one = base.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed), *features), *features)))
         other = base.select("_b", F.col(f).alias("_p"), F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + k + 1), *features), *features)).alias("_r"))

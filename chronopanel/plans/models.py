@@ -18,7 +18,9 @@ def matrix(spark, sf_dir):
     """entity_id, d, three features, y in basis points, label 0-2, fold by date."""
     rows = fx.bars(spark, sf_dir).withColumns({"f1": 100 * win.change("c"), "f2": F.col("vol").cast("double"), "f3": 100 * win.change("c", 4), "y": F.floor(10000 * win.forward("c", 4)).cast("double")})
     label = F.when(F.col("y") < -500, 0).when(F.col("y") <= 500, 1).otherwise(2)
-    return rows.where("y is not null").select("entity_id", "d", "f1", "f2", "f3", "y", label.alias("label"), F.pmod(F.expr("datediff(d, date'1995-01-01') div 180"), F.lit(3)).cast("int").alias("fold"))
+    fold = lambda day: F.pmod(F.expr(f"datediff({day}, date'1995-01-01') div 180"), F.lit(3)).cast("int")
+    near = F.array(fold("date_sub(d, 35)"), fold("date_add(d, 35)"))  # outcomes reach over four bars
+    return rows.where("y is not null").select("entity_id", "d", "f1", "f2", "f3", "y", label.alias("label"), fold("d").alias("fold"), near.alias("near"))
 
 
 @query()
@@ -89,7 +91,7 @@ def m2_quantile_regression(spark, sf_dir):
 @query()
 def m3_cross_validated_search(spark, sf_dir):
     choices = [{"regParam": 0.0, "maxIter": 10}, {"regParam": 0.5, "maxIter": 10}]
-    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices)
+    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices, "near")
 
 
 @query()
@@ -110,4 +112,4 @@ def m5_arm_comparison(spark, sf_dir):
 @query()
 def m6_model_comparison(spark, sf_dir):
     choices = [{"algorithm": "logistic", "maxIter": 10}, {"algorithm": "forest", "numTrees": 8, "maxDepth": 4, "seed": 3}]
-    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices).groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))
+    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices, "near").groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))
