@@ -135,8 +135,20 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.view(kind).to_pylist()
 
 
+#: Rows of an Arrow batch: whole texts may be long, and a batch is held at once.
+BATCH_ROWS = 2048
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named input table, only the given columns."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -74,9 +74,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay."""
     docs = by_row(docs)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="row", window=10)
-    leaks = materialise(found.where("contaminated").select("row"), "leaks", few_files=True)
-    clean, others = apart(docs, "row", leaks)
-    return clean.unionByName(others.join(leaks, "row", "left_anti")).select(*COLUMNS)
+    return docs.join(found.where("contaminated").select("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
