@@ -80,23 +80,64 @@ def coherence(runs: DataFrame, keys: list[str], run: str, admitted: str, passed:
 
 def _value_range(df: DataFrame, value: str, buckets: int) -> Column:
     """Number of a value's range, in order of the values; ranges hold about equally many rows."""
-    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
+    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01))) if buckets > 1 else []
     return F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda a, c: a + (F.col(value) > c).cast("int"))
 
 
-def running_total(df: DataFrame, value: str, amount: str, out: str, total: str, descending: bool = False, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of ``amount`` up to each row in order of ``value``, and of all rows, without one task for all.
+def running_total(df: DataFrame, value: str, amount: str, out: str, total: str, descending: bool = False, buckets: int = 64, ties: tuple[str, ...] = (), groups: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of ``amount`` up to each row in order of ``value`` (then ``ties``), and of all rows of its group, without one task for all.
 
-    Sums run within value ranges; those of the ranges before are added.  Any
-    ranges give the same result.
+    Sums run within value ranges of a group; those of the ranges before are
+    added.  Any ranges give the same result.  Groups and values are not null.
     """
     rows = df.withColumn("_b", _value_range(df, value, buckets))
     order = F.desc if descending else F.asc
-    sizes = rows.groupBy("_b").agg(F.sum(amount).alias("_n")).withColumn("_one", F.lit(1))
-    part = W.partitionBy("_one")
-    ranges = sizes.select("_b", F.coalesce(F.sum("_n").over(part.orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(part).alias(total))
-    own = F.sum(amount).over(W.partitionBy("_b").orderBy(order(value), *ties).rowsBetween(W.unboundedPreceding, 0))
-    return rows.join(F.broadcast(ranges), "_b").withColumn(out, F.col("_before") + own).drop("_b", "_before")  # a row for each range
+    sizes = rows.groupBy(*groups, "_b").agg(F.sum(amount).alias("_n")).withColumn("_one", F.lit(1))
+    part = W.partitionBy(*(groups or ("_one",)))
+    before = F.coalesce(F.sum("_n").over(part.orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.select(*groups, "_b", before.alias("_before"), F.sum("_n").over(part).alias(total))
+    own = F.sum(amount).over(W.partitionBy(*groups, "_b").orderBy(order(value), *ties).rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(ranges if groups else F.broadcast(ranges), [*groups, "_b"]).withColumn(out, F.col("_before") + own).drop("_b", "_before")  # broadcast: a row for each range
+
+
+def lowest_share(df: DataFrame, groups: list[str], key: str, ties: list[str], num: int, den: int) -> DataFrame:
+    """The floor(num * n / den) rows of each group with the lowest ``key``, a hexadecimal hash.
+
+    Counts of the hashes' first three digits tell which bins are in as a whole
+    and which one the cut falls into; only that bin's rows are ordered.
+    """
+    rows = df.withColumn("_bin", F.substring(key, 1, 3))
+    part = W.partitionBy(*groups)
+    sizes = rows.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(part.orderBy("_bin")), "_all": F.sum("_n").over(part)})  # at most 4096 bins a group
+    sizes = sizes.withColumn("_left", F.expr(f"_all * {num} div {den}") - F.col("_upto") + F.col("_n")).where("_left > 0")
+    dealt = rows.join(sizes.select(*groups, "_bin", "_left", (F.col("_left") >= F.col("_n")).alias("_whole")), [*groups, "_bin"])
+    cut = dealt.where("not _whole").withColumn("_k", F.row_number().over(W.partitionBy(*groups, "_bin").orderBy(key, *ties))).where("_k <= _left")
+    return dealt.where("_whole").select(*df.columns).unionByName(cut.select(*df.columns))
+
+
+def margin_closeout(positions: DataFrame, accounts: DataFrame, account: str, least: float, buffer: float, buckets: int = 64) -> DataFrame:
+    """Shares to close per position where an account's equity is under ``least`` of its gross exposure.
+
+    ``positions``: account, position_id, shares (negative: short), avg_price,
+    price (null: none now, marked at avg_price), exiting (leaves the book
+    anyway: counts for equity, not for exposure).  ``accounts``: account, cash.
+    The budget brings the ratio back to ``least + buffer``; the biggest
+    unrealised losses, ties by position_id, are closed first.  All but the last
+    are closed whole, so what is left for one is the budget less the exposure
+    before it, a running total; the last closes shares up to the next whole one.
+    """
+    mark = F.coalesce("price", "avg_price")
+    rows = positions.withColumn("_gross", F.when(~F.col("exiting"), F.abs("shares") * mark).otherwise(0))
+    totals = rows.groupBy(account).agg(F.sum(F.col("shares") * mark).alias("_held"), F.sum("_gross").alias("_all")).join(accounts, account)
+    equity, gross = (F.col("_held") + F.col("cash")).cast("double"), F.col("_all").cast("double")
+    called = totals.where((gross > 0) & (equity / gross < least)).select(account, F.least(gross, gross - equity / (least + buffer)).alias("_budget"))
+    able = rows.where(~F.col("exiting") & (F.col("price") > 0) & (F.col("shares") != 0)).withColumn("_gain", (F.col("price") - F.col("avg_price")) * F.col("shares"))
+    able = able.join(called, account)
+    spent = running_total(able, "_gain", "_gross", "_upto", "_total", buckets=buckets, ties=("position_id",), groups=(account,))
+    left = F.col("_budget") - (F.col("_upto") - F.col("_gross"))
+    closed = F.least(F.abs("shares"), F.ceil(left / F.col("price"))).cast("long")
+    return spent.where(left > 0).select(account, "position_id", F.when(F.col("shares") > 0, "sell").otherwise("cover").alias("action"), closed.alias("closed"))
 
 
 def global_rank(df: DataFrame, value: str, tie: str, out: str = "place") -> DataFrame:
@@ -145,9 +186,12 @@ def delete_plan(dependents: dict[str, DataFrame], key: str, doomed: DataFrame) -
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], rate: float) -> DataFrame:
-    """survivor: p up to the largest k with p_k <= k / n * rate; a null p counts in n and never survives."""
-    part = W.partitionBy(*family)
-    rows = df.withColumns({"_n": F.count(F.lit(1)).over(part), "_k": F.row_number().over(part.orderBy(F.asc_nulls_last(p)))})
-    ok = F.col(p) <= F.col("_k") * rate / F.col("_n")
-    rows = rows.withColumn("_top", F.max(F.when(ok, F.col("_k"))).over(part))
-    return rows.withColumn("survivor", F.coalesce(F.col(p).isNotNull() & (F.col("_k") <= F.col("_top")), F.lit(False))).drop("_n", "_k", "_top")
+    """survivor: p up to the largest k with p_k <= k / n * rate; a null p counts in n and never survives.
+
+    A family's distinct p are counted over value ranges, which gives k for each,
+    and the largest p that passes is the cut for the family's rows.
+    """
+    seen = df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_m"))
+    placed = running_total(seen, p, "_m", "_k", "_known", groups=tuple(family)).join(df.groupBy(*family).agg(F.count(F.lit(1)).alias("_n")), family)
+    cut = placed.where(F.col(p) <= F.col("_k") * rate / F.col("_n")).groupBy(*family).agg(F.max(p).alias("_cut"))
+    return df.join(cut, family, "left").withColumn("survivor", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")

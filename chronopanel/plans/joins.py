@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.operators import joins as op
+from chronopanel.operators import pairs
 from chronopanel.operators import windows as win
 from chronopanel.sources import fixtures as fx
 
@@ -106,12 +107,12 @@ h AS (SELECT *, (n * sab - sa * sb)::DOUBLE / nullif(n * sbb - sb * sb, 0) AS he
 z AS (SELECT *, (sa - hedge * sb) / n AS mean, (saa - 2 * hedge * sab + hedge * hedge * sbb) / n AS square FROM h)
 SELECT a, b, n, hedge, corr, abs(corr) >= 0.7 AS related, round((la - hedge * lb - mean) / nullif(sqrt(greatest(square - mean * mean, 0)), 0), 6) + 0.0::DOUBLE AS spread_z FROM z""")
 def c10_pairs_hedge(spark, sf_dir):
-    return op.hedges(op.pairs(sector_returns(spark, sf_dir), "r", "sector").where("n >= 20"), 0.7).select("a", "b", "n", "hedge", "corr", "related", "spread_z")
+    return op.hedges(pairs.pair_sums(sector_returns(spark, sf_dir), "r", "sector", least_n=20), 0.7).select("a", "b", "n", "hedge", "corr", "related", "spread_z")
 
 
 @query(_PAIRS + " SELECT a, b, n, (n * sab - sa * sb)::DOUBLE / sqrt((n * saa - sa * sa)::DOUBLE) / sqrt((n * sbb - sb * sb)::DOUBLE) AS corr FROM s WHERE n >= 20 AND n * saa > sa * sa AND n * sbb > sb * sb")
 def c11_correlations(spark, sf_dir):
-    s = op.pairs(sector_returns(spark, sf_dir), "r", "sector").where("n >= 20")
+    s = pairs.pair_sums(sector_returns(spark, sf_dir), "r", "sector", least_n=20)
     va, vb = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
     cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     return s.where((va > 0) & (vb > 0)).select("a", "b", "n", (cov / F.sqrt(va.cast("double")) / F.sqrt(vb.cast("double"))).alias("corr"))

@@ -76,9 +76,8 @@ def b08_half_split(spark, sf_dir):
 
 @query("k AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(c_name || '7'), c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_mktsegment, c_custkey FROM k WHERE 10 * k <= 3 * n")
 def b09_stratified_sample(spark, sf_dir):
-    part = W.partitionBy("c_mktsegment")
-    rows = fx.table(spark, sf_dir, "customer").withColumns({"k": F.row_number().over(part.orderBy(F.sha2(F.concat("c_name", F.lit("7")), 256), "c_custkey")), "n": F.count(F.lit(1)).over(part)})
-    return rows.where("10 * k <= 3 * n").select("c_mktsegment", "c_custkey")
+    rows = fx.table(spark, sf_dir, "customer").withColumn("key", F.sha2(F.concat("c_name", F.lit("7")), 256))
+    return tab.lowest_share(rows, ["c_mktsegment"], "key", ["c_custkey"], 3, 10).select("c_mktsegment", "c_custkey")
 
 
 def prediction_json(spark, sf_dir):
