@@ -136,26 +136,56 @@ def power_curve(df: DataFrame, value: str, kept: Column, fractions: list[int], d
     return out.select("fraction", "draws", "mean", "std", ((F.col("mean") - before("mean")) / (F.col("fraction") - before("fraction"))).alias("slope"))
 
 
-def complete_panel(df: DataFrame, value: str, least_dates: int, entity: str = "entity_id", time: str = "d") -> DataFrame:
-    """The largest complete panel of the best covered entities with enough common dates: size, mean correlation, effective N.
-
-    Entities are dropped from the least covered on.  A date is common to the
-    first k entities if none of them lacks it, so it is enough to know for each
-    date up to which place all are there.
+def complete_panel(
+    df: DataFrame, value: str, least_dates: int, keys: tuple[str, ...] = (), window: int = 252, entity_cover: float = 0.9, time_cover: float = 0.9, entity: str = "entity_id", time: str = "d",
+) -> DataFrame:
+    """Per key the densest complete panel and its effective size: entities, kept, dates, thin, rho, n_eff.
+
+    Of the last ``window`` times, entities stay that have ``entity_cover`` of
+    them, then times that ``time_cover`` of those have.  Then the entity that
+    lacks most of these times (ties: the largest id) is dropped, until the
+    times that all others share are at least ``least_dates``.  The order of drops
+    is known, so all their counts come at once: entities take places from the
+    last one dropped on, and a time is shared by the first k if none of those
+    lacks it, that is up to the first place that is missing there.
+
+    rho is the mean correlation of all pairs, from sums over entities of
+    standardised values by time; entities without spread are left out of it.
+    n_eff is entities / (1 + (entities - 1) * rho), rho cut to [0, 1).  A key is
+    thin, without rho and n_eff, where fewer than two entities remain.
     """
-    from chronopanel.operators.tables import global_rank
-
-    cover = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_c"))
-    placed = df.join(global_rank(cover, "_c", entity), entity).select(entity, time, value, "place")
-    nth = F.row_number().over(W.partitionBy(time).orderBy("place"))
-    reach = placed.withColumn("_n", nth).groupBy(time).agg(F.coalesce(F.max(F.when(F.col("place") == F.col("_n"), F.col("place"))), F.lit(0)).alias("reach"))
-    upto = W.partitionBy("one").orderBy(F.desc("reach"))  # at most a row for each date
-    dates = reach.where("reach > 0").groupBy("reach").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)).withColumn("dates", F.sum("n").over(upto))
-    best = F.broadcast(dates.where(F.col("dates") >= least_dates).agg(F.max("reach").alias("kept")))  # one row
-    panel = placed.join(reach, time).join(best, (F.col("place") <= F.col("kept")) & (F.col("reach") >= F.col("kept")))
-    own = panel.groupBy(entity).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-    z = panel.join(own, entity).groupBy(time, "kept").agg(F.sum((F.col(value) - F.col("_mean")) / F.col("_std")).alias("z"))
-    out = z.groupBy("kept").agg(F.count(F.lit(1)).alias("dates"), F.sum(F.col("z") * F.col("z")).alias("zz")).join(F.broadcast(cover.agg(F.count(F.lit(1)).alias("entities"))), F.lit(True))  # one row
-    k = F.col("kept")
-    rho = (F.col("zz") / F.col("dates") - k) / F.nullif(k * (k - 1), F.lit(0))
-    return out.withColumn("r", rho).select("entities", "kept", "dates", (F.round("r", 6) + F.lit(0.0)).alias("rho"), F.round(k / (1 + (k - 1) * F.col("r")), 6).alias("n_eff"))
+    from chronopanel.operators.tables import running_total
+    from chronopanel.sources.staging import staged
+
+    one = F.lit(1)
+    by = [*keys, "_one"]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, one.alias("_one"), F.col(entity).alias("_e"), F.col(time).alias("_t"), F.col(value).alias("_v"))
+    rows = staged(rows, "returns")
+    count = lambda frame, name, *more: frame.groupBy(*by, *more).agg(F.count(one).alias(name))
+    entities = rows.select(*by, "_e").distinct()
+    recent = rows.select(*by, "_t").distinct().withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_t")))).where(F.col("_k") <= window).drop("_k")
+    rows = rows.join(recent, [*by, "_t"])
+    able = staged(count(rows, "_c", "_e").join(count(recent, "_w"), by).where(F.col("_c") >= entity_cover * F.col("_w")).select(*by, "_e"), "able")
+    rows = rows.join(able, [*by, "_e"])
+    shared = staged(count(rows, "_m", "_t").join(count(able, "_s"), by).where(F.col("_m") >= time_cover * F.col("_s")).select(*by, "_t"), "shared")
+    rows = staged(rows.join(shared, [*by, "_t"]), "dense")
+    lacks = able.join(count(rows, "_p", "_e"), [*by, "_e"], "left").join(count(shared, "_n"), by).withColumn("_lack", F.col("_n") - F.coalesce("_p", F.lit(0)))
+    places = running_total(staged(lacks.withColumn("_w", one), "lacks"), "_lack", "_w", "_place", "_all", ties=("_e",), groups=tuple(by)).select(*by, "_e", "_place")
+    placed = staged(rows.join(places, [*by, "_e"]), "placed")
+    nth = F.row_number().over(W.partitionBy(*by, "_t").orderBy("_place"))
+    reach = placed.withColumn("_n", nth).groupBy(*by, "_t").agg(F.coalesce(F.max(F.when(F.col("_place") == F.col("_n"), F.col("_place"))), F.lit(0)).alias("_reach"))
+    reach = staged(reach, "reach")
+    upto = W.partitionBy(*by).orderBy(F.desc("_reach"))  # at most a row a time
+    best = count(reach, "_n", "_reach").withColumn("dates", F.sum("_n").over(upto)).where((F.col("dates") >= least_dates) & (F.col("_reach") >= 2))
+    best = staged(best.groupBy(*by).agg(F.max("_reach").alias("kept"), F.min("dates").alias("dates")), "best")
+    panel = placed.join(reach, [*by, "_t"]).join(best, by).where((F.col("_place") <= F.col("kept")) & (F.col("_reach") >= F.col("kept")))
+    own = panel.groupBy(*by, "_e").agg(F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std")).where("_std > 0")
+    z = panel.join(own, [*by, "_e"]).groupBy(*by, "_t").agg(F.sum((F.col("_v") - F.col("_mean")) / F.col("_std")).alias("_z"), F.count(one).alias("_k"))
+    k = F.col("_k")
+    spread = z.groupBy(*by).agg(((F.sum(F.col("_z") * F.col("_z")) / F.count(one) - F.max(k)) / F.nullif(F.max(k) * (F.max(k) - 1), F.lit(0))).alias("_rho"))
+    out = count(entities, "entities").join(best, by, "left").join(spread, by, "left")
+    cut = F.greatest(F.lit(0.0), F.least(F.lit(0.999999), F.col("_rho")))
+    size = F.col("entities") / (1 + (F.col("entities") - 1) * cut)
+    n_eff = F.when(F.col("_rho").isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("entities").cast("double"), size)))
+    return out.select(*keys, "entities", "kept", "dates", F.col("_rho").isNull().alias("thin"), (F.round("_rho", 6) + F.lit(0.0)).alias("rho"), F.round(n_eff, 6).alias("n_eff"))
+

@@ -12,52 +12,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function."""
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x.ravel().tolist()]).reshape(x.shape)
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, for all elements at once."""
     tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    out = d
+    c, d = np.ones_like(x), 1 / np.maximum(1 - (a + b) * x / (a + 1), tiny)
+    out = d.copy()
     for m in range(1, 300):
         for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 + up * d, 1 + up / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-14:
+            d = 1 / np.where(np.abs(d) > tiny, d, tiny)
+            c = np.where(np.abs(c) > tiny, c, tiny)
+            out = out * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
             break
     return out
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
+def incomplete_beta(a, b, x) -> np.ndarray:
     """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inside) + b * np.log1p(-inside))
+    near = inside < (a + 1) / (a + b + 2)
+    p, q, y = np.where(near, a, b), np.where(near, b, a), np.where(near, inside, 1 - inside)
+    part = front * _beta_fraction(p, q, y) / p
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(near, part, 1 - part)))
 
 
-def t_upper(t: float, df: float) -> float:
+def t_upper(t, df):
     """P(T > t) of Student's t; 1 where undefined."""
-    if t != t or df <= 0:
-        return 1.0
-    half = incomplete_beta(df / 2, 0.5, df / (df + t * t)) / 2
-    return half if t > 0 else 1 - half
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    known = ~(np.isnan(t) | np.isnan(df)) & (df > 0)
+    u, n = np.where(known, t, 0.0), np.where(known, df, 1.0)
+    half = incomplete_beta(n / 2, 0.5, n / (n + u * u)) / 2
+    return np.where(known, np.where(u > 0, half, 1 - half), 1.0)[()]
 
 
 @F.pandas_udf(T.DoubleType())
 def upper_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(T > t) of Student's t with df degrees of freedom; 1 where t is null."""
-    return pd.Series([1.0 if a is None or a != a else t_upper(float(a), float(b)) for a, b in zip(t, df, strict=True)])
+    return pd.Series(np.atleast_1d(t_upper(t.astype(float), df.astype(float))))
+
+
+def t_statistic(n: Column, s: Column, ss: Column, least: int = 2) -> Column:
+    """t of a mean above zero from exact sums; null below ``least`` rows or without spread."""
+    spread = F.sqrt((n * ss - s * s).cast("double") / (n * (n - 1))) / F.sqrt(n.cast("double"))
+    return F.when((n >= max(2, least)) & (n * ss > s * s), F.round(s / n / spread, 9))
 
 
 def t_moments(df: DataFrame, value: str, keys: list[str], least: int = 2) -> DataFrame:
     """Per group: n, s, ss and the t statistic of a mean above zero; no t below ``least`` rows or without spread."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
-    spread = F.sqrt((n * ss - s * s).cast("double") / (n * (n - 1))) / F.sqrt(n.cast("double"))
-    return out.withColumn("t", F.when((n >= max(2, least)) & (n * ss > s * s), F.round(s / n / spread, 9)))
+    return out.withColumn("t", t_statistic(F.col("n"), F.col("s"), F.col("ss"), least))
 
 
 def conditional_t(df: DataFrame, value: str, label: str, episodes: DataFrame, floor: int) -> DataFrame:
@@ -91,13 +101,36 @@ def recomputed(stored: DataFrame, again: DataFrame, keys: list[str], p: str = "p
     return again.join(old, keys, "left").withColumn("matches", F.coalesce(near, F.col(p).isNull() & F.col("_stored").isNull())).drop("_stored")
 
 
-def one_sided_t(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def one_sample_t(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Per group: n, mean, t and the p-value of a mean above zero; fewer than two rows give 1."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
     out = out.withColumn("t", F.when(F.col("_s") > 0, F.col("mean") / (F.col("_s") / F.sqrt("n"))))
     return out.withColumn("p", upper_p("t", F.col("n") - 1)).drop("_s")
 
 
+def one_sided_t(base: DataFrame, other: DataFrame, value: str, keys: list[str], pair: list[str], less: bool = True) -> DataFrame:
+    """Per group: whether the mean of ``other`` is below (or above) that of ``base``; method, n_base, n_other, t, df, p.
+
+    Paired where both sides hold the same ``pair`` keys, else two samples with a
+    pooled variance; chosen per group.  Sums of integers are exact.  Without
+    spread, or with too few rows, t is null and p is 1.  Pair keys are unique
+    within a side; null scores are left out.
+    """
+    side = lambda df, name: df.where(F.col(value).isNotNull()).select(*keys, *pair, F.col(value).alias(name))
+    both = side(base, "_a").join(side(other, "_b"), [*keys, *pair], "full").withColumn("_d", F.col("_a") - F.col("_b"))
+    sums = [f.alias(f"{c}{k}") for c in ("_a", "_b", "_d") for k, f in (("n", F.count(c)), ("s", F.sum(c)), ("q", F.sum(F.col(c) * F.col(c))))]
+    m = both.groupBy(*keys).agg(*sums)
+    na, nb, nd = F.col("_an"), F.col("_bn"), F.col("_dn")
+    scatter = lambda c: (F.col(f"{c}n") * F.col(f"{c}q") - F.col(f"{c}s") * F.col(f"{c}s")).cast("double") / F.col(f"{c}n")
+    paired, n = (na == nd) & (nb == nd), nd.cast("double")
+    by_pair = F.when((nd > 1) & (scatter("_d") > 0), F.col("_ds") / n / F.sqrt(scatter("_d") / (n - 1) / n))
+    pooled = (scatter("_a") + scatter("_b")) / (na + nb - 2)
+    apart = F.when((na > 0) & (nb > 0) & (na + nb > 2) & (pooled > 0), (F.col("_as") / na - F.col("_bs") / nb) / F.sqrt(pooled * (1 / na + 1 / nb)))
+    t = F.when(paired, by_pair).otherwise(apart)
+    out = m.select(*keys, F.when(paired, "paired").otherwise("pooled").alias("method"), na.alias("n_base"), nb.alias("n_other"), F.round(t if less else -t, 9).alias("t"), F.when(paired, nd - 1).otherwise(na + nb - 2).alias("df"))
+    return out.withColumn("p", upper_p("t", "df"))
+
+
 def hac_interaction(df: DataFrame, y: str, s: str, c: str, keys: list[str], time: str) -> DataFrame:
     """Per group: y on 1, s, c and s * c; the interaction's coefficient with Newey-West t and two-sided p."""
     kinds = dict(df.dtypes)
@@ -164,26 +197,42 @@ def bootstrap_spa(df: DataFrame, unit: str, place: str, value: str, iterations:
     return best.join(t, F.lit(True)).agg(F.count(F.lit(1)).alias("iterations"), F.first("t").alias("t"), *p)
 
 
+def flat_top_length(x: np.ndarray) -> float:
+    """Expected block length of the stationary bootstrap by the flat-top rule, from 1 to a third of the series.
+
+    Autocorrelations count up to the first lag that is followed by a run of
+    insignificant ones; twice that many lags are weighed by a trapezoid.
+    """
+    x = np.asarray(x, float)
+    x = x[np.isfinite(x)]
+    n = len(x)
+    if n < 10:
+        return 1.0
+    x = x - x.mean()
+    run = max(5, math.ceil(math.sqrt(math.log10(n))))
+    lags = min(n - 2, math.ceil(math.sqrt(n)) + run)
+    cov = np.array([x[k:] @ x[: n - k] for k in range(lags + 1)]) / n
+    if cov[0] <= 0:
+        return 1.0
+    far = np.flatnonzero(np.abs(cov[1:] / cov[0]) >= 2 * math.sqrt(math.log10(n) / n))  # significant lags, from 0
+    quiet = [k for k in (0, *(far + 1)) if not ((far >= k) & (far < k + run)).any() and k < lags]
+    m = min(2 * (quiet[0] if quiet else lags), lags)
+    if m == 0:
+        return 1.0
+    at = np.arange(1, m + 1)
+    weighed = np.minimum(1, 2 * (1 - at / m)) * cov[1 : m + 1]
+    slope, level = 2 * (weighed @ at), 2 * (cov[0] + 2 * weighed.sum()) ** 2
+    if level <= 0 or abs(slope) < 1e-12:
+        return 1.0
+    return float(min(max(1.0, (2 * slope**2 / level) ** (1 / 3) * n ** (1 / 3)), n / 3))
+
+
 def block_length(df: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
-    """Per series: a block length from the flat-top rule on its autocorrelations."""
+    """Per series ``length``: the expected block length; a series is one row a place, so it fits a task."""
     kinds = dict(df.dtypes)
 
     def rule(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(place)[value].to_numpy(float)
-        n = len(x)
-        x = x - x.mean()
-        most = max(1, min(n - 1, int(math.sqrt(n)) + int(math.ceil(math.log10(max(n, 10)))) + 1))
-        cov = np.array([(x[k:] * x[: n - k]).sum() / n for k in range(most + 1)])
-        if n < 4 or cov[0] <= 0:
-            return rows[keys].head(1).assign(length=1.0)
-        limit = 2 * math.sqrt(math.log10(n) / n)
-        small = np.flatnonzero(np.abs(cov[1:] / cov[0]) >= limit)
-        m = min(most, 2 * (int(small[-1]) + 1 if len(small) else 1))
-        lag = np.arange(-m, m + 1)
-        weight = np.where(np.abs(lag / m) <= 0.5, 1.0, 2 * (1 - np.abs(lag / m)))
-        full = cov[np.abs(lag)]
-        g, d = (weight * np.abs(lag) * full).sum(), 2 * ((weight * full).sum() ** 2)
-        return rows[keys].head(1).assign(length=float(max(1.0, (2 * g * g / d) ** (1 / 3) * n ** (1 / 3)) if d > 0 else 1.0))
+        return rows[keys].head(1).assign(length=flat_top_length(rows.sort_values(place)[value].to_numpy(float)))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", length double"
-    return df.groupBy(*keys).applyInPandas(rule, schema)
+    return df.select(*keys, place, value).groupBy(*keys).applyInPandas(rule, schema)

@@ -63,14 +63,6 @@ def lookback_column(kind: str, period: str) -> Column:
     return bars.otherwise(F.raise_error(F.concat(F.lit("unknown lookback "), F.col(kind))).cast("long"))
 
 
-def candidates(atoms: DataFrame, name: str = "a") -> DataFrame:
-    """Single atoms, and AND and OR of all pairs in canonical order, with the size of the family; atoms are few."""
-    other = atoms.select(F.col(name).alias("b"))
-    pairs = atoms.join(other, F.col(name) < F.col("b")).withColumn("op", F.explode(F.array(F.lit("AND"), F.lit("OR"))))
-    n = F.broadcast(atoms.agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("family")))  # one row: n + 2 * n (n - 1) / 2
-    return pairs.unionByName(atoms, allowMissingColumns=True).join(n, F.lit(True))
-
-
 def coherence(runs: DataFrame, keys: list[str], run: str, admitted: str, passed: str, k: int) -> DataFrame:
     """Whether none of the latest k complete runs admitted anything without having passed its test."""
     last = latest_rows(runs, keys, run, k)
@@ -100,8 +92,8 @@ def running_total(df: DataFrame, value: str, amount: str, out: str, total: str,
     return rows.join(ranges if groups else F.broadcast(ranges), [*groups, "_b"]).withColumn(out, F.col("_before") + own).drop("_b", "_before")  # broadcast: a row for each range
 
 
-def lowest_share(df: DataFrame, groups: list[str], key: str, ties: list[str], num: int, den: int) -> DataFrame:
-    """The floor(num * n / den) rows of each group with the lowest ``key``, a hexadecimal hash.
+def lowest_share(df: DataFrame, groups: list[str], key: str, ties: list[str], num: int | str, den: int) -> DataFrame:
+    """The floor(num * n / den) rows of each group with the lowest ``key``, a hexadecimal hash; ``num`` may be a column of ``groups``.
 
     Counts of the hashes' first three digits tell which bins are in as a whole
     and which one the cut falls into; only that bin's rows are ordered.

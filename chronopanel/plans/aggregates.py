@@ -340,19 +340,22 @@ def d41_sliced_metrics(spark, sf_dir):
     return out.select("entity_id", "label", "n", "episodes", (F.col("n") / F.col("episodes")).alias("dwell"), (F.col("n") < 2 * F.col("episodes")).alias("flicker"), (F.col("episodes") < 5).alias("low_power"), "win_rate", "sum_y")
 
 
-@query("""c AS (SELECT entity_id, count(*) AS c FROM outcomes GROUP BY 1), r AS (SELECT entity_id, c, row_number() OVER (ORDER BY c DESC, entity_id) AS place FROM c),
-p AS (SELECT o.entity_id, d, y, place, row_number() OVER (PARTITION BY d ORDER BY place) AS rn FROM outcomes o JOIN r USING (entity_id)),
-m AS (SELECT d, coalesce(max(place) FILTER (WHERE place = rn), 0) AS reach FROM p GROUP BY d),
-k AS (SELECT reach AS k, sum(count(*)) OVER (ORDER BY reach DESC) AS dates FROM m WHERE reach > 0 GROUP BY reach),
-b AS (SELECT max(k) AS k FROM k WHERE dates >= 20),
-x AS (SELECT entity_id, d, y FROM p JOIN m USING (d), b WHERE place <= k AND reach >= k),
-s AS (SELECT entity_id, avg(y) AS mean, stddev_pop(y) AS std FROM x GROUP BY 1),
-t AS (SELECT d, sum((y - mean) / std) AS z FROM x JOIN s USING (entity_id) GROUP BY 1),
-q AS (SELECT (SELECT count(*) FROM r) AS entities, (SELECT k FROM b) AS kept, count(*) AS dates, sum(z * z) AS zz FROM t),
-w AS (SELECT *, (zz / dates - kept) / nullif(kept * (kept - 1), 0) AS rho FROM q)
-SELECT entities, kept, dates, round(rho, 6) + 0.0::DOUBLE AS rho, round(kept / (1 + (kept - 1) * rho), 6) AS n_eff FROM w""")
+@query("""w AS (SELECT d FROM (SELECT DISTINCT d FROM outcomes) ORDER BY d DESC LIMIT 252),
+a AS (SELECT entity_id FROM outcomes JOIN w USING (d) GROUP BY 1 HAVING count(*) >= 0.6::DOUBLE * (SELECT count(*) FROM w)),
+t AS (SELECT d FROM outcomes JOIN w USING (d) JOIN a USING (entity_id) GROUP BY 1 HAVING count(*) >= 0.7::DOUBLE * (SELECT count(*) FROM a)),
+x AS (SELECT entity_id, d, y FROM outcomes JOIN a USING (entity_id) JOIN t USING (d)),
+p AS (SELECT a.entity_id, row_number() OVER (ORDER BY (SELECT count(*) FROM t) - count(x.d), a.entity_id) AS place FROM a LEFT JOIN x USING (entity_id) GROUP BY 1),
+k AS (SELECT k, count(*) AS dates FROM (SELECT q.place AS k, d FROM p q JOIN p USING (place) JOIN x ON true JOIN p o ON o.entity_id = x.entity_id AND o.place <= q.place GROUP BY 1, 2 HAVING count(*) = q.place) GROUP BY 1),
+b AS (SELECT max(k) AS k FROM k WHERE dates >= 20 AND k >= 2),
+c AS (SELECT d FROM x JOIN p USING (entity_id), b WHERE place <= k GROUP BY d, k HAVING count(*) = k),
+m AS (SELECT entity_id, d, y FROM x JOIN p USING (entity_id) JOIN c USING (d), b WHERE place <= k),
+s AS (SELECT entity_id, avg(y) AS mean, stddev_pop(y) AS std FROM m GROUP BY 1 HAVING stddev_pop(y) > 0),
+z AS (SELECT d, sum((y - mean) / std) AS z, count(*) AS n FROM m JOIN s USING (entity_id) GROUP BY 1),
+r AS (SELECT (SELECT count(DISTINCT entity_id) FROM outcomes) AS entities, (sum(z * z) / count(*) - max(n)) / nullif(max(n) * (max(n) - 1), 0) AS rho FROM z)
+SELECT entities, (SELECT k FROM b) AS kept, (SELECT count(*) FROM c) AS dates, rho IS NULL AS thin, round(rho, 6) + 0.0::DOUBLE AS rho,
+  round(greatest(1.0, least(entities::DOUBLE, entities / (1 + (entities - 1) * greatest(0.0::DOUBLE, least(0.999999::DOUBLE, rho))))), 6) AS n_eff FROM r""")
 def d43_panel_coverage(spark, sf_dir):
-    return op.complete_panel(fx.outcomes(spark, sf_dir), "y", 20)
+    return op.complete_panel(fx.outcomes(spark, sf_dir), "y", 20, window=252, entity_cover=0.6, time_cover=0.7)
 
 
 @query("""f AS (SELECT unnest([20, 50, 80]) AS fraction), k AS (SELECT unnest(range(0, 5)) AS draw),

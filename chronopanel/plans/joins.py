@@ -110,6 +110,14 @@ def c10_pairs_hedge(spark, sf_dir):
     return op.hedges(pairs.pair_sums(sector_returns(spark, sf_dir), "r", "sector", least_n=20), 0.7).select("a", "b", "n", "hedge", "corr", "related", "spread_z")
 
 
+@query(_PAIRS + """, h AS (SELECT a, b, n, (n * sab - sa * sb)::DOUBLE / nullif(n * sbb - sb * sb, 0) AS hedge, (n * sab - sa * sb)::DOUBLE / sqrt((n * saa - sa * sa)::DOUBLE) / sqrt((n * sbb - sb * sb)::DOUBLE) AS corr FROM s WHERE n >= 20 AND n * saa > sa * sa AND n * sbb > sb * sb)
+SELECT a, b, n, hedge, corr FROM h WHERE abs(corr) >= 0.15""")
+def c10_related_pairs(spark, sf_dir):
+    """Related pairs alone, from the cells that can hold any."""
+    sums = pairs.pair_sums(sector_returns(spark, sf_dir), "r", "sector", least=0.15, least_n=20)
+    return op.hedges(sums, 0.15).where("related").select("a", "b", "n", "hedge", "corr")
+
+
 @query(_PAIRS + " SELECT a, b, n, (n * sab - sa * sb)::DOUBLE / sqrt((n * saa - sa * sa)::DOUBLE) / sqrt((n * sbb - sb * sb)::DOUBLE) AS corr FROM s WHERE n >= 20 AND n * saa > sa * sa AND n * sbb > sb * sb")
 def c11_correlations(spark, sf_dir):
     s = pairs.pair_sums(sector_returns(spark, sf_dir), "r", "sector", least_n=20)

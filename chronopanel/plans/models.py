@@ -1,4 +1,4 @@
-"""Queries of statistical tests (L4, L7, L8, L11), pipelines (B29), detectors (K5) and models (M)."""
+"""Queries of statistical tests (L2, L4, L7, L8), pipelines (B29), detectors (K5) and models (M)."""
 
 from __future__ import annotations
 
@@ -23,9 +23,33 @@ def matrix(spark, sf_dir):
     return rows.where("y is not null").select("entity_id", "d", "f1", "f2", "f3", "y", label.alias("label"), fold("d").alias("fold"), near.alias("near"))
 
 
+@query()
+def l02_one_sample(spark, sf_dir):
+    return op.one_sample_t(fx.outcomes(spark, sf_dir), "y", ["entity_id"])
+
+
+def pinball_scores(spark, sf_dir):
+    """entity_id, d, and ten times the median's pinball loss of the forecast and of a forecast of none, both where a class says so."""
+    rows = fx.predictions(spark, sf_dir).join(fx.outcomes(spark, sf_dir), ["entity_id", "d"])
+    loss = lambda q: 5 * F.abs(F.col("y") - q)
+    base = rows.select("entity_id", "d", loss(F.lit(0)).alias("score"))
+    return base, rows.where("entity_id % 3 <> 0 or cls <> 1").select("entity_id", "d", loss(F.col("q50")).alias("score"))
+
+
+@query("""s AS (SELECT entity_id, d, 5 * abs(y) AS a, CASE WHEN entity_id % 3 <> 0 OR cls <> 1 THEN 5 * abs(y - q50) END AS b FROM predictions JOIN outcomes USING (entity_id, d)),
+m AS (SELECT entity_id, count(a) AS na, count(b) AS nb, sum(a)::BIGINT AS sa, coalesce(sum(b), 0)::BIGINT AS sb, sum(a * a)::BIGINT AS qa, coalesce(sum(b * b), 0)::BIGINT AS qb, sum(a - b)::BIGINT AS sd, sum((a - b) * (a - b))::BIGINT AS qd FROM s GROUP BY 1),
+v AS (SELECT *, na = nb AS paired, (nb * qd - sd * sd)::DOUBLE / nb AS xd, ((na * qa - sa * sa)::DOUBLE / na + (nb * qb - sb * sb)::DOUBLE / nullif(nb, 0)) / (na + nb - 2) AS pooled FROM m)
+SELECT entity_id, CASE WHEN paired THEN 'paired' ELSE 'pooled' END AS method, na AS n_base, nb AS n_other, CASE WHEN paired THEN nb - 1 ELSE na + nb - 2 END AS df,
+  round(CASE WHEN paired THEN CASE WHEN nb > 1 AND xd > 0 THEN sd / nb::DOUBLE / sqrt(xd / (nb::DOUBLE - 1) / nb::DOUBLE) END
+    WHEN nb > 0 AND na + nb > 2 AND pooled > 0 THEN (sa::DOUBLE / na - sb::DOUBLE / nb) / sqrt(pooled * (1::DOUBLE / na + 1::DOUBLE / nb)) END, 9) AS t FROM v""")
+def l02_two_sample_t(spark, sf_dir):
+    """Is the forecast's loss below that of no forecast?  Paired where both have every date, else pooled."""
+    return op.one_sided_t(*pinball_scores(spark, sf_dir), "score", ["entity_id"], ["d"]).drop("p")
+
+
 @query()
 def l02_t_tests(spark, sf_dir):
-    return op.one_sided_t(fx.outcomes(spark, sf_dir), "y", ["entity_id"])
+    return op.one_sided_t(*pinball_scores(spark, sf_dir), "score", ["entity_id"], ["d"])
 
 
 @query()
@@ -44,15 +68,9 @@ def l07_bootstrap_spa(spark, sf_dir):
 
 @query()
 def l08_block_length(spark, sf_dir):
-    return op.block_length(fx.outcomes(spark, sf_dir), ["entity_id"], "d", "y")
-
-
-@query()
-def l11_power_sweep(spark, sf_dir):
-    rows = fx.outcomes(spark, sf_dir)
-    draws = rows.withColumn("s", F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("draw")) for f in (25, 50, 75) for k in range(3)]))).select("entity_id", "d", "y", "s.*")
-    kept = draws.where(F.pmod(F.xxhash64("entity_id", "draw"), F.lit(100)) < F.col("fraction"))
-    return kept.groupBy("fraction", "draw").agg(F.countDistinct("entity_id").alias("entities"), F.avg("y").alias("mean_y"), F.stddev_samp("y").alias("std_y"))
+    """Of each sector's mean outcome, and of the mean of all."""
+    rows = fx.outcomes(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id").select(F.explode(F.array(F.lit("market"), F.col("sector"))).alias("scope"), "d", "y")
+    return op.block_length(rows.groupBy("scope", "d").agg(F.avg("y").alias("y")), ["scope"], "d", "y")
 
 
 @query()
@@ -106,7 +124,7 @@ def m5_arm_comparison(spark, sf_dir):
     rows = matrix(spark, sf_dir).dropna()
     a, b = (mod.linear(mod.quantile_regression(rows, fs, "y", 0.5), fs) for fs in (["f2"], ["f1", "f2", "f3"]))
     paired = rows.groupBy("entity_id").agg(F.avg(F.abs(F.col("y") - a) - F.abs(F.col("y") - b)).alias("gain")).withColumn("arm", F.lit("b"))
-    return op.one_sided_t(paired, "gain", ["arm"])
+    return op.one_sample_t(paired, "gain", ["arm"])
 
 
 @query()

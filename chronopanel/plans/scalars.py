@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import scalars as fn
 from chronopanel.operators import aggregates as agg
+from chronopanel.operators import discovery as dis
 from chronopanel.operators import stats as sta
 from chronopanel.operators import tables as tab
 from chronopanel.operators import windows as win
 from chronopanel.sources import fixtures as fx
 from chronopanel.sources import ingest as ing
+from chronopanel.sources.staging import shared_path as scratch
 
 from .aggregates import scored
 from .joins import _LONG, long_features
 from .registry import query
-from .sources import scratch
 
 _E = "PARTITION BY entity_id ORDER BY d"
 
@@ -521,7 +522,7 @@ def l03_conditional_moments(spark, sf_dir):
 SELECT a.a, b.a AS b, op, (SELECT count(*) * count(*) FROM x) AS family FROM x a JOIN x b ON a.a < b.a, (SELECT unnest(['AND', 'OR']) AS op) UNION ALL SELECT a, NULL, NULL, (SELECT count(*) * count(*) FROM x) FROM x""")
 def l05_candidates(spark, sf_dir):
     rows = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id")
-    return tab.candidates(rows.groupBy(F.col("sector").alias("a")).agg(F.max("c").alias("most")).where("most > 1000000").select("a"))
+    return dis.candidates(rows.groupBy(F.col("sector").alias("a")).agg(F.max("c").alias("most")).where("most > 1000000").select("a")).select("a", "b", "op", "family")
 
 
 @query("""z AS (SELECT sector, y, d < DATE '1998-01-01' AS inner_part, vol > 30 AS busy FROM outcomes JOIN bars USING (entity_id, d) JOIN dims USING (entity_id)),
@@ -556,8 +557,8 @@ def l12_recompute_check(spark, sf_dir):
     rows = fx.outcomes(spark, sf_dir).join(fx.bars(spark, sf_dir).select("entity_id", "d", (F.col("vol") > 30).alias("busy")), ["entity_id", "d"]).join(fx.dims(spark, sf_dir), "entity_id")
     keys = ["sector", "busy"]
     drift = F.when((F.col("sector") == "ASIA") & F.col("busy"), F.col("p") + 0.001).otherwise(F.col("p"))
-    stored = sta.one_sided_t(rows.repartition("d"), "y", keys).withColumn("p", drift)  # another order of sums
-    return sta.recomputed(stored, sta.one_sided_t(rows, "y", keys), keys).select(*keys, F.col("t").isNotNull().alias("has_p"), "matches")
+    stored = sta.one_sample_t(rows.repartition("d"), "y", keys).withColumn("p", drift)  # another order of sums
+    return sta.recomputed(stored, sta.one_sample_t(rows, "y", keys), keys).select(*keys, F.col("t").isNotNull().alias("has_p"), "matches")
 
 
 @query("""r AS (SELECT entity_id, date_diff('day', DATE '1990-01-01', d) // 28 AS run, count(*) FILTER (WHERE q50 > 400) AS admitted, bool_and(q10 < q50 - 160) AS passed FROM predictions GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -653,6 +654,79 @@ def l03_conditional_p(spark, sf_dir):
     return conditional(spark, sf_dir).select("label", "episodes", "n", "t", "p")
 
 
+ATOMS = {"busier": "volume > volume_1", "dearer": "total > total_1", "rising": "total > total_4", "wider": "n > n_1"}
+
+#: Per date: what the atoms compare, and the mean outcome as a whole number.
+_DAYS = """w AS (SELECT d, sum(c)::BIGINT AS total, sum(vol)::BIGINT AS volume, count(*) AS n FROM bars GROUP BY d),
+f AS (SELECT d, volume > lag(volume) OVER o AS busier, total > lag(total) OVER o AS dearer, total > lag(total, 4) OVER o AS rising, n > lag(n) OVER o AS wider FROM w WINDOW o AS (ORDER BY d)),
+r AS (SELECT d, floor(sum(y)::DOUBLE / count(*))::BIGINT AS r FROM outcomes GROUP BY d)"""
+
+
+def atom_flags(spark, sf_dir):
+    """i, d and whether each atom holds: one row a date."""
+    days = fx.bars(spark, sf_dir).groupBy("d").agg(F.sum("c").alias("total"), F.sum("vol").alias("volume"), F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    along = W.partitionBy("one").orderBy("d")
+    seen = days.withColumns({f"{c}_{k}": F.lag(c, k).over(along) for c, k in (("volume", 1), ("total", 1), ("total", 4), ("n", 1))} | {"i": (F.row_number().over(along) - 1).cast("long")})
+    return seen.select("i", "d", *[F.coalesce(F.expr(e), F.lit(False)).alias(a) for a, e in ATOMS.items()])
+
+
+def market_outcomes(rows, *keys):
+    """keys, d, r: the mean outcome of a date as a whole number."""
+    return rows.groupBy(*keys, "d").agg(F.floor(F.sum("y").cast("double") / F.count(F.lit(1))).cast("long").alias("r"))
+
+
+def composite_tests(spark, sf_dir, budget, outcomes, keys=()):
+    """Candidates within the budget, tested before and after 1998."""
+    flags = atom_flags(spark, sf_dir)
+    atoms = spark.createDataFrame([(a,) for a in ATOMS], "a string")
+    tried = dis.candidates(atoms, "a", budget).where("within").drop("within")
+    bits = dis.combined(tried, dis.words(flags, list(ATOMS)))
+    placed = market_outcomes(outcomes, *keys).join(flags.select("d", "i"), "d").withColumn("inner_part", F.col("d") < F.lit("1998-01-01").cast("date"))
+    return tried, dis.tests(tried, bits, placed, "r", "inner_part", keys)
+
+
+@query(_DAYS + """, n AS (SELECT unnest(['busier', 'dearer', 'rising', 'wider']) AS a),
+e AS (SELECT row_number() OVER (ORDER BY b IS NOT NULL, a, b, op) AS id, a, b, op FROM (SELECT a, NULL AS b, NULL AS op FROM n UNION ALL SELECT x.a, y.a, op FROM n x JOIN n y ON x.a < y.a, (SELECT unnest(['AND', 'OR']) AS op))),
+g AS (UNPIVOT f ON busier, dearer, rising, wider INTO NAME a VALUE held),
+u AS (SELECT d, a, coalesce(held, false) AS held FROM (SELECT d.d, n.a, g.held FROM f d CROSS JOIN n LEFT JOIN g ON g.d = d.d AND g.a = n.a)),
+h AS (SELECT id, e.a, e.b, e.op, x.d, CASE op WHEN 'AND' THEN x.held AND y.held WHEN 'OR' THEN x.held OR y.held ELSE x.held END AS held, row_number() OVER (PARTITION BY id ORDER BY x.d) AS i
+  FROM e JOIN u x ON x.a = e.a LEFT JOIN u y ON y.a = e.b AND y.d = x.d WHERE id <= 14),
+o AS (SELECT h.*, r, h.d < DATE '1998-01-01' AS inner_part FROM h JOIN r USING (d)),
+q AS (SELECT *, held AND NOT coalesce(lag(held) OVER k AND lag(i) OVER k = i - 1, false) AS on_starts, NOT held AND NOT coalesce(NOT lag(held) OVER k AND lag(i) OVER k = i - 1, false) AS off_starts FROM o WINDOW k AS (PARTITION BY id, inner_part ORDER BY d)),
+m AS (SELECT id, a, b, op, inner_part, held, count(*) AS n, sum(r)::BIGINT AS s, sum(r * r)::BIGINT AS ss, count(*) FILTER (WHERE on_starts OR off_starts) AS episodes FROM q GROUP BY ALL)
+SELECT id, a, b, op, inner_part, CASE WHEN held THEN 'on' ELSE 'off' END AS bucket, n, s, ss, episodes,
+  CASE WHEN episodes >= 5 AND n >= 2 AND n * ss > s * s THEN round((s::DOUBLE / n) / (sqrt((n * ss - s * s)::DOUBLE / (n * (n - 1))) / sqrt(n::DOUBLE)), 9) END AS t FROM m""")
+def l06_composite_tests(spark, sf_dir):
+    """Atoms and their pairs as words of bits: rows, runs and t of both sides in both parts, 14 of 16 candidates."""
+    tried, tested = composite_tests(spark, sf_dir, 14, fx.outcomes(spark, sf_dir))
+    return tested.join(tried.drop("family"), "id").select("id", "a", "b", "op", "inner_part", "bucket", "n", "s", "ss", "episodes", "t")
+
+
+@query()
+def l06_composite_verdicts(spark, sf_dir):
+    """What became of all candidates; those beyond the budget are recorded as cut."""
+    tried, tested = composite_tests(spark, sf_dir, 14, fx.outcomes(spark, sf_dir))
+    every = dis.candidates(spark.createDataFrame([(a,) for a in ATOMS], "a string"), "a", 14)
+    judged = dis.verdicts(tested, "inner_part", 0.6, 0.5)
+    verdict = F.when(~F.col("within"), "budget_exhausted").otherwise(F.coalesce("verdict", F.lit("refused_low_power")))
+    return every.join(judged, "id", "left").select("id", "a", "b", "op", "family", "p_inner", "p_outer", verdict.alias("verdict"))
+
+
+@query()
+def l11_power_sweep(spark, sf_dir):
+    """Samples by sector of three sizes, three draws each: size, correlation, effective size and admissions of every draw in one plan."""
+    settings = [(f, k) for f in (30, 60, 90) for k in range(3)]
+    wanted = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("draw")) for f, k in settings]))
+    pool = fx.dims(spark, sf_dir).select("entity_id", "sector", wanted.alias("s")).select("entity_id", "sector", "s.*").withColumn("key", F.sha2(F.concat_ws(":", F.lit(17), "fraction", "draw", "entity_id"), 256))
+    sample = tab.lowest_share(pool, ["fraction", "draw", "sector"], "key", ["entity_id"], "fraction", 100)
+    rows = fx.outcomes(spark, sf_dir).join(sample.select("fraction", "draw", "entity_id"), "entity_id")
+    keys = ("fraction", "draw")
+    size = agg.complete_panel(rows, "y", 20, keys, entity_cover=0.6, time_cover=0.7)
+    _, tested = composite_tests(spark, sf_dir, 16, rows, keys)
+    judged = dis.verdicts(tested, "inner_part", 0.6, 0.5, keys).groupBy(*keys).agg(F.count_if(F.col("verdict") == "admitted").alias("admitted"), F.count("p_outer").alias("tested"))
+    return size.join(judged, list(keys), "left")
+
+
 @query()
 def l06_survivors(spark, sf_dir):
     """Outer p-values of screened candidates, and which survive the false discovery rate."""

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from chronopanel.sources import fixtures as fx
 from chronopanel.sources import ingest as op
+from chronopanel.sources.staging import shared_path as scratch
 
 from .joins import _LONG, long_features
 from .registry import query
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/chronopanel-{uuid.uuid4().hex[:12]}/{name}"
-
-
 def bar_payloads(spark, sf_dir):
     """One payload per entity in the provider's shape; some dates and closes are spoilt."""
     text = lambda c: F.col(c).cast("string")

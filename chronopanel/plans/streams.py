@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.sources import fixtures as fx
+from chronopanel.sources.staging import shared_path as scratch
 from chronopanel.streaming import events as op
 
 from .registry import query
-from .sources import scratch
 
 
 def _events(spark, sf_dir):

@@ -27,9 +27,9 @@ def test_t_upper_by_integration(t, df):
     assert stats.t_upper(t, df) == pytest.approx(0.5 - math.copysign(half, t), abs=1e-8)
 
 
-def test_one_sided_t(spark):
+def test_one_sample_t(spark):
     rows = [("a", v) for v in (1.0, 2.0, 4.0, 3.0)] + [("b", 5.0)] + [("c", 2.0)] * 3 + [("d", -1.0), ("d", -2.0), ("d", None)]
-    got = {r["k"]: r for r in stats.one_sided_t(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    got = {r["k"]: r for r in stats.one_sample_t(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
     x = np.array([1.0, 2, 4, 3])
     t = x.mean() / (x.std(ddof=1) / 2)
     assert got["a"]["t"] == pytest.approx(t) and got["a"]["p"] == pytest.approx(stats.t_upper(t, 3))
