@@ -6,12 +6,13 @@ input to its end and returns what the sink holds.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def source(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -19,11 +20,21 @@ def source(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def land(batches: list[DataFrame], path: str) -> DataFrame:
+    """Write frames one after another below ``path``, and the stream that reads one of them a batch, in that order."""
+    for k, df in enumerate(batches):
+        df.coalesce(1).write.parquet(f"{path}/batch={k}")
+    spark, schema = batches[0].sparkSession, batches[0].schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 def replay(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run the stream over all that is there into Parquet, and read that."""
     out = f"{path}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    writer.format("parquet").option("path", out).start().awaitTermination()
+    with rocksdb(stream.sparkSession):
+        query = writer.format("parquet").option("path", out).start()
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -73,19 +84,78 @@ def upsert_into(stream: DataFrame, path: str, keys: list[str], order: list[str])
     return spark.read.schema(schema).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
-def running_mean(events: DataFrame, key: str, time: str, value: str, period: int) -> DataFrame:
-    """Exponential mean per key, seeded with the first value; state outlives the batch."""
-    k = 2 / (period + 1)
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f for f in frames if len(f)]).sort_values([time, "event_id"])
-        mean, n = state.get if state.exists else (None, 0)
-        for x in rows[value].tolist():
-            mean, n = (x if mean is None else mean * (1 - k) + x * k), n + 1
-        state.update((mean, n))
-        yield pd.DataFrame({key: [group[0]], "mean": [mean], "n": [n]})
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, mean double, n long", "mean double, n long", "append", GroupStateTimeout.NoTimeout)
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams that start within keep their state in RocksDB, which lists, timers and time to live need; the session's own choice comes back after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class _RunningMean(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them, then they go into the mean in order of time and id."""
+
+    def __init__(self, key: str, ident: str, period: int, idle_ms: int):
+        self.key, self.ident, self.k, self.idle = key, ident, 2 / (period + 1), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mean = handle.getValueState("mean", "mean double, n long, last long")
+        self.waiting = handle.getListState("waiting", "at long, id long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # by place: computed columns come without their names
+        came = [r for f in rows for r in zip(*(f.iloc[:, k].tolist() for k in (2, 3, 4)), strict=True)]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(min(r[0] for r in came) // 1000)
+        yield self.made(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(set(self.waiting.get()))  # rows that came twice are one
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        mean, n, last = self.mean.get() if self.mean.exists() else (None, 0, 0)
+        out = []
+        for at, ident, x in due:
+            fresh = mean is None or at - last > self.idle * 1000
+            mean, n, last = (x, 1, at) if fresh else (mean * (1 - self.k) + x * self.k, n + 1, at)
+            out.append((key[0], ident, mean, n))
+        if due:
+            self.mean.update((mean, n, last))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000)
+        else:
+            self.waiting.clear()
+            if now > last + self.idle * 1000:
+                self.mean.clear()
+            else:
+                self.handle.registerTimer(last // 1000 + self.idle)
+        yield self.made(key, out)
+
+    def made(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, self.ident, "mean", "n"]).astype({self.key: "int64", self.ident: "int64", "mean": "float64", "n": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def running_mean(events: DataFrame, key: str, time: str, value: str, period: int, delay: str, idle_ms: int, ident: str = "event_id") -> DataFrame:
+    """Per event the exponential mean of its key up to it, seeded with the first value, once the watermark has passed it.
+
+    Events may come in any order within ``delay`` and more than once; later ones
+    are dropped.  A key that has had no event for ``idle_ms`` starts anew, and its
+    state goes once the watermark has passed that time.  Start the stream within ``rocksdb``.
+    """
+    # the watermark is set on ``time`` itself, so it has to stay among the columns
+    rows = events.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("_at"), F.col(ident).alias("_id"), F.col(value).cast("double").alias("_value"))
+    schema = f"{key} long, {ident} long, mean double, n long"
+    return rows.groupBy(key).transformWithStateInPandas(_RunningMean(key, ident, period, idle_ms), schema, "Append", "EventTime")
 
 
 def out_of_bounds(events: DataFrame, rules: DataFrame, kind: str, value: str) -> DataFrame:
@@ -96,5 +166,5 @@ def out_of_bounds(events: DataFrame, rules: DataFrame, kind: str, value: str) ->
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, delay: str) -> DataFrame:
     """Episodes: events of one key no further apart than the gap."""
     s = F.session_window(time, gap)
-    out = events.withWatermark(time, delay).groupBy(s.alias("s"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    out = (events if events.isStreaming and "EventTimeWatermark" in events._jdf.queryExecution().analyzed().toString() else events.withWatermark(time, delay)).groupBy(s.alias("s"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return out.select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
