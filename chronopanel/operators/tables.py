@@ -187,3 +187,38 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str], rate: float) ->
     placed = running_total(seen, p, "_m", "_k", "_known", groups=tuple(family)).join(df.groupBy(*family).agg(F.count(F.lit(1)).alias("_n")), family)
     cut = placed.where(F.col(p) <= F.col("_k") * rate / F.col("_n")).groupBy(*family).agg(F.max(p).alias("_cut"))
     return df.join(cut, family, "left").withColumn("survivor", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
+
+
+def digest_words(value: Column) -> list[Column]:
+    """Two words of 60 bits from a value's salted SHA-256."""
+    return [F.conv(F.substring(F.sha2(F.concat(value, F.lit(f":{salt}")), 256), 1, 15), 16, 10).cast("decimal(20,0)") for salt in (0, 1)]
+
+
+def set_digest(value: Column) -> Column:
+    """An aggregate: a fingerprint of a group's values that doesn't depend on their order.
+
+    Sums of the values' hashes, and their number, so parts of a group combine
+    wherever they are; no task holds a group's values.  Nulls are left out.
+    """
+    sums = [F.lpad(F.lower(F.hex((F.sum(w) % F.lit(1 << 60).cast("decimal(20,0)")).cast("long"))), 15, "0") for w in digest_words(value)]
+    return F.concat(*[F.coalesce(s, F.lit("0" * 15)) for s in sums], F.lit("-"), F.count(value).cast("string"))
+
+
+def canonical(node: dict) -> str:
+    """A rule tree as text, children of AND and OR in order of their own texts, so that equal rules are equal texts."""
+    import json
+
+    def form(n: dict):
+        if n.get("op") in ("AND", "OR"):
+            return {"op": n["op"], "children": sorted((form(c) for c in n["children"]), key=lambda c: json.dumps(c, sort_keys=True))}
+        return n | {"children": [form(c) for c in n["children"]]} if "children" in n else n
+
+    return json.dumps(form(node), sort_keys=True, separators=(",", ":"))
+
+
+def duplicates(df: DataFrame, ident: str, parts: list[str]) -> DataFrame:
+    """Rows whose ``parts``, whatever their order and repeats, equal those of another: id, fingerprint, first id and copies."""
+    text = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in parts])))), "|")
+    marked = df.select(ident, F.sha2(text, 256).alias("fingerprint"))
+    groups = marked.groupBy("fingerprint").agg(F.min(ident).alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return marked.join(groups, "fingerprint").select(ident, "fingerprint", "first_id", "copies")

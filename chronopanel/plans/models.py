@@ -10,14 +10,15 @@ from chronopanel.operators import models as mod
 from chronopanel.operators import stats as op
 from chronopanel.operators import windows as win
 from chronopanel.sources import fixtures as fx
+from chronopanel.sources.staging import staged
 
 from .registry import query
 
 
 def matrix(spark, sf_dir):
-    """entity_id, d, three features, y in basis points, label 0-2, fold by date."""
+    """entity_id, d, three features, y in basis points, label 0-4 from strong fall to strong rise, fold by date."""
     rows = fx.bars(spark, sf_dir).withColumns({"f1": 100 * win.change("c"), "f2": F.col("vol").cast("double"), "f3": 100 * win.change("c", 4), "y": F.floor(10000 * win.forward("c", 4)).cast("double")})
-    label = F.when(F.col("y") < -500, 0).when(F.col("y") <= 500, 1).otherwise(2)
+    label = F.when(F.col("y") < -1500, 0).when(F.col("y") < -500, 1).when(F.col("y") <= 500, 2).when(F.col("y") <= 1500, 3).otherwise(4)
     fold = lambda day: F.pmod(F.expr(f"datediff({day}, date'1995-01-01') div 180"), F.lit(3)).cast("int")
     near = F.array(fold("date_sub(d, 35)"), fold("date_add(d, 35)"))  # outcomes reach over four bars
     return rows.where("y is not null").select("entity_id", "d", "f1", "f2", "f3", "y", label.alias("label"), fold("d").alias("fold"), near.alias("near"))
@@ -99,17 +100,42 @@ def m1_trend_classifier(spark, sf_dir):
     return mod.predict_classes(fitted, rows.where("d >= date'2000-01-01'"), ["entity_id", "d", "label"])
 
 
+def split(spark, sf_dir, features):
+    """Rows before 2000 and rows since, gaps filled with the medians of the former; outcomes reach over four bars, so the last five weeks before are left out."""
+    rows = staged(matrix(spark, sf_dir), "matrix")
+    train, held = rows.where("d < date'1999-11-27'"), rows.where("d >= date'2000-01-01'")
+    fill = mod.medians(train, features)
+    return mod.imputed(train, fill), mod.imputed(held, fill)
+
+
 @query()
 def m2_quantile_regression(spark, sf_dir):
-    rows = matrix(spark, sf_dir).dropna()
-    fitted = {q: mod.linear(mod.quantile_regression(rows, ["f1", "f2"], "y", q / 100), ["f1", "f2"]) for q in (10, 50, 90)}
-    return rows.select("entity_id", "d", "y", F.least(fitted[10], fitted[50]).alias("q10"), fitted[50].alias("q50"), F.greatest(fitted[50], fitted[90]).alias("q90"))
+    """Quantiles of rows that no fit has seen, clamped, beside those of the training outcomes alone."""
+    train, held = split(spark, sf_dir, ["f1", "f2"])
+    fitted = {q: mod.linear(mod.quantile_regression(train, ["f1", "f2"], "y", q / 100), ["f1", "f2"]) for q in (10, 50, 90)}
+    base = train.agg(*[F.percentile("y", q / 100).alias(f"base{q}") for q in (10, 50, 90)])
+    out = held.join(F.broadcast(base), F.lit(True))  # one row
+    return out.select("entity_id", "d", "y", F.least(fitted[10], fitted[50]).alias("q10"), fitted[50].alias("q50"), F.greatest(fitted[50], fitted[90]).alias("q90"), "base10", "base50", "base90")
+
+
+FEATURES = ["f1", "f2", "f3"]
+GRID = [mod.Choice("mean", ())] + [mod.Choice(f"{name} {p}", fs, p) for name, fs in (("volume", ("f2",)), ("moves", ("f1", "f3")), ("all", ("f1", "f2", "f3"))) for p in (0.0, 10.0, 1000.0)]
 
 
 @query()
 def m3_cross_validated_search(spark, sf_dir):
-    choices = [{"regParam": 0.0, "maxIter": 10}, {"regParam": 0.5, "maxIter": 10}]
-    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices, "near")
+    """Ten choices on purged folds: scores, their mean, and the best."""
+    train, _ = split(spark, sf_dir, FEATURES)
+    return mod.cross_validated(train, "fold", 3, FEATURES, "y", GRID, "near")[0]
+
+
+@query()
+def m3_expanding_search(spark, sf_dir):
+    """The same on half-years in order, each tested by what came before it."""
+    train, _ = split(spark, sf_dir, FEATURES)
+    half = lambda day: F.expr(f"cast(datediff({day}, date'1995-01-01') div 180 as int)")
+    dated = train.withColumns({"half": half("d"), "reach": F.array(half("date_add(d, 35)"))})
+    return mod.cross_validated(dated, "half", 10, FEATURES, "y", GRID, "reach", expanding=True)[0]
 
 
 @query()
@@ -121,13 +147,22 @@ def m4_permutation_importance(spark, sf_dir):
 
 @query()
 def m5_arm_comparison(spark, sf_dir):
-    rows = matrix(spark, sf_dir).dropna()
-    a, b = (mod.linear(mod.quantile_regression(rows, fs, "y", 0.5), fs) for fs in (["f2"], ["f1", "f2", "f3"]))
-    paired = rows.groupBy("entity_id").agg(F.avg(F.abs(F.col("y") - a) - F.abs(F.col("y") - b)).alias("gain")).withColumn("arm", F.lit("b"))
-    return op.one_sample_t(paired, "gain", ["arm"])
+    """Does an arm with all features err less than one with volume alone?  Fitted before 2000, scored per entity since, paired."""
+    train, held = split(spark, sf_dir, FEATURES)
+    base, other = (mod.holdout_scores(train, held, FEATURES, "y", mod.Choice(n, fs), ["entity_id"]).withColumn("arm", F.lit("all")) for n, fs in (("volume", ("f2",)), ("all", tuple(FEATURES))))
+    return op.one_sided_t(base, other, "score", ["arm"], ["entity_id"])
 
 
 @query()
 def m6_model_comparison(spark, sf_dir):
+    """The best choice of the search against the mean: both fitted on all rows before 2000, the holdout touched once, scores paired by entity."""
+    train, held = split(spark, sf_dir, FEATURES)
+    _, best = mod.cross_validated(train, "fold", 3, FEATURES, "y", GRID, "near")
+    base, other = (mod.holdout_scores(train, held, FEATURES, "y", c, ["entity_id"]).withColumn("model", F.lit(best.name)) for c in (GRID[0], best))
+    return op.one_sided_t(base, other, "score", ["model"], ["entity_id"])
+
+
+@query()
+def m6_classifier_comparison(spark, sf_dir):
     choices = [{"algorithm": "logistic", "maxIter": 10}, {"algorithm": "forest", "numTrees": 8, "maxDepth": 4, "seed": 3}]
-    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, ["f1", "f2", "f3"], "label", choices, "near").groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))
+    return mod.cross_validate(matrix(spark, sf_dir), "fold", 3, FEATURES, "label", choices, "near").groupBy("choice", "parameters").agg(F.avg("accuracy").alias("accuracy"))

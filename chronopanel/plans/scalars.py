@@ -231,9 +231,20 @@ def b26_gate(spark, sf_dir):
     return fx.predictions(spark, sf_dir).where("q50 > 100 and q10 > -300 and cls <> 0").select("entity_id", "d", "q50")
 
 
-@query("SELECT sector, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS fingerprint, count(*) AS n FROM dims GROUP BY sector")
+_DIGEST = "lpad(lower(to_hex((sum(('0x' || substr(sha256(symbol || ':{0}'), 1, 15))::BIGINT) % 1152921504606846976)::BIGINT)), 15, '0')"
+
+
+@query(f"SELECT sector, {_DIGEST.format(0)} || {_DIGEST.format(1)} || '-' || count(*) AS fingerprint, count(*) AS n FROM dims GROUP BY sector")
 def b27_fingerprints(spark, sf_dir):
-    return fx.dims(spark, sf_dir).groupBy("sector").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("symbol")), ","), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    return fx.dims(spark, sf_dir).groupBy("sector").agg(tab.set_digest(F.col("symbol")).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""f AS (SELECT t.entity_id, t.d, sha256(concat_ws('|', 'shares=' || (shares % 7), 'side=' || side)) AS fingerprint, t.entity_id * 100000 + date_diff('day', DATE '1990-01-01', t.d) AS id FROM trades t),
+g AS (SELECT fingerprint, min(id) AS first_id, count(*) AS copies FROM f GROUP BY 1 HAVING count(*) > 1) SELECT id, fingerprint, first_id, copies FROM f JOIN g USING (fingerprint)""")
+def b27_duplicates(spark, sf_dir):
+    """Settings that were tried before, found by their fingerprints."""
+    rows = fx.trades(spark, sf_dir).select((F.col("entity_id") * 100_000 + F.datediff("d", F.lit("1990-01-01").cast("date"))).alias("id"), "side", (F.col("shares") % 7).alias("shares"))
+    return tab.duplicates(rows, "id", ["side", "shares"])
 
 
 @query("SELECT entity_id, d FROM bars JOIN dims USING (entity_id) WHERE sector <> 'ASIA' AND c BETWEEN 1000000 AND 4000000 AND vol >= 20")
