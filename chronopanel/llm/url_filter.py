@@ -11,11 +11,14 @@ unigram Viterbi search, so ``cheappills`` reads as ``cheap pills``.
   ``alphabets`` stay whole where ``hood`` and ``alpha`` are none.
 - A part that is a word itself is split only if each piece is on at least
   ``compound`` times as many hosts: then it is a compound, not a word.
-- Parts of over ``MAX_PART`` letters are no names and stay whole.
+- Parts of any length are split: a long one is looked up in overlapping slices,
+  and the search looks back ``MAX_WORD`` letters at most.
 
 A URL trains the block class if one of its tokens is a seed term, the allow
 class otherwise, so tokens that keep company with seed terms are learned too.
-A token counts once a URL, so one very long URL doesn't make up a class.
+Counts are multinomial, of a token that stands f times in a URL log2(1 + f), in
+training and in scores alike: repeats add up, but one URL that repeats a word
+ten thousand times doesn't make up a class.
 The dictionary, counts and weights are of all URLs.  They stay tables: parts
 meet the words that they contain in a join, tokens their weights in another.
 Nothing that grows with the input is sent to the driver or to all tasks.
@@ -45,11 +48,11 @@ SEED_TERMS = ("spam", "casino", "adult", "porn", "xxx", "bets", "betting", "pill
 COMPANIONS = ("cheap", "free", "best", "buy", "online", "win", "live", "hot", "play", "top", "real", "fast", "easy", "farm", "track", "server", "club", "shop", "store", "deal", "deals", "bonus", "poker", "slots", "payday", "date", "dating")
 #: Hosts that a seed term or companion counts for beyond those of the table.
 PRIOR = 100
-#: Letters of a word, and of a part that may be a name.
-MIN_WORD, MAX_WORD, MAX_PART = 3, 20, 256
+#: Letters of a word, and of a slice of a part that is looked up at once.
+MIN_WORD, MAX_WORD, SLICE = 3, 20, 256
 
-#: Log ratios are summed as whole multiples of 1/_UNIT, so that their order doesn't matter.
-_UNIT = 10**9
+#: Log ratios and counts are summed as whole multiples of these, so that their order doesn't matter.
+_UNIT, _COUNT = 10**9, 10**6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -108,12 +111,17 @@ def split_parts(used: DataFrame, seeds: tuple[str, ...], min_hosts: int, compoun
     named = used.where(F.col("part").rlike(r"^\p{L}+$"))
     known = named.where(size.between(MIN_WORD, MAX_WORD) & (F.col("hosts") >= min_hosts)).unionByName(prior)
     known = materialise(known.groupBy(F.col("part").alias("piece")).agg(F.sum("hosts").alias("weight")), "words", few_files=True)
-    whole = named.where(size.between(2 * MIN_WORD, MAX_PART)).select("part")
-    starts = F.sequence(F.lit(1), size - MIN_WORD + 1)
-    ends = lambda i: F.sequence(F.lit(MIN_WORD), F.least(F.lit(MAX_WORD), size - i + 1))
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda k: F.substring(F.col("part"), i, k)))))
-    held = whole.select("part", F.explode(pieces).alias("piece")).join(known, "piece")
-    by_part = held.groupBy("part").agg(F.collect_list("piece").alias("pieces"), F.collect_list("weight").alias("weights"))  # of one part's pieces
+    whole = named.where(size >= 2 * MIN_WORD).select(F.unhex(F.md5("part")).alias("key"), "part")
+    # each slice with the letters that a word which begins in it may need beyond it
+    slices = F.transform(F.sequence(F.lit(1), size, F.lit(SLICE)), lambda i: F.substring(F.col("part"), i, F.lit(SLICE + MAX_WORD - 1)))
+    cut = whole.select("key", F.explode(slices).alias("slice")).where(F.length("slice") >= MIN_WORD)
+    long = F.length("slice")
+    starts = F.sequence(F.lit(1), F.least(F.lit(SLICE), long - MIN_WORD + 1))
+    ends = lambda i: F.sequence(F.lit(MIN_WORD), F.least(F.lit(MAX_WORD), long - i + 1))
+    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.when(long - i + 1 >= MIN_WORD, ends(i)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(F.col("slice"), i, k)))))
+    held = cut.select("key", F.explode(pieces).alias("piece")).join(known, "piece").select("key", "piece", "weight").distinct()
+    by_key = held.groupBy("key").agg(F.collect_list("piece").alias("pieces"), F.collect_list("weight").alias("weights"))  # one part's known words
+    by_part = by_key.join(whole, "key").select("part", "pieces", "weights")
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
@@ -156,15 +164,18 @@ def filter_urls(
     marked = found.groupBy("key").agg(F.first("n").alias("n"), ordered.alias("tokens")).withColumn("bad", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))))
     marked = materialise(marked, "marked", few_files=True)
 
-    n_bad, n_good = (F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("bad"), ~F.col("bad")))
-    sums = [n_bad.alias("bad"), n_good.alias("good")]
-    by_token = materialise(marked.select("bad", "n", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(*sums), "tokens", few_files=True)
-    total = by_token.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n")).first()
-    n_rows, n_bad = lists.agg(F.sum("n")).first()[0] or 0, marked.agg(n_bad).first()[0]
+    seen = F.round(F.log2(F.count("*") + 1) * _COUNT).cast("long")
+    terms = marked.select("key", "n", "bad", F.explode("tokens").alias("t")).groupBy("key", "n", "bad", "t").agg(seen.alias("seen"))
+    terms = materialise(terms, "terms", few_files=True)
+    count = lambda of: F.coalesce(F.sum(F.when(of, F.col("n") * F.col("seen"))), F.lit(0)) / _COUNT
+    by_token = materialise(terms.groupBy("t").agg(count(F.col("bad")).alias("bad"), count(~F.col("bad")).alias("good")), "tokens", few_files=True)
+    total = by_token.agg(F.sum(F.round(F.col("bad") * _COUNT).cast("long")).alias("bad"), F.sum(F.round(F.col("good") * _COUNT).cast("long")).alias("good"), F.count("*").alias("n")).first()
+    n_rows, n_bad = lists.agg(F.sum("n")).first()[0] or 0, marked.where("bad").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     prior = math.log((n_bad + 1) / (n_rows - n_bad + 1))
-    bad, good = (F.log((F.col(k) + smoothing) / F.lit((total[k] or 0) + smoothing * max(total["n"], 1))) for k in ("bad", "good"))
-    ratio = by_token.select("t", F.round((bad - good) * _UNIT).cast("long").alias("ratio"))
-    sums = marked.select("key", F.explode(F.array_distinct("tokens")).alias("t")).join(ratio, "t").groupBy("key").agg(F.sum("ratio").alias("ratios"))
+    bad, good = (F.log((F.col(k) + smoothing) / F.lit((total[k] or 0) / _COUNT + smoothing * max(total["n"], 1))) for k in ("bad", "good"))
+    ratio = by_token.select("t", (bad - good).alias("ratio"))
+    part = F.round(F.col("ratio") * F.col("seen") / _COUNT * _UNIT).cast("long")
+    sums = terms.join(ratio, "t").groupBy("key").agg(F.sum(part).alias("ratios"))
     odds = F.lit(prior) + F.coalesce("ratios", F.lit(0)) / F.lit(_UNIT)
     odds = F.least(F.lit(500.0), F.greatest(F.lit(-500.0), odds))
     scored = split.drop("line").join(marked.select("key", "tokens").join(sums, "key"), "key", "left").withColumn("block_probability", 1 / (1 + F.exp(-odds)))

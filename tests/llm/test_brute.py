@@ -1,13 +1,16 @@
 """Registered queries against plain Python on whole tables."""
 
 import base64
+import functools
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from chronopanel.llm import packing, queries
 
@@ -23,18 +26,73 @@ def result(spark, name, key):
     return {r[key]: r.asDict() for r in queries.QUERIES[name](spark, SF).collect()}
 
 
+def plain_urls(urls):
+    """Tokens and log odds of each (host, path), by plain Python: dictionary, splits, multinomial counts."""
+    from chronopanel.llm.url_filter import COMPANIONS, SEED_TERMS
+
+    cut = lambda h, p: [x if x[0].isalpha() else "#" for x in regex.findall(r"\p{L}+|\p{N}+", f"{h}/{p}".lower())]
+    hosts: dict = {}
+    for h, p in urls:
+        for x in cut(h, p):
+            hosts.setdefault(x, set()).add(h)
+    words = Counter({w: len(s) for w, s in hosts.items() if w != "#" and 3 <= len(w) <= 20 and len(s) >= 2})
+    words.update({w: 100 for w in {*SEED_TERMS, *COMPANIONS}})
+
+    @functools.cache
+    def split(part):
+        own = words.get(part, 0)
+        inside = {part[i:k]: words[part[i:k]] for i in range(len(part)) for k in range(i + 3, min(len(part), i + 20) + 1) if part[i:k] in words}
+        total = math.log(sum(inside.values()) + 1)
+        best = {0: (0.0, ())}
+        for end in range(3, len(part) + 1):
+            found = [(best[i][0] + math.log(inside[part[i:end]]) - total, best[i][1] + (part[i:end],)) for i in range(max(0, end - 20), end - 2) if i in best and part[i:end] in inside and part[i:end] != part and inside[part[i:end]] >= 4 * own]
+            if found:
+                best[end] = max(found, key=lambda f: f[0])
+        return best[len(part)][1] if len(part) in best and len(part) >= 6 else (part,)
+
+    tokens = [[t for x in cut(h, p) for t in (split(x) if x != "#" else (x,))] for h, p in urls]
+    bad = [not set(t).isdisjoint(SEED_TERMS) for t in tokens]
+    counts: dict = {True: Counter(), False: Counter()}
+    for ts, b in zip(tokens, bad):
+        for t, f in Counter(ts).items():
+            counts[b][t] += math.log2(1 + f)
+    size = len(counts[True].keys() | counts[False].keys())
+    total = {side: sum(c.values()) + 0.5 * size for side, c in counts.items()}
+    start = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    weigh = lambda t: math.log((counts[True][t] + 0.5) / total[True]) - math.log((counts[False][t] + 0.5) / total[False])
+    return [(ts, start + sum(math.log2(1 + f) * weigh(t) for t, f in Counter(ts).items())) for ts in tokens]
+
+
 def test_op1(spark):
     rules = queries.URL_RULES
     got = result(spark, "op1_url_filter", "page_id")
-    for p in rows(spark, "pages"):
+    pages = rows(spark, "pages")
+    places = []
+    for p in pages:
         _, mark, rest = p["url"].partition("://")
         host = re.match(r"[^/?#]*", rest)[0].lower() if mark else ""
-        path = re.match(r"[^?#]*", rest[len(host) :])[0] if mark else ""
+        places.append((host, re.match(r"[^?#]*", rest[len(host) :])[0] if mark else ""))
+    for p, (host, path), (tokens, odds) in zip(pages, places, plain_urls(places), strict=True):
         fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
         rule = max(fits, key=len, default=None)
         g = got[p["page_id"]]
+        chance = 1 / (1 + math.exp(-max(-500, min(500, odds))))
         assert (g["host"], g["path"], g["rule"]) == (host, path, rule)
-        assert g["verdict"] in (rules[rule],) if rule else g["verdict"] in ("allow", "block")
+        assert g["block_probability"] == pytest.approx(chance, rel=1e-5, abs=1e-9)
+        assert g["verdict"] == (rules[rule] if rule else "block" if chance > 0.9 and tokens else "allow")
+
+
+def test_op1_long_parts(spark):
+    """Names of any length are split, also across the slices that they are looked up in."""
+    from chronopanel.llm import url_filter
+
+    urls = [f"http://a.example/{'cheappills' * n}" for n in (1, 25, 26, 60, 3000)] + [f"http://b.example/{'x' * k}{'cheappills' * 40}" for k in (0, 255, 256, 257)]
+    urls += [f"http://news{i % 9}.example.com/{w}/x{chr(97 + i % 26)}" for i in range(90) for w in ("sport", "world", "local")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, {}).collect()}
+    for k, n in enumerate((1, 25, 26, 60, 3000)):
+        assert got[k]["verdict"] == "block" and got[k]["tokens"][2:].count("pills") == n
+    assert got[5]["verdict"] == "block" and got[5]["tokens"].count("cheap") == 40
 
 
 def test_op2(spark):
