@@ -69,9 +69,10 @@ def parameter_grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
 
 
 def random_parameters(spark: SparkSession, n: int, ranges: dict[str, tuple], seed: int) -> DataFrame:
-    """n seeded uniform draws; whole numbers between integer bounds."""
+    """n uniform draws from a hash of seed, name and id, so the same on any cluster; whole numbers between integer bounds."""
     out = spark.range(n)
-    for k, (name, (low, high)) in enumerate(ranges.items()):
-        draw = low + F.rand(seed + k) * (high - low)
+    for name, (low, high) in ranges.items():
+        unit = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(name), "id"), 256), 1, 13), 16, 10).cast("long") / F.lit(1 << 52)
+        draw = low + unit * (high - low)
         out = out.withColumn(name, F.floor(draw).cast("int") if isinstance(low, int) else draw)
     return out

@@ -66,17 +66,55 @@ def reliability(df: DataFrame, p: str, hit: Column, bins: int) -> DataFrame:
 
 
 def equity_metrics(df: DataFrame, value: str, run: str, time: str, per_year: int = 252) -> DataFrame:
-    """Per curve: total return, max drawdown, annualised Sharpe (population deviation), days; Sharpe is null where undefined."""
+    """Per curve: total return, max drawdown, days, annualised Sharpe (population deviation) and Sortino (root mean square of the losses), Calmar.
+
+    Sharpe is null where undefined, Sortino 0 without a loss.
+    """
     order = W.partitionBy(run).orderBy(time)
     before, top = F.lag(value).over(order), F.max(value).over(order.rowsBetween(W.unboundedPreceding, 0))
     rows = df.withColumns({"_r": F.col(value) / F.nullif(before, F.lit(0)) - 1, "_dd": (F.col(value) - top) / top})
     out = rows.groupBy(run).agg(
         (F.max_by(value, time) / F.min_by(value, time) - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"), F.datediff(F.max(time), F.min(time)).alias("days"), F.count("_r").alias("n"),
-        F.avg("_r").alias("mean_return"), F.stddev_pop("_r").alias("std_return"), F.min(value).alias("least"), F.stddev_pop(F.least("_r", F.lit(0.0))).alias("down"),
+        F.avg("_r").alias("mean_return"), F.stddev_pop("_r").alias("std_return"), F.min(value).alias("least"), F.avg(F.when(F.col("_r") < 0, F.col("_r") * F.col("_r"))).alias("down"),
     )
     sharpe = F.when((F.col("least") > 0) & (F.col("std_return") > 0), F.col("mean_return") / F.col("std_return") * (per_year**0.5))
     calmar = F.when((F.col("max_drawdown") < 0) & (F.col("days") > 0), F.col("total_return") * 365 / F.col("days") / F.abs("max_drawdown"))
-    return out.withColumns({"sharpe": sharpe, "calmar": calmar}).drop("least", "down")
+    sortino = F.when(F.col("n") > 0, F.coalesce(F.col("mean_return") / F.nullif(F.sqrt("down"), F.lit(0.0)) * (per_year**0.5), F.lit(0.0)))
+    return out.withColumns({"sharpe": sharpe, "sortino": sortino, "calmar": calmar}).drop("least", "down")
+
+
+def sliced_returns(growth: DataFrame, factor: str, label: str, run: str, time: str, per_year: int = 252) -> DataFrame:
+    """Per run and label: n, log_growth, sharpe and max_drawdown of its rows compounded alone, and whether all labels' growth makes up the run's.
+
+    ``growth``: run, time, label, the factor from the row before (null on the
+    first, whose ``value`` starts the run) and ``value``.  'undefined' has no row
+    of its own but counts for the whole.  Rows of a run and label are in time order in one task.
+    """
+    rows = growth.where(F.col(factor).isNotNull()).withColumn("_l", F.log(factor))
+    order = W.partitionBy(run, label).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_up", F.sum("_l").over(order)).withColumn("_top", F.greatest(F.lit(0.0), F.max("_up").over(order)))
+    per = rows.groupBy(run, label).agg(F.count(F.lit(1)).alias("n"), F.sum("_l").alias("_g"), F.avg(F.col(factor) - 1).alias("_m"), F.stddev_pop(F.col(factor) - 1).alias("_s"), F.min(F.col("_up") - F.col("_top")).alias("_d"))
+    whole = growth.groupBy(run).agg(F.log(F.max_by("value", time) / F.min_by("value", time)).alias("_all"))
+    agrees = per.groupBy(run).agg(F.sum("_g").alias("_sum")).join(whole, run).select(run, (F.abs(F.col("_sum") - F.col("_all")) < 1e-6).alias("reconciled"))
+    sharpe = F.when(F.col("_s") > 0, F.round(F.col("_m") / F.col("_s") * (per_year**0.5), 6))
+    out = per.where(F.col(label) != "undefined").join(agrees, run)
+    return out.select(run, label, "n", (F.round("_g", 6) + F.lit(0.0)).alias("log_growth"), sharpe.alias("sharpe"), (F.round(F.exp("_d") - 1, 6) + F.lit(0.0)).alias("max_drawdown"), "reconciled")
+
+
+def confusion(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
+    """(actual, predicted, n, accuracy) of all pairs of labels, zeros too; accuracy is of all rows."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[actual]
+    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], f"actual {kind}, predicted {kind}")  # labels are few
+    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).cast(kind).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    right = F.broadcast(counts.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")))  # one row
+    return grid.join(counts, ["actual", "predicted"], "left").na.fill(0, ["n"]).join(right, F.lit(True))
+
+
+def reconciled_findings(found: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, verdict, action: findings to add, keep, change to another verdict, or resolve since they are no longer found."""
+    both = found.select(*keys, F.col("verdict").alias("_new")).join(stored.select(*keys, F.col("verdict").alias("_old")), keys, "full")
+    action = F.when(F.col("_old").isNull(), "add").when(F.col("_new").isNull(), "resolve").when(F.col("_new") == F.col("_old"), "keep").otherwise("change")
+    return both.select(*keys, F.coalesce("_new", "_old").alias("verdict"), action.alias("action"))
 
 
 def trade_metrics(df: DataFrame, pnl: str, run: str) -> DataFrame:

@@ -174,6 +174,16 @@ def d22_findings(spark, sf_dir):
     return trash.withColumn("verdict", F.lit("trash")).unionByName(suspect.withColumn("verdict", F.lit("suspect")))
 
 
+@query("""
+t AS (SELECT entity_id, d FROM bars WHERE c > 9000000), s AS (SELECT entity_id, d FROM bars WHERE h > 3 * l),
+n AS (SELECT entity_id, d, 'trash' AS verdict FROM t UNION ALL SELECT entity_id, d, 'suspect' FROM s ANTI JOIN t USING (entity_id, d)),
+o AS (SELECT entity_id, d, CASE WHEN vol % 3 = 0 THEN 'suspect' ELSE 'trash' END AS verdict FROM bars WHERE c > 8000000)
+SELECT entity_id, d, coalesce(n.verdict, o.verdict) AS verdict, CASE WHEN o.verdict IS NULL THEN 'add' WHEN n.verdict IS NULL THEN 'resolve' WHEN n.verdict = o.verdict THEN 'keep' ELSE 'change' END AS action FROM n FULL JOIN o USING (entity_id, d)""")
+def d22_reconciled_findings(spark, sf_dir):
+    stored = fx.bars(spark, sf_dir).where("c > 8000000").select("entity_id", "d", F.when(F.col("vol") % 3 == 0, "suspect").otherwise("trash").alias("verdict"))
+    return op.reconciled_findings(d22_findings(spark, sf_dir), stored, ["entity_id", "d"])
+
+
 @query("""n AS (SELECT unnest(['o', 'h', 'l', 'c', 'vol']) AS metric, unnest([count(o), count(h), count(l), count(c), count(vol)]) AS n_values, unnest([min(o), min(h), min(l), min(c), min(vol)]) AS least FROM bars),
 r AS (SELECT unnest(['c', 'vol', 'eps']) AS metric)
 SELECT coalesce(n.metric, r.metric) AS metric, n.metric IS NOT NULL AS present, r.metric IS NOT NULL AS validated, coalesce(n_values, 0) AS n_values, least FROM n FULL JOIN r ON n.metric = r.metric""")
@@ -232,6 +242,12 @@ def d29_classifier_report(spark, sf_dir):
     return op.classification(classes(spark, sf_dir), "actual", "cls", [0, 1, 2, 3, 4])
 
 
+@query(_CLS + """, n AS (SELECT actual, cls AS predicted, count(*) AS n FROM k GROUP BY 1, 2), t AS (SELECT count(*) FILTER (WHERE actual = cls)::DOUBLE / count(*) AS accuracy FROM k)
+SELECT a::INTEGER AS actual, p::INTEGER AS predicted, coalesce(n, 0) AS n, accuracy FROM range(0, 5) x(a), range(0, 5) y(p), t LEFT JOIN n ON n.actual = a AND n.predicted = p""")
+def d29_confusion(spark, sf_dir):
+    return op.confusion(classes(spark, sf_dir), "actual", "cls", [0, 1, 2, 3, 4])
+
+
 @query("SELECT cls, " + ", ".join(f"quantile_disc(y - q{q}, {q / 100}) AS shift_{q}" for q in (10, 50, 90)) + " FROM predictions JOIN outcomes USING (entity_id, d) GROUP BY 1")
 def d30_conformal_shift(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("cls").agg(*[F.expr(f"percentile_disc({q / 100}) within group (order by y - q{q})").cast("long").alias(f"shift_{q}") for q in (10, 50, 90)])
@@ -268,6 +284,17 @@ def d33_equity_metrics(spark, sf_dir):
     return op.equity_metrics(fx.bars(spark, sf_dir), "c", "entity_id", "d").select("entity_id", "total_return", "max_drawdown", "days", "n", "calmar")
 
 
+_RATIOS = """r AS (SELECT entity_id, d, c, c / lag(c) OVER (PARTITION BY entity_id ORDER BY d) - 1 AS r FROM bars),
+q AS (SELECT entity_id, avg(r) AS m, stddev_pop(r) AS s, coalesce(avg(r * r) FILTER (WHERE r < 0), 0) AS down, count(r) AS n FROM r GROUP BY 1),
+ratios AS (SELECT entity_id, CASE WHEN s > 0 THEN round(m / s * sqrt(252::DOUBLE), 6) END AS sharpe, CASE WHEN n > 0 THEN CASE WHEN down > 0 THEN round(m / sqrt(down) * sqrt(252::DOUBLE), 6) ELSE 0 END END AS sortino FROM q)"""
+
+
+@query(_RATIOS + " SELECT * FROM ratios")
+def d33_risk_ratios(spark, sf_dir):
+    out = op.equity_metrics(fx.bars(spark, sf_dir), "c", "entity_id", "d")
+    return out.select("entity_id", F.round("sharpe", 6).alias("sharpe"), F.round("sortino", 6).alias("sortino"))
+
+
 _PNL = "pnl AS (SELECT entity_id, d, CASE WHEN side = 'sell' THEN (price - lag(price) OVER (PARTITION BY entity_id ORDER BY d)) * shares END AS pnl FROM trades)"
 
 
@@ -340,6 +367,21 @@ def d41_sliced_metrics(spark, sf_dir):
     return out.select("entity_id", "label", "n", "episodes", (F.col("n") / F.col("episodes")).alias("dwell"), (F.col("n") < 2 * F.col("episodes")).alias("flicker"), (F.col("episodes") < 5).alias("low_power"), "win_rate", "sum_y")
 
 
+@query("""
+b AS (SELECT entity_id, d, c, c::DOUBLE / lag(c) OVER (PARTITION BY entity_id ORDER BY d) AS f, CASE WHEN vol > 30 THEN 'busy' WHEN vol > 3 THEN 'calm' ELSE 'undefined' END AS label FROM bars),
+g AS (SELECT *, sum(ln(f)) OVER (PARTITION BY entity_id, label ORDER BY d) AS up FROM b WHERE f IS NOT NULL),
+x AS (SELECT *, up - greatest(0, max(up) OVER (PARTITION BY entity_id, label ORDER BY d)) AS dd FROM g),
+p AS (SELECT entity_id, label, count(*) AS n, sum(ln(f)) AS growth, avg(f - 1) AS m, stddev_pop(f - 1) AS s, min(dd) AS dd FROM x GROUP BY 1, 2),
+w AS (SELECT entity_id, abs(sum(growth) - any_value(total)) < 1e-6 AS reconciled FROM p JOIN (SELECT entity_id, ln(arg_max(c, d)::DOUBLE / arg_min(c, d)) AS total FROM bars GROUP BY 1) USING (entity_id) GROUP BY 1)
+SELECT entity_id, label, n, round(growth, 6) + 0.0::DOUBLE AS log_growth, CASE WHEN s > 0 THEN round(m / s * sqrt(252::DOUBLE), 6) END AS sharpe, round(exp(dd) - 1, 6) + 0.0::DOUBLE AS max_drawdown, reconciled FROM p JOIN w USING (entity_id) WHERE label <> 'undefined'""")
+def d41_compounded_slices(spark, sf_dir):
+    """Returns of each label compounded on their own; together they make the whole."""
+    label = F.when(F.col("vol") > 30, "busy").when(F.col("vol") > 3, "calm").otherwise("undefined")
+    rows = fx.bars(spark, sf_dir).select("entity_id", "d", F.col("c").alias("value"), label.alias("label"))
+    exact = rows.withColumn("f", F.col("value") / F.lag("value").over(W.partitionBy("entity_id").orderBy("d")))
+    return op.sliced_returns(exact, "f", "label", "entity_id", "d")
+
+
 @query("""w AS (SELECT d FROM (SELECT DISTINCT d FROM outcomes) ORDER BY d DESC LIMIT 252),
 a AS (SELECT entity_id FROM outcomes JOIN w USING (d) GROUP BY 1 HAVING count(*) >= 0.6::DOUBLE * (SELECT count(*) FROM w)),
 t AS (SELECT d FROM outcomes JOIN w USING (d) JOIN a USING (entity_id) GROUP BY 1 HAVING count(*) >= 0.7::DOUBLE * (SELECT count(*) FROM a)),
@@ -419,11 +461,13 @@ def d53_prediction_summary(spark, sf_dir):
 
 
 @query(_PNL + """
-, e AS (SELECT entity_id, arg_max(c, d) / arg_min(c, d) - 1 AS total_return FROM bars GROUP BY 1), t AS (SELECT entity_id, count(*) AS n_closed, count(*) FILTER (WHERE pnl > 0)::DOUBLE / count(*) AS win_rate FROM pnl WHERE pnl IS NOT NULL GROUP BY 1)
-SELECT entity_id, total_return, n_closed, win_rate FROM e JOIN t USING (entity_id)""")
+, e AS (SELECT entity_id, arg_max(c, d) / arg_min(c, d) - 1 AS total_return FROM bars GROUP BY 1), t AS (SELECT entity_id, count(*) AS n_closed, count(*) FILTER (WHERE pnl > 0)::DOUBLE / count(*) AS win_rate FROM pnl WHERE pnl IS NOT NULL GROUP BY 1),
+x AS (SELECT *, (c - max(c) OVER (PARTITION BY entity_id ORDER BY d)) / max(c) OVER (PARTITION BY entity_id ORDER BY d) AS dd FROM bars),
+k AS (SELECT entity_id, round((arg_max(c, d) / arg_min(c, d) - 1) * 365 / date_diff('day', min(d), max(d)) / abs(min(dd)), 6) AS calmar FROM x GROUP BY 1), """ + _RATIOS + """
+SELECT entity_id, total_return, sharpe, sortino, calmar, n_closed, win_rate FROM e JOIN t USING (entity_id) JOIN ratios USING (entity_id) JOIN k USING (entity_id)""")
 def d54_extended_metrics(spark, sf_dir):
     e = op.equity_metrics(fx.bars(spark, sf_dir), "c", "entity_id", "d")
-    return e.join(op.trade_metrics(closed_trades(spark, sf_dir), "pnl", "entity_id"), "entity_id").select("entity_id", "total_return", "n_closed", "win_rate")
+    return e.join(op.trade_metrics(closed_trades(spark, sf_dir), "pnl", "entity_id"), "entity_id").select("entity_id", "total_return", *[F.round(c, 6).alias(c) for c in ("sharpe", "sortino", "calmar")], "n_closed", "win_rate")
 
 
 @query("g AS (SELECT max(d) AS hi FROM bars), z AS (SELECT b.* FROM bars b, g WHERE d > hi - 30) SELECT dims.entity_id, count(z.d) AS n, min(z.d) AS first_d, max(z.d) AS last_d FROM dims LEFT JOIN z ON z.entity_id = dims.entity_id GROUP BY 1")

@@ -116,8 +116,8 @@ def b14_return_class(spark, sf_dir):
 @query("q AS (SELECT quantile_disc(y, 0.05) AS lo, quantile_disc(y, 0.95) AS hi FROM outcomes) SELECT entity_id, d, greatest(lo, least(hi, y)) AS winsorised, greatest(-1000, least(1000, y)) AS clipped, sign(y)::DOUBLE * sqrt(abs(y)::DOUBLE) AS signed_root, (rank() OVER (ORDER BY y) + rank() OVER (ORDER BY y) + count(*) OVER (PARTITION BY y) - 1)::DOUBLE / (2 * count(*) OVER ()) - 0.5 AS centred_rank FROM outcomes, q")
 def b15_label_transforms(spark, sf_dir):
     rows = fx.outcomes(spark, sf_dir)
-    ends = F.broadcast(rows.agg(*[F.expr(f"percentile_disc({q}) within group (order by y)").cast("long").alias(c) for c, q in (("lo", 0.05), ("hi", 0.95))]))  # one row
     before = tab.running_total(rows.groupBy("y").agg(F.count(F.lit(1)).alias("ties")), "y", "ties", "upto", "n")  # ranks over values, not rows
+    ends = F.broadcast(before.agg(*[F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("y"))).alias(c) for c, q in (("lo", 0.05), ("hi", 0.95))]))  # one row
     place = (2 * (F.col("upto") - F.col("ties") + 1) + F.col("ties") - 1) / (2 * F.col("n")) - 0.5
     y = F.col("y")
     return rows.join(before, "y").join(ends, F.lit(True)).select("entity_id", "d", F.greatest("lo", F.least("hi", y)).alias("winsorised"), F.greatest(F.lit(-1000), F.least(F.lit(1000), y)).alias("clipped"), (F.signum(y.cast("double")) * F.sqrt(F.abs(y).cast("double"))).alias("signed_root"), place.alias("centred_rank"))
@@ -145,11 +145,12 @@ def b18_class_confidence(spark, sf_dir):
     return fx.bars(spark, sf_dir).select("entity_id", "d", (F.round(fn.class_confidence(F.array(*[x / total for x in raw]), 5), 9) + F.lit(0.0)).alias("confidence"))
 
 
-@query("x AS (SELECT entity_id, d, unnest([q10, q50, q90]) AS v FROM predictions) SELECT entity_id, d, max(v) - min(v) AS spread, (count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*)) AS variance FROM x GROUP BY 1, 2")
+@query("x AS (SELECT entity_id, d, unnest([q10, q50, q90]) AS v FROM predictions), y AS (SELECT entity_id, d, max(v) - min(v) AS spread, (count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*)) AS variance FROM x GROUP BY 1, 2) SELECT *, round(exp(-20 * sqrt(variance) / 10000), 9) AS agreement FROM y")
 def b19_disagreement(spark, sf_dir):
     x = fx.predictions(spark, sf_dir).select("entity_id", "d", F.explode(F.array("q10", "q50", "q90")).alias("v"))
     n, s = F.count(F.lit(1)), F.sum("v")
-    return x.groupBy("entity_id", "d").agg((F.max("v") - F.min("v")).alias("spread"), ((n * F.sum(F.col("v") * F.col("v")) - s * s) / (n * n)).alias("variance"))
+    out = x.groupBy("entity_id", "d").agg((F.max("v") - F.min("v")).alias("spread"), ((n * F.sum(F.col("v") * F.col("v")) - s * s) / (n * n)).alias("variance"))
+    return out.withColumn("agreement", F.round(F.exp(-20 * F.sqrt("variance") / 10_000), 9))  # deviations in basis points
 
 
 @query("SELECT entity_id, d, least(q10 + 160, q50) AS q10, greatest(q50, q90 - 160) AS q90 FROM predictions")
@@ -158,11 +159,17 @@ def b20_clamp(spark, sf_dir):
     return fx.predictions(spark, sf_dir).select("entity_id", "d", low.alias("q10"), high.alias("q90"))
 
 
-@query("w AS (SELECT * FROM (VALUES (0, 3), (1, 2), (2, 5)) t(k, w)), m AS (SELECT entity_id, d, k, q50 + 10 * k AS q50 FROM predictions, w) SELECT entity_id, d, sum(w * q50)::DOUBLE / sum(w) AS q50 FROM m JOIN w USING (k) GROUP BY 1, 2")
+@query("""w AS (SELECT * FROM (VALUES (0, 3), (1, 2), (2, 5)) t(k, w)), m AS (SELECT entity_id, d, k, q10 + 300 * k AS q10, q50 + 10 * k AS q50, q90 - 120 * k AS q90 FROM predictions, w),
+e AS (SELECT entity_id, d, sum(w * q10)::DOUBLE / sum(w) AS a, sum(w * q50)::DOUBLE / sum(w) AS b, sum(w * q90)::DOUBLE / sum(w) AS c FROM m JOIN w USING (k) GROUP BY 1, 2)
+SELECT entity_id, d, least(a, b) AS q10, b AS q50, greatest(b, c) AS q90 FROM e""")
 def b21_ensemble(spark, sf_dir):
+    """All quantiles of three weighted models, clamped where they cross."""
     weights = spark.createDataFrame([(0, 3), (1, 2), (2, 5)], "k int, w int")
-    models = fx.predictions(spark, sf_dir).select("entity_id", "d", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"), "q50").withColumn("q50", F.col("q50") + 10 * F.col("k"))
-    return models.join(weights, "k").groupBy("entity_id", "d").agg((F.sum(F.col("w") * F.col("q50")) / F.sum("w")).alias("q50"))
+    k = F.col("k")
+    models = fx.predictions(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("entity_id", "d", "k", (F.col("q10") + 300 * k).alias("q10"), (F.col("q50") + 10 * k).alias("q50"), (F.col("q90") - 120 * k).alias("q90"))
+    means = models.join(weights, "k").groupBy("entity_id", "d").agg(*[(F.sum(F.col("w") * F.col(q)) / F.sum("w")).alias(q) for q in ("q10", "q50", "q90")])
+    low, high = fn.clamp_quantiles(F.col("q10"), F.col("q50"), F.col("q90"))
+    return means.select("entity_id", "d", low.alias("q10"), "q50", high.alias("q90"))
 
 
 @query("""x AS (SELECT t.entity_id, t.d, side, shares * price AS value, sqrt(shares::DOUBLE / nullif(vol, 0)) AS part, shares FROM trades t JOIN bars b USING (entity_id, d))
@@ -465,15 +472,16 @@ def i06_materialise_filtered(spark, sf_dir):
 
 @query()
 def i07_refresh_all(spark, sf_dir):
-    from pyspark.errors import AnalysisException
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     rows = fx.bars(spark, sf_dir)
-    jobs = {"median": lambda: rows.groupBy("d").agg(agg.median("c").alias("v")), "missing": lambda: rows.select("nothing"), "total": lambda: rows.groupBy("d").agg(F.sum("c").alias("v"))}
+    jobs = {"median": lambda: rows.groupBy("d").agg(agg.median("c").alias("v")), "missing": lambda: rows.select("nothing"), "broken": lambda: rows.groupBy("d").agg(F.max(F.concat(F.lit("x"), "c").cast("long")).alias("v")), "total": lambda: rows.groupBy("d").agg(F.sum("c").alias("v"))}
     status = []
     for name, job in jobs.items():
         try:
-            status.append((name, "ok", job().count()))
-        except AnalysisException as e:  # a missing table or column is reported: one series must not stop the others
+            status.append((name, "ok", job().where("v is not null").count()))
+        except (PySparkException, Py4JJavaError) as e:  # a missing column or a failing task is reported: one series must not stop the others
             status.append((name, type(e).__name__, 0))
     return spark.createDataFrame(status, "series string, status string, n_rows long")
 
@@ -605,11 +613,13 @@ def k07_parameter_grid(spark, sf_dir):
     return tried.groupBy("sector", "period", "weight", "kind").agg((F.first("weight") * F.sum(F.when(hit, F.col("n")).otherwise(0))).alias("score"))
 
 
-@query()
+@query("""u AS (SELECT i AS draw, ('0x' || substr(sha256('7:period:' || i), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS p, ('0x' || substr(sha256('7:weight:' || i), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS w FROM range(0, 50) t(i)),
+k AS (SELECT draw, floor(5 + p * 45)::INTEGER AS period, 0 + w * 1 AS weight FROM u), s AS (SELECT vol, count(*) AS n FROM bars GROUP BY 1)
+SELECT draw, period, weight, weight * sum(CASE WHEN vol >= period THEN n ELSE 0 END)::BIGINT AS score FROM k, s GROUP BY 1, 2, 3""")
 def k08_random_parameters(spark, sf_dir):
     from chronopanel.functions.udf import random_parameters
 
-    drawn = random_parameters(spark, 50, {"period": (5, 50), "weight": (0.0, 1.0)}, seed=7).withColumn("draw", F.monotonically_increasing_id())
+    drawn = random_parameters(spark, 50, {"period": (5, 50), "weight": (0.0, 1.0)}, seed=7).withColumnRenamed("id", "draw")
     counts = fx.bars(spark, sf_dir).groupBy("vol").agg(F.count(F.lit(1)).alias("n"))
     tried = counts.join(F.broadcast(drawn), F.lit(True))  # fifty rows
     return tried.groupBy("draw", "period", "weight").agg((F.first("weight") * F.sum(F.when(F.col("vol") >= F.col("period"), F.col("n")).otherwise(0))).alias("score"))

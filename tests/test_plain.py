@@ -157,4 +157,4 @@ def test_derived_series_by_hand(spark):
         got.setdefault(r["series"], {})[r["d"]] = r["value"]
     assert got["per_share"] and all(v == pytest.approx(got["total"][d] / got["volume"][d]) for d, v in got["per_share"].items())
     status = {r["series"]: (r["status"], r["n_rows"]) for r in QUERIES["i07_refresh_all"](spark, SF).collect()}
-    assert status["missing"] == ("AnalysisException", 0) and status["total"] == ("ok", len(got["total"])) == status["median"]
+    assert status["broken"][0].endswith("Exception") and status["missing"] == ("AnalysisException", 0) and status["total"] == ("ok", len(got["total"])) == status["median"]
