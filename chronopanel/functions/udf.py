@@ -60,10 +60,22 @@ def composite_function(wide: DataFrame, fn: Callable, inputs: list[str]) -> Data
     return wide.dropna(subset=inputs).withColumn("value", run(*inputs))
 
 
-def parameter_grid(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
-    """Every combination of the listed values."""
+def grid_values(spec: list | dict) -> list:
+    """A list as it is; {low, high, step} whole numbers, both ends included; {low, high, steps} so many evenly spaced ones."""
+    if isinstance(spec, list):
+        return spec
+    low, high = spec["low"], spec["high"]
+    if "steps" in spec:
+        n = spec["steps"]
+        return [low + i * (high - low) / (n - 1) for i in range(n)] if n > 1 else [low]
+    return list(range(low, high + 1, spec.get("step", 1)))
+
+
+def parameter_grid(spark: SparkSession, choices: dict[str, list | dict]) -> DataFrame:
+    """Every combination of the listed or spanned values."""
     out = spark.range(1).drop("id")
-    for name, values in choices.items():
+    for name, spec in choices.items():
+        values = grid_values(spec)
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return out
 

@@ -265,6 +265,18 @@ def d31_coverage(spark, sf_dir):
     return full.select("feature", "sector", "cells", "present", (F.col("present") / F.col("cells")).alias("coverage"))
 
 
+@query(_LONG + """
+, g AS (SELECT entity_id, d, sector FROM bars JOIN dims USING (entity_id)), n AS (SELECT DISTINCT feature FROM feats), z AS (SELECT sector, count(*) AS members FROM dims GROUP BY 1 HAVING count(*) >= 15),
+c AS (SELECT feature, sector, members, count(f.value)::DOUBLE / count(*) AS coverage FROM g JOIN z USING (sector) CROSS JOIN n LEFT JOIN feats f USING (entity_id, d, feature) GROUP BY 1, 2, 3)
+SELECT feature, min(coverage) AS lowest, max(coverage) AS highest, arg_min(sector, (coverage, sector)) AS lowest_sector, max(coverage) - min(coverage) > 0.005 AS disparity FROM c GROUP BY 1""")
+def d31_disparity(spark, sf_dir):
+    """Cohorts of fifteen entities or more, and whether a feature's coverage differs among them."""
+    large = fx.dims(spark, sf_dir).groupBy("sector").agg(F.count(F.lit(1)).alias("members")).where("members >= 15")
+    rows = d31_coverage(spark, sf_dir).join(large, "sector")
+    low, high = F.min("coverage"), F.max("coverage")
+    return rows.groupBy("feature").agg(low.alias("lowest"), high.alias("highest"), F.min_by("sector", F.struct("coverage", "sector")).alias("lowest_sector"), (high - low > 0.005).alias("disparity"))
+
+
 @query(_LONG + """
 , x AS (SELECT CASE WHEN f.value IS NULL THEN 1 ELSE 0 END AS m, CASE WHEN y > 0 THEN 1 ELSE 0 END AS t FROM outcomes o LEFT JOIN (SELECT * FROM feats WHERE feature = 'q10') f USING (entity_id, d)),
 s AS (SELECT count(*) AS n, sum(m) AS sm, sum(t) AS st, sum(m * t) AS smt FROM x)
@@ -433,6 +445,19 @@ def d48_degradation(spark, sf_dir):
     return rows.withColumn("degraded", (F.col("n") >= 20) & (F.col("realised") > 4000 * 1.1))
 
 
+@query("""l AS (SELECT cls, d, greatest(10 * (y - q10), -90 * (y - q10)) + 50 * abs(y - q50) + greatest(90 * (y - q90), -10 * (y - q90)) AS loss FROM predictions JOIN outcomes USING (entity_id, d)),
+m AS (SELECT cls, count(*) FILTER (WHERE d >= DATE '1998-01-01') AS n, sum(loss) FILTER (WHERE d >= DATE '1998-01-01')::DOUBLE / count(*) FILTER (WHERE d >= DATE '1998-01-01') / 300 AS realised, sum(loss) FILTER (WHERE d < DATE '1998-01-01')::DOUBLE / count(*) FILTER (WHERE d < DATE '1998-01-01') / 300 AS baseline FROM l GROUP BY 1)
+SELECT *, n >= 20 AND realised > baseline * (1 + 0.02::DOUBLE) AS degraded FROM m""")
+def d48_pinball_degradation(spark, sf_dir):
+    """Mean pinball loss of three quantiles since promotion against the one before it, with a tolerance of 2 %."""
+    e = lambda q: F.col("y") - F.col(q)
+    loss = F.greatest(10 * e("q10"), -90 * e("q10")) + 50 * F.abs(e("q50")) + F.greatest(90 * e("q90"), -10 * e("q90"))
+    late = F.col("d") >= F.lit("1998-01-01").cast("date")
+    mean = lambda when: F.sum(F.when(when, loss)) / F.count_if(when) / 300
+    rows = scored(spark, sf_dir).groupBy("cls").agg(F.count_if(late).alias("n"), mean(late).alias("realised"), mean(~late).alias("baseline"))
+    return rows.withColumn("degraded", (F.col("n") >= 20) & (F.col("realised") > F.col("baseline") * (1 + 0.02)))
+
+
 @query("SELECT entity_id, max(y) FILTER (WHERE vol % 3 = 0) AS p0, max(y) FILTER (WHERE vol % 3 = 1) AS p1, max(y) FILTER (WHERE vol % 3 = 2) AS p2 FROM bars JOIN outcomes USING (entity_id, d) GROUP BY 1")
 def d49_trial_heat_map(spark, sf_dir):
     rows = fx.bars(spark, sf_dir).join(fx.outcomes(spark, sf_dir), ["entity_id", "d"]).withColumn("p", F.concat(F.lit("p"), F.col("vol") % 3))

@@ -606,7 +606,7 @@ SELECT sector, period, weight, kind, weight * sum(CASE WHEN (kind = 'a') = (k >=
 def k07_parameter_grid(spark, sf_dir):
     from chronopanel.functions.udf import parameter_grid
 
-    grid = parameter_grid(spark, {"period": [5, 10, 15], "weight": [0.5, 1.0], "kind": ["a", "b"]})
+    grid = parameter_grid(spark, {"period": {"low": 5, "high": 15, "step": 5}, "weight": {"low": 0.5, "high": 1.0, "steps": 2}, "kind": ["a", "b"]})
     counts = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id").groupBy("sector", (F.col("vol") % 16).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     hit = (F.col("kind") == "a") == (F.col("k") >= F.col("period"))
     tried = counts.join(F.broadcast(grid), F.lit(True))  # a dozen rows

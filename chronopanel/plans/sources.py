@@ -40,6 +40,27 @@ def a02_statements(spark, sf_dir):
     return op.statements(payloads, "entity_id", "payload", "quarterlyReports", {"fiscalDateEnding": "date", "totalRevenue": "double"})
 
 
+@query("""q AS (SELECT * FROM nbars WHERE rn % 13 = 5)
+SELECT entity_id, 'income' AS statement_type, d, NULL::DATE AS reported_at, c::DOUBLE AS revenue, NULL::DOUBLE AS assets, NULL::DOUBLE AS cashflow, NULL::DOUBLE AS eps, '{"note":"' || vol || '"}' AS raw FROM q WHERE vol % 17 <> 0
+UNION ALL SELECT entity_id, 'balance_sheet', d, NULL, NULL, CASE WHEN vol % 5 > 0 THEN h::DOUBLE END, NULL, NULL, NULL FROM q WHERE vol % 17 <> 0
+UNION ALL SELECT entity_id, 'cash_flow', d, NULL, NULL, NULL, l::DOUBLE, NULL, NULL FROM q WHERE vol % 17 <> 0
+UNION ALL SELECT entity_id, 'earnings', d, d + 40, NULL, NULL, NULL, vol::DOUBLE, NULL FROM q WHERE vol % 17 <> 0""")
+def a02_all_statements(spark, sf_dir):
+    """Four payloads an entity, one a type; some dates and numbers are spoilt, unknown fields go to raw."""
+    text = lambda c: F.col(c).cast("string")
+    date = F.when(F.col("vol") % 17 == 0, F.lit("soon")).otherwise(text("d"))
+    fields = {
+        "income": (F.lit("totalRevenue"), text("c"), F.lit("note"), text("vol")), "balance_sheet": (F.lit("totalAssets"), F.when(F.col("vol") % 5 > 0, text("h")).otherwise("None")),
+        "cash_flow": (F.lit("operatingCashflow"), text("l"), F.lit("reportedCurrency"), F.lit("USD")), "earnings": (F.lit("reportedEPS"), text("vol"), F.lit("reportedDate"), F.date_add("d", 40).cast("string")),
+    }
+    kinds = F.explode(F.create_map(*[x for k, f in fields.items() for x in (F.lit(k), F.create_map(F.lit("fiscalDateEnding"), date, *f))])).alias("kind", "item")
+    rows = fx.numbered(fx.bars(spark, sf_dir)).where("rn % 13 = 5").select("entity_id", kinds)
+    array = F.when(F.col("kind") == "earnings", "quarterlyEarnings").otherwise("quarterlyReports")
+    payloads = rows.groupBy("entity_id", "kind").agg(F.collect_list("item").alias("items")).select("entity_id", "kind", F.to_json(F.create_map(array, "items")).alias("payload"))
+    out = op.statement_rows(payloads, "entity_id", "kind", "payload")
+    return out.select("entity_id", "statement_type", "d", "reported_at", F.col("totalRevenue").alias("revenue"), F.col("totalAssets").alias("assets"), F.col("operatingCashflow").alias("cashflow"), F.col("reportedEPS").alias("eps"), "raw")
+
+
 @query("SELECT entity_id, CASE WHEN upper(trim(sector)) = 'ASIA' THEN NULL ELSE upper(sector) END AS sector, CASE WHEN entity_id % 3 > 0 THEN entity_id::DOUBLE END AS pe FROM dims")
 def a03_overview(spark, sf_dir):
     from chronopanel.functions.scalars import class_name
@@ -62,6 +83,19 @@ def a05_macro_csv(spark, sf_dir):
     return op.macro_csv(lines, "line")
 
 
+@query("SELECT entity_id, d, c::DOUBLE AS value, o::DOUBLE AS o, h::DOUBLE AS h, l::DOUBLE AS l FROM bars WHERE vol % 13 <> 0 AND vol % 17 <> 0")
+def a05_index_json(spark, sf_dir):
+    return op.index_json(bar_payloads(spark, sf_dir), "entity_id", "payload")
+
+
+@query("SELECT sector, date_trunc('month', d)::DATE AS d, sum(c)::DOUBLE AS value FROM bars JOIN dims USING (entity_id) GROUP BY 1, 2 HAVING count(*) % 5 <> 0")
+def a05_monthly_json(spark, sf_dir):
+    s = fx.bars(spark, sf_dir).join(fx.dims(spark, sf_dir), "entity_id").groupBy("sector", F.trunc("d", "month").alias("d")).agg(F.sum("c").alias("v"), F.count(F.lit(1)).alias("n"))
+    entry = F.struct(F.col("d").cast("string").alias("date"), F.when(F.col("n") % 5 == 0, ".").otherwise(F.col("v").cast("string")).alias("value"))
+    payloads = s.groupBy("sector").agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("payload"))
+    return op.monthly_json(payloads, "sector", "payload")
+
+
 @query("SELECT entity_id, d, c::DOUBLE AS macd, vol::DOUBLE AS signal FROM bars")
 def a06_indicator_payload(spark, sf_dir):
     item = F.create_map(F.lit("MACD"), F.col("c").cast("string"), F.lit("MACD_Signal"), F.col("vol").cast("string"))

@@ -38,6 +38,46 @@ def statements(payloads: DataFrame, key: str, payload: str, array: str, core: di
     return rows.select(key, *[F.element_at("m", n).try_cast(kind).alias(n) for n, kind in core.items()], F.to_json(rest).alias("raw"))
 
 
+#: For each statement type the provider's list, and the fields that have a column.
+STATEMENTS = {
+    "income": ("quarterlyReports", {"totalRevenue": "double", "grossProfit": "double", "operatingIncome": "double", "netIncome": "double", "ebitda": "double"}),
+    "balance_sheet": ("quarterlyReports", {"totalAssets": "double", "totalLiabilities": "double", "totalShareholderEquity": "double"}),
+    "cash_flow": ("quarterlyReports", {"operatingCashflow": "double", "capitalExpenditures": "double", "dividendPayout": "double"}),
+    "earnings": ("quarterlyEarnings", {"reportedEPS": "double", "estimatedEPS": "double", "surprise": "double", "surprisePercentage": "double"}),
+}
+
+
+def statement_rows(payloads: DataFrame, key: str, kind: str, payload: str) -> DataFrame:
+    """Statements of all types in one table: key, statement_type, d, reported_at, every type's columns, and the rest as JSON in ``raw``.
+
+    ``payloads`` holds key, the type and the payload.  Rows without a date and
+    payloads of unknown types are dropped; a date of report is that of earnings alone.
+    """
+    lists = F.create_map(*[x for name, (array, _) in STATEMENTS.items() for x in (F.lit(name), F.lit(array))])
+    body = F.from_json(payload, "map<string,string>")
+    each = F.from_json(F.element_at(body, F.element_at(lists, F.col(kind))), "array<map<string,string>>")
+    rows = payloads.select(key, F.col(kind).alias("statement_type"), F.explode(each).alias("m"))
+    d = F.try_to_date(F.element_at("m", "fiscalDateEnding"))
+    own = F.create_map(*[x for name, (_, core) in STATEMENTS.items() for x in (F.lit(name), F.array(*map(F.lit, core)))])
+    skip = F.concat(F.element_at(own, F.col("statement_type")), F.array(F.lit("fiscalDateEnding"), F.lit("reportedDate"), F.lit("reportedCurrency")))
+    raw = F.map_filter("m", lambda k, _: ~F.array_contains(skip, k))
+    columns = [F.when(F.col("statement_type") == name, F.element_at("m", c).try_cast(t)).alias(c) for name, (_, core) in STATEMENTS.items() for c, t in core.items()]
+    reported = F.when(F.col("statement_type") == "earnings", F.try_to_date(F.element_at("m", "reportedDate")))
+    return rows.select(key, "statement_type", d.alias("d"), reported.alias("reported_at"), *columns, F.when(F.size(raw) > 0, F.to_json(raw)).alias("raw")).where("d is not null")
+
+
+def index_json(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """Daily index bars as macro rows: key, d, value (the close), o, h, l; rows with a missing number are dropped."""
+    rows = keyed_series(payloads, key, payload, "Time Series (Daily)", {"value": "4. close", "o": "1. open", "h": "2. high", "l": "3. low"})
+    return rows.dropna(subset=["value", "o", "h", "l"])
+
+
+def monthly_json(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """A payload {data: [{date, value}]} as key, d, value; entries without a date or a number are dropped."""
+    rows = payloads.select(key, F.explode(F.from_json(F.get_json_object(payload, "$.data"), "array<struct<date:string,value:string>>")).alias("e"))
+    return rows.select(key, F.try_to_date("e.date").alias("d"), F.col("e.value").try_cast("double").alias("value")).dropna(subset=["d", "value"])
+
+
 def snapshot_value(m: Column, name: str, kind: str = "double") -> Column:
     """A field of a flat map; 'None', '-' and '' are null."""
     text = F.element_at(m, name)
