@@ -72,7 +72,7 @@ class WordTokens:
     that gives other ids for a probe text is asked for whole texts instead.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 140_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -125,7 +125,7 @@ class WordTokens:
                     parts[p] = array("I", [t.id for t in self.merge(text)]).tobytes()
             known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
 
-    def many(self, texts: list[bytes | None], chunk: int = 8 << 20) -> Iterator[bytes]:
+    def many(self, texts: list[bytes | None], chunk: int = 3 << 20) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit numbers; new words are learned for about ``chunk`` bytes of texts at once."""
         at = 0
         while at < len(texts) and not self.by_word:

@@ -14,8 +14,8 @@ How far is taken from the distances of all documents, per language and length:
 texts hardly move) above the median.  Within that a text is not far, unless it
 is as far as a text without any common word.
 
-One scan makes the counts (Python, Arrow batches); references and distances
-are DataFrame aggregates and expressions over the small counts table.
+One scan makes the counts and one pass over them both distances (Python, Arrow
+batches); references and noise are DataFrame aggregates over the small tables.
 
 Defined cases: a null or empty text has no words and fails the base rules.  A
 null ``lang`` is a language of its own.  Each row is judged by itself, repeated
@@ -138,6 +138,24 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def _stacked(column: pa.Array, n: int) -> np.ndarray:
+    """A list column of ``n`` places as a matrix; rows of nulls are nan."""
+    out = np.full((len(column), n), np.nan)
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
+
+
+def _js(counts: np.ndarray, q: np.ndarray, told: np.ndarray) -> pa.Array:
+    """Jensen-Shannon distances of rows of counts to rows of shares, where told; null if either is missing."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = counts / counts.sum(1, keepdims=True)
+        m = (p + q) / 2
+        terms = np.where(p > 0, p * np.log2(p / m), 0.0) + np.where(q > 0, q * np.log2(q / m), 0.0)
+        terms[np.isnan(p) | np.isnan(q)] = np.nan
+        out = np.sqrt(np.maximum(0.0, terms.sum(1) / 2))
+    return pa.array(out, mask=np.isnan(out) | ~told)
+
+
 def _mean(column: str, n: int) -> Column:
     return F.array(*[F.avg(F.col(column)[i]) for i in range(n)])
 
@@ -197,11 +215,19 @@ def judge(
     refs = shares.groupBy("lang").agg(_mean("cp", len(CLASSES)).alias("cr"), _mean("wp", len(_COMMON) + 1).alias("wr"))
     none = F.array(*[F.lit(0.0)] * len(_COMMON), F.lit(1.0))
     refs = materialise(refs.withColumn("no_common", js_distance(none, F.col("wr"))), "references", few_files=True)
-    size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = counts.join(refs, "lang", "left").withColumns({
-        "class_distance": F.when(size >= min_class_chars, js_distance(_shares("classes"), F.col("cr"))),
-        "common_distance": F.when(F.col("n_words") >= min_common_words, js_distance(_shares("common"), F.col("wr"))),
-    })
+    kept = ["id", *_MEASURES[:5], "lang", "base_failed", "no_common"]
+
+    def measure_distances(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            classes, common = _stacked(b.column("classes"), len(CLASSES)), _stacked(b.column("common"), len(_COMMON) + 1)
+            by_class = _js(classes, _stacked(b.column("cr"), len(CLASSES)), classes.sum(1) >= min_class_chars)
+            by_word = _js(common, _stacked(b.column("wr"), len(_COMMON) + 1), b.column("n_words").to_numpy() >= min_common_words)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), by_class, by_word], names=[*kept, "class_distance", "common_distance"])
+
+    joined = counts.join(refs, "lang", "left")
+    types = dict(joined.dtypes)
+    scored = joined.mapInArrow(measure_distances, ", ".join(f"{c} {types[c]}" for c in kept) + ", class_distance double, common_distance double")
+    scored = materialise(scored, "scored", few_files=True)
     own = F.col("noise")
     noise = F.coalesce(F.try_element_at(own, _octave()), F.try_element_at(own, F.lit(0))) / F.sqrt("n_words")
     scored = scored.join(_noise(scored.where(~F.col("base_failed")), noise_widths, min_noise_docs), "lang", "left")
