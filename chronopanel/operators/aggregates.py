@@ -227,3 +227,25 @@ def complete_panel(
     n_eff = F.when(F.col("_rho").isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("entities").cast("double"), size)))
     return out.select(*keys, "entities", "kept", "dates", F.col("_rho").isNull().alias("thin"), (F.round("_rho", 6) + F.lit(0.0)).alias("rho"), F.round(n_eff, 6).alias("n_eff"))
 
+
+def arm_summaries(positions: DataFrame, shared: DataFrame, arm: str = "arm", entity: str = "entity_id", time: str = "d") -> DataFrame:
+    """Per arm: positions, longs, shorts, mean entities a date, long less short return, median dollar volume, and the edge on shared entities.
+
+    ``positions``: arm, entity, time, side, raw_return, dollar_volume.  A side
+    without positions counts 0; an edge is the return, or its negative for shorts.
+    """
+    long, short = F.col("side") == "long", F.col("side") == "short"
+    side = lambda of: F.coalesce(F.avg(F.when(of, F.col("raw_return"))), F.lit(0.0))
+    wide = positions.groupBy(arm, time).agg(F.countDistinct(entity).alias("_k")).groupBy(arm).agg((F.sum("_k") / F.count(F.lit(1))).alias("breadth"))
+    own = positions.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("n_long"), F.count_if(short).alias("n_short"), (side(long) - side(short)).alias("tail_richness"), F.percentile("dollar_volume", 0.5).alias("capacity"))
+    edge = F.when(long, F.col("raw_return")).otherwise(-F.col("raw_return"))
+    common = positions.join(shared.select(entity).distinct(), entity, "left_semi").groupBy(arm).agg(F.count(F.lit(1)).alias("n_shared"), F.avg(edge).alias("shared_edge"))
+    return own.join(wide, arm).join(common, arm, "left").na.fill(0, ["n_shared", "shared_edge"])
+
+
+def arm_deltas(summaries: DataFrame, first: str, second: str, arm: str = "arm") -> DataFrame:
+    """(metric, first, second, delta) of two arms, one row a metric; a missing side gives no delta."""
+    metrics = [c for c in summaries.columns if c != arm]
+    long = summaries.select(arm, *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot([arm], metrics, "metric", "value")
+    of = lambda a: F.max(F.when(F.col(arm) == a, F.col("value")))
+    return long.groupBy("metric").agg(of(first).alias("first"), of(second).alias("second"), (of(second) - of(first)).alias("delta"))

@@ -222,3 +222,21 @@ def duplicates(df: DataFrame, ident: str, parts: list[str]) -> DataFrame:
     marked = df.select(ident, F.sha2(text, 256).alias("fingerprint"))
     groups = marked.groupBy("fingerprint").agg(F.min(ident).alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return marked.join(groups, "fingerprint").select(ident, "fingerprint", "first_id", "copies")
+
+
+def guarded_refresh(everyone: DataFrame, excluded: DataFrame, stored: DataFrame, pins: DataFrame, key: str, most_growth: float = 0.25, force: bool = False) -> DataFrame:
+    """(key, action) that bring the stored exclusions to the wanted ones: add or remove.
+
+    ``pins`` are never excluded.  A refresh that leaves nobody, or whose exclusions
+    grow by more than ``most_growth`` of all, is refused with an error unless forced.
+    """
+    wanted = excluded.select(key).distinct().join(pins.select(key), key, "left_anti").join(everyone.select(key), key, "left_semi")
+    held = stored.select(key).distinct()
+    if not force:
+        one = everyone.select(key).distinct().join(wanted.withColumn("_w", F.lit(1)), key, "left").join(held.withColumn("_s", F.lit(1)), key, "left")
+        n = one.agg(F.count(F.lit(1)).alias("all"), F.count("_w").alias("wanted"), F.count("_s").alias("stored")).first()
+        if n["wanted"] == n["all"]:
+            raise ValueError("no member would be left")
+        if n["wanted"] - n["stored"] > most_growth * n["all"]:
+            raise ValueError(f"exclusions would grow from {n['stored']} to {n['wanted']} of {n['all']}")
+    return reconcile(wanted, held)

@@ -315,3 +315,14 @@ def two_state(df: DataFrame, value: str, inner: Column, refit: Column, share: fl
     screens = rows.groupBy(entity).agg((F.count_if("_high") / n).alias("share"), (F.count_if("_same") / n).alias("agreement"))
     kept = screens.where(F.col("share").between(*bounds) & (F.col("agreement") >= least_agreement))
     return rows.join(kept, entity).withColumn("state", F.when(F.col("_high"), "high").otherwise("low")).drop("_cut", "_refit", "_high", "_same")
+
+
+def segregated(parts: DataFrame, purge: bool = False) -> DataFrame:
+    """Rows of train, holdout and reserve whose outcomes stay within their part.
+
+    ``parts`` has part and leaks, as ``holdout_parts`` gives them.  Leaking rows
+    are refused with an error that counts them, or left out on request.
+    """
+    if not purge and (n := parts.where("leaks").count()):
+        raise ValueError(f"{n} rows have outcomes beyond their part")
+    return parts.where("not leaks").drop("leaks")

@@ -350,6 +350,25 @@ def d37_arm_comparison(spark, sf_dir):
     return rows.groupBy("arm").agg(F.countDistinct("entity_id").alias("breadth"), (F.sum("y") / F.count(F.lit(1))).alias("mean_y"), op.median("y").alias("median_y"))
 
 
+@query("""
+p AS (SELECT arm, o.entity_id, o.d, CASE WHEN q50 > 0 THEN 'long' ELSE 'short' END AS side, y AS r, b.c * b.vol AS dv FROM outcomes o JOIN predictions USING (entity_id, d) JOIN bars b USING (entity_id, d), (SELECT unnest(['A', 'B']) AS arm) WHERE CASE arm WHEN 'A' THEN o.entity_id % 3 > 0 ELSE o.entity_id % 4 > 0 END),
+k AS (SELECT arm, sum(k)::DOUBLE / count(*) AS breadth FROM (SELECT arm, d, count(DISTINCT entity_id) AS k FROM p GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT arm, count(*) AS n_shared, avg(CASE WHEN side = 'long' THEN r ELSE -r END) AS shared_edge FROM p WHERE entity_id % 3 > 0 AND entity_id % 4 > 0 GROUP BY 1),
+a AS (SELECT arm, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE side = 'long'))::DOUBLE AS n_long, (count(*) FILTER (WHERE side = 'short'))::DOUBLE AS n_short,
+  avg(r) FILTER (WHERE side = 'long') - avg(r) FILTER (WHERE side = 'short') AS tail_richness, median(dv)::DOUBLE AS capacity FROM p GROUP BY 1),
+w AS (SELECT arm, n, n_long, n_short, tail_richness, capacity, breadth, n_shared::DOUBLE AS n_shared, shared_edge FROM a JOIN k USING (arm) JOIN s USING (arm)),
+u AS (UNPIVOT w ON n, n_long, n_short, tail_richness, capacity, breadth, n_shared, shared_edge INTO NAME metric VALUE v)
+SELECT metric, round(max(v) FILTER (WHERE arm = 'A'), 6) AS first, round(max(v) FILTER (WHERE arm = 'B'), 6) AS second, round(max(v) FILTER (WHERE arm = 'B') - max(v) FILTER (WHERE arm = 'A'), 6) AS delta FROM u GROUP BY 1""")
+def d37_portfolio_deltas(spark, sf_dir):
+    """Two arms with overlapping universes: breadth, richness of the tails, capacity, and the edge on the names that both trade."""
+    rows = scored(spark, sf_dir).select("entity_id", "d", "q50", "y").join(fx.bars(spark, sf_dir), ["entity_id", "d"])
+    arms = F.array_compact(F.array(F.when(F.col("entity_id") % 3 > 0, "A"), F.when(F.col("entity_id") % 4 > 0, "B")))
+    positions = rows.select(F.explode(arms).alias("arm"), "entity_id", "d", F.when(F.col("q50") > 0, "long").otherwise("short").alias("side"), F.col("y").alias("raw_return"), (F.col("c") * F.col("vol")).alias("dollar_volume"))
+    shared = fx.dims(spark, sf_dir).where("entity_id % 3 > 0 and entity_id % 4 > 0")
+    out = op.arm_deltas(op.arm_summaries(positions, shared), "A", "B")
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("first", "second", "delta")])
+
+
 @query("SELECT entity_id, arg_max(c, d) / arg_min(c, d) - 1 AS total_return, row_number() OVER (ORDER BY arg_max(c, d) / arg_min(c, d) - 1 DESC, entity_id) AS place FROM bars GROUP BY 1")
 def d38_ranking(spark, sf_dir):
     from chronopanel.operators.tables import global_rank

@@ -375,6 +375,14 @@ def h07_guarded_refresh(spark, sf_dir):
     return out.withColumn("refused", (F.col("wanted") == F.col("all_n")) | (100 * (F.col("wanted") - F.col("stored")) > 25 * F.col("all_n"))).drop("all_n")
 
 
+@query("""w AS (SELECT entity_id FROM bars WHERE entity_id % 10 > 0 GROUP BY 1 HAVING max(c) > 9000000), s AS (SELECT entity_id FROM bars GROUP BY 1 HAVING max(c) > 9300000)
+SELECT entity_id, 'add' AS action FROM w ANTI JOIN s USING (entity_id) UNION ALL SELECT entity_id, 'remove' FROM s ANTI JOIN w USING (entity_id)""")
+def h07_forced_refresh(spark, sf_dir):
+    """Pinned entities stay members, and the growth guard is told to let it pass."""
+    dims, most = fx.dims(spark, sf_dir), fx.bars(spark, sf_dir).groupBy("entity_id").agg(F.max("c").alias("c"))
+    return tab.guarded_refresh(dims, most.where("c > 9000000"), most.where("c > 9300000"), dims.where("entity_id % 10 = 0"), "entity_id", force=True)
+
+
 @query("f AS (SELECT entity_id, d, vol > 90 AS resolved FROM bars WHERE c > 8000000) SELECT entity_id, d, CASE WHEN resolved THEN d + 30 END AS resolved_at FROM f")
 def h08_resolve_findings(spark, sf_dir):
     found = fx.bars(spark, sf_dir).where("c > 8000000").select("entity_id", "d", F.lit(None).cast("date").alias("resolved_at"), "vol")

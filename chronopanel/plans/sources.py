@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronopanel.sources import datasets as data
 from chronopanel.sources import fixtures as fx
 from chronopanel.sources import ingest as op
 from chronopanel.sources.staging import shared_path as scratch
@@ -135,6 +136,38 @@ def a10_dataset_read(spark, sf_dir):
     return spark.read.schema("entity_id long, d date, c long, vol long").option("header", True).csv(path)
 
 
+_SET = _LONG + """, e AS (SELECT entity_id FROM dims WHERE sector <> 'ASIA'),
+l AS (SELECT entity_id, d, h AS horizon, y * h AS label FROM outcomes, (SELECT unnest([1, 2]) AS h))"""
+
+
+def dataset(spark, sf_dir, kind):
+    """A dataset of some entities and dates without the feature y, written below a new path."""
+    path = scratch(spark, "dataset")
+    labels = fx.outcomes(spark, sf_dir).withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(2)))).select("entity_id", "d", "horizon", (F.col("y") * F.col("horizon")).cast("double").alias("label"))
+    frames = {"prices": fx.bars(spark, sf_dir).select("entity_id", "d", "c"), "features": long_features(spark, sf_dir).withColumn("value", F.col("value").cast("double")), "labels": labels}
+    data.export_dataset(frames, path, kind, "1996-01-01", "1999-12-31", fx.dims(spark, sf_dir).where("sector <> 'ASIA'"), exclude=["y"])
+    return path
+
+
+@query(_SET + """ SELECT 'prices' AS part, entity_id, count(*) AS n, sum(c)::DOUBLE AS total FROM bars SEMI JOIN e USING (entity_id) WHERE d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 2
+UNION ALL SELECT 'features', entity_id, count(*), sum(value)::DOUBLE FROM feats SEMI JOIN e USING (entity_id) WHERE feature <> 'y' AND d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 2
+UNION ALL SELECT 'labels', entity_id, count(*), sum(label)::DOUBLE FROM l SEMI JOIN e USING (entity_id) WHERE d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 2""")
+def a09_filtered_export(spark, sf_dir):
+    path = dataset(spark, sf_dir, "csv")
+    parts = {"prices": ("entity_id long, d date, c double", "c"), "features": ("entity_id long, d date, feature string, value double", "value"), "labels": ("entity_id long, d date, horizon int, label double", "label")}
+    out = None
+    for name, (schema, value) in parts.items():
+        one = data.read_part(spark, path, name, schema).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.lit(name).alias("part"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_SET + """ SELECT entity_id, d, label::DOUBLE AS label, max(value) FILTER (WHERE feature = 'q10')::DOUBLE AS q10, max(value) FILTER (WHERE feature = 'q50')::DOUBLE AS q50
+FROM l SEMI JOIN e USING (entity_id) LEFT JOIN feats USING (entity_id, d) WHERE horizon = 2 AND d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2, 3""")
+def a10_features_and_labels(spark, sf_dir):
+    return data.read_matrix(spark, dataset(spark, sf_dir, "parquet"), ["q10", "q50"], 2)
+
+
 @query("SELECT 'bars' AS name, count(*) AS n_rows, true AS verified FROM bars WHERE d >= DATE '1998-01-01' UNION ALL SELECT 'dims', count(*), true FROM dims")
 def a11_snapshot_verify(spark, sf_dir):
     frames = {"bars": fx.bars(spark, sf_dir).where("d >= date'1998-01-01'"), "dims": fx.dims(spark, sf_dir)}

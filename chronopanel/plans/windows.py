@@ -373,6 +373,16 @@ def e47_holdout_masks(spark, sf_dir):
     return op.holdout_parts(rows, F.date_sub("hi", 364), F.date_sub("hi", 91)).select("entity_id", "d", "part", "leaks")
 
 
+@query(f"""
+m AS (SELECT max(d) AS hi FROM bars),
+x AS (SELECT entity_id, d, lead(d, 4) OVER ({_E}) AS until, hi, CASE WHEN d < hi - 364 THEN 'train' WHEN d < hi - 91 THEN 'holdout' ELSE 'reserve' END AS part FROM bars, m)
+SELECT part, count(*) AS n, max(d) AS last_d FROM x WHERE NOT coalesce(part = 'train' AND until >= hi - 364 OR part = 'holdout' AND until >= hi - 91, false) GROUP BY 1""")
+def e47_segregated(spark, sf_dir):
+    """Parts without the rows that reach into the next one; a second look refuses nothing."""
+    clean = op.segregated(e47_holdout_masks(spark, sf_dir), purge=True)
+    return op.segregated(clean.withColumn("leaks", F.lit(False))).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last_d"))
+
+
 @query(f"""
 s AS (SELECT entity_id FROM dims WHERE sector = 'ASIA')
 SELECT entity_id, d, c / lag(c) OVER ({_E}) - 1 AS r FROM bars SEMI JOIN s USING (entity_id) WHERE d <= DATE '1999-12-31'""")

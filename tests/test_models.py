@@ -130,3 +130,42 @@ def test_digests(spark):
     x, y = leaf("x", ">", 1), {"op": "OR", "children": [leaf("y", "<", 2), leaf("a", "<", 2)]}
     turned = {"op": "AND", "children": [{"op": "OR", "children": y["children"][::-1]}, x]}
     assert tables.canonical({"op": "AND", "children": [x, y]}) == tables.canonical(turned) != tables.canonical({"op": "OR", "children": [x, y]})
+
+
+def test_refusals(spark):
+    """Leaks, empty memberships and fast growth are refused; pins and force let them pass."""
+    from chronopanel.operators import windows
+
+    parts = spark.createDataFrame([("train", 1, False), ("train", 2, True), ("holdout", 3, False)], "part string, d int, leaks boolean")
+    with pytest.raises(ValueError, match="1 rows"):
+        windows.segregated(parts)
+    assert sorted(r["d"] for r in windows.segregated(parts, purge=True).collect()) == [1, 3]
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "k long")
+    refresh = lambda *a, **b: {(r["k"], r["action"]) for r in tables.guarded_refresh(*map(frame, a), "k", **b).collect()}
+    everyone = range(8)
+    assert refresh(everyone, [1, 2, 2, 99], [2, 3], []) == {(1, "add"), (3, "remove")}
+    with pytest.raises(ValueError, match="no member"):
+        refresh(everyone, everyone, everyone, [])
+    with pytest.raises(ValueError, match="from 1 to 4 of 8"):
+        refresh(everyone, [1, 2, 3, 4], [1], [])
+    assert refresh(everyone, [1, 2, 3, 4], [1], [], force=True) == {(k, "add") for k in (2, 3, 4)}
+    assert refresh(everyone, [1, 2, 3, 4], [1], [4, 1]) == {(2, "add"), (3, "add"), (1, "remove")}
+
+
+def test_datasets(spark, tmp_path):
+    from chronopanel.sources import datasets
+
+    rows = spark.createDataFrame([(e, f"2020-01-{d:02d}", f, float(e * d)) for e in (1, 2) for d in (1, 2, 3) for f in ("a", "b")], "entity_id long, d string, feature string, value double").withColumn("d", F.col("d").cast("date"))
+    for kind in ("csv", "parquet"):
+        path = f"file://{tmp_path}/{kind}"
+        datasets.export_dataset({"features": rows}, path, kind, start="2020-01-02", entities=rows.where("entity_id = 2"), include=["a"])
+        got = datasets.read_part(spark, path, "features", "entity_id long, d date, feature string, value double").collect()
+        assert sorted((r["entity_id"], str(r["d"]), r["feature"], r["value"]) for r in got) == [(2, "2020-01-02", "a", 4.0), (2, "2020-01-03", "a", 6.0)]
+        with pytest.raises(FileNotFoundError):
+            datasets.read_part(spark, path, "labels", "entity_id long")
+    datasets.export_dataset({"features": rows}, f"file://{tmp_path}/csv", "parquet", exclude=["a"])
+    assert {r["feature"] for r in datasets.read_part(spark, f"file://{tmp_path}/csv", "features", "entity_id long, d date, feature string, value double").collect()} == {"b"}
+    with pytest.raises(ValueError, match="unknown format"):
+        datasets.export_dataset({}, "x", "orc")
+    with pytest.raises(ValueError, match="both"):
+        datasets.export_dataset({}, "x", include=["a"], exclude=["a"])
