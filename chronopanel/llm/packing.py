@@ -62,6 +62,10 @@ def byte_letters() -> dict[int, int]:
 PROBE = "Plain Words, 2024 numbers: don't stop (ever)!  Two  spaces,\ttabs\n\nand LINES; naïve Überfälle — 東京 <|x|> a_b"
 
 
+#: Words, and parts of words, that a task remembers: about 100 MB. Fewer cost time, not results.
+WORDS_HELD = 400_000
+
+
 class WordTokens:
     """Ids of a text, with bounded memories of words and their parts.
 
@@ -72,7 +76,7 @@ class WordTokens:
     that gives other ids for a probe text is asked for whole texts instead.
     """
 
-    def __init__(self, path: str, most: int = 140_000):
+    def __init__(self, path: str, most: int = WORDS_HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -148,13 +152,13 @@ class WordTokens:
                 yield b"".join(map(known, words))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False, words_held: int = WORDS_HELD) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): token ids of every document, cut at ``size``."""
     vocabulary = path or tokenizer_path()
     end = int(end_id).to_bytes(4, "little")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary)
+        tokens = WordTokens(vocabulary, words_held)
         for b in batches(rows):
             out: list[tuple] = []
             for ident, ids in zip(b.column("id").to_pylist(), tokens.many(utf8(b.column("text"))), strict=True):
@@ -240,9 +244,9 @@ def ranked(parts: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
     return placed.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place")).drop("bucket", "before", "place")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False, words_held: int = WORDS_HELD) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    parts = hold(pieces(docs, id_col, text_col, size, end_id, path, with_ids))
+    parts = hold(pieces(docs, id_col, text_col, size, end_id, path, with_ids, words_held))
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most size rows
     planned = plan(histogram, size)
     lengths, ranks, sequences, offsets = (np.array(x, np.int64) for x in (planned.length, planned.rank, planned.sequence, planned.offset))
