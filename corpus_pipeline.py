@@ -79,7 +79,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: the place of every piece; a null or empty text is the end id alone, rows that repeat take places of their own."""
-    return packing.pack(docs, size=2048, end_id=0)
+    return packing.pack(docs, size=2048, end_id=0, words_held=140_000)  # workers still hold what earlier stages took
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", packed)]
