@@ -86,7 +86,7 @@ def tests(tried: DataFrame, bits: DataFrame, outcomes: DataFrame, value: str, pa
     side = lambda name, n, s, ss, k: F.struct(F.lit(name).alias("bucket"), n.alias("n"), s.alias("s"), ss.alias("ss"), F.col(k).alias("episodes"))
     kept, rest = [F.col(c) for c in ("n", "s", "ss")], [F.col(f"all_{c}") - F.col(c) for c in ("n", "s", "ss")]
     out = whole.select(*keys, part, "id", F.explode(F.array(side("on", *kept, "on_runs"), side("off", *rest, "off_runs"))).alias("x")).select(*keys, part, "id", "x.*").where("n > 0")
-    return out.withColumn("t", F.when(F.col("episodes") >= floor, t_statistic(F.col("n"), F.col("s"), F.col("ss"), least)))
+    return out.withColumn("t", F.when(F.col("episodes") >= floor, t_statistic(F.col("n"), F.col("s"), F.col("ss"), least, dict(outcomes.dtypes)[value])))
 
 
 def verdicts(tested: DataFrame, part: str, screen: float, rate: float, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -58,16 +58,25 @@ def upper_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.atleast_1d(t_upper(t.astype(float), df.astype(float))))
 
 
-def t_statistic(n: Column, s: Column, ss: Column, least: int = 2) -> Column:
-    """t of a mean above zero from exact sums; null below ``least`` rows or without spread."""
-    spread = F.sqrt((n * ss - s * s).cast("double") / (n * (n - 1))) / F.sqrt(n.cast("double"))
-    return F.when((n >= max(2, least)) & (n * ss > s * s), F.round(s / n / spread, 9))
+def scatter(n: Column, s: Column, ss: Column, kind: str) -> Column:
+    """n * ss - s * s; of whole numbers as a decimal, which holds products that a long can't."""
+    if kind in ("double", "float"):
+        return n * ss - s * s
+    n, s, ss = (c.cast("decimal(38,0)") for c in (n, s, ss))
+    return n * ss - s * s
+
+
+def t_statistic(n: Column, s: Column, ss: Column, least: int = 2, kind: str = "bigint") -> Column:
+    """t of a mean above zero from exact sums of values of a ``kind``; null below ``least`` rows or without spread."""
+    wide = scatter(n, s, ss, kind)
+    spread = F.sqrt(wide.cast("double") / (n * (n - 1))) / F.sqrt(n.cast("double"))
+    return F.when((n >= max(2, least)) & (wide > 0), F.round(s / n / spread, 9))
 
 
 def t_moments(df: DataFrame, value: str, keys: list[str], least: int = 2) -> DataFrame:
     """Per group: n, s, ss and the t statistic of a mean above zero; no t below ``least`` rows or without spread."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    return out.withColumn("t", t_statistic(F.col("n"), F.col("s"), F.col("ss"), least))
+    return out.withColumn("t", t_statistic(F.col("n"), F.col("s"), F.col("ss"), least, dict(df.dtypes)[value]))
 
 
 def conditional_t(df: DataFrame, value: str, label: str, episodes: DataFrame, floor: int) -> DataFrame:
@@ -121,10 +130,11 @@ def one_sided_t(base: DataFrame, other: DataFrame, value: str, keys: list[str],
     sums = [f.alias(f"{c}{k}") for c in ("_a", "_b", "_d") for k, f in (("n", F.count(c)), ("s", F.sum(c)), ("q", F.sum(F.col(c) * F.col(c))))]
     m = both.groupBy(*keys).agg(*sums)
     na, nb, nd = F.col("_an"), F.col("_bn"), F.col("_dn")
-    scatter = lambda c: (F.col(f"{c}n") * F.col(f"{c}q") - F.col(f"{c}s") * F.col(f"{c}s")).cast("double") / F.col(f"{c}n")
+    kind = "double" if {"double", "float"} & {dict(side.dtypes)[value] for side in (base, other)} else "bigint"
+    scattered = lambda c: scatter(F.col(f"{c}n"), F.col(f"{c}s"), F.col(f"{c}q"), kind).cast("double") / F.col(f"{c}n")
     paired, n = (na == nd) & (nb == nd), nd.cast("double")
-    by_pair = F.when((nd > 1) & (scatter("_d") > 0), F.col("_ds") / n / F.sqrt(scatter("_d") / (n - 1) / n))
-    pooled = (scatter("_a") + scatter("_b")) / (na + nb - 2)
+    by_pair = F.when((nd > 1) & (scattered("_d") > 0), F.col("_ds") / n / F.sqrt(scattered("_d") / (n - 1) / n))
+    pooled = (scattered("_a") + scattered("_b")) / (na + nb - 2)
     apart = F.when((na > 0) & (nb > 0) & (na + nb > 2) & (pooled > 0), (F.col("_as") / na - F.col("_bs") / nb) / F.sqrt(pooled * (1 / na + 1 / nb)))
     t = F.when(paired, by_pair).otherwise(apart)
     out = m.select(*keys, F.when(paired, "paired").otherwise("pooled").alias("method"), na.alias("n_base"), nb.alias("n_other"), F.round(t if less else -t, 9).alias("t"), F.when(paired, nd - 1).otherwise(na + nb - 2).alias("df"))

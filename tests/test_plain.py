@@ -27,6 +27,29 @@ def test_t_upper_by_integration(t, df):
     assert stats.t_upper(t, df) == pytest.approx(0.5 - math.copysign(half, t), abs=1e-8)
 
 
+def large_sums(spark, **more):
+    """3,000 rows whose n * ss passes 2^63, and their exact t."""
+    values = [20_000_000 - 7 * (i % 2) if i % 3 else -10_000_000 for i in range(3000)]
+    n, s, ss = len(values), sum(values), sum(v * v for v in values)
+    assert ss < 2**63 < n * ss
+    df = spark.createDataFrame([("a", v) for v in values], "label string, y long").withColumns(more)
+    return df, n, (s / n) / (math.sqrt((n * ss - s * s) / (n * (n - 1))) / math.sqrt(n))
+
+
+def test_conditional_t_of_large_sums(spark):
+    df, n, t = large_sums(spark)
+    got = stats.conditional_t(df, "y", "label", spark.createDataFrame([("a", 9)], "label string, episodes int"), 5).first()
+    assert got["n"] == n and got["t"] == pytest.approx(t, abs=1e-8) and got["p"] == pytest.approx(stats.t_upper(t, n - 1), abs=1e-12)
+    doubles = stats.t_moments(df.withColumn("y", F.col("y").cast("double")), "y", ["label"]).first()
+    assert doubles["t"] == pytest.approx(t, rel=1e-8)
+
+
+def test_screen_of_large_sums(spark):
+    df, _, t = large_sums(spark, part=F.explode(F.array(F.lit(True), F.lit(False))))
+    got = stats.screen_and_test(df, "y", ["label"], F.col("part"), 20, 0.5, 1.645).first()
+    assert got["t_inner"] == got["t_outer"] == pytest.approx(t, abs=1e-8) and got["verdict"] == "confirmed"
+
+
 def test_one_sample_t(spark):
     rows = [("a", v) for v in (1.0, 2.0, 4.0, 3.0)] + [("b", 5.0)] + [("c", 2.0)] * 3 + [("d", -1.0), ("d", -2.0), ("d", None)]
     got = {r["k"]: r for r in stats.one_sample_t(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
