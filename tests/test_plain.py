@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from chronopanel.operators import models, recursive, stats
+from chronopanel.operators import aggregates, models, recursive, stats
 from chronopanel.plans import QUERIES
 from pyspark.sql import functions as F
 
@@ -50,6 +50,13 @@ def test_screen_of_large_sums(spark):
     assert got["t_inner"] == got["t_outer"] == pytest.approx(t, abs=1e-8) and got["verdict"] == "confirmed"
 
 
+def test_trade_metrics_without_wins_or_losses(spark):
+    rows = [("lost", -3), ("lost", -5), ("lost", 0), ("won", 4), ("won", 2), ("even", 0), ("both", 6), ("both", -4), ("open", None)]
+    out = aggregates.trade_metrics(spark.createDataFrame(rows, "run string, pnl long"), "pnl", "run")
+    got = {r["run"]: tuple(r)[1:] for r in out.select("run", "n_closed", "win_rate", "profit_factor", "mean_win", "mean_loss").collect()}
+    assert got == {"lost": (3, 0.0, None, None, 4.0), "won": (2, 1.0, None, 3.0, None), "even": (1, 0.0, None, None, None), "both": (2, 0.5, 1.5, 6.0, 4.0)}
+
+
 def test_one_sample_t(spark):
     rows = [("a", v) for v in (1.0, 2.0, 4.0, 3.0)] + [("b", 5.0)] + [("c", 2.0)] * 3 + [("d", -1.0), ("d", -2.0), ("d", None)]
     got = {r["k"]: r for r in stats.one_sample_t(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
