@@ -6,6 +6,10 @@ key; the writer overwrites the partitions it touches.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,6 +208,43 @@ def set_digest(value: Column) -> Column:
     return F.concat(*[F.coalesce(s, F.lit("0" * 15)) for s in sums], F.lit("-"), F.count(value).cast("string"))
 
 
+def list_digest(df: DataFrame, key: str, value: str, joint: str = ",") -> DataFrame:
+    """(key, fingerprint, n): the SHA-256 of a key's texts in order, joined, and its number of rows.
+
+    A hash of a whole list is taken along the list: rows are sorted by Spark and
+    pass through in batches, of which a task holds one.  Nulls are counted and
+    left out; without a text the fingerprint is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n, begun = None, None, 0, False
+        for batch in batches:
+            done = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        done.append((now, digest and digest.hexdigest(), n))
+                    now, digest, n, begun = k, None, 0, True
+                n += 1
+                if text is not None:
+                    if digest is None:
+                        digest = hashlib.sha256()
+                    else:
+                        digest.update(joint.encode())
+                    digest.update(text.encode())
+            kind = batch.schema.field(0).type
+            yield table(done, kind)
+        if begun:
+            yield table([(now, digest and digest.hexdigest(), n)], kind)
+
+    def table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        keys, digests, counts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(digests, pa.string()), pa.array(counts, pa.int64())], [key, "fingerprint", "n"])
+
+    rows = df.select(key, F.col(value).cast("string").alias("_text")).repartition(key).sortWithinPartitions(key, "_text")
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, fingerprint string, n long")
+
+
 def canonical(node: dict) -> str:
     """A rule tree as text, children of AND and OR in order of their own texts, so that equal rules are equal texts."""
     import json

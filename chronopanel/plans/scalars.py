@@ -238,12 +238,9 @@ def b26_gate(spark, sf_dir):
     return fx.predictions(spark, sf_dir).where("q50 > 100 and q10 > -300 and cls <> 0").select("entity_id", "d", "q50")
 
 
-_DIGEST = "lpad(lower(to_hex((sum(('0x' || substr(sha256(symbol || ':{0}'), 1, 15))::BIGINT) % 1152921504606846976)::BIGINT)), 15, '0')"
-
-
-@query(f"SELECT sector, {_DIGEST.format(0)} || {_DIGEST.format(1)} || '-' || count(*) AS fingerprint, count(*) AS n FROM dims GROUP BY sector")
+@query("SELECT sector, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS fingerprint, count(*) AS n FROM dims GROUP BY sector")
 def b27_fingerprints(spark, sf_dir):
-    return fx.dims(spark, sf_dir).groupBy("sector").agg(tab.set_digest(F.col("symbol")).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    return tab.list_digest(fx.dims(spark, sf_dir), "sector", "symbol")
 
 
 @query("""f AS (SELECT t.entity_id, t.d, sha256(concat_ws('|', 'shares=' || (shares % 7), 'side=' || side)) AS fingerprint, t.entity_id * 100000 + date_diff('day', DATE '1990-01-01', t.d) AS id FROM trades t),

@@ -1,5 +1,6 @@
 """Search, holdout and paired scores against plain numpy; rules with references against plain Python; digests."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -132,6 +133,20 @@ def test_digests(spark):
     assert tables.canonical({"op": "AND", "children": [x, y]}) == tables.canonical(turned) != tables.canonical({"op": "OR", "children": [x, y]})
 
 
+def test_list_digests(spark):
+    """The hash of the sorted list itself: other joints of the same letters differ, batches and partitions don't matter."""
+    lists = {"a": [f"s{i % 70}" for i in range(90)], "b": ["s1s2"], "c": ["s1", "s2", None], None: ["x"], "e": [None, None], "f": [""]}
+    values = [(g, s) for g, texts in lists.items() for s in texts]
+    random.Random(2).shuffle(values)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["g"]: (r["fingerprint"], r["n"]) for r in tables.list_digest(spark.createDataFrame(values, "g string, s string").repartition(5), "g", "s").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    joined = {g: [t for t in texts if t is not None] for g, texts in lists.items()}
+    assert got == {g: (hashlib.sha256(",".join(sorted(t)).encode()).hexdigest() if t else None, len(lists[g])) for g, t in joined.items()}
+
+
 def test_refusals(spark):
     """Leaks, empty memberships and fast growth are refused; pins and force let them pass."""
     from chronopanel.operators import windows
