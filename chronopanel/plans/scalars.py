@@ -167,7 +167,7 @@ def b21_ensemble(spark, sf_dir):
     weights = spark.createDataFrame([(0, 3), (1, 2), (2, 5)], "k int, w int")
     k = F.col("k")
     models = fx.predictions(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("entity_id", "d", "k", (F.col("q10") + 300 * k).alias("q10"), (F.col("q50") + 10 * k).alias("q50"), (F.col("q90") - 120 * k).alias("q90"))
-    means = models.join(weights, "k").groupBy("entity_id", "d").agg(*[(F.sum(F.col("w") * F.col(q)) / F.sum("w")).alias(q) for q in ("q10", "q50", "q90")])
+    means = models.join(F.broadcast(weights), "k").groupBy("entity_id", "d").agg(*[(F.sum(F.col("w") * F.col(q)) / F.sum("w")).alias(q) for q in ("q10", "q50", "q90")])
     low, high = fn.clamp_quantiles(F.col("q10"), F.col("q50"), F.col("q90"))
     return means.select("entity_id", "d", low.alias("q10"), "q50", high.alias("q90"))
 
