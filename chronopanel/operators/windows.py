@@ -223,12 +223,21 @@ def rolling_templates(df: DataFrame, close: str, volume: str, change_: str, shor
     x = F.when(F.col("_q").isNotNull(), r)
     sums = {k: F.sum(v).over(wide) for k, v in {"x": x, "y": F.col("_q"), "xx": x * x, "yy": F.col("_q") * F.col("_q"), "xy": x * F.col("_q")}.items()}
     df = df.withColumns({
-        "_v": variance(change_, frame, long, True), "_rs": full(change_, frame, long, F.collect_list(change_).over(frame)),
+        "_v": variance(change_, frame, long, True), "_rs": full(change_, frame, long, F.collect_list(change_).over(frame)), "_total": F.sum(change_).over(frame),
         "_an": F.count("_q").over(wide), "_xx": pairs * sums["xx"] - sums["x"] * sums["x"], "_yy": pairs * sums["yy"] - sums["y"] * sums["y"], "_xy": pairs * sums["xy"] - sums["x"] * sums["y"],
     })
-    add = lambda a, v: a + v
-    total = F.aggregate("_rs", F.lit(0).cast("long"), add)
-    walk = F.transform(F.sequence(F.lit(1), F.lit(long)), lambda k: long * F.aggregate(F.slice("_rs", F.lit(1), k), F.lit(0).cast("long"), add) - k * total)
+    # along the window once: how many values, their sum, the walk's least and greatest place
+    null = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("s"), null.alias("lo"), null.alias("hi"))
+
+    def step(a: Column, v: Column) -> Column:
+        place = long * (a["s"] + v) - (a["k"] + 1) * F.col("_total")
+        return F.struct((a["k"] + 1).alias("k"), (a["s"] + v).alias("s"), F.least(a["lo"], place).alias("lo"), F.greatest(a["hi"], place).alias("hi"))
+
+    span = F.aggregate("_rs", start, step, lambda a: a["hi"] - a["lo"])
+    at = 0.05 * (long - 1)
+    low, sorted_ = int(at), F.sort_array("_rs")
+    tail = (low + 1 - at) * F.get(sorted_, F.lit(low)) + (at - low) * F.get(sorted_, F.lit(min(low + 1, long - 1)))
     before = lambda c: F.lag(c, long).over(order)
     spread = F.sqrt(variance(close, frame, long, True))
     return df.withColumns({
@@ -236,10 +245,10 @@ def rolling_templates(df: DataFrame, close: str, volume: str, change_: str, shor
         "distance": (F.col(close) - mean(close, frame, long)) / F.nullif(spread, F.lit(0)),
         "acceleration": r - F.lag(change_, lag).over(order),
         "divergence": F.try_divide(F.col(volume), before(volume)) - F.try_divide(F.col(close), before(close)),
-        "tail": full(change_, frame, long, F.round(F.percentile(change_, F.lit(0.05)).over(frame), 6)),
+        "tail": F.round(tail, 6),
         "autocorrelation": F.when((F.col("_an") == pairs) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx").cast("double")) / F.sqrt(F.col("_yy").cast("double"))),
-        "rescaled_range": F.when(F.col("_v") > 0, (F.array_max(walk) - F.array_min(walk)) / long / F.sqrt("_v")),
-    }).drop("_q", "_v", "_rs", "_an", "_xx", "_yy", "_xy")
+        "rescaled_range": F.when(F.col("_v") > 0, span / long / F.sqrt("_v")),
+    }).drop("_q", "_v", "_rs", "_total", "_an", "_xx", "_yy", "_xy")
 
 
 def breakouts(df: DataFrame, high: str, low: str, close: str, volume: str, n: int, k: float, entity: str = "entity_id", time: str = "d") -> DataFrame:
