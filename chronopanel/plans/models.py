@@ -89,13 +89,14 @@ def b29_pipeline_stages(spark, sf_dir):
     out = matrix(spark, sf_dir)
     for stage in stages:
         out = out.transform(stage)
+    out = staged(out, "stages")  # every round of the fit reads it
     beta = mod.quantile_regression(out, ["f2", "f4"], "y", 0.5)
     return out.select("entity_id", "d", "y", mod.linear(beta, ["f2", "f4"]).alias("q50"))
 
 
 @query()
 def m1_trend_classifier(spark, sf_dir):
-    rows = matrix(spark, sf_dir)
+    rows = staged(matrix(spark, sf_dir), "matrix")  # every pass of the fit reads it
     fitted = mod.classifier(["f1", "f2", "f3"], "label", maxIter=20).fit(rows.where("d < date'2000-01-01'"))
     return mod.predict_classes(fitted, rows.where("d >= date'2000-01-01'"), ["entity_id", "d", "label"])
 
@@ -140,7 +141,7 @@ def m3_expanding_search(spark, sf_dir):
 
 @query()
 def m4_permutation_importance(spark, sf_dir):
-    rows = matrix(spark, sf_dir).dropna()
+    rows = staged(matrix(spark, sf_dir).dropna(), "matrix")  # every round of the fit and every column's ranks read it
     beta = mod.quantile_regression(rows, ["f1", "f2", "f3"], "y", 0.5)
     return mod.permutation_importance(rows, ["f1", "f2", "f3"], mod.linear(beta, ["f1", "f2", "f3"]), 5)
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronopanel.operators import models, regimes, tables
+from chronopanel.plans import QUERIES
 
 FEATURES = ["a", "b"]
 CHOICES = [models.Choice("mean", ()), models.Choice("a", ("a",)), models.Choice("both", ("a", "b")), models.Choice("both flat", ("a", "b"), 50.0)]
@@ -147,6 +148,24 @@ def test_list_digests(spark):
     assert got == {g: (hashlib.sha256(",".join(sorted(t)).encode()).hexdigest() if t else None, len(lists[g])) for g, t in joined.items()}
 
 
+@pytest.mark.parametrize("name", ["m4_permutation_importance", "b29_pipeline_stages", "m1_trend_classifier"])
+def test_fits_read_staged_rows(spark, monkeypatch, name):
+    """A fit passes over its rows many times: they are files by then, not the bars' shuffles."""
+
+    class Seen(Exception):
+        pass
+
+    def fit(df, *_, **__):
+        raise Seen(df.inputFiles())
+
+    monkeypatch.setattr(models, "quantile_regression", fit)
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: fit(df))
+    with pytest.raises(Seen) as seen:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    files = seen.value.args[0]
+    assert files and all("/chronopanel-" in f for f in files)
+
+
 def test_refusals(spark):
     """Leaks, empty memberships and fast growth are refused; pins and force let them pass."""
     from chronopanel.operators import windows
