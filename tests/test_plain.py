@@ -188,3 +188,9 @@ def test_derived_series_by_hand(spark):
     assert got["per_share"] and all(v == pytest.approx(got["total"][d] / got["volume"][d]) for d, v in got["per_share"].items())
     status = {r["series"]: (r["status"], r["n_rows"]) for r in QUERIES["i07_refresh_all"](spark, SF).collect()}
     assert status["broken"][0].endswith("Exception") and status["missing"] == ("AnalysisException", 0) and status["total"] == ("ok", len(got["total"])) == status["median"]
+
+
+def test_margin_closeout_reads_lines_once(spark):
+    """Positions are a row an entity and read several times; the lines below them are read when they are staged."""
+    made = QUERIES["e50_margin_closeout"](spark, "/root/testdata/sf0.001")
+    assert "l_suppkey" not in made._jdf.queryExecution().optimizedPlan().toString()
