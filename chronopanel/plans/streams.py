@@ -11,6 +11,10 @@ from chronopanel.streaming import events as op
 from .registry import query
 
 
+#: Rows of a landed file, about.
+FILE_ROWS = 1 << 19
+
+
 def _events(spark, sf_dir):
     rows = op.source(spark, sf_dir, "events.parquet", fx.table(spark, sf_dir, "events").schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be an instant
@@ -19,7 +23,7 @@ def _events(spark, sf_dir):
 def unruly_events(spark, sf_dir, path):
     """The events in three batches as a stream: some come a batch late but in time, some twice, and copies of old ones under new ids too late."""
     rows = fx.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     cuts = [ends["lo"] + (ends["hi"] - ends["lo"]) * k / 3 for k in (1, 2)]
     third = (F.col("ts") >= F.lit(cuts[0])).cast("int") + (F.col("ts") >= F.lit(cuts[1])).cast("int")
     near = F.lit(False)
@@ -29,7 +33,7 @@ def unruly_events(spark, sf_dir, path):
     old = F.col("ts") < F.lit(cuts[0]) - F.expr("interval 2 days")  # a batch's late rows are told by the watermark before it
     late = dealt.where(old & (F.col("event_id") % 7 == 0)).withColumn("event_id", F.col("event_id") + 10**12)
     batches = [dealt.where("batch = 0"), dealt.where("batch = 1").unionByName(dealt.where("batch = 0 and near")), dealt.where("batch = 2").unionByName(dealt.where("batch = 1 and near")).unionByName(late)]
-    return op.land([b.drop("batch", "near") for b in batches], path)
+    return op.land([b.drop("batch", "near") for b in batches], path, max(1, -(-ends["n"] // (len(batches) * FILE_ROWS))))
 
 
 _TOP = "top AS (SELECT max(ts) AS hi FROM events)"

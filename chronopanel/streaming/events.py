@@ -20,12 +20,17 @@ def source(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def land(batches: list[DataFrame], path: str) -> DataFrame:
-    """Write frames one after another below ``path``, and the stream that reads one of them a batch, in that order."""
-    for k, df in enumerate(batches):
-        df.coalesce(1).write.parquet(f"{path}/batch={k}")
+def land(batches: list[DataFrame], path: str, files: int = 1) -> DataFrame:
+    """Write frames one after another below ``path``, each as so many files, and the stream that reads one of them a batch, in that order."""
     spark, schema = batches[0].sparkSession, batches[0].schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    for k, df in enumerate(batches):
+        at = f"{path}/batch={k}"
+        df.repartition(files).write.parquet(at)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/part-*")
+        made = len(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or [])
+        for _ in range(files - made):  # partitions without rows leave no file
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def replay(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

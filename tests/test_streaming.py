@@ -55,3 +55,12 @@ def test_land_gives_one_frame_a_batch(spark, tmp_path):
     seen = []
     stream.writeStream.foreachBatch(lambda b, n: seen.append([r["event_id"] for r in b.collect()])).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination()
     assert seen == [[0], [1], [2]]
+
+
+def test_land_in_several_files(spark, tmp_path):
+    """Each batch is its frame, whole, also where a frame has fewer rows than files."""
+    frames = [spark.range(lo, hi).toDF("event_id") for lo, hi in ((0, 100), (100, 102), (102, 102), (102, 150))]
+    stream, seen = op.land(frames, f"file://{tmp_path}/landed", 4), []
+    stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r["event_id"] for r in b.collect()))).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination()
+    assert seen == [list(range(100)), [100, 101], [], list(range(102, 150))]
+    assert all(len(list((tmp_path / "landed" / f"batch={k}").glob("part-*"))) == 4 for k in range(4))
