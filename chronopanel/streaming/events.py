@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -91,7 +91,7 @@ def upsert_into(stream: DataFrame, path: str, keys: list[str], order: list[str])
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams that start within keep their state in RocksDB, which lists, timers and time to live need; the session's own choice comes back after."""
+    """Streams that start within keep their state in RocksDB; the session's own choice comes back after."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -101,66 +101,55 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-class _RunningMean(StatefulProcessor):
-    """Rows wait in a list until the watermark has passed them, then they go into the mean in order of time and id."""
-
-    def __init__(self, key: str, ident: str, period: int, idle_ms: int):
-        self.key, self.ident, self.k, self.idle = key, ident, 2 / (period + 1), idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.mean = handle.getValueState("mean", "mean double, n long, last long")
-        self.waiting = handle.getListState("waiting", "at long, id long, value double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # by place: computed columns come without their names
-        came = [r for f in rows for r in zip(*(f.iloc[:, k].tolist() for k in (2, 3, 4)), strict=True)]
-        if came:
-            self.waiting.appendList(came)
-            self.handle.registerTimer(min(r[0] for r in came) // 1000)
-        yield self.made(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(set(self.waiting.get()))  # rows that came twice are one
-        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        mean, n, last = self.mean.get() if self.mean.exists() else (None, 0, 0)
-        out = []
-        for at, ident, x in due:
-            fresh = mean is None or at - last > self.idle * 1000
-            mean, n, last = (x, 1, at) if fresh else (mean * (1 - self.k) + x * self.k, n + 1, at)
-            out.append((key[0], ident, mean, n))
-        if due:
-            self.mean.update((mean, n, last))
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000)
-        else:
-            self.waiting.clear()
-            if now > last + self.idle * 1000:
-                self.mean.clear()
-            else:
-                self.handle.registerTimer(last // 1000 + self.idle)
-        yield self.made(key, out)
-
-    def made(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[self.key, self.ident, "mean", "n"]).astype({self.key: "int64", self.ident: "int64", "mean": "float64", "n": "int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def running_mean(events: DataFrame, key: str, time: str, value: str, period: int, delay: str, idle_ms: int, ident: str = "event_id") -> DataFrame:
+def running_mean(events: DataFrame, key: str, time: str, value: str, period: int, delay: str, idle_ms: int, ident: str = "event_id", buckets: int = 1024) -> DataFrame:
     """Per event the exponential mean of its key up to it, seeded with the first value, once the watermark has passed it.
 
+    Rows wait in a state until the watermark has passed them, then they go into the
+    mean in order of time and id.  A state is that of a bucket of keys, so calls
+    don't grow with the keys; a task holds a bucket's rows within the delay and one batch.
+
     Events may come in any order within ``delay`` and more than once; later ones
     are dropped.  A key that has had no event for ``idle_ms`` starts anew, and its
-    state goes once the watermark has passed that time.  Start the stream within ``rocksdb``.
+    state goes once the watermark has passed that time.
     """
     # the watermark is set on ``time`` itself, so it has to stay among the columns
-    rows = events.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("_at"), F.col(ident).alias("_id"), F.col(value).cast("double").alias("_value"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")
+    rows = events.withWatermark(time, delay).select(bucket, key, time, F.unix_micros(time).alias("_at"), F.col(ident).alias("_id"), F.col(value).cast("double").alias("_value"))
+    k, idle, kinds = 2 / (period + 1), idle_ms * 1000, {key: "int64", ident: "int64", "mean": "float64", "n": "int64"}
+
+    def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        held = state.get if state.exists else ([],) * 8
+        means = dict(zip(held[0], zip(*held[1:4], strict=True), strict=True))
+        waiting = set(zip(*held[4:], strict=True))  # rows that came twice are one
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting.update(zip(*(f.iloc[:, c].tolist() for c in (1, 3, 4, 5)), strict=True))
+        out, rest = [], []
+        for who, at, number, x in sorted(waiting):
+            if at > now:
+                rest.append((who, at, number, x))
+                continue
+            mean, n, last = means.get(who, (None, 0, 0))
+            mean, n = (x, 1) if mean is None or at - last > idle else (mean * (1 - k) + x * k, n + 1)
+            means[who] = mean, n, at
+            out.append((who, number, mean, n))
+        awaited = {r[0] for r in rest}
+        means = {who: s for who, s in means.items() if who in awaited or now <= s[2] + idle}
+        if not means and not rest:
+            state.remove()
+        else:
+            columns = lambda made, width: [list(c) for c in zip(*made, strict=True)] or [[] for _ in range(width)]
+            state.update((list(means), *columns(means.values(), 3), *columns(rest, 4)))
+            # a bucket is woken once the watermark is past its timeout
+            wake = [r[1] - 1 for r in rest] + [s[2] + idle for who, s in means.items() if who not in awaited]
+            state.setTimeoutTimestamp(min(wake) // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+
     schema = f"{key} long, {ident} long, mean double, n long"
-    return rows.groupBy(key).transformWithStateInPandas(_RunningMean(key, ident, period, idle_ms), schema, "Append", "EventTime")
+    kept = "who array<long>, mean array<double>, n array<long>, last array<long>, waits array<long>, at array<long>, id array<long>, value array<double>"
+    return rows.groupBy("_bucket").applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def out_of_bounds(events: DataFrame, rules: DataFrame, kind: str, value: str) -> DataFrame:

@@ -64,3 +64,11 @@ def test_land_in_several_files(spark, tmp_path):
     stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r["event_id"] for r in b.collect()))).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination()
     assert seen == [list(range(100)), [100, 101], [], list(range(102, 150))]
     assert all(len(list((tmp_path / "landed" / f"batch={k}").glob("part-*"))) == 4 for k in range(4))
+
+
+def test_running_mean_keeps_states_with_its_rows(spark, tmp_path):
+    """No call for each key's state; a store of maps and timers takes several for every key and batch."""
+    df = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, value double")
+    df.write.parquet(f"{tmp_path}/landed")
+    made = op.running_mean(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/landed"), "user_id", "ts", "value", 3, "60 minutes", 1000)
+    assert "TransformWithState" not in made._jdf.queryExecution().logical().toString()
