@@ -22,13 +22,18 @@ def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("symbol"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars per entity: entity_id, d, o, h, l, c, vol; prices in cents."""
+def bars(spark: SparkSession, sf_dir: str, along: bool = False) -> DataFrame:
+    """Weekly bars per entity: entity_id, d, o, h, l, c, vol; prices in cents.
+
+    ``along``: lines are dealt by entity, so that bars and what follows an entity's
+    bars (windows, folds) share one shuffle and one sort; a task then holds all lines of its entities.
+    """
     px = F.round(F.col("l_extendedprice") * 100).cast("long")
     key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "px")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("entity_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"), px.alias("px"), "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"
     )
+    rows = rows.repartition("entity_id") if along else rows
     return rows.groupBy("entity_id", "d").agg(
         F.min_by("px", key).alias("o"), F.max("px").alias("h"), F.min("px").alias("l"), F.max_by("px", key).alias("c"), F.sum("l_quantity").cast("long").alias("vol")
     )

@@ -142,6 +142,22 @@ def test_complete_panel(spark, least):
         assert rho is None or (r["rho"] == pytest.approx(rho, abs=1e-6) and r["n_eff"] == pytest.approx(size, abs=1e-5))
 
 
+@pytest.mark.parametrize("near", [1, 1024])
+def test_panels_of_members(spark, near):
+    """Entities that count for several keys or none are sent once; their panels are those of a copy of their rows a key, however far places are looked at."""
+    rng = random.Random(4)
+    rows = [(e, t, None if rng.random() < 0.05 else rng.randint(-50, 50) + t % 7) for e in range(40) for t in range(30) if rng.random() >= (0.0 if e < 20 else 0.15)]
+    df = spark.createDataFrame(rows, "entity_id long, d int, y long").withColumn("c", F.lit(1)).repartition(3)
+    members = spark.createDataFrame([(k, e) for k in range(3) for e in range(40) if rng.random() < 0.6 and e != 39], "k int, entity_id long")
+    kept = aggregates.histories(df, "y", ("k",), members, beside=("c",))
+    got = sorted(map(tuple, aggregates.densest_panel(kept, 8, ("k",), 25, 0.6, 0.7, near).collect()))
+    assert got == sorted(map(tuple, aggregates.complete_panel(df.join(members, "entity_id"), "y", 8, ("k",), 25, 0.6, 0.7).collect()))
+    for k, n, kept_n, dates, _, rho, _ in got:
+        own = {r["entity_id"] for r in members.where(f"k = {k}").collect()}
+        assert (n, kept_n, dates, pytest.approx(rho, abs=1e-6)) == plain_panel([r for r in rows if r[0] in own and r[2] is not None], 8, 25, 0.6, 0.7)[:4]
+    assert kept.select(F.inline("_all")).count() == len(rows)
+
+
 def test_two_sample_t(spark):
     rng = random.Random(2)
     base = [(g, k, rng.randint(0, 100)) for g, n in (("paired", 30), ("pooled", 30), ("other keys", 10), ("alone", 5), ("flat", 6), ("one", 1)) for k in range(n)]
