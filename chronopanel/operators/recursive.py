@@ -15,10 +15,12 @@ bars of decades do.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,24 +213,46 @@ def smooth(
     def feed(f: Callable, xs: list) -> list:
         return [None if x is None else f(x) for x in xs]
 
-    def follow(part: pd.DataFrame, states: list[tuple], before) -> pd.DataFrame:
-        part = part.sort_values(time)
-        out = part[[entity, *keep]].copy()
-        made = []
+    def results(values: list, states: list[tuple], before) -> tuple[list, list[tuple]]:
+        """What ``finish`` makes of each value, and the states after the last."""
+        xs, made, after = inputs(values, before), [], []
         for r, f, state in zip(recurrences, feeds, states, strict=True):
             along = []
-            for x in feed(f, inputs(part[value].tolist(), before)):
+            for x in feed(f, xs):
                 state = r.fold(state, x)
                 along.append(state[2])
             made.append(along)
-        for name, values in zip(outputs, zip(*(finish(*ys) for ys in zip(*made, strict=True)), strict=True), strict=True):
+            after.append(state)
+        return [finish(*ys) for ys in zip(*made, strict=True)], after
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole histories one after another, in order of entity and time; states go on from batch to batch."""
+        last, states, before = object(), start, None
+        for batch in batches:
+            keys, values, made = batch.column(entity).to_pylist(), batch.column(value).to_pylist(), []
+            for e, run in itertools.groupby(range(len(keys)), keys.__getitem__):
+                part = [values[i] for i in run]
+                if e != last:
+                    last, states, before = e, start, None
+                rows, states = results(part, states, before)
+                made += rows
+                before = part[-1]
+            made = [pa.array(x, pa.float64() if kind == "double" else None) for x, kind in zip(zip(*made, strict=True), outputs.values(), strict=True)] if made else []
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in (entity, *keep)] + made, [entity, *keep, *outputs])
+
+    def follow(part: pd.DataFrame, states: list[tuple], before) -> pd.DataFrame:
+        part = part.sort_values(time)
+        out = part[[entity, *keep]].copy()
+        rows, _ = results(part[value].tolist(), states, before)
+        for name, values in zip(outputs, zip(*rows, strict=True), strict=True):
             out[name] = pd.Series(values, index=part.index, dtype="float64" if outputs[name] == "double" else "object")
         return out
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (entity, *keep)) + "".join(f", `{n}` {k}" for n, k in outputs.items())
     start = [Recurrence.START] * size
     if not many:
-        return rows.groupBy(entity, "_c").applyInPandas(lambda part: follow(part, start, None), schema)
+        return rows.drop("_c").repartition(entity).sortWithinPartitions(entity, time).mapInArrow(pass_over, schema)
 
     def digest(part: pd.DataFrame) -> pd.DataFrame:
         values = part.sort_values(time)[value].tolist()
@@ -266,10 +290,15 @@ def ema(df: DataFrame, value: str, period: int, keep: list[str], **where) -> Dat
     return smooth(df, value, [exponential(period)], lambda y: (y,), {"ema": "double"}, keep, **where)
 
 
+def macd_line(df: DataFrame, value: str, keep: list[str], fast: int = 12, slow: int = 26, **where) -> DataFrame:
+    """Fast minus slow mean, both from one pass."""
+    less = lambda f, s: (None if f is None or s is None else f - s,)
+    return smooth(df, value, [exponential(fast), exponential(slow)], less, {"macd": "double"}, keep, **where)
+
+
 def macd(df: DataFrame, value: str, keep: list[str], fast: int = 12, slow: int = 26, signal: int = 9, entity: str = "entity_id", time: str = "d", **where) -> DataFrame:
     """Fast minus slow mean, the mean of that, and their difference."""
-    less = lambda f, s: (None if f is None or s is None else f - s,)
-    line = smooth(df, value, [exponential(fast), exponential(slow)], less, {"macd": "double"}, list(dict.fromkeys((time, *keep))), entity=entity, time=time, **where)
+    line = macd_line(df, value, list(dict.fromkeys((time, *keep))), fast, slow, entity=entity, time=time, **where)
     out = smooth(line, "macd", [exponential(signal)], lambda y: (y,), {"signal": "double"}, list(dict.fromkeys((time, *keep, "macd"))), entity=entity, time=time, **where)
     out = out.withColumn("signal", F.when(F.col("macd").isNotNull(), F.col("signal")))
     return out.select(entity, *keep, "macd", "signal", (F.col("macd") - F.col("signal")).alias("hist"))

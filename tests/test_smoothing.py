@@ -187,3 +187,20 @@ def test_dates_too(spark):
     df = spark.createDataFrame(rows, "entity_id long, d date, c long")
     got = sorted((r["d"], r["ema"]) for r in recursive.ema(df, "c", 5, ["d"], chunk_rows=6).collect())
     same([y for _, y in got], plain_ema([r[2] for r in rows], 5))
+
+
+def test_macd_line_is_one_pass(spark):
+    """The line alone equals the full operator's, over batches that end within histories, and no pass for the signal is planned."""
+    df, series = history(spark, {1: 200, 2: 5, 3: 41, 4: 26, 5: 90})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        line = recursive.macd_line(df, "c", ["t"])
+        got = by_entity(line, "macd")
+        whole = by_entity(recursive.macd(df, "c", ["t"]), "macd")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for e, values in series.items():
+        want = [None if f is None or s is None else f - s for f, s in zip(plain_ema(values, 12), plain_ema(values, 26))]
+        same(got[e], want)
+        assert got[e] == whole[e]
+    assert line._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
