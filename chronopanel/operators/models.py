@@ -18,10 +18,19 @@ from chronopanel.sources.staging import staged
 
 def classifier(features: list[str], label: str, algorithm: str = "logistic", **params) -> Pipeline:
     """Median imputation, assembly, and a multinomial classifier."""
+    return Pipeline(stages=[*assembly(features), estimator(label, algorithm, **params)])
+
+
+def assembly(features: list[str]) -> list:
+    """Median imputation and assembly."""
     filled = [f"_{f}" for f in features]
+    return [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x")]
+
+
+def estimator(label: str, algorithm: str = "logistic", **params):
+    """A multinomial classifier of assembled rows."""
     kinds = {"logistic": LogisticRegression, "forest": RandomForestClassifier}
-    model = kinds[algorithm](featuresCol="_x", labelCol=label, **params)
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), model])
+    return kinds[algorithm](featuresCol="_x", labelCol=label, **params)
 
 
 def predict_classes(fitted, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -146,16 +155,20 @@ def cross_validate(df: DataFrame, fold: str, n_folds: int, features: list[str],
     """Accuracy of each choice {algorithm, parameters} of classifiers on each fold; every fit is a job, so for few choices.
 
     ``near`` names an array of folds that a row's outcome may reach: such rows
-    are purged from the training of these folds.
+    are purged from the training of these folds.  All choices of a fold share its
+    medians.
     """
-    df, rows = staged(df, "matrix"), []  # every fit reads it
-    for c, choice in enumerate(choices):
-        for k in range(n_folds):
-            train = df.where(F.col(fold) != k)
-            train = train.where(~F.array_contains(near, k)) if near else train
-            fitted = classifier(features, label, **choice).fit(train)
-            hits = predict_classes(fitted, df.where(F.col(fold) == k), [label]).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a")).first()["a"]
+    df, rows = staged(df.select(fold, *([near] if near else []), *features, label), "matrix"), []  # every fit reads it
+    for k in range(n_folds):
+        train = df.where(F.col(fold) != k)
+        train = train.where(~F.array_contains(near, k)) if near else train
+        ready = Pipeline(stages=assembly(features)).fit(train)
+        train, held = (ready.transform(x).select("_x", label) for x in (train, df.where(F.col(fold) == k)))
+        for c, choice in enumerate(choices):
+            fitted = estimator(label, **choice).fit(train)
+            hits = predict_classes(fitted, held, [label]).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a")).first()["a"]
             rows.append((c, str(sorted(choice.items())), k, hits))
+    rows.sort(key=lambda r: (r[0], r[2]))
     return df.sparkSession.createDataFrame(rows, "choice int, parameters string, fold int, accuracy double")
 
 

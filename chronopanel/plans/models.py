@@ -17,7 +17,7 @@ from .registry import query
 
 def matrix(spark, sf_dir):
     """entity_id, d, three features, y in basis points, label 0-4 from strong fall to strong rise, fold by date."""
-    rows = fx.bars(spark, sf_dir).withColumns({"f1": 100 * win.change("c"), "f2": F.col("vol").cast("double"), "f3": 100 * win.change("c", 4), "y": F.floor(10000 * win.forward("c", 4)).cast("double")})
+    rows = fx.bars(spark, sf_dir, along=True).withColumns({"f1": 100 * win.change("c"), "f2": F.col("vol").cast("double"), "f3": 100 * win.change("c", 4), "y": F.floor(10000 * win.forward("c", 4)).cast("double")})
     label = F.when(F.col("y") < -1500, 0).when(F.col("y") < -500, 1).when(F.col("y") <= 500, 2).when(F.col("y") <= 1500, 3).otherwise(4)
     fold = lambda day: F.pmod(F.expr(f"datediff({day}, date'1995-01-01') div 180"), F.lit(3)).cast("int")
     near = F.array(fold("date_sub(d, 35)"), fold("date_add(d, 35)"))  # outcomes reach over four bars

@@ -203,3 +203,13 @@ def test_datasets(spark, tmp_path):
         datasets.export_dataset({}, "x", "orc")
     with pytest.raises(ValueError, match="both"):
         datasets.export_dataset({}, "x", include=["a"], exclude=["a"])
+
+
+def test_choices_share_a_folds_medians(spark, monkeypatch):
+    """Two choices on two folds: medians are fitted twice, and rows come by choice, then fold."""
+    made, plain = [], models.assembly
+    monkeypatch.setattr(models, "assembly", lambda features: made.append(1) or plain(features))
+    df = spark.createDataFrame([(i % 2, float(i) if i % 7 else None, int(i > 20)) for i in range(40)], "fold int, f double, label int")
+    out = models.cross_validate(df, "fold", 2, ["f"], "label", [{"maxIter": 5}, {"algorithm": "forest", "numTrees": 2, "seed": 1}])
+    got = [(r["choice"], r["fold"]) for r in out.collect()]
+    assert len(made) == 2 and got == [(0, 0), (0, 1), (1, 0), (1, 1)]
